@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.llm.mixing import mix_sources, word_count
+from chalkline.llm.quality import apply_quality
 from chalkline.llm.sharding import shard_by_splitters
 
 
@@ -20,8 +22,23 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights 1, 2, 3, ... of their sources."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    mixed = mix_sources(docs, word_count(F.col("text")), "source", "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals and verdicts of all documents."""
+    judged = apply_quality(_table(spark, sf_dir, "documents", "doc_id", "text"), "text")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {"op1_sharding": op1_sharding, "op3_mixing": op3_mixing, "op4_quality": op4_quality}
 
 
 def oracle_sql() -> dict[str, str]:
