@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.llm import langid, warc
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.quality import apply_quality
+from chalkline.llm.scratch import Scratch
 from chalkline.llm.sharding import shard_by_splitters
+from chalkline.llm.topk import exact_top_k, quantised
+
+#: Public vocabularies; the folder can be named otherwise.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -22,6 +29,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, then read back from the archives."""
+    path = Scratch(spark, "archives").where("warc")
+    warc.write_warc(_table(spark, sf_dir, "pages", "page_id", "url", "html"), path, "page_id", "url", "html")
+    number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
+    return warc.read_warc(spark, path).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")
+    )
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3, ... of their sources."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "source", "text")
@@ -37,9 +54,44 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest inner products of each embedding whose id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return exact_top_k(vectors, "vec_id", quantised(F.col("embedding")), F.col("vec_id") % 100 == 0, 10)
+
+
+OP8_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of all documents."""
+    vocabulary = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), "text", "lang", "doc_id", vocabulary)
+    found = langid.identify(docs, "text", model, vocabulary, ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_mixing": op3_mixing, "op4_quality": op4_quality}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_warc": op2_warc,
+        "op3_mixing": op3_mixing,
+        "op4_quality": op4_quality,
+        "op8_topk": op8_topk,
+        "op10_langid": op10_langid,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_topk": OP8_SQL}
