@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import langid, warc
+from chalkline.llm import bpe, langid, warc
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.quality import apply_quality
 from chalkline.llm.scratch import Scratch
@@ -73,6 +73,21 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank
 """
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again; the digests of both."""
+    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", path, ["doc_id"])
+    told = encoded.withColumns(
+        {
+            "n_tokens": F.size("ids").cast("long"),
+            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256),
+        }
+    )
+    return bpe.decode_ids(told, "ids", path, ["doc_id", "n_tokens", "ids_sha256"]).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
     vocabulary = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -89,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op8_topk": op8_topk,
+        "op9_bpe": op9_bpe,
         "op10_langid": op10_langid,
     }
 
