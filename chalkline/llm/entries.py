@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import bpe, langid, warc
+from chalkline.llm.jaccard import near_classes
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.quality import apply_quality
+from chalkline.llm.quotes import reply_ordered
 from chalkline.llm.scratch import Scratch
 from chalkline.llm.sharding import shard_by_splitters
 from chalkline.llm.topk import exact_top_k, quantised
@@ -54,6 +56,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their near-duplicate class and number of links."""
+    found = near_classes(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id")
+    return found.select("doc_id", "class_id", "n_links")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in reply order, without quotations."""
+    return reply_ordered(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest inner products of each embedding whose id is divisible by 100."""
     vectors = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -103,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
+        "op5_jaccard": op5_jaccard,
+        "op7_chat": op7_chat,
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_langid": op10_langid,
