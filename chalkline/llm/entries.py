@@ -13,6 +13,7 @@ from chalkline.llm.jaccard import near_classes
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.quality import apply_quality
 from chalkline.llm.quotes import reply_ordered
+from chalkline.llm.repeats import remove_repeats
 from chalkline.llm.scratch import Scratch
 from chalkline.llm.sharding import shard_by_splitters
 from chalkline.llm.topk import exact_top_k, quantised
@@ -62,6 +63,15 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that repeat in the corpus."""
+    found = remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", ["doc_id"])
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations in reply order, without quotations."""
     return reply_ordered(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
@@ -117,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op5_jaccard": op5_jaccard,
+        "op6_suffix": op6_suffix,
         "op7_chat": op7_chat,
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,

@@ -42,6 +42,8 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._made = 0
+        # Tables cut lineage, so a query's shuffle files are of no use once it has ended.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         atexit.register(_remove, spark, self.path)
 
     def where(self, name: str) -> str:
