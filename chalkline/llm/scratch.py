@@ -44,6 +44,8 @@ class Scratch:
         self._made = 0
         # Tables cut lineage, so a query's shuffle files are of no use once it has ended.
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        # Ids and offsets in files are a fraction of their size in memory; the size check before a broadcast must see the latter.
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", "10")
         atexit.register(_remove, spark, self.path)
 
     def where(self, name: str) -> str:

@@ -54,8 +54,10 @@ def write_warc(pages: DataFrame, path: str, id_col: str, url: str, payload: str)
     rows = pages.select(
         F.col(id_col).alias("_id"), F.col(url).alias("_url"), body.alias("_body"), F.sha1(body.cast("binary")).alias("_sha")
     )
-    # One row for each digest that repeats; the hot digest of the other side is split by the skew join.
+    # One row for each digest that repeats. As a table its size is known, so payloads are shuffled only where it is
+    # too large to broadcast; the hot digest of the other side is then split by the skew join.
     first = rows.groupBy("_sha").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    first = Scratch(pages.sparkSession, "digests").keep(first, "first")
     told = rows.join(first, "_sha", "left")
     revisit = F.col("_first").isNotNull() & (F.col("_id").isNull() | (F.col("_id") > F.col("_first")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("_body").cast("string"), F.lit("\r\n\r\n"))
