@@ -113,7 +113,7 @@ def _balanced(cells: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFra
     return state
 
 
-def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights: tuple[int, ...] = WEIGHTS, by: str | None = None) -> DataFrame:
     """Copies of each row of ``df`` in the mix.
 
     Returns id_col, source, ``size``, ``source_size``, ``target`` (its source's,
@@ -121,16 +121,18 @@ def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights:
     within a fraction of its largest document, and at the cap exactly. Null
     sources form one source, the last; rows of size 0 take no part in the sums
     and are copied once; rows that repeat are rated one by one; an empty table
-    gives no rows. Reruns agree: sums are exact and ranks go by hash and id.
+    gives no rows. Reruns agree: sums are exact, and ranks go by a hash of the
+    column ``by`` (the id where it isn't given) and then the id.
     """
     scratch = Scratch(df.sparkSession, "mixing")
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(SALTS)).cast("int")
+    draw = F.xxhash64(F.col(by or id_col), F.lit(11))
     rows = scratch.keep(
         df.select(
-            F.col(id_col).alias("_id"), F.col(source).alias("_given"), _source_key(F.col(source)).alias("_source"), size.alias("_size"), salt.alias("_salt")
+            F.col(id_col).alias("_id"), F.col(source).alias("_given"), _source_key(F.col(source)).alias("_source"), size.alias("_size"), draw.alias("_draw")
         ),
         "sizes",
     )
+    rows = rows.withColumn("_salt", F.pmod("_draw", F.lit(SALTS)).cast("int"))
     salted = scratch.keep(rows.groupBy("_source", "_size", "_salt").agg(F.count(F.lit(1)).alias("_m")), "salted")
     cells = scratch.keep(salted.groupBy("_source", "_size").agg(F.sum("_m").alias("_n")), "cells")
     weighed = cells.groupBy("_source").agg(
@@ -176,7 +178,7 @@ def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights:
         .select("_source", "_size", "_salt", "_skip", "_rate", "_due", "source_size", "target", F.coalesce(start, F.lit(0)).alias("_start"))
     )
     ranked = rows.withColumn(
-        "_rank", F.row_number().over(W.partitionBy("_source", "_size", "_salt").orderBy(F.xxhash64("_id"), "_id"))
+        "_rank", F.row_number().over(W.partitionBy("_source", "_size", "_salt").orderBy("_draw", "_id"))
     )
     place = F.col("_due") + (F.col("_skip") + F.col("_rank")) * F.col("_rate")
     copies = upto(place, F.col("_start")) - upto(place - F.col("_rate"), F.col("_start"))
