@@ -62,18 +62,17 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _jumped(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv, at, top): where the chain of ``to`` from each node ends, by pointer jumping; a node without ``to`` is its own end."""
-    state = scratch.keep(links.select("conv", "at", F.coalesce("to", "at").alias("top")), "chain")
-    while True:
-        far = state.select("conv", F.col("at").alias("top"), F.col("top").alias("far"))
-        moved = state.join(far, ["conv", "top"], "left").select(
-            "conv", "at", F.coalesce("far", "top").alias("new"), (F.coalesce("far", "top") != F.col("top")).alias("moved")
-        )
-        before, moved = state, scratch.keep(moved, "chain")
-        state = moved.select("conv", "at", F.col("new").alias("top"))
+    """(conv, at, top): where the chain of ``to`` from each node ends, by pointer jumping; a node without ``to`` is its own end.
+
+    A round joins only the nodes that haven't met an end yet.
+    """
+    state = scratch.keep(links.select("conv", "at", F.coalesce("to", "at").alias("top"), F.col("to").isNull().alias("ended")), "chain")
+    while not (open_ := state.where("NOT ended")).isEmpty():
+        far = state.select("conv", F.col("at").alias("top"), F.col("top").alias("far"), F.col("ended").alias("met"))
+        moved = open_.select("conv", "at", "top").join(far, ["conv", "top"]).select("conv", "at", F.col("far").alias("top"), F.col("met").alias("ended"))
+        before, state = state, scratch.keep(state.where("ended").unionByName(moved), "chain")
         scratch.drop(before)
-        if moved.where("moved").isEmpty():
-            return state
+    return state.drop("ended")
 
 
 def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
