@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's strip sees it.
 EDGE = r"(?U)^\s+|\s+$"
@@ -74,12 +75,12 @@ def digits_only(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "").try_cast("int")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity; not symmetric, so the order of a and b counts."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
@@ -123,7 +124,7 @@ def _mended(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(x: pd.Series) -> pd.Series:
     return x.map(_mended)
 
@@ -154,6 +155,6 @@ def _mended_xml(text: str | None) -> str | None:
     return body[:end] + tail[: tail.find("<") if "<" in tail else len(tail)] + "".join(f"</{t}>" for t in reversed(open_))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_xml(x: pd.Series) -> pd.Series:
     return x.map(_mended_xml)

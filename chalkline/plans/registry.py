@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from chalkline.plans import curriculum, mastery, people, sequencing  # noqa: F401
+    from chalkline.plans import curriculum, language, mastery, people, sequencing, worksheets  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
