@@ -4,10 +4,11 @@ Equal texts (by their words) are one representative from the start. Band hashes
 of the representatives are shuffled; a bucket's members are compared with its
 leader, on full sets, which settles ordinary buckets and ties large groups
 together in one pass. Only buckets that still hold more than one component are
-looked into again, and there only pairs of different components that the
-distances to the leader leave possible (Jaccard distance is a metric). So no
-candidate pair between components is left open, and no bucket emits all its
-pairs. Links are counted inside components by blocks.
+looked into again: first against further members of the leader's component,
+then by pairs of different components that the distances to the leader leave
+possible (Jaccard distance is a metric). So no candidate pair between
+components is left open, and no bucket emits all its pairs. Links are counted
+inside components by blocks.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MISS = 1e-6
 MOST_HASHES = 300
 #: Texts of one component that meet in a task, twice over.
 BLOCK = 256
+#: Times that members apart from their leader meet another one before pairs are formed.
+PIVOT_ROUNDS = 2
 #: Bytes of text, and shingles, that are hashed at once.
 CHUNK, STRIPE = 4 << 20, 1 << 16
 
@@ -167,6 +170,24 @@ def _links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("comp", "_i", "_j").applyInPandas(run, "_rep long, links long").groupBy("_rep").agg(F.sum("links").alias("links"))
 
 
+def _open(large: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with their own (comp) and their leader's (_lead)."""
+    placed = large.join(comp.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
+    kinds = placed.groupBy("_band").agg(
+        F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.max(F.when(F.col("_rep") == F.col("_leader"), F.col("comp"))).alias("_lead")
+    )
+    return placed.join(kinds.where("_c <> _d").select("_band", "_lead"), "_band")
+
+
+def _grown(linked: DataFrame, comp: DataFrame, seen: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Edges and components with the pairs of ``seen`` that are linked."""
+    more = seen.where(F.col("like") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if more.isEmpty():
+        return linked, comp
+    linked = linked.unionByName(more)
+    return linked, components(linked, scratch)
+
+
 def near_classes(
     df: DataFrame, text: str, id_col: str, keep: list[str] | None = None, threshold: float = THRESHOLD, count_links: bool = True
 ) -> DataFrame:
@@ -204,36 +225,29 @@ def near_classes(
     linked = starred.where(F.col("like") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = components(linked, scratch)
 
-    # Buckets of three and more whose members are in different components: pairs across that the leader doesn't rule out.
-    large = (
-        bucketed.where("_size > 2")
-        .join(starred.select(F.col("x").alias("_rep"), F.col("y").alias("_leader"), "like"), ["_rep", "_leader"], "left")
-        .join(comp.withColumnRenamed("node", "_rep"), "_rep", "left")
-        .withColumn("comp", F.coalesce("comp", "_rep"))
-        .withColumn("_far", 1 - F.coalesce("like", F.lit(1.0)))
-    )
-    mixed_ones = large.groupBy("_band").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("_band")
-    open_ = scratch.keep(large.join(mixed_ones, "_band", "left_semi").select("_band", "_rep", "_count", "_leader", "comp", "_far"), "open")
-    lead = open_.where("_rep = _leader").select("_band", F.col("comp").alias("_lead"))
-    minority = open_.join(lead, "_band").where("comp <> _lead").select(
-        "_band", F.col("_rep").alias("x"), F.col("comp").alias("_cx"), F.col("_far").alias("_fx"), F.col("_count").alias("_nx"), F.col("_lead")
+    # Buckets of three and more whose members are still in different components.
+    distances = starred.select(F.col("x").alias("_rep"), F.col("y").alias("_leader"), "like")
+    large = scratch.keep(bucketed.where("_size > 2").join(distances, ["_rep", "_leader"], "left").withColumn("_far", 1 - F.coalesce("like", F.lit(1.0))).drop("like", "_size"), "large")
+    # Who isn't with the leader meets another member of the leader's component, a different one in each bucket.
+    for turn in range(PIVOT_ROUNDS):
+        open_ = scratch.keep(_open(large, comp), "open")
+        pivots = open_.where("comp = _lead AND _rep <> _leader").groupBy("_band").agg(F.min_by("_rep", F.xxhash64("_rep", "_band", F.lit(turn))).alias("y"))
+        met = open_.where("comp <> _lead").select("_band", F.col("_rep").alias("x")).join(pivots, "_band").select("x", "y").distinct()
+        linked, comp = _grown(linked, comp, scratch.keep(_verified(met, texts), "pivots"), threshold, scratch)
+    # What is left: pairs across components that the distances to the leader don't rule out, each in the first bucket that it shares.
+    open_ = scratch.keep(_open(large, comp), "open")
+    bands_of = open_.groupBy("_rep").agg(F.array_sort(F.collect_set("_band")).alias("_own"))
+    open_ = open_.join(bands_of, "_rep")
+    minority = open_.where("comp <> _lead").select(
+        "_band", F.col("_rep").alias("x"), F.col("comp").alias("_cx"), F.col("_far").alias("_fx"), F.col("_own").alias("_ox"), "_lead"
     )
     others = open_.where("_rep <> _leader").select(
-        "_band", F.col("_rep").alias("y"), F.col("comp").alias("_cy"), F.col("_far").alias("_fy"), F.col("_count").alias("_ny")
-    )
-    reach = 1 - threshold + 1e-9
-    across = (
-        minority.join(others, "_band")
-        .where("_cx <> _cy AND (_cy = _lead OR x < y)")
-        .where(F.abs(F.col("_fx") - F.col("_fy")) <= reach)
-        .select("x", "y")
-        .distinct()
+        "_band", F.col("_rep").alias("y"), F.col("comp").alias("_cy"), F.col("_far").alias("_fy"), F.col("_own").alias("_oy")
     )
-    crossed = scratch.keep(_verified(across, texts), "crossed").where(F.col("like") >= threshold)
-    more = crossed.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    if not more.isEmpty():
-        linked = linked.unionByName(more)
-        comp = components(linked, scratch)
+    possible = F.abs(F.col("_fx") - F.col("_fy")) <= 1 - threshold + 1e-9
+    here = F.get(F.array_intersect("_ox", "_oy"), F.lit(0)) == F.col("_band")
+    across = minority.join(others, "_band").where("_cx <> _cy AND (_cy = _lead OR x < y)").where(possible).where(here).select("x", "y")
+    linked, comp = _grown(linked, comp, scratch.keep(_verified(across, texts), "crossed"), threshold, scratch)
 
     classed = reps.join(comp.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
     if count_links:
