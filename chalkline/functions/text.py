@@ -132,7 +132,7 @@ def repair_json(x: pd.Series) -> pd.Series:
 def robust_json(x: Column) -> Column:
     """Valid JSON as it is; only what Spark can't parse goes to the repair."""
     bare = strip_fences(x)
-    return F.when(F.try_parse_json(bare).isNotNull() & bare.rlike(r"^[\[{]"), bare).otherwise(repair_json(x))
+    return F.when(F.try_parse_json(bare).isNotNull() & bare.rlike(r"(?s)^[\[{].*[\]}]$"), bare).otherwise(repair_json(x))
 
 
 def _mended_xml(text: str | None) -> str | None:
