@@ -98,7 +98,6 @@ def priced(sample: DataFrame, rules: list[Rule]) -> list[tuple[float, float]]:
     """(seconds a document, share rejected) of each rule over the sample."""
     found = []
     total = max(1, sample.count())
-    sample.select(F.count_if(F.lit(True))).collect()  # so that the first rule doesn't pay for the start
     for rule in rules:
         began = time.perf_counter()
         rejected = sample.agg(F.count_if(~F.coalesce(rule.passes, F.lit(False)))).first()[0]
@@ -124,14 +123,15 @@ def cascade(rules: list[Rule]) -> Column:
 def apply_quality(df: DataFrame, text: str, rules: list[Rule] | None = None, sample: int = SAMPLE) -> DataFrame:
     """Adds the signals, ``base_failed``, ``rejected_by`` (the rule that ended the cascade) and ``kept`` to ``df``.
 
-    The sample is the first ``sample`` rows that Spark reads; it orders rules
+    The sample, about ``sample`` rows drawn where they are read, orders rules
     and decides nothing else. Null and empty texts have no words and fail the
     base; repeated rows are judged one by one; an empty table gives no rows.
     """
     rules = web_rules(text) if rules is None else rules
     judged = with_signals(df, text).withColumn("base_failed", base_failed())
     if len(rules) > 1:
-        probe = with_signals(df.select(text).limit(sample), text).where(~base_failed()).cache()
+        share = sample / max(1, df.count())
+        probe = with_signals(df.select(text).where(F.rand(17) < share), text).where(~base_failed()).cache()
         rules = ordered(rules, priced(probe, rules))
         probe.unpersist()
     return judged.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(rules))).withColumn("kept", F.col("rejected_by").isNull())
