@@ -37,8 +37,8 @@ def pages_of(df: DataFrame, low: str, high: str, page: str = "page") -> DataFram
     return df.where(F.col(low) <= F.col(high)).withColumn(page, F.explode(F.sequence(F.col(low), F.col(high))))
 
 
-def fold_dedup(df: DataFrame, group: list[str], order: list[str], first_key: str, second_key: str, id_col: str) -> DataFrame:
-    """Ids that stay when rows come in order and one goes if either of its keys belongs to a row that stayed.
+def fold_dedup(df: DataFrame, group: list[str], order: list[str], first_key: str, second_key: str, id_col: str, carry: list[str] | None = None) -> DataFrame:
+    """Ids that stay, with the group columns ``carry``, when rows come in order and one goes if a key of it belongs to a row that stayed.
 
     A row that goes doesn't register its other key, so two passes of distinct
     would lose rows; it is a fold over the rows of a group, in the JVM.
@@ -53,4 +53,4 @@ def fold_dedup(df: DataFrame, group: list[str], order: list[str], first_key: str
         )
         return F.when(seen, acc).otherwise(grown)
 
-    return df.groupBy(*group).agg(rows.alias("_rows")).select(F.explode(F.aggregate("_rows", empty, step)["ids"]).alias(id_col))
+    return df.groupBy(*group).agg(rows.alias("_rows")).select(*(carry or []), F.explode(F.aggregate("_rows", empty, step)["ids"]).alias(id_col))
