@@ -40,10 +40,13 @@ def repeated_words(words: Column) -> Column:
     The windows' hashes are sorted with their places; a window repeats if a
     neighbour is equal. Its places, in order, cover at most 3 words each.
     """
-    n = F.size(words)
-    windows = F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
-    )
+    # transform over a one-element array names an intermediate result, so that it is computed once
+    # in a row, even where the optimizer puts this expression into a filter.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def windows(w: Column) -> Column:
+        three = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(three(i).alias("h"), i.alias("i"))))
 
     def places(s: Column) -> Column:
         same = lambda a, b: F.coalesce(F.get(s, a)["h"] == F.get(s, b)["h"], F.lit(False))
@@ -55,10 +58,8 @@ def repeated_words(words: Column) -> Column:
             p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
         )["n"]
 
-    # transform over a one-element array names an intermediate result, so that it is computed once.
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    found = once(F.sort_array(windows), lambda s: once(places(s), covered))
-    return F.when(n >= 3, found).otherwise(0).cast("long")
+    found = lambda w: once(windows(w), lambda s: once(places(s), covered))
+    return once(words, lambda w: F.when(F.size(w) >= 3, found(w)).otherwise(0)).cast("long")
 
 
 def with_signals(df: DataFrame, text: str) -> DataFrame:
@@ -131,7 +132,7 @@ def apply_quality(df: DataFrame, text: str, rules: list[Rule] | None = None, sam
     judged = with_signals(df, text).withColumn("base_failed", base_failed())
     if len(rules) > 1:
         share = sample / max(1, df.count())
-        probe = with_signals(df.select(text).where(F.rand(17) < share), text).where(~base_failed()).cache()
-        rules = ordered(rules, priced(probe, rules))
+        probe = with_signals(df.select(text).where(F.rand(17) < share), text).cache()
+        rules = ordered(rules, priced(probe.where(~base_failed()), rules))
         probe.unpersist()
     return judged.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(cascade(rules))).withColumn("kept", F.col("rejected_by").isNull())
