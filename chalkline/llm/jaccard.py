@@ -36,7 +36,7 @@ BLOCK = 256
 #: Times that members apart from their leader meet another one before pairs are formed.
 PIVOT_ROUNDS = 2
 #: Bytes of text, and shingles, that are hashed at once.
-CHUNK, STRIPE = 4 << 20, 1 << 16
+CHUNK, STRIPE = 1 << 20, 1 << 16
 
 
 def bands_and_rows(threshold: float = THRESHOLD, miss: float = MISS, most: int = MOST_HASHES) -> tuple[int, int]:

@@ -36,9 +36,9 @@ GRAM = 40
 #: Different segments under one key; with more the key is split.
 MOST_SEGMENTS = 256
 #: Bytes of text that are cut at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bytes of segments in a shard of the suffix sorter.
-SHARD = 8 << 20
+SHARD = 2 << 20
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:

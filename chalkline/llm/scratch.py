@@ -67,5 +67,5 @@ class Scratch:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, so that very long texts can't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
