@@ -33,3 +33,17 @@ def test_assigned_worksheets_of_every_student(spark, tmp_path):
     )
     pairs = [(c, o, day, "abc"[n]) for c, n in customer for o, k, day in orders if k % 25 == n]
     assert run(spark, "assigned_worksheets", sf) == sorted(pairs, key=lambda r: (r[0], -(r[2] - DAY).days, r[1]))
+
+
+def test_unread_notifications_of_a_hot_student(spark, tmp_path):
+    """Over 50 unread ones, some of the same time."""
+    orders = [(k, k % 10 // 9, "OF"[k % 5 == 0], DAY + dt.timedelta(days=k * 7 % 40)) for k in range(120)]
+    sf = kept(
+        spark,
+        tmp_path,
+        customer=([(0,), (1,)], "c_custkey long"),
+        orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+    )
+    unread = sorted(((c, k, day) for k, c, status, day in orders if status == "O"), key=lambda r: (r[0], -(r[2] - DAY).days, -r[1]))
+    assert sum(c == 0 for c, _, _ in unread) > 50
+    assert run(spark, "unread_notifications", sf) == unread
