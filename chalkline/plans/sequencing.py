@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.operators.folds import first_by
@@ -21,12 +21,16 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent")).where("child <> parent")
 
 
-def student_mastery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known mastery by (student, topic); some is missing."""
-    students = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("student"))
-    value = F.expr("(student * 7 + topic * 13) % 11")
-    grid = students.withColumn("topic", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
-    return grid.withColumn("mastery", F.when(value >= 2, value / 10.0))
+def dealt_mastery(student: Column, topic: Column) -> Column:
+    """Known mastery of a student on a part, dealt by keys as in the SQL; some is missing."""
+    value = (student * 7 + topic * 13) % 11
+    return F.when(value >= 2, value / 10.0)
+
+
+def all_students(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every student, dealt over all tasks: each is paired with the whole graph, which is the small side."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student")).repartition(tasks, "student")
 
 
 @register(
@@ -64,10 +68,15 @@ def resolve_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {EDGES_SQL}, {MASTERY_SQL} SELECT student, child AS topic, parent AS gap FROM edges JOIN m ON m.topic = parent WHERE child < 200 AND coalesce(mastery, 0) < 0.7",
 )
 def learning_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct prerequisites that a student hasn't reached 0.7 on."""
-    weak = student_mastery(spark, sf_dir).where("coalesce(mastery, 0D) < 0.7D")
-    near = edges(spark, sf_dir).where("child < 200")
-    return near.join(weak.select("student", F.col("topic").alias("parent")), "parent").select("student", F.col("child").alias("topic"), F.col("parent").alias("gap"))
+    """Direct prerequisites that a student hasn't reached 0.7 on, for all students over the whole graph.
+
+    The SQL beside it has students 0, 50, ... and parts under 200 only.
+    """
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("parent"))
+    near = edges(spark, sf_dir).join(parts, "parent")
+    pairs = all_students(spark, sf_dir).crossJoin(F.broadcast(near))
+    weak = F.coalesce(dealt_mastery(F.col("student"), F.col("parent")), F.lit(0.0)) < 0.7
+    return pairs.where(weak).select("student", F.col("child").alias("topic"), F.col("parent").alias("gap"))
 
 
 @register(
@@ -77,12 +86,19 @@ def learning_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT student, min(topic) AS next_topic FROM ok WHERE ready AND own < 0.8 GROUP BY student""",
 )
 def recommend_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First topic under 0.8 whose prerequisites are all at 0.7 or more."""
-    mastery = student_mastery(spark, sf_dir).withColumn("mastery", F.coalesce("mastery", F.lit(0.0)))
-    parents = mastery.select("student", F.col("topic").alias("parent"), F.col("mastery").alias("p"))
-    joined = mastery.join(edges(spark, sf_dir).withColumnRenamed("child", "topic"), "topic", "left").join(parents, ["student", "parent"], "left")
-    ready = joined.groupBy("student", "topic").agg(F.bool_and(F.col("parent").isNull() | (F.col("p") >= 0.7)).alias("ready"), F.first("mastery").alias("own"))
-    return ready.where("ready AND own < 0.8D").groupBy("student").agg(F.min("topic").alias("next_topic"))
+    """First topic under 0.8 whose prerequisites are all at 0.7 or more, for all students over the whole graph.
+
+    A prerequisite that is no part has no mastery. The SQL beside it has
+    students 0, 50, ... and parts under 200 only.
+    """
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic"))
+    known = edges(spark, sf_dir).join(parts.select(F.col("topic").alias("parent"), F.lit(True).alias("known")), "parent", "left")
+    needs = known.groupBy(F.col("child").alias("topic")).agg(F.collect_list(F.struct("parent", "known")).alias("needs"))
+    reached = lambda t: F.coalesce(dealt_mastery(F.col("student"), t), F.lit(0.0))
+    pairs = all_students(spark, sf_dir).crossJoin(F.broadcast(parts.join(needs, "topic", "left")))
+    ready = F.col("needs").isNull() | F.forall("needs", lambda n: n["known"].isNotNull() & (reached(n["parent"]) >= 0.7))
+    open_ = pairs.where(reached(F.col("topic")) < 0.8).where(ready)
+    return open_.groupBy("student").agg(F.min("topic").alias("next_topic"))
 
 
 @register(

@@ -47,3 +47,28 @@ def test_unread_notifications_of_a_hot_student(spark, tmp_path):
     unread = sorted(((c, k, day) for k, c, status, day in orders if status == "O"), key=lambda r: (r[0], -(r[2] - DAY).days, -r[1]))
     assert sum(c == 0 for c, _, _ in unread) > 50
     assert run(spark, "unread_notifications", sf) == unread
+
+
+def graph(spark, folder):
+    """Students apart from 0, 50, ..., parts from 200 on, and two parents that are no part."""
+    students, parts = list(range(0, 110, 7)), [p for p in range(260) if p not in (5, 60)]
+    customer, part = ([(k,) for k in students], "c_custkey long"), ([(k,) for k in parts], "p_partkey long")
+    return students, parts, kept(spark, folder, customer=customer, part=part)
+
+
+def known(student, topic):
+    value = (student * 7 + topic * 13) % 11
+    return value / 10 if value >= 2 else 0.0
+
+
+def test_learning_gaps_over_all_students_and_parts(spark, tmp_path):
+    students, parts, sf = graph(spark, tmp_path)
+    gaps = [(s, p, p // 2) for s in students for p in parts if p >= 1 and p // 2 in parts and known(s, p // 2) < 0.7]
+    assert sorted(run(spark, "learning_gaps", sf)) == sorted(gaps)
+
+
+def test_recommend_next_over_all_students_and_parts(spark, tmp_path):
+    students, parts, sf = graph(spark, tmp_path)
+    met = lambda s, p: p == 0 or (p // 2 in parts and known(s, p // 2) >= 0.7)
+    following = [(s, min(p for p in parts if known(s, p) < 0.8 and met(s, p))) for s in students]
+    assert sorted(run(spark, "recommend_next", sf)) == following
