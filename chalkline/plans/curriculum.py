@@ -189,20 +189,24 @@ def page_to_topic_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last topic that holds a page, else the one with the nearest start, the first on ties.
 
     The fallback needs no pairs of pages and topics: the nearest start is the
-    last one at or before the page or the first one after it.
+    last one at or before the page or the first one after it. A book's pages go
+    to its topics' last one, at least to 64 as in the SQL; the SQL has every
+    fortieth topic only, and no page over 64.
     """
-    few = topics(spark, sf_dir).where("topic_id % 40 = 3")
-    pages = few.select("book").distinct().withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(64))))
-    exact = pages_of(few, "page_start", "page_end").groupBy("book", F.col("page").cast("int").alias("page")).agg(F.max("topic_id").alias("held"))
-    starts = few.groupBy("book", F.col("page_start").alias("page")).agg(F.min("topic_id").alias("topic_id"))
+    every = topics(spark, sf_dir)
+    first, last = F.least(F.lit(0), F.min("page_start")), F.greatest(F.lit(64), F.max("page_start"), F.max("page_end"))
+    extent = every.groupBy("book").agg(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    pages = extent.select("book", F.explode(F.sequence("first", "last")).alias("page"))
+    exact = pages_of(every, "page_start", "page_end").groupBy("book", F.col("page").cast("int").alias("page")).agg(F.max("topic_id").alias("held"))
+    starts = every.groupBy("book", F.col("page_start").alias("page")).agg(F.min("topic_id").alias("topic_id"))
     at = starts.withColumn("start", F.struct(F.col("page").alias("p"), "topic_id"))
-    line = pages.join(at.select("book", "page", "start"), ["book", "page"], "full")
+    line = pages.join(at.select("book", "page", "start"), ["book", "page"], "left")
     w = W.partitionBy("book").orderBy("page")
     before = F.last("start", True).over(w.rowsBetween(W.unboundedPreceding, 0))
     after = F.first("start", True).over(w.rowsBetween(1, W.unboundedFollowing))
     keyed = lambda s: F.when(s.isNotNull(), F.struct(F.abs(s["p"] - F.col("page")).alias("d"), s["topic_id"].alias("t")))
     nearest = line.withColumn("b", before).withColumn("a", after).withColumn("near", F.least(keyed(F.col("b")), keyed(F.col("a"))))
-    found = nearest.where("page <= 64").join(exact, ["book", "page"], "left")
+    found = nearest.join(exact, ["book", "page"], "left")
     return found.select("book", "page", F.coalesce("held", F.col("near")["t"]).alias("topic_id"), F.col("held").isNotNull().alias("inside"))
 
 

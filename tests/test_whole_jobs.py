@@ -72,3 +72,19 @@ def test_recommend_next_over_all_students_and_parts(spark, tmp_path):
     met = lambda s, p: p == 0 or (p // 2 in parts and known(s, p // 2) >= 0.7)
     following = [(s, min(p for p in parts if known(s, p) < 0.8 and met(s, p))) for s in students]
     assert sorted(run(spark, "recommend_next", sf)) == following
+
+
+def test_page_to_topic_of_all_topics_and_pages(spark, tmp_path):
+    """Topics of any id, gaps between their ranges with ties, and a book of over 64 pages."""
+    starts = {"a": [3, 3, 20, 31, 90, 140], "b": [10, 18], "c": [64]}
+    part = [(2 * i + 40 * (b == "b"), b, "x", "n", s) for b, own in starts.items() for i, s in enumerate(own)]
+    part = [(k + 100 * (b == "c"), b, c, n, s) for k, b, c, n, s in part]
+    sf = kept(spark, tmp_path, part=(part, "p_partkey long, p_type string, p_brand string, p_name string, p_size int"))
+    expected = []
+    for book in starts:
+        own = [(k, s, s + k % 8) for k, b, _, _, s in part if b == book]
+        for page in range(max([64, *(end for _, _, end in own)]) + 1):
+            held = [k for k, s, e in own if s <= page <= e]
+            near = min(own, key=lambda t: (abs(t[1] - page), t[0]))[0]
+            expected.append((book, page, held[-1] if held else near, bool(held)))
+    assert sorted(run(spark, "page_to_topic_range_join", sf)) == expected
