@@ -88,3 +88,9 @@ def test_page_to_topic_of_all_topics_and_pages(spark, tmp_path):
             near = min(own, key=lambda t: (abs(t[1] - page), t[0]))[0]
             expected.append((book, page, held[-1] if held else near, bool(held)))
     assert sorted(run(spark, "page_to_topic_range_join", sf)) == expected
+
+
+def test_substitute_exercises_in_every_order(spark, tmp_path):
+    orders, part = [(k, k % 4) for k in range(25)], [(p, f"part {p}") for p in range(4)]
+    sf = kept(spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long"), part=(part, "p_partkey long, p_name string"))
+    assert sorted(run(spark, "substitute_exercises", sf)) == [(k, f"Do part {c} then part {c}.", 1) for k, c in orders]
