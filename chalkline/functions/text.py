@@ -64,7 +64,9 @@ def strip_fences(x: Column) -> Column:
 
 
 def truncated(x: Column, limit: int = 280) -> Column:
-    return F.when(F.char_length(x) > limit, F.concat(F.rtrim(F.substring(x, 1, limit - 1)), F.lit("…"))).otherwise(x)
+    """Cut before an ellipsis; every kind of space goes at the cut, as DuckDB's rtrim sees it, but no tab or line break."""
+    cut = F.regexp_replace(F.substring(x, 1, limit - 1), r"\p{Zs}+\z", "")
+    return F.when(F.char_length(x) > limit, F.concat(cut, F.lit("…"))).otherwise(x)
 
 
 def safe_dirname(x: Column) -> Column:

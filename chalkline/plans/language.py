@@ -405,7 +405,7 @@ def substitute_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, CASE WHEN length(text) > 280 THEN rtrim(left(text, 279)) || '…' ELSE text END AS card, NOT regexp_matches(text, '[^\\x00-\\x7F]') AND lang <> 'en' AS transliterated FROM documents WHERE text NOT LIKE '%\t%'",
 )
 def text_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts cut at 280 with an ellipsis, and whether a foreign one is written in ASCII alone."""
-    rows = table(spark, sf_dir, "documents").where("text NOT LIKE '%\t%'")
+    """Texts cut at 280 with an ellipsis, and whether a foreign one is written in ASCII alone; a missing text counts as empty."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     plain = ~F.col("text").rlike(r"[^\x00-\x7F]") & (F.col("lang") != "en")
     return rows.select("doc_id", truncated(F.col("text")).alias("card"), plain.alias("transliterated"))

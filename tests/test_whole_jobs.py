@@ -94,3 +94,13 @@ def test_substitute_exercises_in_every_order(spark, tmp_path):
     orders, part = [(k, k % 4) for k in range(25)], [(p, f"part {p}") for p in range(4)]
     sf = kept(spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long"), part=(part, "p_partkey long, p_name string"))
     assert sorted(run(spark, "substitute_exercises", sf)) == [(k, f"Do part {c} then part {c}.", 1) for k, c in orders]
+
+
+def test_text_cards_of_any_text(spark, tmp_path):
+    """Texts with tabs, no text at all, and spaces of several kinds at the cut."""
+    head, rest = "x" * 277, "y" * 30
+    texts = ["a\tb", None, "", "\t" * 300, head + "\u00a0 " + rest, head + "z\t" + rest, head + "z\n" + rest]
+    cards = ["a\tb", "", "", "\t" * 279 + "…", head + "…", head + "z\t…", head + "z\n…"]
+    sf = kept(spark, tmp_path, documents=([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    plain = [i != 4 for i in range(len(texts))]
+    assert sorted(run(spark, "text_cards", sf)) == list(zip(range(len(texts)), cards, plain, strict=True))
