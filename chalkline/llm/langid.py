@@ -7,7 +7,6 @@ forward algorithm; a text's is the product over its words.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -113,17 +112,17 @@ class Forward:
                 continue
             for row, probs in zip(*hit, strict=True):
                 found.setdefault(int(row) + step, []).append((int(row), probs))
-        alpha, scale = {0: np.ones(self.langs)}, 0.0
+        alpha, scale = {0: np.ones(self.langs)}, np.zeros(self.langs)
         for j in range(1, n + 1):
             total = alpha[j - 1] * UNKNOWN
             for start, probs in found.get(j, ()):
                 total = total + alpha[start] * probs
             alpha[j] = total
             alpha.pop(j - self.longest - 1, None)
-            if (peak := total.max()) < 1e-100:  # all that is still needed moves together
-                alpha = {k: v / peak for k, v in alpha.items()}
-                scale += math.log(peak)
-        return np.log(np.maximum(alpha[n], 1e-300)) + scale
+            if total.min() < 1e-100:  # each language by its own, so that none is lost
+                alpha = {k: v / total for k, v in alpha.items()}
+                scale += np.log(total)
+        return np.log(alpha[n]) + scale
 
 
 def _marked(word: str) -> list[str]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chalkline.functions.text import robust_json
+from chalkline.llm import langid
 from chalkline.plans import registry
 
 DAY = dt.datetime(2024, 1, 1)
@@ -124,3 +126,15 @@ def test_json_repair_keeps_what_precedes_an_early_fault(spark):
     ]
     df = spark.createDataFrame([(raw,) for raw, _ in known], "s string")
     assert [json.loads(r[0]) for r in df.select(robust_json(F.col("s"))).collect()] == [value for _, value in known]
+
+
+def test_langid_scores_a_long_run_to_its_end():
+    """A language far behind at first, which the rest of the run makes the better one."""
+    probs = np.array([[1e-1, 1e-7], [1e-7, 1e-1], [1e-1, 1e-1]])
+    forward = langid.Forward(["a", "b", "▁"], probs)
+    for first, second in ((80, 90), (90, 80), (400, 401), (3000, 3001)):
+        word = "▁" + "a" * first + "b" * second
+        likely = np.log(probs + langid.UNKNOWN)
+        expected = likely[2] + first * likely[0] + second * likely[1]
+        assert np.allclose(forward.words([word])[0], expected, rtol=1e-9, atol=0)
+        assert forward.words([word])[0].argmax() == int(second > first)
