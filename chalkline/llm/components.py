@@ -19,12 +19,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     state = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
-        near = both.join(state, both["b"] == state["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = both.join(state.drop("moved"), both["b"] == state["node"]).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = state.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
         jump = state.select(F.col("node").alias("low"), F.col("comp").alias("far"))
         moved = lower.join(jump, "low").select("node", F.least("low", "far").alias("new"), (F.least("low", "far") != F.col("comp")).alias("moved"))
-        before, moved = state, scratch.keep(moved, "labels")
-        state = moved.select("node", F.col("new").alias("comp"))
-        scratch.drop(before)
+        moved = scratch.keep(moved.select("node", F.col("new").alias("comp"), "moved"), "labels")
+        scratch.drop(state)
+        state = moved
         if moved.where("moved").isEmpty():
-            return state
+            scratch.drop(both)
+            return scratch.stand_in(state, state.select("node", "comp"))

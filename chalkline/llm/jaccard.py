@@ -5,10 +5,12 @@ of the representatives are shuffled; a bucket's members are compared with its
 leader, on full sets, which settles ordinary buckets and ties large groups
 together in one pass. Only buckets that still hold more than one component are
 looked into again: first against further members of the leader's component,
-then by pairs of different components that the distances to the leader leave
-possible (Jaccard distance is a metric). So no candidate pair between
-components is left open, and no bucket emits all its pairs. Links are counted
-inside components by blocks.
+then by blocks, where a task holds the sets of two blocks, compares what is
+still apart and returns a spanning forest of the links that it finds. So no
+candidate pair between components is left open, and no pair is emitted: rows
+grow with the members of open buckets. Links are counted inside components by
+blocks in the same way. Texts whose numbers of shingles rule the threshold out
+are never fetched.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.components import components
-from chalkline.llm.scratch import Scratch, bounded_batches
+from chalkline.llm.scratch import Scratch, bounded_batches, set_apart
 from chalkline.llm.shingles import Words, arrow_bytes, mixed, shingle_set
 
 THRESHOLD = 0.8
@@ -31,10 +33,10 @@ THRESHOLD = 0.8
 MISS = 1e-6
 #: Hashes that a signature may have.
 MOST_HASHES = 300
-#: Texts of one component that meet in a task, twice over.
-BLOCK = 256
-#: Times that members apart from their leader meet another one before pairs are formed.
-PIVOT_ROUNDS = 2
+#: Texts of one component, or of one open bucket, that meet in a task, twice over; and shingles in a block.
+BLOCK, OPEN_BLOCK, ROOM = 256, 512, 1 << 20
+#: Times that members apart from their leader meet another member of its component before blocks are formed.
+PIVOT_ROUNDS = 3
 #: Bytes of text, and shingles, that are hashed at once.
 CHUNK, STRIPE = 1 << 20, 1 << 16
 
@@ -80,8 +82,18 @@ def band_hashes(hashes: np.ndarray, firsts: np.ndarray, bands: int, rows: int) -
     return out
 
 
+def distinct_counts(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Different hashes of each text."""
+    who = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    order = np.lexsort((hashes, who))
+    own, h = who[order], hashes[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(own[fresh], minlength=len(firsts) - 1).astype(np.int64)
+
+
 def _signed(df: DataFrame, text: str, keep: list[str], bands: int, rows: int) -> DataFrame:
-    """Columns ``keep`` with ``_text``, the keys of its words ``_hi``, ``_lo``, its number of shingles and its band hashes."""
+    """Columns ``keep`` with ``_text``, the keys of its words ``_hi``, ``_lo``, its number of different shingles and its band hashes."""
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +107,7 @@ def _signed(df: DataFrame, text: str, keep: list[str], bands: int, rows: int) ->
                 hi, lo = words.sequence_keys()
                 signs = band_hashes(hashes, firsts, bands, rows).view(np.int64)
                 signs = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * bands), pa.array(signs.ravel()))
-                counts = np.diff(firsts).astype(np.int64)
+                counts = distinct_counts(hashes, firsts)
                 own = [batch.column(i).slice(at, end - at) for i in range(len(keep) + 1)]
                 yield pa.RecordBatch.from_arrays(
                     [*own, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(counts), signs],
@@ -129,22 +141,31 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x long, y long, like double")
 
 
+def _blocks(count: Column, shingles: Column, most: int) -> Column:
+    """Blocks of at most ``most`` texts, and about ROOM shingles, on average."""
+    return F.ceil(F.greatest(count / most, shingles / ROOM)).cast("int")
+
+
+def _dealt(members: DataFrame, by: str, most: int) -> DataFrame:
+    """members (with ``by``, _rep, _n) dealt into blocks: a row for each pair of blocks (_i, _j) that its own one (_block) is in."""
+    sizes = members.groupBy(by).agg(F.count(F.lit(1)).alias("_m"), F.sum("_n").alias("_room"))
+    sized = members.join(sizes.withColumn("_of", _blocks(F.col("_m"), F.col("_room"), most)).select(by, "_of"), by)
+    return (
+        sized.withColumn("_block", F.pmod(F.xxhash64("_rep"), "_of").cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+        .withColumn("_i", F.least("_block", "_other"))
+        .withColumn("_j", F.greatest("_block", "_other"))
+        .drop("_of", "_other")
+    )
+
+
 def _links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """(_rep, links) over (_rep, comp, copies): for each text the rows whose texts are linked with it, its own copies apart.
+    """(_rep, links) over (_rep, comp, copies, _n): for each text the rows whose texts are linked with it, its own copies apart.
 
     A component of m texts is dealt into blocks; each two blocks meet in a task
     that returns counts, so rows grow as m^2 / BLOCK and no pair is emitted.
     """
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("_m"))
-    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("_rep"), blocks).cast("int")
-    dealt = (
-        members.join(sizes, "comp")
-        .withColumn("_block", block)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("_rep", "comp", "copies", "_block", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"))
-        .join(texts.select("_rep", "_text"), "_rep")
-    )
+    dealt = _dealt(members, "comp", BLOCK).join(texts.select("_rep", "_text"), "_rep")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [shingle_set(t) for t in rows["_text"]]
@@ -179,12 +200,60 @@ def _open(large: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(kinds.where("_c <> _d").select("_band", "_lead"), "_band")
 
 
-def _grown(linked: DataFrame, comp: DataFrame, seen: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Edges and components with the pairs of ``seen`` that are linked."""
-    more = seen.where(F.col("like") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
+def _forest(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that tie together what is linked inside the open buckets (_band, _rep, comp, _n), all pairs looked at.
+
+    Of buckets with the same members the one with the least hash stands for
+    all. A pair belongs to the least hash that its texts share, so that it is
+    looked at once, whatever the number of buckets in which it meets.
+    """
+    marks = open_.groupBy("_band").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.xxhash64("_rep").cast("decimal(38,0)")).alias("_sum"))
+    first = marks.groupBy("_m", "_sum").agg(F.min("_band").alias("_band")).select("_band")
+    members = open_.join(first, "_band").select("_band", "_rep", "comp", "_n")
+    dealt = _dealt(members, "_band", OPEN_BLOCK).join(texts.select("_rep", "_text", "_bands"), "_rep")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rep, comp, n = (rows[c].to_numpy() for c in ("_rep", "comp", "_n"))
+        block, here, alone = rows["_block"].to_numpy(), rows["_band"].iloc[0], rows["_i"].iloc[0] == rows["_j"].iloc[0]
+        apart = comp[:, None] != comp[None, :]
+        apart &= np.triu(np.ones_like(apart), 1) if alone else (block[:, None] < block[None, :])
+        apart &= np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :])
+        least, shared = np.full(apart.shape, np.iinfo(np.int64).max), np.zeros(apart.shape, np.int16)
+        for own in np.stack(rows["_bands"].to_list()).T:
+            same = own[:, None] == own[None, :]
+            shared += same
+            np.minimum(least, np.where(same, own[:, None], np.iinfo(np.int64).max), out=least)
+        x, y = np.nonzero(apart & (least == here))
+        order = np.argsort(-shared[x, y], kind="stable")  # the most alike first: what they tie together needs no further look
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+        found = []
+        of = lambda i: sets[i] if i in sets else sets.setdefault(i, shingle_set(rows["_text"].iloc[i]))
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            a, b = top(int(comp[i])), top(int(comp[j]))
+            if a != b:
+                s, t = of(i), of(j)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                if common >= threshold * (len(s) + len(t) - common):
+                    root[max(a, b)] = min(a, b)
+                    found.append((rep[i], rep[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("_band", "_i", "_j").applyInPandas(run, "a long, b long")
+
+
+def _grown(linked: DataFrame, comp: DataFrame, more: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Edges and components with the links ``more``."""
     if more.isEmpty():
         return linked, comp
     linked = linked.unionByName(more)
+    scratch.drop(comp)
     return linked, components(linked, scratch)
 
 
@@ -199,7 +268,8 @@ def near_classes(
     the connected components of links; class_id is the smallest id in it (null
     if it has only null ids), is_first holds for one row of that id, and
     n_links counts the other rows that a row is linked with. A column of
-    ``keep`` must not have these names. An empty table gives no rows.
+    ``keep`` with an added name comes out with ``_in`` at its end. An empty
+    table gives no rows.
     """
     keep = [id_col] if keep is None else keep
     scratch = Scratch(df.sparkSession, "jaccard")
@@ -211,51 +281,47 @@ def near_classes(
     distinct = signed.groupBy("_hi", "_lo").agg(F.min("_row").alias("_rep"), F.count(F.lit(1)).alias("copies"))
     member = scratch.keep(signed.select("_row", "_id", "_hi", "_lo").join(distinct, ["_hi", "_lo"]).select("_row", "_id", "_rep", "copies"), "members")
     reps = member.where("_row = _rep").select("_rep", "copies")
-    texts = signed.select(F.col("_row").alias("_rep"), "_text", F.col("_n").alias("_count"), "_bands")
+    texts = signed.select(F.col("_row").alias("_rep"), "_text", "_n", "_bands")
 
     banded = (
-        texts.select("_rep", "_count", "_bands").join(reps.select("_rep"), "_rep").where("_count > 0")
-        .select("_rep", "_count", F.explode("_bands").alias("_band"))
+        texts.select("_rep", "_n", "_bands").join(reps.select("_rep"), "_rep").where("_n > 0")
+        .select("_rep", "_n", F.explode("_bands").alias("_band"))
     )
-    buckets = banded.groupBy("_band").agg(F.min("_rep").alias("_leader"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    bucketed = scratch.keep(banded.join(buckets, "_band").select("_band", "_rep", "_count", "_leader", "_size"), "buckets")
-
-    to_leader = bucketed.where("_rep <> _leader").select(F.col("_rep").alias("x"), F.col("_leader").alias("y")).distinct()
-    starred = scratch.keep(_verified(to_leader, texts), "stars")
-    linked = starred.where(F.col("like") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    buckets = banded.groupBy("_band").agg(F.min(F.struct("_rep", "_n")).alias("_first"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    buckets = buckets.select("_band", "_size", F.col("_first._rep").alias("_leader"), F.col("_first._n").alias("_most"))
+    bucketed = scratch.keep(banded.join(buckets, "_band"), "buckets")
+    # Sets of unlike sizes can't be linked.
+    alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
+    to_leader = bucketed.where("_rep <> _leader").where(alike(F.col("_n"), F.col("_most"))).select(F.col("_rep").alias("x"), F.col("_leader").alias("y"))
+    edges = lambda seen: seen.where(F.col("like") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    linked = scratch.keep(edges(_verified(to_leader.distinct(), texts)), "stars")
     comp = components(linked, scratch)
 
     # Buckets of three and more whose members are still in different components.
-    distances = starred.select(F.col("x").alias("_rep"), F.col("y").alias("_leader"), "like")
-    large = scratch.keep(bucketed.where("_size > 2").join(distances, ["_rep", "_leader"], "left").withColumn("_far", 1 - F.coalesce("like", F.lit(1.0))).drop("like", "_size"), "large")
+    large = scratch.keep(_open(bucketed.where("_size > 2").select("_band", "_rep", "_n", "_leader"), comp).drop("comp", "_lead"), "large")
+    scratch.drop(bucketed)
     # Who isn't with the leader meets another member of the leader's component, a different one in each bucket.
     for turn in range(PIVOT_ROUNDS):
         open_ = scratch.keep(_open(large, comp), "open")
-        pivots = open_.where("comp = _lead AND _rep <> _leader").groupBy("_band").agg(F.min_by("_rep", F.xxhash64("_rep", "_band", F.lit(turn))).alias("y"))
-        met = open_.where("comp <> _lead").select("_band", F.col("_rep").alias("x")).join(pivots, "_band").select("x", "y").distinct()
-        linked, comp = _grown(linked, comp, scratch.keep(_verified(met, texts), "pivots"), threshold, scratch)
-    # What is left: pairs across components that the distances to the leader don't rule out, each in the first bucket that it shares.
-    open_ = scratch.keep(_open(large, comp), "open")
-    bands_of = open_.groupBy("_rep").agg(F.array_sort(F.collect_set("_band")).alias("_own"))
-    open_ = open_.join(bands_of, "_rep")
-    minority = open_.where("comp <> _lead").select(
-        "_band", F.col("_rep").alias("x"), F.col("comp").alias("_cx"), F.col("_far").alias("_fx"), F.col("_own").alias("_ox"), "_lead"
-    )
-    others = open_.where("_rep <> _leader").select(
-        "_band", F.col("_rep").alias("y"), F.col("comp").alias("_cy"), F.col("_far").alias("_fy"), F.col("_own").alias("_oy")
-    )
-    possible = F.abs(F.col("_fx") - F.col("_fy")) <= 1 - threshold + 1e-9
-    here = F.get(F.array_intersect("_ox", "_oy"), F.lit(0)) == F.col("_band")
-    across = minority.join(others, "_band").where("_cx <> _cy AND (_cy = _lead OR x < y)").where(possible).where(here).select("x", "y")
-    linked, comp = _grown(linked, comp, scratch.keep(_verified(across, texts), "crossed"), threshold, scratch)
+        pivots = open_.where("comp = _lead AND _rep <> _leader").groupBy("_band")
+        pivots = pivots.agg(F.min_by(F.struct("_rep", "_n"), F.xxhash64("_rep", "_band", F.lit(turn))).alias("y"))
+        met = open_.where("comp <> _lead").select("_band", F.col("_rep").alias("x"), "_n").join(pivots, "_band")
+        met = met.where(alike(F.col("_n"), F.col("y._n"))).select("x", F.col("y._rep").alias("y")).distinct()
+        more = scratch.keep(edges(_verified(met, texts)), "pivots")
+        linked, comp = _grown(linked, comp, more, scratch)
+        scratch.drop(open_)
+    open_ = scratch.keep(_open(large, comp).select("_band", "_rep", "_n", "comp"), "open")
+    linked, comp = _grown(linked, comp, scratch.keep(_forest(open_, texts, threshold), "forest"), scratch)
+    scratch.free(signed, member, comp)
 
     classed = reps.join(comp.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
     if count_links:
-        grouped = scratch.keep(classed.join(comp.select(F.col("node").alias("_rep")), "_rep", "left_semi"), "grouped")
-        classed = classed.join(_links(grouped, texts, threshold), "_rep", "left")
+        grouped = classed.join(comp.select(F.col("node").alias("_rep")), "_rep", "left_semi").join(texts.select("_rep", "_n"), "_rep")
+        classed = classed.join(_links(scratch.keep(grouped, "grouped"), texts, threshold), "_rep", "left")
         classed = classed.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     classed = scratch.keep(classed.drop("copies", "links"), "classed")
     placed = scratch.keep(member.drop("copies").join(classed, "_rep"), "placed")
+    scratch.free(signed, placed)
     firsts = placed.groupBy("comp").agg(F.min("_id").alias("class_id"))
     named = placed.join(firsts, "comp")
     same = F.col("_id").eqNullSafe(F.col("class_id"))
@@ -264,4 +330,7 @@ def near_classes(
         named.join(first_row, "comp")
         .select("_row", "class_id", (F.col("_row") == F.col("_first")).alias("is_first"), *(["n_links"] if count_links else []))
     )
-    return signed.select("_row", *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]).join(out, "_row").drop("_row")
+    out = scratch.keep(out, "classes")
+    scratch.free(signed, out)
+    apart = set_apart(keep, ["class_id", "is_first", "n_links"])
+    return signed.select("_row", *[F.col(n).alias(c) for n, c in zip(names, apart, strict=True)]).join(out.hint("merge"), "_row").drop("_row")

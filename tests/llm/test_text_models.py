@@ -12,11 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chalkline.llm import langid
+from chalkline.llm import jaccard, langid
 from chalkline.llm.bpe import Codec, decode_ids, encode_texts
 from chalkline.llm.entries import TOKENIZERS
 from chalkline.llm.jaccard import bands_and_rows, near_classes
 from chalkline.llm.repeats import remove_repeats
+from chalkline.llm.scratch import Scratch
 from chalkline.llm.shingles import Words, arrow_bytes, shingle_set
 from chalkline.llm import repeats, suffixsort
 
@@ -123,7 +124,11 @@ def plain_classes(rows):
     return sorted((rows[i][0], min(members[comp[i]]), len(linked[i])) for i in range(n))
 
 
-def test_near_classes(spark):
+@pytest.mark.parametrize("rounds,block", [(3, 512), (0, 16)])
+def test_near_classes(spark, monkeypatch, rounds, block):
+    """Six groups of copies that drift apart; without further leaders all that the first ones leave open is settled by blocks."""
+    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "OPEN_BLOCK", block)
     r = random.Random(7)
     vocabulary = [f"w{i}" for i in range(500)]
     rows, bases = [(0, None), (1, ""), (2, "a b"), (3, "a  b"), (4, "x")], [[r.choice(vocabulary) for _ in range(120)] for _ in range(6)]
@@ -139,6 +144,13 @@ def test_near_classes(spark):
     assert set(firsts.values()) == {1} and set(firsts) == {x["class_id"] for x in found}
 
 
+def test_columns_with_added_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, 6), (2, "a b", 7, 8)], "doc_id long, text string, class_id int, N_Links int")
+    found = near_classes(df, "text", "doc_id", ["doc_id", "class_id", "N_Links"])
+    assert found.columns == ["doc_id", "class_id_in", "N_Links_in", "class_id", "is_first", "n_links"]
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 6, 1, True, 1), (2, 7, 8, 1, False, 1)]
+
+
 def test_near_classes_edges(spark):
     df = spark.createDataFrame([(None, "one two"), (None, "one two"), (5, "one two"), (5, "one two")], "doc_id long, text string")
     found = near_classes(df, "text", "doc_id").collect()
@@ -194,9 +206,9 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = [(-1, None, "en", None, None), (-2, "", None, "src0", 0), (-3, "Héé " * 3, "fr", "src1", 12), (None, "some words here", None, "src2", 15)]
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
-    before = None
+    before, written = None, Scratch(spark, "stages")
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf).cache()
+        out = written.keep(stage(spark, docs, sf), name)
         if name != "bpe":
             assert out.columns == corpus_pipeline.COLUMNS
         rows = out.count()
