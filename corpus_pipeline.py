@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,28 @@ from chalkline.llm.entries import TOKENIZERS
 from chalkline.llm.jaccard import near_classes
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.repeats import remove_repeats
-from chalkline.llm.scratch import Scratch
+from chalkline.llm.scratch import Scratch, pipeline_stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its best language has a lower posterior.
 LEAST_SCORE = 0.5
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(body: Stage) -> Stage:
+    """A stage at whose begin the working tables of the stages before go: its input has been written."""
+
+    @wraps(body)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with pipeline_stage(docs):
+            return body(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the labels; those without a letter go."""
     vocabulary = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -30,11 +46,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the smallest id."""
     return near_classes(docs, "text", "doc_id", COLUMNS, count_links=False).where("is_first").select(COLUMNS)
 
 
+@_stage
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that repeat; a character that an edge cuts through goes as a whole."""
     found = remove_repeats(docs, "text", COLUMNS)
@@ -44,6 +62,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
+@_stage
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     numbered = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_by"), F.monotonically_increasing_id().alias("_row"))
@@ -52,6 +71,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return numbered.join(mixed.select("_row", "copies"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
 
 
+@_stage
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and the text that the ids stand for."""
     path = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -59,8 +79,6 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return bpe.decode_ids(encoded, "ids", path, [*COLUMNS, "n_tokens", "ids"])
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
 STAGES: list[tuple[str, Stage]] = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
@@ -78,5 +96,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
