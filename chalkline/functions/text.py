@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: White space as Python's strip sees it.
 EDGE = r"(?U)^\s+|\s+$"
+#: The same as a class, which Java's and RE2's patterns read alike.
+SPACES = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Digits that Python's parser takes in an integer.
 LONGEST_INT = sys.get_int_max_str_digits() or sys.maxsize
 
@@ -23,14 +25,25 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, EDGE, "")
 
 
+def composed_nfc(x: Column) -> Column:
+    """NFC; only texts that aren't ASCII reach Python."""
+    return F.coalesce(nfc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x)
+
+
 def norm_name(x: Column) -> Column:
     """Lower case without edges and invisible marks; texts that aren't ASCII go through NFC."""
     marks = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]"
     plain = F.coalesce(x, F.lit(""))
-    composed = F.when(plain.rlike(r"[^\x00-\x7F]"), nfc(plain)).otherwise(plain)
+    composed = composed_nfc(plain)
     return F.lower(F.regexp_replace(stripped(composed), marks, ""))
 
 
+def normalised(x: Column) -> Column:
+    """NFC, without zero-width marks, white space as single spaces."""
+    bare = F.regexp_replace(composed_nfc(x), r"[\x{200B}-\x{200D}\x{FEFF}]", "")
+    return stripped(F.regexp_replace(bare, rf"[{SPACES}]+", " "))
+
+
 def semantic_name(x: Column) -> Column:
     """Without a leading number and a trailing parenthesis."""
     bare = F.regexp_replace(norm_name(x), r"^\d+\.\s*", "")
@@ -67,8 +80,8 @@ def strip_fences(x: Column) -> Column:
 
 
 def truncated(x: Column, limit: int = 280) -> Column:
-    """Cut before an ellipsis; every kind of space goes at the cut, as DuckDB's rtrim sees it, but no tab or line break."""
-    cut = F.regexp_replace(F.substring(x, 1, limit - 1), r"\p{Zs}+\z", "")
+    """Cut before an ellipsis; white space of any kind goes at the cut."""
+    cut = F.regexp_replace(F.substring(x, 1, limit - 1), rf"[{SPACES}]+\z", "")
     return F.when(F.char_length(x) > limit, F.concat(cut, F.lit("…"))).otherwise(x)
 
 
@@ -173,9 +186,10 @@ def repair_json(x: pd.Series) -> pd.Series:
 
 
 def robust_json(x: Column) -> Column:
-    """Valid JSON as it is; only what Spark can't parse goes to the repair."""
+    """Valid JSON as it is; the repair gets only what Spark can't parse, and null for the rest."""
     bare = strip_fences(x)
-    return F.when(F.try_parse_json(bare).isNotNull() & bare.rlike(r"(?s)^[\[{].*[\]}]$"), bare).otherwise(repair_json(x))
+    fine = F.when(F.try_parse_json(bare).isNotNull() & bare.rlike(r"(?s)^[\[{].*[\]}]$"), bare)
+    return F.coalesce(fine, repair_json(F.when(fine.isNull(), x)))
 
 
 def _mended_xml(text: str | None) -> str | None:

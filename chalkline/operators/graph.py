@@ -8,28 +8,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.operators.lineage import cut
+from chalkline.operators.lineage import Scratch
 
 
-def layers(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, node, layer): longest way down from a node without prerequisites, inside each group.
 
     ``nodes`` is (group, node), ``edges`` (group, child, parent). A round finds
-    the nodes of one layer by anti-join; nodes on or behind a cycle never get
-    one. Rounds end with the deepest layer.
+    the nodes of one layer by anti-join, however deep the graph; nodes on or
+    behind a cycle never get one. Rounds end with the deepest layer.
     """
+    scratch = Scratch(nodes.sparkSession, "layers")
     own = lambda c: nodes.select("group", F.col("node").alias(c))
-    live = cut(edges.join(own("child"), ["group", "child"], "left_semi").join(own("parent"), ["group", "parent"], "left_semi"))
-    left, done = cut(nodes.select("group", "node")), None
-    for layer in range(most):
+    live = scratch.keep(edges.join(own("child"), ["group", "child"], "left_semi").join(own("parent"), ["group", "parent"], "left_semi"), "live")
+    left, done, layer = scratch.keep(nodes.select("group", "node"), "left"), None, 0
+    while True:
         waiting = live.select("group", F.col("child").alias("node"))
-        ready = cut(left.join(waiting, ["group", "node"], "left_anti").withColumn("layer", F.lit(layer)))
+        ready = scratch.keep(left.join(waiting, ["group", "node"], "left_anti").withColumn("layer", F.lit(layer)), "ready")
         if done is not None and ready.isEmpty():
-            break
+            scratch.drop(left, live, ready)
+            return done
         done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, ["group", "node"], "left_anti"))
-        live = cut(live.join(ready.select("group", F.col("node").alias("parent")), ["group", "parent"], "left_anti"))
-    return done
+        before = left, live
+        left = scratch.keep(left.join(ready, ["group", "node"], "left_anti"), "left")
+        live = scratch.keep(live.join(ready.select("group", F.col("node").alias("parent")), ["group", "parent"], "left_anti"), "live")
+        scratch.drop(*before)
+        layer += 1
 
 
 def week_order(requested: list[str], edges: list[tuple[str, str]], known: set[str], days: int) -> list[str]:
@@ -67,10 +71,10 @@ def week_order(requested: list[str], edges: list[tuple[str, str]], known: set[st
     return (out + [c for c in requested if c not in known])[:days]
 
 
-def sequence_week(plans: DataFrame, edges: DataFrame, days: int = 5) -> DataFrame:
-    """(plan, day, concept) for plans (plan, pos, concept) and edges (pos, child, parent).
+def sequence_week(plans: DataFrame, edges: DataFrame, topics: DataFrame, days: int = 5) -> DataFrame:
+    """(plan, day, concept) for plans (plan, pos, concept), edges (pos, child, parent) and the names of all topics (concept).
 
-    Each plan meets only the edges that touch its concepts; a plan has some
+    A topic without edges is known like any other. Each plan meets only the edges that touch its concepts; a plan has some
     tens of concepts, so it is one group.
     """
     touching = (
@@ -79,14 +83,17 @@ def sequence_week(plans: DataFrame, edges: DataFrame, days: int = 5) -> DataFram
         )
         .select("plan", "pos", "child", "parent").distinct()
     )
-    asked = plans.select("plan", "pos", F.col("concept").alias("child"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("asked"))
-    rows = asked.unionByName(touching.withColumn("asked", F.lit(False)))
+    known = topics.select("concept").distinct().withColumn("known", F.lit(True))
+    asked = plans.join(known, "concept", "left").select(
+        "plan", "pos", F.col("concept").alias("child"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("asked"), F.coalesce("known", F.lit(False)).alias("known")
+    )
+    rows = asked.unionByName(touching.withColumns({"asked": F.lit(False), "known": F.lit(False)}))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["pos", "child", "parent"], kind="stable")
         own = group[~group["asked"]]
         pairs = list(zip(own["child"], own["parent"], strict=True))
-        order = week_order(list(group[group["asked"]]["child"]), pairs, {x for p in pairs for x in p}, days)
+        order = week_order(list(group[group["asked"]]["child"]), pairs, set(group[group["known"]]["child"]), days)
         return pd.DataFrame({"plan": group["plan"].iloc[0], "day": range(len(order)), "concept": order})
 
     return rows.groupBy("plan").applyInPandas(run, "plan long, day int, concept string")
@@ -121,11 +128,12 @@ def acyclic(edges: list[tuple[str, str]], order: list[str]) -> list[tuple[str, s
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:
-    """(group, child, parent) without cycles; a group is one book's graph."""
+    """(group, child, parent) of (group, pos, child, parent) without cycles; pos is the child's place in the list of topics, a group one book's graph."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos", kind="stable")
         pairs = list(zip(group["child"], group["parent"], strict=True))
-        kept = acyclic(pairs, sorted({x for p in pairs for x in p}))
+        kept = acyclic(pairs, list(dict.fromkeys(group["child"])))
         return pd.DataFrame({"group": group["group"].iloc[0], "child": [c for c, _ in kept], "parent": [p for _, p in kept]})
 
     return edges.groupBy("group").applyInPandas(run, "group string, child string, parent string")

@@ -6,6 +6,7 @@ every window here.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,20 +38,29 @@ def pages_of(df: DataFrame, low: str, high: str, page: str = "page") -> DataFram
     return df.where(F.col(low) <= F.col(high)).withColumn(page, F.explode(F.sequence(F.col(low), F.col(high))))
 
 
-def fold_dedup(df: DataFrame, group: list[str], order: list[str], first_key: str, second_key: str, id_col: str, carry: list[str] | None = None) -> DataFrame:
+def fold_dedup(df: DataFrame, group: list[str], order: list[str], first_key: str, second_key: str, id_col: str, carry: list[str] | None = None, why: bool = False) -> DataFrame:
     """Ids that stay, with the group columns ``carry``, when rows come in order and one goes if a key of it belongs to a row that stayed.
 
     A row that goes doesn't register its other key, so two passes of distinct
-    would lose rows; it is a fold over the rows of a group, in the JVM.
+    would lose rows; it is one pass over a group's rows with two sets. With
+    ``why`` all rows come out, with ``gone_by`` (first, second or null).
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(first_key).alias("k1"), F.col(second_key).alias("k2"), F.col(id_col).alias("id"))))
-    empty = F.struct(F.array().cast("array<string>").alias("a"), F.array().cast("array<string>").alias("b"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        seen = F.array_contains(acc["a"], x["k1"]) | F.array_contains(acc["b"], x["k2"])
-        grown = F.struct(
-            F.array_append(acc["a"], x["k1"]).alias("a"), F.array_append(acc["b"], x["k2"]).alias("b"), F.array_append(acc["ids"], x["id"]).alias("ids")
-        )
-        return F.when(seen, acc).otherwise(grown)
-
-    return df.groupBy(*group).agg(rows.alias("_rows")).select(*(carry or []), F.explode(F.aggregate("_rows", empty, step)["ids"]).alias(id_col))
+    rows = df.select(*group, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(first_key).alias("_k1"), F.col(second_key).alias("_k2"), F.col(id_col).alias("_id"))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values([f"_o{i}" for i in range(len(order))], kind="stable")
+        first: set = set()
+        second: set = set()
+        gone = []
+        for a, b in zip(own["_k1"], own["_k2"], strict=True):
+            by = "first" if a in first else "second" if b in second else None
+            if by is None:
+                first.add(a)
+                second.add(b)
+            gone.append(by)
+        return own[[*group, "_id"]].assign(gone_by=pd.Series(gone, index=own.index, dtype=object))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group, "_id").schema.fields)
+    found = rows.groupBy(*group).applyInPandas(run, f"{kinds}, gone_by string")
+    found = found if why else found.where("gone_by IS NULL")
+    return found.select(*(carry or []), F.col("_id").alias(id_col), *(["gone_by"] if why else []))

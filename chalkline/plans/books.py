@@ -1,95 +1,321 @@
-"""Books as JSON documents, made of the part and lineitem tables: imported, merged, fixed and nested again."""
+"""Books as JSON documents, made of the part and lineitem tables: imported, merged, fixed, enriched, validated and nested again."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.operators.curriculum import fix, merge_chunks, nested
+from chalkline.functions.classify import GARBAGE_NAMES, GARBAGE_SUMMARIES
+from chalkline.operators.curriculum import concatenated, enrich, fix, merge_chunks, nested, validate, with_new_edges
+from chalkline.operators.structure import numbered
+from chalkline.plans.language import ACTIVITY_RANK_SQL, RAW_NAME, RAW_SUMMARY, activity_sql, raw_topics
 from chalkline.plans.registry import register
-from chalkline.sources.documents import Curriculum, parse_legacy, parse_strict
+from chalkline.sources.documents import Curriculum, imported, parse_legacy, parse_strict
 from chalkline.sources.tables import table
 
+NOTE = ". This page belongs to another chapter. Then more."
+
+#: What raw_books puts into the documents, as tables.
+BOOKS_SQL = f"""
+parts AS (SELECT *, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS number FROM part),
+chapters AS (SELECT p_type AS book, number AS doc_pos, 'C_' || number AS id, 'Chapter ' || number % 7 AS title, min(p_size) AS page_start, greatest(min(p_size), max(p_size) - 3) AS page_end FROM parts GROUP BY p_type, number),
+topics AS (SELECT p_type AS book, p_partkey AS doc_pos, 'T_' || p_partkey AS id, {RAW_NAME} AS name, {RAW_SUMMARY} || CASE WHEN p_partkey % 9 = 2 THEN '{NOTE}' ELSE '' END AS summary,
+  CASE WHEN p_partkey % 17 = 4 THEN 'C_gone' ELSE 'C_' || number END AS chapter_id, p_size AS page_start, CAST(p_size + p_partkey % 7 - 2 AS INT) AS page_end FROM parts),
+subtopics AS (SELECT book, doc_pos, 'ST_' || doc_pos AS id, name, id AS topic_id, page_start - 3 AS page_start, page_start + 20 AS page_end FROM topics WHERE doc_pos % 3 = 0),
+exercises AS (SELECT p_type AS book, l_orderkey * 8 + l_linenumber AS k, l_linenumber AS page, 'T_' || p_partkey AS topic_id, 'exercise ' || l_orderkey AS text FROM lineitem JOIN part ON p_partkey = l_partkey),
+edges AS (SELECT book, doc_pos, id AS child, 'T_' || (doc_pos // 2) AS parent FROM topics)"""
+
 
 def _listed(*fields: Column | str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*fields)))
 
 
 def raw_books(spark: SparkSession, sf_dir: str, keep: str = "true") -> DataFrame:
-    """(book, document) in the strict form: a chapter for each brand, a topic for each part."""
-    parts = table(spark, sf_dir, "part").where(keep)
+    """(book, document) in the strict form: a chapter for each brand, a topic for each part, an exercise for each line."""
+    texts = raw_topics(spark, sf_dir).withColumnRenamed("topic_id", "p_partkey")
+    parts = table(spark, sf_dir, "part").where(keep).join(texts, "p_partkey")
     n = F.col("p_partkey")
     number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-    tid = lambda x: F.concat(F.lit("T_"), x.cast("string"))
-    topics = parts.groupBy(F.col("p_type").alias("book")).agg(
+    named = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    tid = named("T_", n)
+    book = F.col("p_type").alias("book")
+    summary = F.concat("summary", F.when(n % 9 == 2, NOTE).otherwise(""))
+    needs = F.array(named("T_", F.expr("p_partkey div 2")), F.lit("later"))
+    topics = parts.groupBy(book).agg(
         _listed(
-            n.alias("pos"), tid(n).alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("summary"), F.concat(F.lit("C_"), number.cast("string")).alias("chapter_id"),
-            F.col("p_size").alias("page_start"), (F.col("p_size") + (n % 7).cast("int") - 2).alias("page_end"),
+            n.alias("pos"), tid.alias("id"), "name", summary.alias("summary"), F.when(n % 17 == 4, "C_gone").otherwise(named("C_", number)).alias("chapter_id"),
+            F.col("p_size").alias("page_start"), (F.col("p_size") + (n % 7).cast("int") - 2).alias("page_end"), needs.alias("prerequisites"),
         ).alias("topics"),
-        _listed(tid(n).alias("from"), tid(F.expr("p_partkey div 2")).alias("to"), F.lit("prerequisite").alias("type")).alias("deps"),
+        _listed(tid.alias("from"), named("T_", F.expr("p_partkey div 2")).alias("to"), F.lit("prerequisite").alias("type"), n.alias("pos")).alias("deps"),
     )
-    chapters = parts.groupBy(F.col("p_type").alias("book"), number.alias("number")).agg(F.min("p_size").alias("a"), F.max("p_size").alias("b")).groupBy("book").agg(
-        _listed("number", F.concat(F.lit("C_"), F.col("number").cast("string")).alias("id"), F.concat(F.lit("Chapter "), F.col("number").cast("string")).alias("title"), F.col("a").alias("page_start"), F.col("b").alias("page_end")).alias("chapters")
+    spans = parts.groupBy(book, number.alias("number")).agg(F.min("p_size").alias("a"), F.greatest(F.min("p_size"), F.max("p_size") - 3).alias("b"))
+    title = F.concat(F.lit("Chapter "), (F.col("number") % 7).cast("string"))
+    chapters = spans.groupBy("book").agg(
+        _listed("number", named("C_", F.col("number")).alias("id"), title.alias("title"), F.col("a").alias("page_start"), F.col("b").alias("page_end")).alias("chapters")
+    )
+    subtopics = parts.where("p_partkey % 3 = 0").groupBy(book).agg(
+        _listed(n.alias("pos"), named("ST_", n).alias("id"), "name", tid.alias("topic_id"), (F.col("p_size") - 3).alias("page_start"), (F.col("p_size") + 20).alias("page_end")).alias("subtopics")
     )
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey")
-    exercises = lines.join(parts.select("p_partkey", "p_type"), "p_partkey").groupBy(F.col("p_type").alias("book")).agg(
-        _listed(F.concat_ws("_", F.lit("E"), n.cast("string"), F.col("l_orderkey").cast("string")).alias("id"), F.concat(F.lit("exercise "), F.col("l_orderkey").cast("string")).alias("text"), tid(n).alias("topic_id")).alias("exercises")
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").join(parts.select(n.alias("l_partkey"), book), "l_partkey")
+    exercises = lines.groupBy("book").agg(
+        _listed(
+            key.alias("k"), F.col("l_partkey").alias("p"), named("E_", key).alias("id"), F.concat(F.lit("exercise "), F.col("l_orderkey").cast("string")).alias("text"),
+            named("T_", F.col("l_partkey")).alias("topic_id"), F.col("l_linenumber").alias("page"),
+        ).alias("exercises")
+    )
+    sidebars = parts.where("p_partkey % 10 = 0").groupBy(book).agg(
+        _listed(n.alias("pos"), named("S_", n).alias("id"), F.concat(F.lit("box "), n.cast("string")).alias("text"), tid.alias("topic_id"), F.when(n % 20 == 0, named("C_", number)).alias("chapter_id")).alias("sidebars")
     )
-    whole = topics.join(chapters, "book").join(exercises, "book", "left")
-    document = F.to_json(F.struct(F.struct("chapters", "topics", "exercises").alias("entities"), F.struct(F.col("deps").alias("concept_dependencies")).alias("graphs")))
-    return whole.select("book", document.alias("document"))
+    whole = topics.join(chapters, "book")
+    for part in (subtopics, exercises, sidebars):
+        whole = whole.join(part, "book", "left")
+    entities = F.struct("chapters", "topics", "subtopics", "exercises", "sidebars")
+    return whole.select("book", F.to_json(F.struct(entities.alias("entities"), F.struct(F.col("deps").alias("concept_dependencies")).alias("graphs"))).alias("document"))
 
 
-def _books(spark: SparkSession, sf_dir: str, keep: str = "true") -> Curriculum:
+def books(spark: SparkSession, sf_dir: str, keep: str = "true") -> Curriculum:
     return parse_strict(raw_books(spark, sf_dir, keep))
 
 
 @register(
     "import_strict",
-    """WITH e AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n, count(*) AS m FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey)
-       SELECT p_type AS book, 'T_' || p_partkey AS id, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) - 1 AS position, p_name AS name, coalesce(m, 0) AS exercises
-       FROM part LEFT JOIN e ON l_partkey = p_partkey""",
+    f"""WITH {BOOKS_SQL}, e AS (SELECT book, topic_id, count(*) AS m FROM exercises GROUP BY ALL)
+       SELECT t.book, id, row_number() OVER (PARTITION BY t.book, chapter_id ORDER BY doc_pos) - 1 AS position, name, coalesce(m, 0) AS exercises
+       FROM topics t LEFT JOIN e ON e.book = t.book AND topic_id = id""",
 )
 def import_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics with their place in the chapter and their number of exercises."""
-    from chalkline.operators.structure import numbered
-
-    c = _books(spark, sf_dir)
+    c = books(spark, sf_dir)
     counts = c.exercises.groupBy("book", F.col("topic_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     placed = numbered(c.topics, ["book", "chapter_id"], [F.col("doc_pos")], "position", 0)
     return placed.join(counts, ["book", "id"], "left").select("book", "id", "position", "name", F.coalesce("n", F.lit(0)).alias("exercises"))
 
 
+@register(
+    "import_prerequisites",
+    f"""WITH {BOOKS_SQL}, live AS (SELECT t.* FROM topics t SEMI JOIN chapters c ON c.book = t.book AND c.id = t.chapter_id)
+        SELECT l.book, l.id AS topic_id, p.id AS prerequisite_id FROM live l JOIN live p ON p.book = l.book AND p.id = 'T_' || (l.doc_pos // 2)""",
+)
+def import_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prerequisites of imported topics, resolved by id or name; topics of unknown chapters aren't imported."""
+    return imported(books(spark, sf_dir))[2].select("book", "topic_id", "prerequisite_id")
+
+
+@register(
+    "import_children",
+    f"""WITH {BOOKS_SQL}, live AS (SELECT t.book, t.id FROM topics t SEMI JOIN chapters c ON c.book = t.book AND c.id = t.chapter_id)
+        SELECT e.book, e.topic_id, 'exercise' AS kind, count(*) AS n FROM exercises e SEMI JOIN live l ON l.book = e.book AND l.id = e.topic_id GROUP BY ALL
+        UNION ALL SELECT book, id, 'sidebar', 1 FROM live WHERE CAST(replace(id, 'T_', '') AS INT) % 10 = 0""",
+)
+def import_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exercises and side boxes of imported topics, without blank ones, counted."""
+    return imported(books(spark, sf_dir))[1].groupBy("book", "topic_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "merge_chunks",
-    """WITH t AS (SELECT p_type AS book, p_brand AS chapter, p_partkey, lower(trim(p_name)) AS k, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS chunk FROM part)
-       SELECT book, 'T_' || p_partkey AS id FROM t QUALIFY row_number() OVER (PARTITION BY book, chapter, k ORDER BY chunk, p_partkey) = 1""",
+    f"""WITH {BOOKS_SQL}, t AS (SELECT book, chapter_id, id, doc_pos, lower(trim(name)) AS k, doc_pos % 2 AS chunk FROM topics)
+       SELECT book, id FROM t QUALIFY row_number() OVER (PARTITION BY book, chapter_id, k ORDER BY chunk, doc_pos) = 1""",
 )
 def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two chunks of each book merged in order; ids don't meet here, names do."""
-    merged = merge_chunks([_books(spark, sf_dir, "p_partkey % 2 = 0"), _books(spark, sf_dir, "p_partkey % 2 = 1")])
+    merged = merge_chunks([books(spark, sf_dir, "p_partkey % 2 = 0"), books(spark, sf_dir, "p_partkey % 2 = 1")])
     return merged.topics.select("book", "id")
 
 
-@register("fix_curriculum")
+@register(
+    "concat_chunks",
+    f"WITH {BOOKS_SQL} SELECT book, 'topics' AS entity, count(*) AS n FROM topics GROUP BY book UNION ALL SELECT book, 'exercises', count(*) FROM exercises GROUP BY book",
+)
+def concat_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two chunks one after another, nothing left out; entities counted."""
+    whole = concatenated([books(spark, sf_dir, "p_partkey % 2 = 0"), books(spark, sf_dir, "p_partkey % 2 = 1")])
+    count = lambda df, name: df.groupBy("book").agg(F.count(F.lit(1)).alias("n")).select("book", F.lit(name).alias("entity"), "n")
+    return count(whole.topics, "topics").unionByName(count(whole.exercises, "exercises"))
+
+
+@register(
+    "cross_dependency_union",
+    f"""WITH {BOOKS_SQL}, new AS (SELECT book, doc_pos, child, CASE WHEN doc_pos % 2 = 0 THEN parent ELSE 'T_' || (doc_pos % 5) END AS parent FROM edges),
+        fresh AS (SELECT n.* FROM new n ANTI JOIN edges e ON e.book = n.book AND e.child = n.child AND e.parent = n.parent WHERE n.child <> n.parent)
+        SELECT book, child, parent, 'prerequisite' AS kind FROM edges UNION ALL SELECT book, child, parent, 'builds_on' FROM fresh""",
+)
+def cross_dependency_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with further ones between topics that no edge links yet, whatever its kind."""
+    c = books(spark, sf_dir)
+    n = F.regexp_extract("child", r"(\d+)", 1).cast("long")
+    new = c.edges.withColumn("parent", F.when(n % 2 == 0, F.col("parent")).otherwise(F.concat(F.lit("T_"), (n % 5).cast("string")))).withColumn("kind", F.lit("builds_on"))
+    return with_new_edges(c.edges, new).select("book", "child", "parent", "kind")
+
+
+_LOW_NAME, _LOW_SUMMARY = "lower(trim(name))", "lower(trim(summary))"
+_BAD = f"({_LOW_NAME} = '' OR {' OR '.join(f'contains({_LOW_NAME}, {x!r})' for x in GARBAGE_NAMES)} OR {' OR '.join(f'starts_with({_LOW_SUMMARY}, {x!r})' for x in GARBAGE_SUMMARIES)})"
+#: The fixer over BOOKS_SQL, where a duplicate by meaning is always one by name too.
+FIX_SQL = f"""{BOOKS_SQL},
+clean AS (SELECT * FROM topics WHERE NOT {_BAD}),
+pages AS (SELECT book, unnest(range(page_start, page_end + 1)) AS page, id, page_start, doc_pos FROM chapters),
+map AS (SELECT book, page, id FROM pages QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY page_start DESC, doc_pos DESC) = 1),
+near AS (SELECT t.book, t.page, m.id AS near FROM (SELECT DISTINCT book, page_start AS page FROM clean) t JOIN map m ON m.book = t.book AND abs(m.page - t.page) <= 19
+  QUALIFY row_number() OVER (PARTITION BY t.book, t.page ORDER BY abs(m.page - t.page), m.page > t.page) = 1),
+homed AS (SELECT t.*, near, CASE WHEN t.chapter_id = 'C_gone' AND near IS NOT NULL THEN near ELSE t.chapter_id END AS home FROM clean t LEFT JOIN near n ON n.book = t.book AND n.page = t.page_start),
+moved AS (SELECT h.*, c.id IS NOT NULL AND (h.page_start < c.page_start OR h.page_start > c.page_end) AND near <> home AS far FROM homed h LEFT JOIN chapters c ON c.book = h.book AND c.id = home),
+placed AS (SELECT * EXCLUDE (home, page_start, page_end), CASE WHEN far THEN near ELSE home END AS home, page_start > page_end AND page_end <> 0 AS turned,
+  CASE WHEN page_start > page_end AND page_end <> 0 THEN page_end ELSE page_start END AS page_start, CASE WHEN page_start > page_end AND page_end <> 0 THEN page_start ELSE page_end END AS page_end FROM moved),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page_start, id) AS n FROM chapters),
+given AS (SELECT p.*, n, c.page_start AS lo, c.page_end AS hi, row_number() OVER (PARTITION BY p.book, n ORDER BY p.page_start, p.id) AS t FROM placed p JOIN numbered c ON c.book = p.book AND c.id = p.home),
+ranked AS (SELECT *, 'T_' || n || '_' || t AS new_id, row_number() OVER (PARTITION BY book, n, lower(trim(name)) ORDER BY t) AS nth FROM given),
+fixed AS (SELECT * FROM ranked WHERE nth = 1)"""
+
+
+@register("fix_curriculum", f"WITH {FIX_SQL} SELECT book, new_id AS id, 'C_' || n AS chapter_id, name, page_start, page_end FROM fixed")
 def fix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of all books after the fixer."""
-    fixed, _ = fix(_books(spark, sf_dir), F.col("name").contains("widget"))
-    return fixed.topics.select("book", "id", "chapter_id", "name", "page_start", "page_end")
+    return fix(books(spark, sf_dir))[0].topics.select("book", "id", "chapter_id", "name", "page_start", "page_end")
+
+
+@register("fix_chapters", f"WITH {FIX_SQL} SELECT book, 'C_' || n AS id, CAST(n AS INT) AS number, title, page_start, page_end FROM numbered")
+def fix_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fix(books(spark, sf_dir))[0].chapters.select("book", "id", "number", "title", "page_start", "page_end")
+
+
+@register(
+    "fix_subtopics",
+    f"""WITH {FIX_SQL}, s AS (SELECT f.book, f.new_id, lo, hi, s.page_start AS a, s.page_end AS b FROM subtopics s JOIN fixed f ON f.book = s.book AND f.id = s.topic_id)
+        SELECT book, replace(new_id, 'T_', 'ST_') || '_1' AS id, new_id AS topic_id, greatest(a, lo) AS page_start, greatest(greatest(a, lo), least(b, hi)) AS page_end FROM s""",
+)
+def fix_subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fix(books(spark, sf_dir))[0].subtopics.select("book", "id", "topic_id", "page_start", "page_end")
+
+
+@register(
+    "fix_exercises",
+    f"""WITH {FIX_SQL} SELECT f.book, replace(new_id, 'T_', 'E_') || '_' || row_number() OVER (PARTITION BY f.book, new_id ORDER BY page, k) AS id, new_id AS topic_id, text
+        FROM exercises e JOIN fixed f ON f.book = e.book AND f.id = e.topic_id""",
+)
+def fix_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fix(books(spark, sf_dir))[0].exercises.select("book", "id", "topic_id", "text")
 
 
-@register("fix_report")
+@register(
+    "fix_edges",
+    f"""WITH {FIX_SQL}, e AS (SELECT e.book, coalesce(c.new_id, child) AS child, coalesce(p.new_id, parent) AS parent FROM edges e
+        LEFT JOIN ranked c ON c.book = e.book AND c.id = child LEFT JOIN ranked p ON p.book = e.book AND p.id = parent) SELECT DISTINCT book, child, parent FROM e WHERE child <> parent""",
+)
+def fix_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fix(books(spark, sf_dir))[0].edges.select("book", "child", "parent")
+
+
+@register(
+    "fix_prerequisites",
+    f"""WITH {FIX_SQL} SELECT f.book, f.new_id AS id, p.new_id AS prerequisite FROM fixed f JOIN fixed p ON p.book = f.book AND p.id = 'T_' || (f.doc_pos // 2)""",
+)
+def fix_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fixed topics still need: live topics only."""
+    topics = fix(books(spark, sf_dir))[0].topics
+    return topics.select("book", "id", F.explode("prerequisites").alias("prerequisite"))
+
+
+@register(
+    "fix_report",
+    f"""WITH {FIX_SQL}, kids AS (SELECT book, topic_id, page_start - 3 AS a, page_start + 20 AS b FROM (SELECT book, id AS topic_id, page_start FROM topics WHERE doc_pos % 3 = 0)),
+        alive AS (SELECT k.book, f.id, a, b, lo, hi FROM kids k JOIN clean c ON c.book = k.book AND c.id = k.topic_id LEFT JOIN fixed f ON f.book = k.book AND f.id = k.topic_id),
+        r AS (
+          SELECT book, 'garbage_removed' AS change FROM topics WHERE {_BAD}
+          UNION ALL SELECT book, 'debug_stripped' FROM clean WHERE doc_pos % 9 = 2
+          UNION ALL SELECT book, 'orphans_reassigned' FROM homed WHERE chapter_id = 'C_gone' AND near IS NOT NULL
+          UNION ALL SELECT book, 'out_of_range_moved' FROM moved WHERE far
+          UNION ALL SELECT book, 'inverted_fixed' FROM placed WHERE turned
+          UNION ALL SELECT book, 'chapters_renumbered' FROM numbered WHERE id <> 'C_' || n
+          UNION ALL SELECT book, 'topics_renumbered' FROM ranked WHERE id <> new_id
+          UNION ALL SELECT book, 'dangling_dropped' FROM placed p ANTI JOIN chapters c ON c.book = p.book AND c.id = p.home
+          UNION ALL SELECT book, 'duplicates_removed' FROM ranked WHERE nth > 1
+          UNION ALL SELECT book, 'dangling_dropped' FROM alive WHERE id IS NULL
+          UNION ALL SELECT e.book, 'dangling_dropped' FROM exercises e JOIN clean c ON c.book = e.book AND c.id = e.topic_id LEFT JOIN fixed f ON f.book = e.book AND f.id = e.topic_id WHERE f.id IS NULL
+          UNION ALL SELECT book, 'ranges_clamped' FROM alive WHERE a < lo
+          UNION ALL SELECT book, 'ranges_clamped' FROM alive WHERE b > hi)
+        SELECT book, change, count(*) AS n FROM r GROUP BY ALL""",
+)
 def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fix(_books(spark, sf_dir), F.col("name").contains("widget"))[1]
+    """What the fixer changed, counted by kind."""
+    return fix(books(spark, sf_dir))[1]
+
+
+@register("enrich_topics", f"WITH {BOOKS_SQL}, {activity_sql('topics')} SELECT book, id, activity AS canonical_type FROM typed")
+def enrich_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(books(spark, sf_dir))[0].topics.select("book", "id", "canonical_type")
+
+
+_ADJACENT = f"""{BOOKS_SQL}, {activity_sql('topics')}, l AS (SELECT book, id AS child, activity, lag(id) OVER w AS parent, lag(activity) OVER w AS before FROM typed
+WINDOW w AS (PARTITION BY book, chapter_id ORDER BY {ACTIVITY_RANK_SQL}, coalesce(page_start, 0), doc_pos)), new AS (SELECT book, child, parent FROM l WHERE before <> activity)"""
+
+
+@register("enrich_edges", f"WITH {_ADJACENT} SELECT book, child, parent, 'prerequisite' AS kind FROM edges UNION ALL SELECT book, child, parent, 'depends_on' FROM new")
+def enrich_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(books(spark, sf_dir))[0].edges.select("book", "child", "parent", "kind")
+
+
+@register(
+    "enrich_report",
+    f"""WITH {_ADJACENT}, s AS (SELECT c.book, c.id, list(DISTINCT activity) AS a FROM chapters c LEFT JOIN typed t ON t.book = c.book AND t.chapter_id = c.id GROUP BY ALL)
+        SELECT book, 'canonical_typed' AS change, count(*) AS n FROM topics GROUP BY book UNION ALL SELECT book, 'concepts_added', count(*) FROM topics GROUP BY book
+        UNION ALL SELECT book, 'prereq_edges_added', count(*) FROM new GROUP BY book UNION ALL SELECT book, 'chapters_summarised', count(*) FROM chapters GROUP BY book
+        UNION ALL SELECT book, 'missing_warnings', count(*) FROM s WHERE len(list_filter(['LISTEN_SPEAK', 'READ', 'WRITE', 'CREATIVE'], lambda x: NOT coalesce(list_contains(a, x), false))) > 0 GROUP BY book""",
+)
+def enrich_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(books(spark, sf_dir))[1]
+
+
+#: The validator's chapters over BOOKS_SQL, where every chapter has a first page.
+VALID_SQL = f"""{BOOKS_SQL}, counted AS (SELECT c.*, coalesce(k, 0) AS k FROM chapters c LEFT JOIN (SELECT book, chapter_id, count(*) AS k FROM topics GROUP BY ALL) t ON t.book = c.book AND t.chapter_id = c.id),
+kept AS (SELECT *, first_value(id) OVER w AS keeper, row_number() OVER w AS nth FROM counted WINDOW w AS (PARTITION BY book, page_start ORDER BY k DESC, doc_pos)),
+lined AS (SELECT *, CASE WHEN title IS DISTINCT FROM lag(title) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS fresh FROM kept WHERE nth = 1 WINDOW w AS (PARTITION BY book ORDER BY page_start, doc_pos)),
+isles AS (SELECT *, sum(fresh) OVER (PARTITION BY book ORDER BY page_start, doc_pos) AS isle FROM lined),
+joined AS (SELECT book, isle, arg_min(id, (page_start, doc_pos)) AS id, any_value(title) AS title, min(page_start) AS page_start, max(page_end) AS page_end FROM isles GROUP BY book, isle),
+closed AS (SELECT * EXCLUDE page_end, coalesce(lead(page_start) OVER (PARTITION BY book ORDER BY page_start) - 1, page_end) AS page_end FROM joined),
+moves AS (SELECT k.book, k.id AS old, j.id AS new FROM kept k JOIN isles i ON i.book = k.book AND i.id = k.keeper JOIN joined j ON j.book = i.book AND j.isle = i.isle),
+follow AS (SELECT t.* EXCLUDE chapter_id, coalesce(new, chapter_id) AS chapter_id FROM topics t LEFT JOIN moves m ON m.book = t.book AND m.old = t.chapter_id),
+single AS (SELECT * FROM follow QUALIFY row_number() OVER (PARTITION BY book, chapter_id, lower(trim(name)) ORDER BY doc_pos) = 1),
+filled AS (SELECT c.*, t.n FROM closed c LEFT JOIN (SELECT book, chapter_id, count(*) AS n FROM single WHERE page_start > 0 GROUP BY ALL) t ON t.book = c.book AND t.chapter_id = c.id),
+graded AS (SELECT *, CASE WHEN n IS NULL THEN 0.3 WHEN n = 1 AND page_end - page_start + 1 > 8 THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM filled)"""
+
+
+@register(
+    "validate_chapters",
+    f"""WITH {VALID_SQL} SELECT book, id, CAST(row_number() OVER (PARTITION BY book ORDER BY page_start) AS INT) AS number, title, page_start, page_end, confidence,
+        CASE WHEN confidence >= 0.8 THEN 'verified' ELSE 'partial' END AS status FROM graded WHERE confidence >= 0.6""",
+)
+def validate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters after the validator, without those set apart."""
+    return validate(books(spark, sf_dir)).curriculum.chapters.select("book", "id", "number", "title", "page_start", "page_end", "confidence", "status")
+
+
+@register("validate_quarantine", f"WITH {VALID_SQL} SELECT book, id, confidence FROM graded WHERE confidence < 0.6")
+def validate_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate(books(spark, sf_dir)).quarantined.select("book", "id", "confidence")
+
+
+@register(
+    "validate_topics",
+    f"""WITH {VALID_SQL} SELECT s.book, s.id, s.chapter_id, c.id IS NOT NULL AND s.page_start > c.page_end AS violated FROM single s LEFT JOIN closed c ON c.book = s.book AND c.id = s.chapter_id WHERE s.page_start > 0""",
+)
+def validate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics after the validator, and whether they began after their chapter's end."""
+    return validate(books(spark, sf_dir)).curriculum.topics.select("book", "id", "chapter_id", F.col("boundary_violation").alias("violated"))
+
+
+@register("validate_light_chapters")
+def validate_light_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters in the validator's light mode, where nothing is set apart."""
+    return validate(books(spark, sf_dir), "light").curriculum.chapters.select("book", "id", "number", "page_start", "page_end", "confidence", "status")
 
 
 @register(
     "nest_and_reimport",
-    """WITH t AS (SELECT p_type AS book, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS number, p_partkey, p_name FROM part),
-       c AS (SELECT book, number, row_number() OVER (PARTITION BY book ORDER BY number) AS n FROM (SELECT DISTINCT book, number FROM t))
-       SELECT t.book, 'T_' || n || '_' || row_number() OVER (PARTITION BY t.book, t.number ORDER BY p_partkey) AS id, p_name AS name FROM t JOIN c ON c.book = t.book AND c.number = t.number""",
+    f"""WITH {BOOKS_SQL}, c AS (SELECT book, id, row_number() OVER (PARTITION BY book ORDER BY doc_pos) AS n FROM chapters)
+       SELECT t.book, 'T_' || n || '_' || row_number() OVER (PARTITION BY t.book, n ORDER BY doc_pos) AS id, name FROM topics t JOIN c ON c.book = t.book AND c.id = t.chapter_id""",
 )
 def nest_and_reimport(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written in the nested form and read from it; ids follow the places there."""
-    legacy = nested(_books(spark, sf_dir)).select("book", F.to_json(F.struct("chapters")).alias("document"))
+    legacy = nested(books(spark, sf_dir)).select("book", F.to_json(F.struct("chapters")).alias("document"))
     return parse_legacy(legacy).topics.select("book", "id", "name")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.numeric import round_half_up
 from chalkline.functions.text import semantic_name
+from chalkline.operators.curriculum import status_of
 from chalkline.operators.folds import first_by
 from chalkline.operators.keyed import keyed_union
 from chalkline.operators.structure import clamp_range, fold_dedup, islands, numbered, pages_of
@@ -180,9 +181,10 @@ def page_to_topic_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "page_to_topic_range_join",
-    f"""WITH {TOPICS_SQL}, few AS (SELECT * FROM topics WHERE topic_id % 40 = 3), b AS (SELECT DISTINCT book FROM few), p AS (SELECT unnest(range(0, 65)) AS page),
-        exact AS (SELECT book, page, max(topic_id) AS topic_id FROM p JOIN few ON page BETWEEN page_start AND page_end GROUP BY ALL),
-        near AS (SELECT book, page, topic_id FROM p, few QUALIFY row_number() OVER (PARTITION BY book, page ORDER BY abs(page_start - page), topic_id) = 1)
+    f"""WITH {TOPICS_SQL}, b AS (SELECT book, CAST(least(0, min(page_start)) AS INT) AS first, CAST(greatest(64, max(page_start), max(page_end)) AS INT) AS last FROM topics GROUP BY book),
+        p AS (SELECT book, CAST(unnest(range(first, last + 1)) AS INT) AS page FROM b),
+        exact AS (SELECT p.book, page, max(topic_id) AS topic_id FROM p JOIN topics t ON t.book = p.book AND page BETWEEN page_start AND page_end GROUP BY ALL),
+        near AS (SELECT p.book, page, topic_id FROM p JOIN topics t ON t.book = p.book QUALIFY row_number() OVER (PARTITION BY p.book, page ORDER BY abs(page_start - page), topic_id) = 1)
         SELECT book, page, coalesce(e.topic_id, n.topic_id) AS topic_id, e.topic_id IS NOT NULL AS inside FROM near n LEFT JOIN exact e USING (book, page)""",
 )
 def page_to_topic_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,8 +192,7 @@ def page_to_topic_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The fallback needs no pairs of pages and topics: the nearest start is the
     last one at or before the page or the first one after it. A book's pages go
-    to its topics' last one, at least to 64 as in the SQL; the SQL has every
-    fortieth topic only, and no page over 64.
+    to its topics' last one, at least to 64.
     """
     every = topics(spark, sf_dir)
     first, last = F.least(F.lit(0), F.min("page_start")), F.greatest(F.lit(64), F.max("page_start"), F.max("page_end"))
@@ -227,10 +228,6 @@ def clamp_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("topic_id", start.cast("long").alias("page_start"), end.cast("long").alias("page_end"), violated.alias("violated"))
 
 
-def status_of(confidence: Column) -> Column:
-    return F.when(confidence >= 0.8, "verified").when(confidence >= 0.4, "partial").otherwise("unverified")
-
-
 @register(
     "confidence_status",
     f"""WITH {TOPICS_SQL}, r AS (SELECT book, chapter, page_start, n_topics % 5 AS n, lead(page_start) OVER (PARTITION BY book ORDER BY page_start, chapter) - 1 AS nxt FROM chapters),
@@ -425,20 +422,12 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "change_report_counts",
-    """SELECT 'garbage' AS change, count(*) AS n FROM part WHERE p_name LIKE 'old%' UNION ALL SELECT 'inverted', count(*) FROM part WHERE p_size > 40
-       UNION ALL SELECT 'duplicates', count(*) FROM (SELECT 1 FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_brand, p_name ORDER BY p_partkey) > 1)""",
+    """SELECT p_type AS book, 'garbage' AS change, count(*) AS n FROM part WHERE p_name LIKE 's%' GROUP BY p_type UNION ALL SELECT p_type, 'inverted', count(*) FROM part WHERE p_size > 40 GROUP BY p_type
+       UNION ALL SELECT p_type, 'duplicates', count(*) FROM (SELECT p_type FROM part QUALIFY row_number() OVER (PARTITION BY p_type, p_brand, p_name ORDER BY p_partkey) > 1) GROUP BY p_type""",
 )
 def change_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit rows of each kind of change, counted."""
+    """Audit rows of each kind of change, counted for each book."""
     rows = numbered(topics(spark, sf_dir), ["book", "chapter", "name"], [F.col("topic_id")], "rank")
-    kinds = rows.select(
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(F.col("name").startswith("old"), "garbage"), F.when(F.col("page_start") > 40, "inverted"), F.when(F.col("rank") > 1, "duplicates")
-                ),
-                lambda x: x.isNotNull(),
-            )
-        ).alias("change")
-    )
-    return kinds.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    found = [F.when(F.col("name").startswith("s"), "garbage"), F.when(F.col("page_start") > 40, "inverted"), F.when(F.col("rank") > 1, "duplicates")]
+    kinds = rows.select("book", F.explode(F.array(*found)).alias("change")).where("change IS NOT NULL")
+    return kinds.groupBy("book", "change").agg(F.count(F.lit(1)).alias("n"))

@@ -6,8 +6,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chalkline.functions.classify import (
+    ACTIVITIES,
+    ACTIVITY_ORDER,
+    CONCEPTS,
+    EXERCISES,
+    GARBAGE_NAMES,
+    GARBAGE_SUMMARIES,
+    SKILLS,
+    STANDARD,
+    is_garbage,
+    rules,
+    with_activity,
+    with_concepts,
+    without_meta,
+)
 from chalkline.functions.text import (
-    all_keywords,
+    SPACES,
     canonical_ids,
     digits_only,
     first_keyword,
@@ -23,109 +38,6 @@ from chalkline.operators.folds import first_by
 from chalkline.plans.registry import register
 from chalkline.sources.tables import table
 
-# Words of the exercise classes, in the order in which they are tried.
-EXERCISES = [
-    ("writing_practice", ["trace", "tracing", "write", "writing", "copy", "fill in", "fill the", "form the", "रखो", "लिखो", "రాయండి"]),
-    ("art_activity", ["colour", "color", "draw", "circle", "underline", "tick", "mark", "highlight", "రంగులు", "గీయండి"]),
-    ("matching_exercise", ["match", "connect", "join", "pair", "జతపరచండి"]),
-    ("reading_exercise", ["read", "reading", "say aloud", "recite", "repeat", "fluency", "చదవండి", "पढ़ो"]),
-    ("comprehension", ["what", "who", "where", "when", "how many", "which", "why", "answer", "tell", "describe"]),
-    ("listening_activity", ["listen", "hear", "sing", "song", "rhyme", "వినండి", "సునो"]),
-    ("counting_activity", ["count", "number", "how many", "గణించు"]),
-]
-# Words of the skill classes.
-SKILLS = [
-    ("reading_skill", ["read", "fluency", "aloud", "recite", "poem", "text", "rapid", "చదవడం"]),
-    ("writing_skill", ["write", "writing", "trace", "tracing", "copy", "letter formation", "form", "రాయడం"]),
-    ("recognition_skill", ["recognize", "identify", "match", "find", "circle", "underline", "tick", "identical", "గుర్తించడం"]),
-    ("comprehension_skill", ["understand", "meaning", "answer", "question", "discuss", "explain", "comprehension", "అర్థం"]),
-    ("vocabulary_skill", ["word", "vocabulary", "new words", "formation", "sentence", "matra", "పదాలు"]),
-    ("listening_skill", ["listen", "hear", "sing", "song", "rhyme", "poem", "వినడం"]),
-    ("counting_skill", ["count", "number", "numeral", "digit", "లెక్కించడం"]),
-    ("art_skill", ["draw", "colour", "color", "art", "creative", "గీయడం", "రంగులు"]),
-]
-# Words of the activity types, in the order in which they are tried.
-ACTIVITIES = [
-    ("LISTEN_SPEAK_READ", ["వినండి - మాట్లాడండి, చదవండి", "వినండి - మాట్లాడండి,చదవండి", "వినండి మాట్లాడండి చదవండి"]),
-    ("POEM", ["గేయం", "గీతం", "పాట", "కవిత", "poem"]),
-    ("LISTEN_SPEAK", ["వినండి - మాట్లాడండి", "వినండి మాట్లాడండి"]),
-    ("READ", ["చదవండి", "చదువండి", "చదవాలు"]),
-    ("VOWEL_SIGNS", ["గుడింతాలు", "గుణింతాలు", "గుడింత", "గుణింత"]),
-    ("LETTER_INTRO", ["అక్షర పరిచయం", "అక్షరాల పరిచయం", "అక్షరాల గుర్తింపు"]),
-    ("WRITE", ["రాయండి", "లేఖనం", "అక్షర, పద అభ్యాసం", "అక్షర పద అభ్యాసం"]),
-    ("CREATIVE", ["సృజనాత్మకత", "స్వయంకృషి"]),
-    ("MATCH", ["జతపరచండి", "జతపరచు"]),
-    ("STORY", ["కథ", "story"]),
-    ("PICTURE_OBSERVATION", ["చిత్ర పరిశీలన", "చిత్రాన్ని చూడండి", "చిత్రాలను పరిశీలించి", "observe"]),
-    ("VOCAB_INTRO", ["పద పరిచయం", "పదజాలం"]),
-    ("RIDDLES", ["పొడుపు కథ"]),
-]
-# Teaching order of the activity types.
-ACTIVITY_ORDER = {
-    "PICTURE_OBSERVATION": 1,
-    "LISTEN_SPEAK": 2,
-    "LISTEN_SPEAK_READ": 3,
-    "POEM": 4,
-    "STORY": 5,
-    "LETTER_INTRO": 6,
-    "VOWEL_SIGNS": 7,
-    "VOCAB_INTRO": 8,
-    "READ": 9,
-    "MATCH": 10,
-    "WRITE": 11,
-    "CREATIVE": 12,
-    "RIDDLES": 13,
-    "OTHER": 99,
-}
-# Words of the concept tags.
-CONCEPTS = [
-    ("LETTER_RECOGNITION", ["letter", "అక్షర", "గుర్తింపు", "ఉచ్చారణ", "alphabet"]),
-    ("VOWEL_SIGNS", ["vowel sign", "గుణింత", "మాత్ర", "గుడింత"]),
-    ("WORD_FORMATION", ["word", "పద నిర్మాణ", "పదాల", "కలిపి"]),
-    ("SENTENCE_CONSTRUCTION", ["sentence", "వాక్య"]),
-    ("POEM_COMPREHENSION", ["poem", "గేయ", "పద్య", "పాట"]),
-    ("STORY_COMPREHENSION", ["story", "కథ"]),
-    ("VISUAL_COMPREHENSION", ["picture", "చిత్ర", "illustration", "observation"]),
-    ("HANDWRITING", ["writing", "రాయడం", "tracing", "లేఖన", "అందంగా రాయ"]),
-    ("FILL_IN_BLANK", ["fill in the blank", "ఖాళీ", "blank"]),
-    ("MATCHING", ["match", "జతపరచ", "జతపరు"]),
-    ("CREATIVE_EXPRESSION", ["creative", "art", "draw", "color", "రంగు", "గీయ", "సృజన"]),
-    ("VOCABULARY", ["vocabulary", "పదజాల", "new word", "పదాలు"]),
-    ("READING_FLUENCY", ["reading fluency", "గబగబా చదవ", "fluency"]),
-    ("READING_COMPREHENSION", ["comprehension question", "జవాబు", "answer"]),
-    ("RIDDLES", ["riddle", "పొడుపు"]),
-    ("ORAL_COMMUNICATION", ["oral communication", "మాట్లాడ", "speaking", "discuss"]),
-]
-# Pattern of a Telugu letter in parentheses, and what sentences about the extraction say.
-LETTER_PAREN = r"\([\x{0C05}-\x{0C31}\x{0C01}-\x{0C3A}\x{0C3E}-\x{0C61}°][^\)]{0,10}\)"
-META_SENTENCE = (
-    r"(?i)NOTE[:\s]|(?:is|are) being extracted under chapter|even though the chapter title|However,?\s+as per instructions to extract"
-    r"|which differs from the requested chapter|as per the extraction request|as per the prompt|assigned to chapter \d+ as per"
-    r"|the provided page for the specified chapter|this page belongs to another chapter"
-    r"|the content on th(?:is|ese) pages? (?:belongs to|is from|is titled)"
-)
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z\x{0C00}-\x{0C4F}\"'(])"
-
-
-def _rules(table_: list[tuple[str, list[str]]]) -> list[tuple[list[str], str]]:
-    return [(words, label) for label, words in table_]
-
-
-def activity_type(name: Column, summary: Column) -> Column:
-    """Type by a letter in parentheses, else by the name, else by name and the summary's first 200 characters."""
-    short = norm_name(name)
-    full = F.concat_ws(" ", short, norm_name(F.substring(summary, 1, 200)))
-    by_name = first_keyword(short, _rules(ACTIVITIES), None)
-    return F.when(name.rlike(LETTER_PAREN), "LETTER_INTRO").otherwise(F.coalesce(by_name, first_keyword(full, _rules(ACTIVITIES), "OTHER")))
-
-
-def without_meta(summary: Column) -> Column:
-    """A summary without sentences about its extraction; cut at a note, and never emptied."""
-    cut = F.regexp_replace(summary, r"(?s)(?<=[.!?])\s+(?:NOTE|Note)\b.*$", "")
-    kept = F.array_join(F.filter(F.split(cut, SENTENCE_END), lambda s: ~s.rlike(META_SENTENCE)), " ")
-    return F.when(F.trim(kept) != "", F.trim(kept)).otherwise(cut)
-
-
 def _sql_first(x: str, rules: list[tuple[str, list[str]]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({x}, {w!r})' for w in words)} THEN '{label}'" for label, words in rules) + f" ELSE {default} END"
 
@@ -157,13 +69,19 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics with their activity type. Descriptions are few, so each kind is classified by the same expression."""
-    return described(spark, sf_dir).withColumn("activity", activity_type(F.col("name"), F.col("summary")))
+    """Topics with their activity type."""
+    return with_activity(described(spark, sf_dir))
 
 
 ACTIVITY_SQL = f"{DESCRIBED_SQL}, typed AS (SELECT *, {_sql_first('t', ACTIVITIES, repr('OTHER'))} AS activity FROM described)"
 
 
+def activity_sql(rows: str) -> str:
+    """``typed``: the rows (name, summary) with their activity, for text in ASCII."""
+    short, full = "lower(trim(name))", "lower(trim(name)) || ' ' || lower(trim(left(summary, 200)))"
+    return f"typed AS (SELECT *, coalesce({_sql_first(short, ACTIVITIES, 'NULL')}, {_sql_first(full, ACTIVITIES, repr('OTHER'))}) AS activity FROM {rows})"
+
+
 @register(
     "keyword_class",
     f"WITH {DESCRIBED_SQL} SELECT topic_id, {_sql_first('t', EXERCISES, repr('general_activity'))} AS exercise, {_sql_first('t', SKILLS, repr('general_skill'))} AS skill FROM described",
@@ -171,7 +89,7 @@ ACTIVITY_SQL = f"{DESCRIBED_SQL}, typed AS (SELECT *, {_sql_first('t', ACTIVITIE
 def keyword_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lower("summary")
     return described(spark, sf_dir).select(
-        "topic_id", first_keyword(text, _rules(EXERCISES), "general_activity").alias("exercise"), first_keyword(text, _rules(SKILLS), "general_skill").alias("skill")
+        "topic_id", first_keyword(text, rules(EXERCISES), "general_activity").alias("exercise"), first_keyword(text, rules(SKILLS), "general_skill").alias("skill")
     )
 
 
@@ -185,10 +103,10 @@ _TAGS_SQL = ", ".join(f"CASE WHEN {' OR '.join(f'contains(t, {w!r})' for w in wo
 
 @register(
     "concept_tags",
-    f"WITH {DESCRIBED_SQL}, g AS (SELECT topic_id, list_filter([{_TAGS_SQL}], lambda x: x IS NOT NULL) AS tags FROM described) SELECT topic_id, CASE WHEN len(tags) = 0 THEN 'GENERAL' ELSE array_to_string(tags, ',') END AS tags FROM g",
+    f"WITH {DESCRIBED_SQL}, whole AS (SELECT topic_id, lower(name || ' ' || summary) AS t FROM described), g AS (SELECT topic_id, list_filter([{_TAGS_SQL}], lambda x: x IS NOT NULL) AS tags FROM whole) SELECT topic_id, CASE WHEN len(tags) = 0 THEN 'GENERAL' ELSE array_to_string(tags, ',') END AS tags FROM g",
 )
 def concept_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(spark, sf_dir).select("topic_id", F.array_join(all_keywords(norm_name(F.col("summary")), _rules(CONCEPTS), "GENERAL"), ",").alias("tags"))
+    return with_concepts(described(spark, sf_dir)).select("topic_id", F.array_join("concepts", ",").alias("tags"))
 
 
 @register("activity_distribution", f"WITH {ACTIVITY_SQL} SELECT activity, count(*) AS n FROM typed GROUP BY activity")
@@ -196,9 +114,6 @@ def activity_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed(spark, sf_dir).groupBy("activity").agg(F.count(F.lit(1)).alias("n"))
 
 
-STANDARD = ("LISTEN_SPEAK", "READ", "WRITE", "CREATIVE")
-
-
 @register(
     "activity_summary_missing",
     f"""WITH {ACTIVITY_SQL}, s AS (SELECT book, chapter, list(DISTINCT activity) AS a FROM typed GROUP BY ALL)
@@ -211,13 +126,13 @@ def activity_summary_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("book", "chapter", F.array_join("a", ",").alias("activities"), F.array_join(missing, ",").alias("missing"))
 
 
-_RANK_SQL = "CASE activity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ACTIVITY_ORDER.items()) + " END"
+ACTIVITY_RANK_SQL = "CASE activity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ACTIVITY_ORDER.items()) + " END"
 
 
 @register(
     "adjacent_type_edges",
     f"""WITH {ACTIVITY_SQL}, l AS (SELECT topic_id AS child, activity, lag(topic_id) OVER w AS parent, lag(activity) OVER w AS before FROM typed
-        WINDOW w AS (PARTITION BY book, chapter ORDER BY {_RANK_SQL}, coalesce(page_start, 0), topic_id)) SELECT child, parent FROM l WHERE before <> activity""",
+        WINDOW w AS (PARTITION BY book, chapter ORDER BY {ACTIVITY_RANK_SQL}, coalesce(page_start, 0), topic_id)) SELECT child, parent FROM l WHERE before <> activity""",
 )
 def adjacent_type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In teaching order a topic needs the one before it, if their types differ."""
@@ -228,25 +143,64 @@ def adjacent_type_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.where("before <> activity").select("child", "parent")
 
 
+#: Similarity from which two names of a chapter and type are suspected to be one topic.
+SIMILAR = 0.7
+
+
+def alike_pairs(rows: DataFrame, group: list[str], order: str, name: str, least: float) -> DataFrame:
+    """(topic_id, other_id, ratio) of rows of a group whose names are alike by ``least`` or more, the earlier first.
+
+    Equal names are one name with a list of ids. Two names reach the ratio only
+    if the shorter one has enough letters, so names meet by length: a name
+    looks up the lengths that its own allows, and what is left goes to Python.
+    """
+    names = rows.groupBy(*group, name).agg(F.array_sort(F.collect_list(order)).alias("ids")).withColumn("n", F.char_length(name))
+    lengths = F.sequence(F.greatest(F.lit(0), F.floor(F.col("n") * (least / (2 - least))).cast("int")), F.col("n"))
+    left = names.select(*group, F.col(name).alias("a"), F.col("ids").alias("ids_a"), F.explode(lengths).alias("m"))
+    right = names.select(*group, F.col(name).alias("b"), F.col("ids").alias("ids_b"), F.col("n").alias("m"))
+    met = left.join(right, [*group, "m"]).where((F.char_length("b") < F.char_length("a")) | (F.col("a") <= F.col("b")))
+    met = met.where(2 * F.char_length("b") >= least * (F.char_length("a") + F.char_length("b")))
+    # The ratio isn't symmetric: each order of two names that occurs is measured.
+    both = met.withColumn("there", seq_ratio("a", "b")).withColumn("back", seq_ratio("b", "a")).where((F.col("there") >= least) | (F.col("back") >= least))
+    pairs = both.select("a", "b", "there", "back", F.explode("ids_a").alias("x"), "ids_b").select("a", "b", "there", "back", "x", F.explode("ids_b").alias("y"))
+    pairs = pairs.where("x <> y AND (a <> b OR x < y)")
+    found = pairs.select(F.least("x", "y").alias("topic_id"), F.greatest("x", "y").alias("other_id"), F.when(F.col("x") < F.col("y"), F.col("there")).otherwise(F.col("back")).alias("ratio"))
+    return found.where(F.col("ratio") >= least)
+
+
 @register("similar_pairs")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of one chapter and type whose names are alike by 0.7 or more, the earlier one first."""
-    rows = typed(spark, sf_dir).select("book", "chapter", "activity", "topic_id", "name")
-    other = rows.select("book", "chapter", "activity", F.col("topic_id").alias("other_id"), F.col("name").alias("other"))
-    pairs = rows.join(other, ["book", "chapter", "activity"]).where("topic_id < other_id")
-    return pairs.withColumn("ratio", seq_ratio("name", "other")).where("ratio >= 0.7D").select("topic_id", "other_id", "ratio")
+    rows = typed(spark, sf_dir).withColumn("name", norm_name(F.col("name"))).select("book", "chapter", "activity", "topic_id", "name")
+    return alike_pairs(rows, ["book", "chapter", "activity"], "topic_id", "name", SIMILAR)
+
 
+#: Names and summaries as extraction returns them, dealt by key; some are garbage in one way or another.
+RAW_NAME = "CASE WHEN p_partkey % 11 = 3 THEN [' No Content Found ', 'Content NOT found here', 'CONTENT DISCREPANCY', 'I cannot extract this', 'Not applicable', 'N/A', '  '][CAST(p_partkey // 11 % 7 + 1 AS INT)] ELSE p_name END"
+RAW_SUMMARY = "CASE WHEN p_partkey % 13 = 5 THEN [' This page belongs to another chapter.', 'The content on these pages belongs elsewhere', 'There is a clear discrepancy', 'The provided image is empty', 'No content'][CAST(p_partkey // 13 % 5 + 1 AS INT)] WHEN p_partkey % 13 = 6 THEN 'Here: no content' ELSE p_type END"
+GARBAGE_SQL = f"""WITH raw AS (SELECT p_partkey AS topic_id, {RAW_NAME} AS name, {RAW_SUMMARY} AS summary FROM part), low AS (SELECT *, lower(trim(name)) AS n, lower(trim(summary)) AS s FROM raw)
+SELECT topic_id, name FROM low WHERE n <> '' AND NOT ({" OR ".join(f"contains(n, '{x}')" for x in GARBAGE_NAMES)} OR {" OR ".join(f"starts_with(s, '{x}')" for x in GARBAGE_SUMMARIES)})"""
 
-# Words in a name, and openings of a summary, of rows that aren't topics.
-GARBAGE_SQL = "SELECT p_partkey AS topic_id, p_name AS name FROM part WHERE NOT (contains(lower(p_name), 'widget') OR starts_with(lower(p_type), 'promo') OR trim(p_name) = '')"
+
+def _chosen(key: Column, step: int, values: list[str]) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (F.floor(key / step) % len(values)).cast("int"))
+
+
+def raw_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic_id, name, summary) as extraction returns them."""
+    key = F.col("p_partkey")
+    names = [" No Content Found ", "Content NOT found here", "CONTENT DISCREPANCY", "I cannot extract this", "Not applicable", "N/A", "  "]
+    openings = [" This page belongs to another chapter.", "The content on these pages belongs elsewhere", "There is a clear discrepancy", "The provided image is empty", "No content"]
+    summary = F.when(key % 13 == 5, _chosen(key, 13, openings)).when(key % 13 == 6, "Here: no content").otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select(
+        key.alias("topic_id"), F.when(key % 11 == 3, _chosen(key, 11, names)).otherwise(F.col("p_name")).alias("name"), summary.alias("summary")
+    )
 
 
 @register("garbage_filter", GARBAGE_SQL)
 def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics without unwanted words in the name or at the summary's start; a nameless one goes."""
-    name, summary = F.lower(F.trim("p_name")), F.lower(F.trim("p_type"))
-    bad = name.contains("widget") | summary.startswith("promo") | (name == "")
-    return table(spark, sf_dir, "part").where(~bad).select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("name"))
+    """Topics but those that say that they are none."""
+    return raw_topics(spark, sf_dir).where(~is_garbage(F.col("name"), F.col("summary"))).select("topic_id", "name")
 
 
 @register("debug_sentence_strip")
@@ -368,8 +322,10 @@ def book_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "id_functions",
-    """SELECT p_partkey AS topic_id, 'T_' || CASE WHEN p_partkey % 5 = 3 THEN '9' ELSE CAST(p_partkey % 5 AS VARCHAR) END || '_' || p_partkey AS moved, coalesce(try_cast(p_partkey AS INT), 999) AS suffix,
-       lower(replace(p_name || ' A', ' ', '_')) AS dir, CAST(p_size * 10 AS INT) AS minutes, p_name AS bare FROM part""",
+    r"""WITH t AS (SELECT *, 'T_' || p_partkey % 5 || '_' || p_partkey AS id, p_name || '? A' AS label, p_size || '0 minutes' AS time, '```json' || chr(10) || p_name || chr(10) || '```' AS fenced FROM part)
+       SELECT p_partkey AS topic_id, regexp_replace(id, '^T_3_', 'T_9_') AS moved, coalesce(try_cast(regexp_extract(id, '([^_]*)$', 1) AS INT), 999) AS suffix,
+       lower(replace(regexp_replace(label, '[<>:"/\\|?*]', '', 'g'), ' ', '_')) AS dir, CAST(regexp_replace(time, '\D', '', 'g') AS INT) AS minutes,
+       regexp_replace(regexp_replace(fenced, '^```[a-zA-Z]*\s*', ''), '\s*```$', '') AS bare FROM t""",
 )
 def id_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids moved to another chapter, numeric suffixes, directory names, digits and fences."""
@@ -386,23 +342,38 @@ def id_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "substitute_exercises",
-    "SELECT o_orderkey AS plan, 'Do ' || p_name || ' then ' || p_name || '.' AS text, 1 AS n_ids FROM orders JOIN part ON p_partkey = o_custkey WHERE o_orderkey % 10 = 0",
+    r"""WITH plans AS (SELECT o_orderkey AS plan, 'Do E_1_1_' || o_custkey || ' then E_1_2_' || o_orderkey || ' and E_1_1_' || o_custkey || '.' AS text FROM orders),
+        found AS (SELECT plan, text, regexp_extract_all(text, 'E_\d+_\d+_\d+') AS ids FROM plans),
+        a AS (SELECT plan, replace(text, ids[1], coalesce(p.p_name, ids[1])) AS text, ids, p.p_partkey IS NOT NULL AS one FROM found LEFT JOIN part p ON 'E_1_1_' || p.p_partkey = ids[1])
+        SELECT plan, replace(text, ids[2], coalesce(p.p_name, ids[2])) AS text, CAST(len(list_distinct(ids)) AS INT) AS n_ids, CAST(one AS INT) + CAST(p.p_partkey IS NOT NULL AS INT) AS n_known
+        FROM a LEFT JOIN part p ON 'E_1_2_' || p.p_partkey = ids[2]""",
 )
 def substitute_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exercise ids in every plan's text, found once each and replaced in the order found; the SQL has every tenth plan."""
-    text = F.concat(F.lit("Do E_1_1_"), F.col("o_custkey").cast("string"), F.lit(" then E_1_1_"), F.col("o_custkey").cast("string"), F.lit("."))
+    """Exercise ids in every plan's text, found once each and replaced in the order found; unknown ones stay."""
+    mine, other = F.concat(F.lit("E_1_1_"), F.col("o_custkey").cast("string")), F.concat(F.lit("E_1_2_"), F.col("o_orderkey").cast("string"))
+    text = F.concat(F.lit("Do "), mine, F.lit(" then "), other, F.lit(" and "), mine, F.lit("."))
     plans = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan"), text.alias("text"))
-    found = plans.withColumn("ids", F.array_distinct(F.regexp_extract_all("text", F.lit(r"E_\d+_\d+_\d+"), 0)))
-    lookup = table(spark, sf_dir, "part").select(F.concat(F.lit("E_1_1_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("exercise"))
-    hits = found.select("plan", F.posexplode("ids").alias("i", "id")).join(lookup, "id")
-    maps = hits.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("i", "id", "exercise"))).alias("subs"))
-    done = F.aggregate("subs", F.col("text"), lambda acc, s: F.replace(acc, s["id"], s["exercise"]))
-    return found.join(maps, "plan").select("plan", done.alias("text"), F.size("ids").alias("n_ids"))
+    key = F.col("p_partkey").cast("string")
+    parts = table(spark, sf_dir, "part").select("p_name", F.explode(F.array(F.concat(F.lit("E_1_1_"), key), F.concat(F.lit("E_1_2_"), key))).alias("id"))
+    return substituted(plans, "plan", "text", parts.select("id", F.col("p_name").alias("exercise"))).select("plan", "text", "n_ids", "n_known")
+
+
+def substituted(plans: DataFrame, key: str, text: str, lookup: DataFrame) -> DataFrame:
+    """Rows of (key, text) with ids E_a_b_c replaced by their exercise of (id, exercise), one id after the other as they are met."""
+    found = plans.withColumn("ids", F.array_distinct(F.regexp_extract_all(text, F.lit(r"E_\d+_\d+_\d+"), 0)))
+    hits = found.select(key, F.posexplode("ids").alias("i", "id")).join(lookup, "id")
+    maps = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "id", "exercise"))).alias("subs"))
+    done = F.aggregate("subs", F.col(text), lambda acc, s: F.replace(acc, s["id"], s["exercise"]))
+    joined = found.join(maps, key, "left")
+    counts = {"n_ids": F.size("ids"), "n_known": F.coalesce(F.size("subs"), F.lit(0))}
+    return joined.withColumns({text: F.coalesce(done, F.col(text)), **counts}).drop("ids", "subs")
 
 
 @register(
     "text_cards",
-    "SELECT doc_id, CASE WHEN length(text) > 280 THEN rtrim(left(text, 279)) || '…' ELSE text END AS card, NOT regexp_matches(text, '[^\\x00-\\x7F]') AND lang <> 'en' AS transliterated FROM documents WHERE text NOT LIKE '%\t%'",
+    rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lang FROM documents)
+         SELECT doc_id, CASE WHEN length(text) > 280 THEN regexp_replace(left(text, 279), '[{SPACES}]+$', '') || '…' ELSE text END AS card,
+         NOT regexp_matches(text, '[^\x00-\x7F]') AND lang <> 'en' AS transliterated FROM t""",
 )
 def text_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut at 280 with an ellipsis, and whether a foreign one is written in ASCII alone; a missing text counts as empty."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkline.operators.folds import first_by
@@ -11,9 +12,10 @@ from chalkline.plans.registry import register
 from chalkline.sources.tables import table
 
 EDGES_SQL = "edges AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 1 AND p_partkey // 2 <> p_partkey)"
-#: Mastery of a student on a part, dealt by keys.
-MASTERY_SQL = """students AS (SELECT c_custkey AS student FROM customer WHERE c_custkey % 50 = 0), few AS (SELECT p_partkey AS topic FROM part WHERE p_partkey < 200),
-m AS (SELECT student, topic, CASE WHEN (student * 7 + topic * 13) % 11 < 2 THEN NULL ELSE ((student * 7 + topic * 13) % 11) / 10.0::DOUBLE END AS mastery FROM students, few)"""
+#: Mastery of a student on a part: the largest quantity of it that they ordered, of 50.
+KNOWN_SQL = "known AS (SELECT o_custkey AS student, l_partkey AS topic, max(l_quantity) / 50 AS mastery FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
+#: Edges whose ends are in one book.
+BOOK_EDGES_SQL = f"{EDGES_SQL}, inside AS (SELECT c.p_type AS book, child, parent FROM edges JOIN part c ON c.p_partkey = child JOIN part p ON p.p_partkey = parent AND p.p_type = c.p_type)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,16 +23,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent")).where("child <> parent")
 
 
-def dealt_mastery(student: Column, topic: Column) -> Column:
-    """Known mastery of a student on a part, dealt by keys as in the SQL; some is missing."""
-    value = (student * 7 + topic * 13) % 11
-    return F.when(value >= 2, value / 10.0)
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(student, topic, mastery) of what students have worked on; nothing else is known of them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("topic"), "l_quantity")
+    mine = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("student"))
+    return lines.join(mine, "l_orderkey").groupBy("student", "topic").agg((F.max("l_quantity") / 50).alias("mastery"))
 
 
-def all_students(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every student, dealt over all tasks: each is paired with the whole graph, which is the small side."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student")).repartition(tasks, "student")
+def book_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, child, parent) of edges whose ends are in one book."""
+    books = table(spark, sf_dir, "part").select(F.col("p_type").alias("book"), "p_partkey")
+    side = lambda c: books.withColumnRenamed("p_partkey", c)
+    return edges(spark, sf_dir).join(side("child"), "child").join(side("parent"), ["book", "parent"]).select("book", "child", "parent")
 
 
 @register(
@@ -65,40 +69,51 @@ def resolve_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "learning_gaps",
-    f"WITH {EDGES_SQL}, {MASTERY_SQL} SELECT student, child AS topic, parent AS gap FROM edges JOIN m ON m.topic = parent WHERE child < 200 AND coalesce(mastery, 0) < 0.7",
+    f"""WITH {EDGES_SQL}, {KNOWN_SQL} SELECT k.student, k.topic, e.parent AS gap FROM known k JOIN edges e ON e.child = k.topic JOIN part ON p_partkey = e.parent
+        LEFT JOIN known g ON g.student = k.student AND g.topic = e.parent WHERE coalesce(g.mastery, 0) < 0.7""",
 )
 def learning_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Direct prerequisites that a student hasn't reached 0.7 on, for all students over the whole graph.
-
-    The SQL beside it has students 0, 50, ... and parts under 200 only.
-    """
+    """Direct prerequisites that a student hasn't reached 0.7 on, for each topic that they work on."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("parent"))
-    near = edges(spark, sf_dir).join(parts, "parent")
-    pairs = all_students(spark, sf_dir).crossJoin(F.broadcast(near))
-    weak = F.coalesce(dealt_mastery(F.col("student"), F.col("parent")), F.lit(0.0)) < 0.7
-    return pairs.where(weak).select("student", F.col("child").alias("topic"), F.col("parent").alias("gap"))
+    needs = edges(spark, sf_dir).join(parts, "parent").select(F.col("child").alias("topic"), F.col("parent").alias("gap"))
+    mastery = known(spark, sf_dir)
+    asked = mastery.select("student", "topic").join(needs, "topic")
+    reached = mastery.where("mastery >= 0.7").select("student", F.col("topic").alias("gap"))
+    return asked.join(reached, ["student", "gap"], "left_anti").select("student", "topic", "gap")
 
 
 @register(
     "recommend_next",
-    f"""WITH {EDGES_SQL}, {MASTERY_SQL}, ok AS (SELECT m.student, m.topic, bool_and(e.parent IS NULL OR coalesce(p.mastery, 0) >= 0.7) AS ready, any_value(coalesce(m.mastery, 0)) AS own
-        FROM m LEFT JOIN edges e ON e.child = m.topic LEFT JOIN m p ON p.student = m.student AND p.topic = e.parent GROUP BY m.student, m.topic)
-        SELECT student, min(topic) AS next_topic FROM ok WHERE ready AND own < 0.8 GROUP BY student""",
+    f"""WITH {BOOK_EDGES_SQL}, {KNOWN_SQL}, asked AS (SELECT c_custkey AS student, p_type AS book, p_partkey AS topic FROM customer, part),
+        met AS (SELECT student, topic FROM known WHERE mastery >= 0.7), done AS (SELECT student, topic FROM known WHERE mastery >= 0.8),
+        lacking AS (SELECT DISTINCT a.student, a.topic FROM asked a JOIN inside e ON e.child = a.topic LEFT JOIN met m ON m.student = a.student AND m.topic = e.parent WHERE m.topic IS NULL)
+        SELECT student, book, min(topic) AS next_topic FROM asked a ANTI JOIN lacking USING (student, topic) ANTI JOIN done USING (student, topic) GROUP BY student, book""",
 )
 def recommend_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First topic under 0.8 whose prerequisites are all at 0.7 or more, for all students over the whole graph.
+    """A student's first topic of each book under 0.8 whose prerequisites in the book are all at 0.7 or more.
 
-    A prerequisite that is no part has no mastery. The SQL beside it has
-    students 0, 50, ... and parts under 200 only.
+    No pairs of students and topics are made: a topic is ready for someone if
+    it needs nothing, or if all that it needs is among what they have reached.
+    Of the topics that need nothing the first open one is the book's first, or
+    the one after a topic that they have mastered.
     """
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic"))
-    known = edges(spark, sf_dir).join(parts.select(F.col("topic").alias("parent"), F.lit(True).alias("known")), "parent", "left")
-    needs = known.groupBy(F.col("child").alias("topic")).agg(F.collect_list(F.struct("parent", "known")).alias("needs"))
-    reached = lambda t: F.coalesce(dealt_mastery(F.col("student"), t), F.lit(0.0))
-    pairs = all_students(spark, sf_dir).crossJoin(F.broadcast(parts.join(needs, "topic", "left")))
-    ready = F.col("needs").isNull() | F.forall("needs", lambda n: n["known"].isNotNull() & (reached(n["parent"]) >= 0.7))
-    open_ = pairs.where(reached(F.col("topic")) < 0.8).where(ready)
-    return open_.groupBy("student").agg(F.min("topic").alias("next_topic"))
+    inside = book_edges(spark, sf_dir)
+    topics = table(spark, sf_dir, "part").select(F.col("p_type").alias("book"), F.col("p_partkey").alias("topic"))
+    mastery = known(spark, sf_dir)
+    met = mastery.where("mastery >= 0.7").select("student", F.col("topic").alias("parent"))
+    done = mastery.where("mastery >= 0.8").select("student", "topic")
+    needed = inside.groupBy(F.col("child").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+    ready = (
+        met.join(inside, "parent").groupBy("student", "book", F.col("child").alias("topic")).agg(F.count(F.lit(1)).alias("n"))
+        .join(needed, ["topic", "n"]).select("student", "book", "topic")
+    )
+    free = topics.join(needed.select("topic"), "topic", "left_anti")
+    following = free.select("book", "topic", F.lead("topic").over(W.partitionBy("book").orderBy("topic")).alias("next")).where("next IS NOT NULL")
+    onward = done.join(following, "topic").select("student", "book", F.col("next").alias("topic"))
+    opening = free.groupBy("book").agg(F.min("topic").alias("topic"))
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student")).crossJoin(opening)
+    open_ = first.unionByName(onward).unionByName(ready).join(done, ["student", "topic"], "left_anti")
+    return open_.groupBy("student", "book").agg(F.min("topic").alias("next_topic"))
 
 
 @register(
@@ -118,14 +133,31 @@ def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.withColumn("concept", F.expr("cast((plan + pos * 5) % 12 + 1 + plan AS string)"))
 
 
-@register("week_sequence")
+PLANS_SQL = "plans AS (SELECT CAST(n_nationkey AS BIGINT) AS plan, pos, (n_nationkey + pos * 5) % 12 + 1 + n_nationkey AS concept FROM nation, (SELECT unnest(range(0, 8)) AS pos))"
+#: In this graph a concept has one prerequisite, so a layer's order follows from that of the layer before.
+WEEK_SQL = f"""{EDGES_SQL}, {PLANS_SQL}, deps AS (SELECT parent, count(*) AS n FROM edges GROUP BY parent),
+laid AS (
+  SELECT p.plan, p.concept, 0 AS layer, row_number() OVER (PARTITION BY p.plan ORDER BY coalesce(n, 0) DESC, pos) AS r FROM plans p LEFT JOIN deps ON parent = p.concept
+  WHERE NOT EXISTS (SELECT 1 FROM edges e JOIN plans q ON q.concept = e.parent WHERE e.child = p.concept AND q.plan = p.plan)
+  UNION ALL
+  SELECT l.plan, c.concept, l.layer + 1, row_number() OVER (PARTITION BY l.plan ORDER BY coalesce(n, 0) DESC, l.r, c.concept)
+  FROM laid l JOIN edges e ON e.parent = l.concept JOIN plans c ON c.plan = l.plan AND c.concept = e.child LEFT JOIN deps d ON d.parent = c.concept),
+week AS (SELECT plan, CAST(row_number() OVER (PARTITION BY plan ORDER BY layer, r) - 1 AS INT) AS day, CAST(concept AS VARCHAR) AS concept FROM laid)"""
+
+
+@register("week_sequence", f"WITH RECURSIVE {WEEK_SQL} SELECT plan, day, concept FROM week WHERE day < 5")
 def week_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class's plan put in teaching order and cut to five days."""
     graph = edges(spark, sf_dir).select(F.col("child").alias("pos"), F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent"))
-    return sequence_week(_plans(spark, sf_dir), graph)
+    topics = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("concept"))
+    return sequence_week(_plans(spark, sf_dir), graph, topics)
 
 
-@register("fix_plan_order")
+@register(
+    "fix_plan_order",
+    f"""WITH RECURSIVE {WEEK_SQL} SELECT w.plan, day, w.concept, max(pos) AS day_row FROM week w LEFT JOIN plans p ON p.plan = w.plan AND CAST(p.concept AS VARCHAR) = w.concept
+        WHERE day < 5 GROUP BY ALL""",
+)
 def fix_plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan's days in sequenced order, each with the day row that held its concept last."""
     plans = _plans(spark, sf_dir)
@@ -133,9 +165,6 @@ def fix_plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return week_sequence(spark, sf_dir).join(last, ["plan", "concept"], "left").select("plan", "day", "concept", "day_row")
 
 
-PLANS_SQL = "plans AS (SELECT CAST(n_nationkey AS BIGINT) AS plan, pos, (n_nationkey + pos * 5) % 12 + 1 + n_nationkey AS concept FROM nation, (SELECT unnest(range(0, 8)) AS pos))"
-
-
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of which both ends are in a plan, with their places."""
     plans = _plans(spark, sf_dir).withColumn("concept", F.col("concept").cast("long"))
@@ -167,7 +196,7 @@ def break_cycles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     down = edges(spark, sf_dir).join(books, "child")
     back = down.where("child % 7 = 0").select("group", F.col("parent").alias("child"), F.col("child").alias("parent"))
     both = down.select("group", "child", "parent").unionByName(back)
-    return break_cycles(both.select("group", F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")))
+    return break_cycles(both.select("group", F.col("child").alias("pos"), F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")))
 
 
 @register(

@@ -10,27 +10,31 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STRICT = """struct<
 entities:struct<
   chapters:array<struct<id:string,number:int,title:string,page_start:int,page_end:int>>,
   topics:array<struct<id:string,name:string,summary:string,chapter_id:string,page_start:int,page_end:int,prerequisites:array<string>,exercise_ids:array<string>,sidebar_ids:array<string>>>,
-  exercises:array<struct<id:string,text:string,topic_id:string,page:int>>,
-  sidebars:array<struct<id:string,text:string,topic_id:string>>>,
+  subtopics:array<struct<id:string,name:string,summary:string,topic_id:string,page_start:int,page_end:int>>,
+  exercises:array<struct<id:string,text:string,summary:string,topic_id:string,page:int>>,
+  sidebars:array<struct<id:string,text:string,topic_id:string,chapter_id:string,page:int>>>,
 graphs:struct<
   chapter_structure:array<struct<from:string,to:string,type:string>>,
   exercise_mapping:array<struct<from:string,to:string,type:string>>,
   concept_dependencies:array<struct<from:string,to:string,type:string>>>>"""
 LEGACY = "struct<chapters:array<struct<chapter_name:string,topics:array<struct<topic_name:string,summary:string,prerequisites:array<string>,exercises:array<string>>>>>>"
+GRAPHS = ("chapter_structure", "exercise_mapping", "concept_dependencies")
 
 
 @dataclass(frozen=True)
 class Curriculum:
-    """Entity frames of any number of books."""
+    """Entity frames of any number of books; ``edges`` holds all three graphs, named by its column ``graph``."""
 
     chapters: DataFrame
     topics: DataFrame
+    subtopics: DataFrame
     exercises: DataFrame
     sidebars: DataFrame
     edges: DataFrame
@@ -45,12 +49,51 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("book"), F.col("value").alias("document"))
 
 
+def read_stems(spark: SparkSession, path: str) -> DataFrame:
+    """(book, document) of the JSON files in a folder; a book is named by its file, without the ending."""
+    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    return files.select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("book"), F.col("value").alias("document"))
+
+
+def discover(spark: SparkSession, path: str, name: str = "ontology.json") -> DataFrame:
+    """(book, document) of ``*/name``, and of ``*/*/name`` in folders that have none of their own; a book is named by its folder."""
+    read = lambda depth: spark.read.option("pathGlobFilter", name).text(f"{path}/{'/'.join(['*'] * depth)}/{name}", wholetext=True)
+    part = lambda i: F.element_at(F.split("_metadata.file_path", "/"), i)
+    levels = [(1, -2), (2, -3)]
+    found = [read(depth).select(part(top).alias("top"), part(-2).alias("book"), F.col("value").alias("document")) for depth, top in levels if _any(spark, f"{path}/{'/'.join(['*'] * depth)}/{name}")]
+    if not found:
+        return spark.createDataFrame([], "book string, document string")
+    if len(found) == 1:
+        return found[0].select("book", "document")
+    one, two = found
+    return one.unionByName(two.join(one.select("top"), "top", "left_anti")).select("book", "document")
+
+
+def _any(spark: SparkSession, glob: str) -> bool:
+    """Whether files match; asked of the file system that the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where))
+
+
+def first_source(sources: list[DataFrame], key: str) -> DataFrame:
+    """Rows by ``key`` from the first of the sources that has it, with ``priority`` (0 for the first)."""
+    whole = None
+    for i, one in enumerate(sources):
+        one = one.withColumn("priority", F.lit(i))
+        whole = one if whole is None else whole.unionByName(one)
+    best = whole.groupBy(key).agg(F.min("priority").alias("priority"))
+    return whole.join(best, [key, "priority"])
+
+
 def parse_strict(raw: DataFrame) -> Curriculum:
-    """Entities and dependency edges; missing lists are empty."""
+    """Entities and the edges of the three graphs; missing lists are empty."""
     read = raw.select("book", F.from_json("document", STRICT.replace("\n", "")).alias("d"))
     rows = lambda path: read.select("book", F.posexplode(F.col(path)).alias("doc_pos", "e")).select("book", "doc_pos", "e.*")
-    edges = rows("d.graphs.concept_dependencies").select("book", "doc_pos", F.col("from").alias("child"), F.col("to").alias("parent"), F.col("type").alias("kind"))
-    return Curriculum(rows("d.entities.chapters"), rows("d.entities.topics"), rows("d.entities.exercises"), rows("d.entities.sidebars"), edges)
+    edges = None
+    for graph in GRAPHS:
+        own = rows(f"d.graphs.{graph}").select("book", "doc_pos", F.lit(graph).alias("graph"), F.col("from").alias("child"), F.col("to").alias("parent"), F.col("type").alias("kind"))
+        edges = own if edges is None else edges.unionByName(own)
+    return Curriculum(*[rows(f"d.entities.{e}") for e in ("chapters", "topics", "subtopics", "exercises", "sidebars")], edges)
 
 
 def parse_legacy(raw: DataFrame) -> Curriculum:
@@ -68,6 +111,31 @@ def parse_legacy(raw: DataFrame) -> Curriculum:
     exercises = topics.select("book", F.col("id").alias("topic_id"), F.posexplode("texts").alias("doc_pos", "text")).select(
         "book", "doc_pos", F.concat_ws("_", F.regexp_replace("topic_id", "^T", "E"), (F.col("doc_pos") + 1).cast("string")).alias("id"), "text", "topic_id"
     )
-    edges = topics.select("book", F.col("name").alias("child"), F.posexplode("prerequisites").alias("doc_pos", "parent")).withColumn("kind", F.lit("prerequisite"))
+    edges = topics.select("book", F.col("name").alias("child"), F.posexplode("prerequisites").alias("doc_pos", "parent")).withColumns(
+        {"kind": F.lit("prerequisite"), "graph": F.lit("concept_dependencies")}
+    )
     named = chapters.select("book", "doc_pos", chapter_id(number).alias("id"), number.alias("number"), F.col("c.chapter_name").alias("title"))
-    return Curriculum(named, topics.drop("texts"), exercises, exercises.limit(0).select("book", "doc_pos", "id", "text", "topic_id"), edges)
+    none = exercises.limit(0).select("book", "doc_pos", "id", "text", "topic_id")
+    return Curriculum(named, topics.drop("texts"), none.withColumnRenamed("text", "name"), exercises, none, edges)
+
+
+def imported(c: Curriculum) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(topics, children, prerequisites) as an import takes them.
+
+    Topics of unknown chapters are skipped, blank texts of exercises and side
+    boxes too; prerequisites are resolved by id, else by the last topic of that
+    name, and go where neither is known. Topics get their place in the chapter.
+    """
+    live = c.chapters.select("book", F.col("id").alias("chapter_id")).distinct()
+    place = F.row_number().over(W.partitionBy("book", "chapter_id").orderBy("doc_pos")) - 1
+    topics = c.topics.withColumn("position", place).join(live, ["book", "chapter_id"], "left_semi")
+    ids = topics.select("book", "id").distinct()
+    texts = c.exercises.select("book", "topic_id", "doc_pos", "text", F.lit("exercise").alias("kind")).unionByName(
+        c.sidebars.select("book", "topic_id", "doc_pos", "text", F.lit("sidebar").alias("kind"))
+    )
+    children = texts.where(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s", "") != "").join(ids.withColumnRenamed("id", "topic_id"), ["book", "topic_id"], "left_semi")
+    refs = topics.select("book", F.col("id").alias("topic_id"), F.posexplode("prerequisites").alias("pos", "ref"))
+    by_id = ids.select("book", F.col("id").alias("ref"), F.col("id").alias("_i"))
+    by_name = topics.groupBy("book", F.col("name").alias("ref")).agg(F.max_by("id", "doc_pos").alias("_n"))
+    found = refs.join(by_id, ["book", "ref"], "left").join(by_name, ["book", "ref"], "left").withColumn("prerequisite_id", F.coalesce("_i", "_n"))
+    return topics, children, found.where("prerequisite_id IS NOT NULL").select("book", "topic_id", "pos", "prerequisite_id")

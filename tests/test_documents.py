@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import functions as F
-
 from chalkline.operators.curriculum import clamped, fix, merge_chunks, nested
 from chalkline.sources.documents import parse_legacy, parse_strict, read_raw
 
@@ -34,15 +32,18 @@ def test_merge_of_two_chunks(spark):
 
 
 def test_fix(spark):
+    """The late chapter is inverted, so it holds no page when the orphan looks for one."""
     chapters = [{"id": "X", "number": 1, "title": "Late", "page_start": 20, "page_end": 12}, {"id": "C_1", "number": 2, "title": "Early", "page_start": 1, "page_end": 9}]
-    topics = [topic("a", "Birds", "C_1", 3, 4), topic("b", "birds", "C_1", 5, 6), topic("c", "Trees", "gone", 14, 15), topic("d", "no content", "C_1"), topic("e", "2. Birds (x)", "C_1", 3, 4)]
-    exercises = [{"id": "E1", "text": "x", "topic_id": "a"}, {"id": "E2", "text": "y", "topic_id": "d"}]
-    (c,) = frame(spark, strict(topics, exercises, [("c", "a"), ("a", "a"), ("a", "d")], chapters))
-    fixed, report = fix(c, F.col("name").contains("no content"))
-    assert sorted((r["id"], r["chapter_id"], r["name"]) for r in fixed.topics.collect()) == [("T_1_1", "C_1", "Birds"), ("T_2_1", "C_2", "Trees")]
+    topics = [topic("T_a", "Birds", "C_1", 3, 4), topic("T_b", "birds", "C_1", 5, 6), topic("T_c", "Trees", "gone", 14, 15), topic("T_d", "no content found", "C_1"), topic("T_e", "2. Birds (x)", "C_1", 3, 4)]
+    exercises = [{"id": "E1", "text": "x", "topic_id": "T_a"}, {"id": "E2", "text": "y", "topic_id": "T_d"}, {"id": "E3", "text": "z", "topic_id": "T_b"}]
+    (c,) = frame(spark, strict(topics, exercises, [("T_c", "T_a"), ("T_a", "T_a"), ("T_a", "T_d"), ("T_b", "T_a")], chapters))
+    fixed, report = fix(c)
+    assert sorted((r["id"], r["chapter_id"], r["name"]) for r in fixed.topics.collect()) == [("T_1_1", "C_1", "Birds"), ("T_1_4", "C_1", "Trees")]
     assert [(r["id"], r["topic_id"]) for r in fixed.exercises.collect()] == [("E_1_1_1", "T_1_1")]
-    assert [(r["child"], r["parent"]) for r in fixed.edges.collect()] == [("T_2_1", "T_1_1")]
-    assert {r["change"]: r["n"] for r in report.collect()} == {"garbage": 1, "duplicates": 2, "dangling": 1}
+    assert sorted((r["child"], r["parent"]) for r in fixed.edges.collect()) == [("T_1_1", "T_d"), ("T_1_3", "T_1_1"), ("T_1_4", "T_1_1")]
+    assert sorted((r["id"], r["title"], r["page_start"]) for r in fixed.chapters.collect()) == [("C_1", "Early", 1), ("C_2", "Late", 12)]
+    want = {"garbage_removed": 1, "orphans_reassigned": 1, "inverted_fixed": 1, "chapters_renumbered": 1, "topics_renumbered": 4, "duplicates_removed": 1, "semantic_dupes_removed": 1, "dangling_dropped": 1}
+    assert {r["change"]: r["n"] for r in report.collect()} == want
     assert clamped(fixed).topics.where("violated").isEmpty()
 
 

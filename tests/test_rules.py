@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.numeric import mastery_score
 from chalkline.functions.text import robust_json, repair_xml, semantic_name, seq_ratio
-from chalkline.operators.graph import acyclic, week_order
-from chalkline.operators.keyed import cascade_delete, keyed_union, upsert
+from chalkline.operators.graph import acyclic, break_cycles, layers, sequence_week, week_order
+from chalkline.operators.keyed import cascade_delete, keyed_union, patched, set_null, upsert
 from chalkline.operators.structure import fold_dedup, pages_of
 from chalkline.plans.language import without_meta
 from chalkline.plans.people import personality, top_two
@@ -50,6 +50,28 @@ def test_fold_dedup_against_plain(spark):
     assert got == {g: plain_dedup([(i, k, m) for h, i, k, m in rows if h == g]) for g in range(10)}
 
 
+def test_deep_layers(spark):
+    """A chain of 110 nodes, one without edges and a cycle, which gets none."""
+    nodes = [(0, i) for i in range(110)] + [(0, 500), (0, 600), (0, 601)]
+    edges = [(0, i + 1, i) for i in range(109)] + [(0, 600, 601), (0, 601, 600)]
+    found = layers(spark.createDataFrame(nodes, "group int, node int"), spark.createDataFrame(edges, "group int, child int, parent int"))
+    assert sorted((r["node"], r["layer"]) for r in found.collect()) == [(i, i) for i in range(110)] + [(500, 0)]
+
+
+def test_week_of_topics_without_edges(spark):
+    plans = spark.createDataFrame([(1, 0, "unknown"), (1, 1, "b"), (1, 2, "alone"), (1, 3, "a")], "plan long, pos int, concept string")
+    edges = spark.createDataFrame([(0, "b", "a")], "pos int, child string, parent string")
+    topics = spark.createDataFrame([("a",), ("b",), ("alone",)], "concept string")
+    found = sequence_week(plans, edges, topics).collect()
+    assert [c for _, c in sorted((r["day"], r["concept"]) for r in found)] == ["a", "alone", "b", "unknown"]
+
+
+def test_cycles_are_sought_in_list_order(spark):
+    """From "10", first in the list, the edge of "2" closes the cycle; in order of names it would be the other one."""
+    edges = spark.createDataFrame([("g", 1, "10", "2"), ("g", 2, "2", "10")], "group string, pos int, child string, parent string")
+    assert [(r["child"], r["parent"]) for r in break_cycles(edges).collect()] == [("10", "2")]
+
+
 def test_week_order():
     edges = [("b", "a"), ("c", "a"), ("d", "b"), ("x", "c"), ("y", "c"), ("p", "q"), ("q", "p")]
     known = {n for e in edges for n in e}
@@ -76,6 +98,13 @@ def test_keyed_writes(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    batch = spark.createDataFrame([(2, "c", 1), (2, "e", 3), (2, "d", 2)], "k int, v string, at int")
+    assert sorted(map(tuple, upsert(old, batch, ["k"], [F.col("at")]).collect())) == [(1, "a"), (2, "e")]
+    gone = spark.createDataFrame([(2,)], "k int")
+    children = spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id int, parent int")
+    assert sorted(map(tuple, set_null(gone, "k", children, "parent").collect()), key=str) == [(10, 1), (11, None), (12, None)]
+    patch = spark.createDataFrame([(1, None, "x"), (2, "z", "y"), (9, "q", "q")], "k int, v string, secret string")
+    assert sorted(map(tuple, patched(old, patch, "k", ["v"]).collect())) == [(1, "a"), (2, "z")]
     merged = keyed_union([old, new], F.col("k").cast("string"), F.col("v"))
     assert sorted(map(tuple, merged.collect())) == [(1, "a"), (2, "b"), (3, "d")]
     child = spark.createDataFrame([(1, 10), (2, 20)], "p int, c int")
@@ -115,7 +144,7 @@ def test_xml_repair(spark):
 
 
 def test_personality_ties_and_floor(spark):
-    columns = "interest string, style string, level string, n long, mean double, spread double, frustration double, attempts10 double, quizzes long, retry double"
+    columns = "interests array<string>, style string, level string, n long, mean double, spread double, frustration double, attempts10 double, quizzes long, retry double"
     df = spark.createDataFrame([(None, None, None, 0, None, 0.0, 0.9, None, 0, 0.0)], columns)
     row = top_two(personality(df)).first()
     assert (row["explorer"], row["resilient"], row["dominant"], row["secondary"], row["label"]) == (50.0, 40.0, "Explorer", "Achiever", "Driven Explorer")
