@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import bounded_batches
+from chalkline.llm.scratch import bounded_batches, set_apart
 
 #: Symbols of a stretch that are encoded at once; longer ones are halved.
 LEAF = 4096
@@ -159,23 +159,30 @@ class Codec:
         return pa.array([self.tokenizer.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
 
 
-def _schema(df: DataFrame, columns: list[str]) -> str:
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*columns).schema.fields)
+def _schema(df: DataFrame, columns: list[str], names: list[str]) -> str:
+    return "".join(f"`{n}` {f.dataType.simpleString()}, " for n, f in zip(names, df.select(*columns).schema.fields, strict=True))
+
+
+def _sent(df: DataFrame, keep: list[str], names: list[str], column: str) -> DataFrame:
+    """What goes to Python: the kept columns under their names, and ``column`` if it isn't among them."""
+    return df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if column in keep else [F.col(column).alias("_sent")]))
 
 
 def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
     """Columns ``keep`` of df with ``ids``, the token ids of the whole text (null: of an empty one).
 
-    ``keep`` must not hold ``ids``. Special tokens in a text become their ids;
-    none are added. Rows that repeat are encoded each; an empty table gives none.
+    A kept column named ``ids`` comes out as ``ids_in``. Special tokens in a
+    text become their ids; none are added. Rows that repeat are encoded each; an
+    empty table gives none.
     """
     bounded_batches(df.sparkSession)
+    apart, place = set_apart(keep, ["ids"]), keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer, leaf, window)
         for batch in batches:
             held, start, room = [], 0, 0
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             for at in range(len(batch)):
                 ids = codec.encode(texts[at].as_py() or "")
                 held.append(np.array(ids, np.int32))
@@ -184,22 +191,23 @@ def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
                     own = [batch.column(i).slice(start, len(held)) for i in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*own, lists], names=[*keep, "ids"])
+                    yield pa.RecordBatch.from_arrays([*own, lists], names=[*apart, "ids"])
                     held, start, room = [], at + 1, 0
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, _schema(df, keep) + "ids array<int>")
+    return _sent(df, keep, apart, text).mapInArrow(run, _schema(df, keep, apart) + "ids array<int>")
 
 
 def decode_ids(df: DataFrame, ids: str, tokenizer: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of df with ``decoded``, the text of each list of ids (null: empty). ``keep`` must not hold ``decoded``."""
+    """Columns ``keep`` of df with ``decoded``, the text of each list of ids (null: empty); a kept column of that name comes out as ``decoded_in``."""
     bounded_batches(df.sparkSession)
+    apart, place = set_apart(keep, ["decoded"]), keep.index(ids) if ids in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer)
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
+            lists = batch.column(place)
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.int32())) if not lists.null_count else pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
             own = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, codec.decoded(lists)], names=[*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*own, codec.decoded(lists)], names=[*apart, "decoded"])
 
-    return df.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, _schema(df, keep) + "decoded string")
+    return _sent(df, keep, apart, ids).mapInArrow(run, _schema(df, keep, apart) + "decoded string")

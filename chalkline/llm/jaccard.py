@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.components import components
-from chalkline.llm.scratch import Scratch, bounded_batches, set_apart
+from chalkline.llm.scratch import Scratch, bounded_batches, memory_returned, set_apart
 from chalkline.llm.shingles import Words, arrow_bytes, mixed, shingle_set
 
 THRESHOLD = 0.8
@@ -92,13 +92,13 @@ def distinct_counts(hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.bincount(own[fresh], minlength=len(firsts) - 1).astype(np.int64)
 
 
-def _signed(df: DataFrame, text: str, keep: list[str], bands: int, rows: int) -> DataFrame:
-    """Columns ``keep`` with ``_text``, the keys of its words ``_hi``, ``_lo``, its number of different shingles and its band hashes."""
-    bounded_batches(df.sparkSession)
+def _signed(rows_: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(_row, _id) of rows_ (_row, _id, _text) with the keys of the words ``_hi``, ``_lo``, the number of different shingles and the band hashes."""
+    bounded_batches(rows_.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = arrow_bytes(batch.column(len(keep)))
+            data, offsets = arrow_bytes(batch.column(2))
             at = 0
             while at < len(batch):
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
@@ -107,17 +107,14 @@ def _signed(df: DataFrame, text: str, keep: list[str], bands: int, rows: int) ->
                 hi, lo = words.sequence_keys()
                 signs = band_hashes(hashes, firsts, bands, rows).view(np.int64)
                 signs = pa.ListArray.from_arrays(pa.array(np.arange(end - at + 1, dtype=np.int32) * bands), pa.array(signs.ravel()))
-                counts = distinct_counts(hashes, firsts)
-                own = [batch.column(i).slice(at, end - at) for i in range(len(keep) + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(counts), signs],
-                    names=[*keep, "_text", "_hi", "_lo", "_n", "_bands"],
-                )
+                counts = pa.array(distinct_counts(hashes, firsts))
+                own = [batch.column(i).slice(at, end - at) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), counts, signs], names=["_row", "_id", "_hi", "_lo", "_n", "_bands"])
                 at = end
+            memory_returned()
 
-    source = df.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(run, f"{schema}, _hi long, _lo long, _n long, _bands array<long>")
+    kind = rows_.schema["_id"].dataType.simpleString()
+    return rows_.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, _hi long, _lo long, _n long, _bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,7 +197,7 @@ def _open(large: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(kinds.where("_c <> _d").select("_band", "_lead"), "_band")
 
 
-def _forest(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _forest(open_: DataFrame, signs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links that tie together what is linked inside the open buckets (_band, _rep, comp, _n), all pairs looked at.
 
     Of buckets with the same members the one with the least hash stands for
@@ -210,7 +207,7 @@ def _forest(open_: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     marks = open_.groupBy("_band").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.xxhash64("_rep").cast("decimal(38,0)")).alias("_sum"))
     first = marks.groupBy("_m", "_sum").agg(F.min("_band").alias("_band")).select("_band")
     members = open_.join(first, "_band").select("_band", "_rep", "comp", "_n")
-    dealt = _dealt(members, "_band", OPEN_BLOCK).join(texts.select("_rep", "_text", "_bands"), "_rep")
+    dealt = _dealt(members, "_band", OPEN_BLOCK).join(signs, "_rep").join(texts, "_rep")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rep, comp, n = (rows[c].to_numpy() for c in ("_rep", "comp", "_n"))
@@ -274,17 +271,18 @@ def near_classes(
     keep = [id_col] if keep is None else keep
     scratch = Scratch(df.sparkSession, "jaccard")
     bands, rows = bands_and_rows(threshold)
-    inner = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.col(text).alias("_in"))
+    inner = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     names = [f"k{i}" for i in range(len(keep))]
-    signed = scratch.keep(_signed(inner, "_in", [*names, "_id"], bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signed")
+    given = scratch.keep(inner.withColumn("_row", F.monotonically_increasing_id()), "given")
+    signed = scratch.keep(_signed(given, bands, rows), "signed")
 
     distinct = signed.groupBy("_hi", "_lo").agg(F.min("_row").alias("_rep"), F.count(F.lit(1)).alias("copies"))
     member = scratch.keep(signed.select("_row", "_id", "_hi", "_lo").join(distinct, ["_hi", "_lo"]).select("_row", "_id", "_rep", "copies"), "members")
     reps = member.where("_row = _rep").select("_rep", "copies")
-    texts = signed.select(F.col("_row").alias("_rep"), "_text", "_n", "_bands")
+    signs, texts = signed.select(F.col("_row").alias("_rep"), "_n", "_bands"), given.select(F.col("_row").alias("_rep"), "_text")
 
     banded = (
-        texts.select("_rep", "_n", "_bands").join(reps.select("_rep"), "_rep").where("_n > 0")
+        signs.join(reps.select("_rep"), "_rep").where("_n > 0")
         .select("_rep", "_n", F.explode("_bands").alias("_band"))
     )
     buckets = banded.groupBy("_band").agg(F.min(F.struct("_rep", "_n")).alias("_first"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
@@ -311,17 +309,17 @@ def near_classes(
         linked, comp = _grown(linked, comp, more, scratch)
         scratch.drop(open_)
     open_ = scratch.keep(_open(large, comp).select("_band", "_rep", "_n", "comp"), "open")
-    linked, comp = _grown(linked, comp, scratch.keep(_forest(open_, texts, threshold), "forest"), scratch)
-    scratch.free(signed, member, comp)
+    linked, comp = _grown(linked, comp, scratch.keep(_forest(open_, signs.select("_rep", "_bands"), texts, threshold), "forest"), scratch)
+    scratch.free(given, signed, member, comp)
 
     classed = reps.join(comp.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
     if count_links:
-        grouped = classed.join(comp.select(F.col("node").alias("_rep")), "_rep", "left_semi").join(texts.select("_rep", "_n"), "_rep")
+        grouped = classed.join(comp.select(F.col("node").alias("_rep")), "_rep", "left_semi").join(signs.select("_rep", "_n"), "_rep")
         classed = classed.join(_links(scratch.keep(grouped, "grouped"), texts, threshold), "_rep", "left")
         classed = classed.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     classed = scratch.keep(classed.drop("copies", "links"), "classed")
     placed = scratch.keep(member.drop("copies").join(classed, "_rep"), "placed")
-    scratch.free(signed, placed)
+    scratch.free(given, placed)
     firsts = placed.groupBy("comp").agg(F.min("_id").alias("class_id"))
     named = placed.join(firsts, "comp")
     same = F.col("_id").eqNullSafe(F.col("class_id"))
@@ -331,6 +329,6 @@ def near_classes(
         .select("_row", "class_id", (F.col("_row") == F.col("_first")).alias("is_first"), *(["n_links"] if count_links else []))
     )
     out = scratch.keep(out, "classes")
-    scratch.free(signed, out)
+    scratch.free(given, out)
     apart = set_apart(keep, ["class_id", "is_first", "n_links"])
-    return signed.select("_row", *[F.col(n).alias(c) for n, c in zip(names, apart, strict=True)]).join(out.hint("merge"), "_row").drop("_row")
+    return given.select("_row", *[F.col(n).alias(c) for n, c in zip(names, apart, strict=True)]).join(out.hint("merge"), "_row").drop("_row")

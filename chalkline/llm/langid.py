@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import bounded_batches
+from chalkline.llm.scratch import bounded_batches, memory_returned, set_apart
 
 #: Labelled documents that the fit expects to read for each language.
 SAMPLE = 1500
@@ -228,20 +228,24 @@ def identify(df: DataFrame, text: str, model: tuple[list[str], np.ndarray], voca
 
     Every whole text is scored. Null texts and texts without a letter are
     ``und`` with score 0, and so is everything where no language was learned;
-    equal likelihoods go to the first language by code point. ``keep`` must not
-    hold the two names that are added.
+    equal likelihoods go to the first language by code point. A column of
+    ``keep`` with an added name comes out with ``_in`` at its end.
     """
     bounded_batches(df.sparkSession)
     langs, probs = model
     shared = df.sparkSession.sparkContext.broadcast(probs)  # pieces x languages
-    source = df.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    apart = set_apart(keep, ["lang_pred", "score"])
+    source = df.select(*[F.col(c).alias(a) for c, a in zip(keep, apart, strict=True)], *([] if text in keep else [F.col(text).alias("_text")]))
+    at = keep.index(text) if text in keep else len(keep)  # a kept text isn't sent twice
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Forward(load_pieces(vocabulary), shared.value), langs) if langs else None
         for batch in batches:
-            names, scores = scorer.texts(batch["_text"]) if scorer else (["und"] * len(batch), np.zeros(len(batch)))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            names, scores = scorer.texts(batch.column(at)) if scorer else (["und"] * len(batch), np.zeros(len(batch)))
+            columns = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*apart, "lang_pred", "score"])
+        del scorer
+        memory_returned()
 
     return source.mapInArrow(scored, f"{schema}, lang_pred string, score double")

@@ -1,132 +1,35 @@
-"""Working tables in the folder that the cluster shares.
-
-Spark's ``spark.checkpoint.dir`` names it; only where that is unset, on one
-machine, a folder of our own is made. A table written here cuts lineage like a
-checkpoint: a lost executor re-reads files instead of recomputing.
-"""
+"""What the training-data operators share: working tables, the end of a pipeline's stage, bounded batches, clashing names."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings while a working table is written. Tables cut lineage, so a query's shuffle files are of no use once it has ended;
-#: ids and offsets in files are a fraction of their size in memory, and the size check before a broadcast must see the latter.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.sources.fileCompressionFactor": "10"}
-
-_own: dict[str, str] = {}
-_of_stages: list[Scratch] = []
-_in_stage = False
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or one of our own where it is unset and the driver's machine is the only one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="chalkline-")
-        atexit.register(_remove, spark, _own[app])
-    return _own[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone at exit
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
-    """Session settings that hold inside the block only."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+from chalkline.operators import lineage
+from chalkline.operators.lineage import Scratch, settings, shared_dir
 
+__all__ = ["Scratch", "bounded_batches", "memory_returned", "pipeline_stage", "set_apart", "settings", "shared_dir"]
 
-class Scratch:
-    """A folder of tables under the shared one.
-
-    Single tables go with drop() and free(), the folder with close(), at the
-    end of the session, or, if it was made in a stage of a pipeline, when a
-    later stage begins.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._made = 0
-        self._kept: list[tuple[DataFrame, str]] = []
-        atexit.register(_remove, spark, self.path)
-        if _in_stage:
-            _of_stages.append(self)
-
-    def where(self, name: str) -> str:
-        self._made += 1
-        return f"{self.path}/{self._made:03d}-{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it again; the result carries no lineage."""
-        path = self.where(name)
-        with settings(self.spark, WRITING):
-            df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._kept.append((out, path))
-        return out
-
-    def stand_in(self, table: DataFrame, view: DataFrame) -> DataFrame:
-        """``view``, which reads ``table`` and goes by the same rules from now on."""
-        self._kept += [(view, path) for x, path in self._kept if x is table]
-        return view
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Removes the tables behind frames that keep() returned."""
-        gone = {path for x, path in self._kept if any(x is t for t in tables)}
-        for path in gone:
-            _remove(self.spark, path)
-        self._kept = [x for x in self._kept if x[1] not in gone]
-
-    def free(self, *still: DataFrame) -> None:
-        """Removes all tables but those that are still read."""
-        used = {path for x, path in self._kept if any(x is s for s in still)}
-        self.drop(*[x for x, path in self._kept if path not in used])
-
-    def close(self) -> None:
-        _remove(self.spark, self.path)
-        self._kept = []
+_of_stages: list[Scratch] = []
 
 
 @contextlib.contextmanager
 def pipeline_stage(docs: DataFrame) -> Iterator[None]:
     """A stage of a pipeline whose input is ``docs``: working tables of the stages before go, unless docs still reads them."""
-    global _in_stage
     read = docs.inputFiles() if _of_stages else []
     for old in list(_of_stages):
         folder = f"/{old.path.rsplit('/', 1)[-1]}/"
         if not any(folder in f for f in read):
             old.close()
             _of_stages.remove(old)
-    outer, _in_stage = _in_stage, True
+    before, lineage.noted = lineage.noted, _of_stages
     try:
         yield
     finally:
-        _in_stage = outer
+        lineage.noted = before
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -138,6 +41,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def memory_returned() -> None:
+    """Gives memory that numpy has freed back to the system, so that idle workers don't hold it."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def set_apart(keep: list[str], added: list[str]) -> list[str]:
     """Names under which the columns ``keep`` come out beside ``added``: a clashing one gets ``_in`` at its end, as often as it takes."""
     taken, out = {a.lower() for a in added}, []
