@@ -6,7 +6,8 @@ share an anchor, and equal windows can only be in segments with equal anchors.
 So anchors that are single in the corpus need no more work, equal segments are
 one with a count, and shards of segments with equal anchors are independent:
 each is suffix-sorted by external induction (:mod:`suffixsort`), where windows
-that repeat are neighbours with a common prefix of LENGTH.
+that repeat are neighbours with a common prefix of LENGTH, as the prefixes tell
+that the sort carries along.
 
 An anchor under which too many different segments meet is split by content:
 windows in half of the offsets share more bytes than the anchor, and those
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import Scratch, bounded_batches
-from chalkline.llm.shingles import arrow_bytes, prefix_sums, stretch_hashes
+from chalkline.llm.scratch import Scratch, bounded_batches, memory_returned, set_apart
+from chalkline.llm.shingles import arrow_bytes, content_hashes, prefix_sums, stretch_hashes
 from chalkline.llm.suffixsort import repeated_starts
 
 #: A string that repeats has so many bytes.
@@ -37,8 +38,8 @@ GRAM = 40
 MOST_SEGMENTS = 256
 #: Bytes of text that are cut at once.
 CHUNK = 1 << 20
-#: Bytes of segments in a shard of the suffix sorter.
-SHARD = 2 << 20
+#: Bytes of segments in a shard of the suffix sorter, whose arrays go to disk beyond the sorter's budget.
+SHARD = 16 << 20
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,7 +87,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     anchor = at[first]
     text = np.searchsorted(offsets, first, "right") - 1
     base = offsets[text]
-    content = stretch_hashes(sums, first, last + length)
+    content = content_hashes(data, sums, first, last + length)
     return text, first - base, last - base, anchor - base, grams[anchor].view(np.int64), content.view(np.int64)
 
 
@@ -186,6 +187,8 @@ def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
                 before = key
         if held:
             yield shard(held)
+        held.clear()
+        memory_returned()
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pieces.select("key", "_row", "first", "span", "bytes").repartition(n, "key").sortWithinPartitions("key")
@@ -195,10 +198,11 @@ def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(_row, low, high): runs of window starts in (_row, _text) whose ``length`` bytes also start elsewhere."""
     cut = scratch.keep(_cut(texts, length, gram), "segments")
-    often = cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Keys are a table of their own: a join right above an aggregation can't be split where a key is hot.
+    often = scratch.keep(cut.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
     # Members and their contents of keys that occur twice; the hot side of the join can be split.
     level = scratch.keep(cut.join(often, "key").select("_row", "first", "more", "anchor", "key", "content"), "candidates")
-    scratch.drop(cut)
+    scratch.drop(cut, often)
     found, pools, bare = [], [], True
     while True:
         counted = scratch.keep(
@@ -208,6 +212,7 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = LENGTH, g
         twice = counted.where("n > 1").select("key", "content")
         found.append(level.join(twice, ["key", "content"]).select("_row", F.col("first").alias("low"), (F.col("first") + more).alias("high")))
         groups = counted.groupBy("key").agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("least")).where("d > 1 AND least = 1").select("key", "d")
+        groups = scratch.keep(groups, "groups")
         ones = counted.select("key", "content", F.col("one._row").alias("_row"), F.col("one.first").alias("first")).join(groups, "key")
         met = level.join(ones.drop("content"), ["key", "_row", "first"])
         if bare:
@@ -247,8 +252,8 @@ def remove_repeats(df: DataFrame, text: str, keep: list[str], length: int = LENG
     at another place of the corpus, the same text included; strings are judged
     on the input. Null texts are empty. Rows that repeat are texts of their
     own, so copies of ``length`` bytes or more go altogether. Strings never
-    cross texts. An empty table gives no rows. ``keep`` must not have the three
-    names that are added.
+    cross texts. An empty table gives no rows. A column of ``keep`` with an added
+    name comes out with ``_in`` at its end.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -257,8 +262,9 @@ def remove_repeats(df: DataFrame, text: str, keep: list[str], length: int = LENG
     source = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     texts = scratch.keep(source.withColumn("_row", F.monotonically_increasing_id()), "texts")
     runs = repeated_windows(texts, scratch, length)
-    lists = runs.groupBy("_row").agg(F.collect_list("low").alias("_low"), F.collect_list("high").alias("_high"))
-    joined = texts.join(lists, "_row", "left").select(*names, "_text", "_low", "_high")
+    lists = scratch.keep(runs.groupBy("_row").agg(F.collect_list("low").alias("_low"), F.collect_list("high").alias("_high")), "runs")
+    scratch.free(texts, lists)
+    joined = texts.join(lists.hint("merge"), "_row", "left").select(*names, "_text", "_low", "_high")
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in joined.schema.fields[: len(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,4 +289,5 @@ def remove_repeats(df: DataFrame, text: str, keep: list[str], length: int = LENG
             )
 
     out = joined.mapInArrow(run, f"{schema}n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_bytes", "spans", "kept")
+    apart = set_apart(keep, ["n_bytes", "spans", "kept"])
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, apart, strict=True)], "n_bytes", "spans", "kept")

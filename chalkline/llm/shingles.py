@@ -52,6 +52,37 @@ def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+#: A prime modulus beside 2^64, which has strings that collide whatever the base.
+PRIME, ROOT = (1 << 31) - 1, 48271
+
+
+class PrimePowers:
+    """Powers of ROOT and of its inverse modulo PRIME, as far as they were asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            for name, base in (("up", ROOT), ("down", pow(ROOT, -1, PRIME))):
+                known = getattr(self, name)
+                step = np.uint64(pow(base, len(known), PRIME))
+                setattr(self, name, np.concatenate([known, known * step % np.uint64(PRIME)]))
+        return self.up[:n], self.down[:n]
+
+
+PRIME_POWERS = PrimePowers()
+
+
+def content_hashes(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] made of two sums, one modulo 2^64 and one modulo PRIME; data has under 2^24 bytes."""
+    up, down = PRIME_POWERS.upto(len(data) + 1)
+    own = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=own[1:])  # under 2^24 * 2^8 * 2^31
+    other = (own[ends] - own[starts]) % np.uint64(PRIME) * down[starts] % np.uint64(PRIME)
+    return mixed(stretch_hashes(sums, starts, ends) ^ mixed(other + np.uint64(1)))
+
+
 class Words:
     """Word hashes of texts that stand one after another in ``data``; offsets has a text more."""
 

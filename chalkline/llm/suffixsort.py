@@ -1,16 +1,23 @@
-"""Suffix sorting by induced sorting, with queues that go to disk.
-
-A shard is a sequence of stretches of bytes. Suffixes are typed S or L by their
-successor; the leftmost S suffixes of runs (S*) are named by their substrings
-and sorted by recursion on the string of names; a queue for each first symbol
-then carries suffixes from smaller to larger ones (L), and back (S). What is
-pushed leaves a queue in the order that it came, which is its sorted order, so
-a queue is a list of sorted runs: in memory up to a budget, beyond it in files.
-
-The text, the types and the suffix array are mapped files once a shard is over
-the budget; all passes over them are sequential but for the reads of a
-suffix's predecessor. The recursion ends where names are many: such a string,
-a third of the shard at most, is sorted by doubling.
+"""External induced suffix sorting with common prefixes.
+
+A shard is a sequence of stretches of bytes. Suffixes are typed S or L by
+their successor. The leftmost S suffixes of runs (S*) are named by their
+substrings and sorted by recursion on the string of names, until all names
+differ. Then two sweeps induce the rest: L suffixes from smaller to larger
+ones, S suffixes back. What is induced has a known slot, the next one of its
+first symbol, so a sweep is driven by a priority queue by slot: tuples of
+(slot, suffix, common prefix) wait in pages of slots, in memory up to a budget
+and in files beyond it, and a page is loaded when the sweep comes to it. A
+sweep advances by runs of slots that are filled already; whatever they induce
+falls behind them, so a run is handled as a whole.
+
+Common prefixes travel with the tuples: two suffixes induced one after the
+other under the same symbol share one symbol more than all that stands between
+what induced them. Only S* neighbours, and an L and an S suffix that meet under
+one symbol, are compared in the text. Prefixes count up to a limit.
+
+The text and the types are mapped files once a shard is over the budget; they
+are read at the predecessors of each run. Naming holds a few words for each S*.
 """
 
 from __future__ import annotations
@@ -18,16 +25,19 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Symbols: the end of the shard, the end of a stretch, then bytes.
 END, CUT, FIRST = 0, 1, 2
 SIGMA = FIRST + 256
-#: Bytes of arrays and queues that a sorter holds in memory before it goes to disk.
-BUDGET = 192 << 20
-#: Symbols packed in a word of a name.
-PACK = 7
+#: Bytes of queues, and of each array, that a sorter holds in memory before it goes to disk.
+BUDGET = 64 << 20
+#: Slots in a page of a queue, as a power of two.
+PAGE_BITS = 18
+#: Symbols that are looked at together where a whole string is read.
+BLOCK = 1 << 20
 
 
 class Store:
@@ -53,81 +63,104 @@ class Store:
             self.folder = None
 
 
-class Queues:
-    """A first-in first-out queue of suffixes for each symbol; runs go to files once all queues hold more than their part of the budget."""
+TUPLE = np.dtype([("slot", np.int64), ("suffix", np.int64), ("shared", np.uint16)])
 
-    def __init__(self, store: Store, sigma: int):
-        self.store = store
-        self.runs: list[list[np.ndarray | tuple[str, int]]] = [[] for _ in range(sigma)]
-        self.held = 0
 
-    def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
-        """Suffixes in sorted order, each to the queue of its symbol."""
-        if not len(symbols):
+class SlotQueue:
+    """A monotone priority queue by slot: pages() gives pages of slots in order, push() fills slots of the page at hand or of later ones."""
+
+    def __init__(self, store: Store, slots: int, bits: int = PAGE_BITS):
+        self.store, self.slots, self.bits = store, slots, bits
+        self.waiting: dict[int, list[np.ndarray]] = {}
+        self.files: dict[int, str] = {}
+        self.held, self.at = 0, -1
+        self.suffixes, self.shared = np.empty(0, np.int64), np.empty(0, np.uint16)
+
+    def push(self, slots: np.ndarray, suffixes: np.ndarray, shared: np.ndarray | None) -> None:
+        page = slots >> self.bits
+        now = page == self.at
+        if now.any():
+            own = slots[now] - (self.at << self.bits)
+            self.suffixes[own] = suffixes[now]
+            if shared is not None:
+                self.shared[own] = shared[now]
+        later = np.flatnonzero(~now)
+        if not len(later):
             return
-        order = np.argsort(symbols, kind="stable")
-        symbols, suffixes = symbols[order], suffixes[order]
-        cuts = np.flatnonzero(np.diff(symbols)) + 1
-        for run in np.split(suffixes, cuts):
-            self.runs[int(symbols[0])].append(run)
-            symbols = symbols[len(run) :]
-        self.held += suffixes.nbytes
-        if self.held > self.store.budget // 4:
+        tuples = np.zeros(len(later), TUPLE)
+        tuples["slot"], tuples["suffix"] = slots[later], suffixes[later]
+        if shared is not None:
+            tuples["shared"] = shared[later]
+        page = page[later]
+        order = np.argsort(page, kind="stable")
+        tuples, page = tuples[order], page[order]
+        for part in np.split(tuples, np.flatnonzero(np.diff(page)) + 1):
+            self.waiting.setdefault(int(part["slot"][0] >> self.bits), []).append(part)
+        self.held += tuples.nbytes
+        if self.held > self.store.budget:
             self._spill()
 
     def _spill(self) -> None:
-        for symbol, runs in enumerate(self.runs):
-            own = [r for r in runs if isinstance(r, np.ndarray)]
-            if own:
-                whole = np.concatenate(own)
-                path = self.store.path()
-                whole.tofile(path)
-                # Runs in files all came before those in memory.
-                self.runs[symbol] = [r for r in runs if not isinstance(r, np.ndarray)] + [(path, len(whole))]
-        self.held = 0
-
-    def pop(self, symbol: int) -> np.ndarray:
-        runs, self.runs[symbol] = self.runs[symbol], []
-        parts = []
-        for r in runs:
-            if isinstance(r, np.ndarray):
-                self.held -= r.nbytes
-                parts.append(r)
-            else:
-                parts.append(np.fromfile(r[0], np.int64))
-                os.remove(r[0])
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-
-def smaller_than_next(text: np.ndarray) -> np.ndarray:
+        for page, parts in self.waiting.items():
+            path = self.files.setdefault(page, "") or self.store.path()
+            self.files[page] = path
+            with open(path, "ab") as f:
+                for part in parts:
+                    f.write(part.tobytes())
+        self.waiting, self.held = {}, 0
+
+    def pages(self) -> Iterator[tuple[int, int]]:
+        """(first slot, number of slots) of each page, whose arrays are ``suffixes``, -1 where nothing is yet, and ``shared``."""
+        for self.at in range(-(-self.slots >> self.bits)):
+            first = self.at << self.bits
+            size = min(1 << self.bits, self.slots - first)
+            self.suffixes, self.shared = np.full(size, -1, np.int64), np.zeros(size, np.uint16)
+            parts = self.waiting.pop(self.at, [])
+            self.held -= sum(x.nbytes for x in parts)
+            if path := self.files.pop(self.at, None):
+                parts = [np.fromfile(path, TUPLE), *parts]
+                os.remove(path)
+            for part in parts:
+                own = part["slot"] - first
+                self.suffixes[own], self.shared[own] = part["suffix"], part["shared"]
+            yield first, size
+
+
+def smaller_than_next(text: np.ndarray, store: Store) -> np.ndarray:
     """True for suffixes of type S: smaller than the next one. The last one is S."""
     n = len(text)
-    up = np.ones(n, bool)
-    if n > 1:
-        step = np.zeros(n, np.int8)
-        step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
-        step[-1] = 1
-        known = np.flatnonzero(step)
-        following = known[np.searchsorted(known, np.arange(n))]
-        up = step[following] > 0
-    return up
-
-
-def substring_names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
+    small = store.array(n, bool)
+    carry = True
+    for low in range((n - 1) // BLOCK * BLOCK, -1, -BLOCK):
+        part = np.asarray(text[low : low + BLOCK + 1]).astype(np.int64)
+        step = np.sign(np.diff(part))
+        if low + len(part) == n:
+            step = np.append(step, 1)[: n - low]
+        index = np.arange(len(step))
+        following = np.minimum.accumulate(np.where(step != 0, index, len(step))[::-1])[::-1]
+        up = np.where(following < len(step), np.append(step, 0)[following] > 0, carry)
+        small[low : low + len(up)] = up
+        carry = bool(up[0])
+    return small
+
+
+def substring_names(text: np.ndarray, stars: np.ndarray, sigma: int) -> np.ndarray:
     """Names of the substrings from each S* to the next, both ends included, in their order.
 
-    A substring is compared word by word, a word being PACK symbols; past its
-    end stands a symbol above all others, for an S suffix that has more before
-    it is the greater one. Only what is still tied is looked at again.
+    A substring is compared word by word, a word being as many symbols as fit;
+    past its end stands a symbol above all others, for an S suffix that has
+    more before it is the greater one. Only what is still tied is looked at
+    again.
     """
     last = np.append(stars[1:], len(text) - 1)
     length = last - stars + 1
-    bits = 63 // PACK
+    bits = max(1, int(sigma).bit_length())
+    pack = 63 // bits
     names = np.zeros(len(stars), np.int64)
     open_, word = np.arange(len(stars)), 0
     while len(open_):
         key = np.zeros(len(open_), np.uint64)
-        for j in range(word * PACK, word * PACK + PACK):
+        for j in range(word * pack, word * pack + pack):
             at = np.minimum(stars[open_] + j, len(text) - 1)
             symbol = np.where(j < length[open_], text[at], (1 << bits) - 1).astype(np.uint64)
             key = (key << np.uint64(bits)) | symbol
@@ -146,123 +179,251 @@ def substring_names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
         tied = np.repeat(counts > 1, counts)
         word += 1
         left = open_[order][tied]
-        open_ = np.sort(left[length[left] > word * PACK])
+        open_ = np.sort(left[length[left] > word * pack])
     return names
 
 
-def doubled_order(names: np.ndarray, reach: int) -> np.ndarray:
-    """Suffixes of a string of names, sorted by ``reach`` names at least."""
-    n = len(names)
-    _, rank = np.unique(names, return_inverse=True)
-    rank = rank.astype(np.int64)
-    width = 1
-    order = np.argsort(rank, kind="stable")
-    while width < max(reach, 1) and int(rank.max(initial=0)) + 1 < n:
-        after = np.zeros(n, np.int64)
-        if width < n:
-            after[: n - width] = rank[width:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        width *= 2
-    return order
-
-
-def suffix_order(text: np.ndarray, sigma: int, reach: int, store: Store) -> np.ndarray:
-    """Suffixes of ``text``, whose last symbol is its only smallest one, sorted by their first ``reach`` symbols at least."""
+def four_at_once(text: np.ndarray, store: Store) -> np.ndarray | None:
+    """The four symbols from each place on as one number, the first one lowest; None if that is over the budget."""
+    if len(text) * 8 > store.budget or text.dtype != np.uint16:
+        return None
+    padded = np.append(text, np.zeros(3, text.dtype)).astype(np.uint64)
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    small = store.array(n, bool)
-    small[:] = smaller_than_next(text)
-    stars = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int64) + 1
-    names = substring_names(text, stars)
+    return padded[:n] | padded[1 : n + 1] << np.uint64(16) | padded[2 : n + 2] << np.uint64(32) | padded[3 : n + 3] << np.uint64(48)
+
+
+def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, fours: np.ndarray | None = None) -> np.ndarray:
+    """Symbols that the different suffixes a and b have in common, up to ``limit``; the last symbol of the text is single, so none runs past it."""
+    n, out = len(text), np.zeros(len(a), np.uint16)
+    step, done, open_ = 1 if fours is None else 4, 0, np.arange(len(a))
+    source = text if fours is None else fours
+    while len(open_) and done < limit:
+        x, y = source[np.minimum(a[open_] + done, n - 1)], source[np.minimum(b[open_] + done, n - 1)]
+        same = x == y
+        if step == 1:
+            more = same.astype(np.int64)
+        else:
+            apart = x ^ y
+            low = (apart & (~apart + np.uint64(1))).astype(np.float64)  # the lowest bit that differs
+            more = np.where(same, 4, (np.frexp(low)[1] - 1) // 16)
+        out[open_] = np.minimum(done + more, limit)
+        open_ = open_[same]
+        done += step
+    return out
+
+
+def _counts(symbols: np.ndarray, sigma: int, of: np.ndarray | None = None) -> np.ndarray:
+    """How often each symbol stands, at all places or where ``of`` is true."""
+    out = np.zeros(sigma, np.int64)
+    for low in range(0, len(symbols), BLOCK):
+        part = np.asarray(symbols[low : low + BLOCK])
+        out += np.bincount(part if of is None else part[of[low : low + BLOCK]], minlength=sigma)
+    return out
+
+
+class _Minima:
+    """Least value of any stretch of an array: minima of stretches whose lengths are powers of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 << (len(self.levels) - 1) <= len(x):
+            half, before = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(np.minimum(before[:-half], before[half:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Over low..high, both included, none of them empty."""
+        level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(low), self.levels[0].dtype)
+        for k in np.unique(level):
+            own = level == k
+            out[own] = np.minimum(self.levels[k][low[own]], self.levels[k][high[own] - (1 << int(k)) + 1])
+        return out
+
+
+NONE = np.iinfo(np.uint16).max
+
+
+def _sweep(
+    queue: SlotQueue,
+    text: np.ndarray,
+    small: np.ndarray,
+    want_small: bool,
+    head: np.ndarray,
+    limit: int | None,
+    values: Callable[[int, np.ndarray, np.ndarray], np.ndarray],
+    visit: Callable[[int, np.ndarray, np.ndarray | None], None],
+) -> None:
+    """Runs of filled slots in order; each suffix of a run induces the one before it, if that is of the wanted type, into the next slot of its symbol.
+
+    ``values`` gives, for a run (first slot, suffixes, what came with them), the
+    prefix that each suffix shares with the one before it in this order.
+    """
+    since = np.full(len(head), NONE, np.uint16) if limit is not None else None  # least prefix since the last push of each symbol
+    for first, size in queue.pages():
+        at, window = 0, 1024
+        while at < size:
+            seen = queue.suffixes[at : at + window]
+            empty = np.flatnonzero(seen < 0)
+            end = at + (int(empty[0]) if len(empty) else len(seen))
+            if end == at:
+                raise AssertionError("a slot that its sweep has come to is empty")
+            own = queue.suffixes[at:end].copy()
+            shared = values(first + at, own, queue.shared[at:end].copy()) if limit is not None else None
+            place = np.flatnonzero(own > 0)
+            before = own[place] - 1
+            wanted = small[before] == want_small
+            before, place = before[wanted], place[wanted]
+            symbols = np.asarray(text[before]).astype(np.int64)
+            order = np.argsort(symbols, kind="stable")
+            before, place, symbols = before[order], place[order], symbols[order]
+            fresh = np.ones(len(symbols), bool)
+            fresh[1:] = symbols[1:] != symbols[:-1]
+            starts = np.flatnonzero(fresh)
+            counts = np.diff(np.append(starts, len(symbols)))
+            slots = head[symbols] + np.arange(len(symbols)) - np.repeat(starts, counts)
+            carried = None
+            if limit is not None:
+                carried = np.zeros(len(symbols), np.uint16)
+                minima = _Minima(shared)
+                follow = np.flatnonzero(~fresh)
+                carried[follow] = minima.of(place[follow - 1] + 1, place[follow])
+                opening = symbols[starts]
+                carried[starts] = np.minimum(since[opening], np.minimum.accumulate(shared)[place[starts]])
+                carried = np.minimum(carried.astype(np.int64) + 1, limit).astype(np.uint16)
+                after = np.append(np.minimum.accumulate(shared[::-1])[::-1], NONE)
+                np.minimum(since, shared.min(), out=since)
+                since[opening] = after[place[starts + counts - 1] + 1]
+            head[symbols[starts]] += counts
+            queue.push(slots, before, carried)
+            visit(first + at, own, shared)
+            window = min(max(1024, 4 * (end - at)), 1 << queue.bits)
+            at = end
+
+
+def induced(
+    text: np.ndarray, small: np.ndarray, stars: np.ndarray, sigma: int, store: Store, limit: int | None, visit: Callable[[int, np.ndarray, np.ndarray | None], None], bits: int = PAGE_BITS
+) -> None:
+    """All suffixes from the S* suffixes in order, given to ``visit`` from the greatest to the smallest.
+
+    A call has (how many came before, suffixes, the prefix that each shares
+    with the one before it, the greater one); prefixes only if ``limit`` is given.
+    """
+    n = len(text)
+    every, smalls, starred = _counts(text, sigma), _counts(text, sigma, small), np.bincount(np.asarray(text[stars]), minlength=sigma).astype(np.int64)
+    larges = every - smalls
+    fours = four_at_once(text, store) if limit is not None else None
+    up = lambda sizes: np.cumsum(sizes) - sizes
+    # Forward: under each symbol its L suffixes, then its S* suffixes. Backward, mirrored: its S suffixes, then its L suffixes.
+    begin, full, star_begin = up(larges + starred), up(every), up(starred)
+    mirrored = n - full - every
+    forward, backward = SlotQueue(store, int((larges + starred).sum()), bits), SlotQueue(store, n, bits)
+    for low in range(0, len(stars), BLOCK):
+        part = stars[low : low + BLOCK]
+        symbols = np.asarray(text[part]).astype(np.int64)
+        shared = None
+        if limit is not None:
+            previous = stars[max(0, low - 1) : low + len(part) - 1]
+            shared = np.zeros(len(part), np.uint16)
+            shared[len(part) - len(previous) :] = shared_prefix(text, previous, part[len(part) - len(previous) :], limit, fours)
+        forward.push(begin[symbols] + larges[symbols] + np.arange(low, low + len(part)) - star_begin[symbols], part, shared)
+    backward.push(np.array([n - 1]), np.array([n - 1]), np.zeros(1, np.uint16))  # the end itself
+
+    def meeting(first: int, own: np.ndarray, shared: np.ndarray, opens: np.ndarray, meets: np.ndarray, last: int) -> np.ndarray:
+        """0 where a symbol begins; compared where its two types meet."""
+        inside = lambda x: x[np.searchsorted(x, first) : np.searchsorted(x, first + len(own))] - first
+        both = inside(meets)
+        if len(both):
+            line = np.append(last, own)
+            shared[both] = shared_prefix(text, line[both], line[both + 1], limit, fours)
+        shared[inside(opens)] = 0
+        return shared
+
+    some = every > 0
+    opens_up, meets_up = begin[(larges + starred) > 0], (begin + larges)[(larges > 0) & (starred > 0)]
+    opens_down, meets_down = np.sort(mirrored[some]), np.sort((mirrored + smalls)[(larges > 0) & (smalls > 0)])
+    last = [0, 0]  # the suffix before the run, and what came with it
+
+    def upward(first: int, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        return meeting(first, own, shared, opens_up, meets_up, last[0])
+
+    def hand_over(first: int, own: np.ndarray, shared: np.ndarray | None) -> None:
+        last[0] = int(own[-1])
+        large = np.flatnonzero(~small[own])
+        symbols = np.asarray(text[own[large]]).astype(np.int64)
+        slots = n - 1 - (full[symbols] + first + large - begin[symbols])
+        backward.push(slots, own[large], None if shared is None else shared[large])
+
+    def downward(first: int, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        # An L suffix came with what it shares with the smaller one, which the mirrored order wants one slot later.
+        came, large = np.append(last[1], shared[:-1]).astype(np.uint16), ~small[own]
+        last[1] = int(shared[-1])
+        return meeting(first, own, np.where(large, came, shared), opens_down, meets_down, last[0])
+
+    def tell(first: int, own: np.ndarray, shared: np.ndarray | None) -> None:
+        visit(first, own, shared)
+        last[0] = int(own[-1])
+
+    _sweep(forward, text, small, False, begin.copy(), limit, upward, hand_over)
+    last[:] = [0, 0]
+    _sweep(backward, text, small, True, mirrored.copy(), limit, downward, tell)
+
+
+def sorted_stars(text: np.ndarray, small: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS) -> np.ndarray:
+    """The S* suffixes in order, by recursion on the string of their names."""
+    edges = [(max(1, low), min(low + BLOCK, len(small))) for low in range(0, len(small), BLOCK)]
+    stars = np.concatenate([np.flatnonzero(small[a:b] & ~small[a - 1 : b - 1]) + a for a, b in edges])
+    names = substring_names(text, stars, sigma)
     _, dense = np.unique(names, return_inverse=True)
     kinds = int(dense.max()) + 1
     if kinds == len(stars):
-        sorted_stars = stars[np.argsort(dense, kind="stable")]
-    elif kinds <= SIGMA:
-        # The end of the shard is the last S*, alone in its name, and the smallest.
-        sorted_stars = stars[suffix_order(dense.astype(np.uint16), kinds, reach, store)]
-    else:
-        sorted_stars = stars[doubled_order(dense, reach)]
-    return induced(text, small, sorted_stars, sigma, store)
-
-
-def induced(text: np.ndarray, small: np.ndarray, stars: np.ndarray, sigma: int, store: Store) -> np.ndarray:
-    """All suffixes in order, from the S* suffixes in order."""
-    first = text[stars]
-    begins, ends = np.searchsorted(first, np.arange(sigma)), np.searchsorted(first, np.arange(sigma), "right")
-    queues, larges = Queues(store, sigma), Queues(store, sigma)
-
-    def before(suffixes: np.ndarray, want_small: bool) -> np.ndarray:
-        own = suffixes[suffixes > 0] - 1
-        return own[small[own] == want_small]
-
-    for symbol in range(sigma):
-        batch = queues.pop(symbol)
-        while len(batch):
-            larges.push(np.full(len(batch), symbol, np.uint16), batch)
-            own = before(batch, False)
-            symbols = text[own]
-            same = symbols == symbol
-            queues.push(symbols[~same], own[~same])
-            batch = own[same]
-        own = before(stars[begins[symbol] : ends[symbol]], False)
-        queues.push(text[own], own)
-    out = store.array(len(text), np.int64)
-    at = len(text)
-    for symbol in range(sigma - 1, -1, -1):
-        batch = queues.pop(symbol)
-        while len(batch):
-            out[at - len(batch) : at] = batch[::-1]
-            at -= len(batch)
-            own = before(batch, True)
-            symbols = text[own]
-            same = symbols == symbol
-            queues.push(symbols[~same], own[~same])
-            batch = own[same]
-        large = larges.pop(symbol)
-        if symbol == END and not len(large):
-            large = np.array([len(text) - 1])  # the end itself
-        out[at - len(large) : at] = large
-        at -= len(large)
-        own = before(large[::-1], True)
-        queues.push(text[own], own)
+        return stars[np.argsort(dense, kind="stable")]
+    return stars[suffix_order(dense.astype(np.int64), kinds, store, bits)]
+
+
+def suffix_order(text: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS) -> np.ndarray:
+    """Suffixes of ``text``, whose last symbol is its only smallest one, in order."""
+    n = len(text)
+    if n == 1:
+        return np.zeros(1, np.int64)
+    small = smaller_than_next(text, store)
+    out = store.array(n, np.int64)
+
+    def place(first: int, own: np.ndarray, _: np.ndarray | None) -> None:
+        out[n - first - len(own) : n - first] = own[::-1]
+
+    induced(text, small, sorted_stars(text, small, sigma, store, bits), sigma, store, None, place, bits)
     return out
 
 
-def repeated_starts(stretches: list[bytes], length: int, budget: int = BUDGET) -> np.ndarray:
+def repeated_starts(stretches: list[bytes], length: int, budget: int = BUDGET, bits: int = PAGE_BITS) -> np.ndarray:
     """Places, in the concatenation of the stretches, at which a string of ``length`` bytes starts that also starts elsewhere in them."""
     store = Store(budget)
     try:
         sizes = np.array([len(x) for x in stretches], np.int64)
         n = int(sizes.sum()) + len(stretches) + 1
         text = store.array(n, np.uint16)
-        room = store.array(n, np.int32)  # bytes to the end of the stretch
-        raw = np.frombuffer(b"".join(stretches), np.uint8)
-        begins = np.cumsum(sizes + 1) - sizes - 1
-        place = np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)
-        text[:] = CUT
-        text[place] = raw.astype(np.uint16) + FIRST
-        text[n - 1] = END
-        room[:] = 0
-        room[place] = np.repeat(begins + sizes, sizes) - place
-        order = suffix_order(text, SIGMA, length, store)
-        # Neighbours that share the first bytes: a common prefix of length or more.
-        found = np.zeros(n, bool)
-        step = max(1, (16 << 20) // length)
-        offsets = np.arange(length)
-        for low in range(0, n - 1, step):
-            a, b = np.asarray(order[low : low + step]), np.asarray(order[low + 1 : low + step + 1])
-            a = a[: len(b)]
-            both = np.flatnonzero((room[a] >= length) & (room[b] >= length))
-            for probe in (length - 1, length // 2):  # most unlike neighbours differ at one of these
-                both = both[text[a[both] + probe] == text[b[both] + probe]]
-            same = both[(text[a[both, None] + offsets] == text[b[both, None] + offsets]).all(axis=1)]
-            found[a[same]] = found[b[same]] = True
-        return found[place] if len(place) else np.zeros(0, bool)
+        room = store.array(n, np.uint16)  # bytes to the end of the stretch, up to length
+        ends = np.cumsum(sizes + 1) - 1
+        for x, end in zip(stretches, ends.tolist(), strict=True):
+            text[end - len(x) : end] = np.frombuffer(x, np.uint8).astype(np.uint16) + FIRST
+            room[end - len(x) : end] = np.minimum(np.arange(len(x), 0, -1), length)
+            text[end], room[end] = CUT, 0
+        text[n - 1], room[n - 1] = END, 0
+        found = store.array(n, bool)
+        found[:] = False
+        last = [n - 1]
+
+        def mark(_: int, own: np.ndarray, shared: np.ndarray) -> None:
+            before = np.append(last[0], own[:-1])
+            last[0] = int(own[-1])
+            same = (shared >= length) & (room[own] >= length) & (room[before] >= length)
+            found[own[same]] = found[before[same]] = True
+
+        if n > 1:
+            small = smaller_than_next(text, store)
+            induced(text, small, sorted_stars(text, small, SIGMA, store, bits), SIGMA, store, length, mark, bits)
+        keep = np.ones(n, bool)
+        keep[ends], keep[n - 1] = False, False
+        return np.asarray(found)[keep]
     finally:
         store.close()

@@ -200,16 +200,36 @@ def test_repeats_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string"), "text", ["doc_id"]).collect() == []
 
 
-@pytest.mark.parametrize("budget", [1 << 20, 64])
-def test_suffix_order(budget):
-    """The order is exact in memory and, with next to no memory, in files."""
+@pytest.mark.parametrize("budget,bits", [(1 << 20, 18), (64, 3)])
+def test_suffix_order_and_prefixes(budget, bits):
+    """Order and carried prefixes are exact in memory and, with next to no memory and pages of eight slots, through files."""
     r = random.Random(5)
     for _ in range(60):
-        text = np.array([r.randint(2, r.choice([3, 5, 100])) for _ in range(r.randint(1, 60))] + [0], np.uint16)
+        text = np.array([r.randint(2, r.choice([3, 5, 100])) for _ in range(r.randint(2, 60))] + [0], np.uint16)
         store = suffixsort.Store(budget)
-        order = suffixsort.suffix_order(text, suffixsort.SIGMA, 10**6, store).tolist()
-        store.close()
+        order = suffixsort.suffix_order(text, suffixsort.SIGMA, store, bits).tolist()
         assert order == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        small, told = suffixsort.smaller_than_next(text, store), []
+        stars = suffixsort.sorted_stars(text, small, suffixsort.SIGMA, store, bits)
+        suffixsort.induced(text, small, stars, suffixsort.SIGMA, store, 12, lambda _, own, shared: told.extend(zip(own.tolist(), shared.tolist())), bits)
+        store.close()
+        assert [x for x, _ in told] == order[::-1]
+        for (a, _), (b, shared) in zip(told, told[1:]):
+            assert shared == next(k for k in range(13) if k == 12 or text[a + k] != text[b + k])
+
+
+def test_queue_goes_to_disk_and_recursion_goes_deep(monkeypatch):
+    """A shard far over its budget spills its tuples; a string whose substrings repeat recurses level by level."""
+    r, spilled, levels = random.Random(8), [], []
+    spill, order = suffixsort.SlotQueue._spill, suffixsort.suffix_order
+    monkeypatch.setattr(suffixsort.SlotQueue, "_spill", lambda self: (spilled.append(self.held), spill(self)))
+    monkeypatch.setattr(suffixsort, "suffix_order", lambda text, *rest: (levels.append(len(text)), order(text, *rest))[1])
+    noise = bytes(r.choices(b"ab", k=300))
+    stretches = [noise * 20, noise[7:] * 3, bytes(r.choices(b"abc", k=4000))]
+    found = suffixsort.repeated_starts(stretches, 200, budget=2000, bits=6)
+    counts = Counter(x[i : i + 200] for x in stretches for i in range(len(x) - 199))
+    assert found.tolist() == [i + 200 <= len(x) and counts[x[i : i + 200]] > 1 for x in stretches for i in range(len(x))]
+    assert len(spilled) > 10 and len(levels) >= 3 and levels == sorted(levels, reverse=True)
 
 
 @needs_tokenizers
