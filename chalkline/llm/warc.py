@@ -21,6 +21,8 @@ from chalkline.llm.scratch import Scratch
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
+#: A record states fewer bytes than this; a larger number is payload that looks like a header, and would overflow.
+LARGEST = 1 << 60
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -107,7 +109,7 @@ def _candidates(segments: DataFrame) -> DataFrame:
     return (
         segments.withColumn("_head", head)
         .withColumn("_length", _header(F.col("value"), "Content-Length"))
-        .withColumn("_content", F.when((F.col("_head") < F.col("_len")) & (length >= 0), length))
+        .withColumn("_content", F.when((F.col("_head") < F.col("_len")) & length.between(0, LARGEST), length))
         .withColumn("whole", F.coalesce(F.col("_head") + 4 + F.col("_content") + 4 == F.col("_len"), F.lit(False)))
         .withColumn("_inner", F.when(F.col("whole"), inner))
         .withColumn("_http", text(http))
@@ -165,14 +167,16 @@ def _reached(placed: DataFrame, scratch: Scratch) -> DataFrame:
 def _payload_of_open(spark: SparkSession, path: str, placed: DataFrame, records: DataFrame) -> DataFrame:
     """(file, start, _whole) of reached records whose payload holds the magic: their segments, put together again."""
     opened = records.where("NOT whole").select("file", F.col("start").alias("_from"), (F.col("start") + F.col("_reach")).alias("_to"), F.col("_reach").alias("_reach0"))
-    # Segments up to the next reached record belong to this one: equi-join through the running last start.
+    # Segments up to the next reached record belong to this one: the last start inside the split, else the last of the splits before.
     marked = placed.join(records.select("file", "start", F.lit(True).alias("_true")), ["file", "start"], "left")
-    owner = F.last(F.when(F.col("_true"), F.col("start")), ignorenulls=True).over(
-        W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    marked = marked.join(opened.select("file").distinct(), "file", "left_semi").withColumn("_begins", F.when(F.col("_true"), F.col("start")))
+    inside = F.last("_begins", ignorenulls=True).over(W.partitionBy("file", "split").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow))
+    earlier = F.max("_last").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    carried = marked.groupBy("file", "split").agg(F.max("_begins").alias("_last")).select("file", "split", earlier.alias("_carried"))
     wanted = (
-        marked.join(opened.select("file").distinct(), "file", "left_semi")
-        .withColumn("_from", owner)
+        marked.withColumn("_inside", inside)
+        .join(carried, ["file", "split"])
+        .withColumn("_from", F.coalesce("_inside", "_carried"))
         .join(opened, ["file", "_from"])
         .select("file", "split", "ord", "start", "_from", "_reach0")
     )
