@@ -16,10 +16,13 @@ from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkline.llm.scratch import Scratch, bounded_batches
 
+#: Turns that are searched together for an original.
+BLOCK = 1024
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]*)+)")
 BLANK = re.compile(r"\n[ \t]*\n")
 
@@ -75,6 +78,25 @@ def _jumped(links: DataFrame, scratch: Scratch) -> DataFrame:
     return state.drop("ended")
 
 
+def _said_before(originals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(conv_id, hash, turn, said): the last turn before each asked one that says a unit itself, where there is one.
+
+    Turns are cut into blocks, so that a unit that a conversation says all the
+    time is no single partition: inside a block the rows are searched in order,
+    before it only the last turn of each earlier block.
+    """
+    keys = ["conv_id", "hash"]
+    block = F.floor(F.col("turn") / BLOCK).alias("block")
+    said = originals.join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "turn", block, F.lit(True).alias("own"))
+    rows = said.unionByName(asked.select(*keys, "turn", block, F.lit(False).alias("own")))
+    before = W.partitionBy(*keys, "block").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    near = rows.withColumn("near", F.max(F.when(F.col("own"), F.col("turn"))).over(before)).where("NOT own")
+    lasts = rows.groupBy(*keys, "block").agg(F.max(F.when(F.col("own"), F.col("turn"))).alias("last"))
+    earlier = F.max("last").over(W.partitionBy(*keys).orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    found = near.join(lasts.select(*keys, "block", earlier.alias("far")), [*keys, "block"])
+    return found.select(*keys, "turn", F.coalesce("near", "far").alias("said")).where("said IS NOT NULL")
+
+
 def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Messages without their quotations, with what orders a conversation by its replies.
 
@@ -84,11 +106,12 @@ def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     before them begins) and ``root_turn``. By (root_turn, branch_turn, turn) a
     message stands after the one it replies to. Links count from a message's
     lowest level, there from its longest unit, there from the latest original,
-    an original being the first that says a unit itself.
+    that is the last message before it that says the unit itself.
 
     Null texts stay null and link to nothing; rows with a null conversation or
     turn have no links; rows that repeat a turn are one message for links and
-    come out each. No step gathers a conversation in one place.
+    come out each. Only the four columns named are read, whatever else there is;
+    an empty table gives no rows. Turns are whole numbers. No step gathers a conversation in one place.
     """
     bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "quotes")
@@ -96,14 +119,11 @@ def reply_ordered(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     kinds = [f.dataType.simpleString() for f in rows.schema.fields[:3]]
     parsed = scratch.keep(rows.mapInPandas(_parsed, PARSED.format(*kinds)), "parsed")
     known = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    originals = (
-        known.select("conv_id", "turn", F.explode("own").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("said"))
-    )
-    quotes = known.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*")
+    originals = known.select("conv_id", "turn", F.explode("own").alias("hash")).distinct()
+    quotes = scratch.keep(known.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*"), "quoted")
     # The nearest quotation: greatest by (-level, words, turn) among those that meet an earlier original.
     linked = (
-        quotes.join(originals, ["conv_id", "hash"])
-        .where("said < turn")
+        quotes.join(_said_before(originals, quotes.select("conv_id", "hash", "turn").distinct()), ["conv_id", "hash", "turn"])
         .groupBy("conv_id", "turn")
         .agg(F.max(F.struct(-F.col("level"), F.col("words"), F.col("said"))).getField("said").alias("quoted_turn"))
     )
