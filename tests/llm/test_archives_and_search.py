@@ -45,6 +45,13 @@ def test_magic_inside_payloads(spark):
         assert x["stated_digest"] == x["payload_digest"]
 
 
+def test_headers_in_payloads_can_state_any_length(spark):
+    bad = ["9223372036854775807", "9223372036854775000", "1152921504606846976", "99999999999999999999", "-1", "1e3", ""]
+    rows = [(i, "u", f"{warc.MAGIC}Content-Length: {n}\r\n\r\nx{warc.END}") for i, n in enumerate(bad)]
+    found = round_trip(spark, rows)
+    assert {(int(x["record_id"]), x["payload_bytes"]) for x in found} == {(i, len(t)) for i, _, t in rows}
+
+
 def test_warc_edges(spark):
     assert round_trip(spark, [], 1) == []
     same = round_trip(spark, [(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (2, "u", "a")])
@@ -76,6 +83,9 @@ def test_reply_order(spark):
     assert len(found) == len(rows)
     want = {(1, 0): (None, 0, 0), (1, 1): (0, 0, 0), (1, 2): (0, 2, 0), (1, 3): (2, 2, 0), (1, 4): (1, 4, 0), (1, 7): (None, 7, 7), (2, 1): (0, 0, 0)}
     assert {k: (found[k]["parent_turn"], found[k]["branch_turn"], found[k]["root_turn"]) for k in want} == want
+    rows = [(9, 0, "u", "ok"), (9, 1, "a", "long one"), (9, 2, "u", "ok"), (9, 3, "a", "> ok"), (9, 3000, "u", "> long one"), (9, 3001, "u", "ok\n> ok"), (9, 3002, "a", "> ok")]
+    later = {r["turn"]: r["quoted_turn"] for r in reply_ordered(spark.createDataFrame(rows, df.schema)).collect()}
+    assert later == {0: None, 1: None, 2: None, 3: 2, 3000: 1, 3001: 2, 3002: 3001}
     assert found[1, 3]["text"] == "ok" and found[1, 3]["n_quotes"] == 2 and found[1, 7]["text"] is None
     assert reply_ordered(spark.createDataFrame([], df.schema)).collect() == []
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.llm.mixing import MOST, mix_sources, source_targets, word_count
-from chalkline.llm.quality import Rule, apply_quality, ordered, with_signals
+from chalkline.llm.quality import Rule, apply_quality, ordered, priced, with_signals
 from chalkline.llm.sharding import shard_by_splitters
 
 SCHEMA = "doc_id long, text string, source string"
@@ -135,6 +135,24 @@ def test_quality_verdicts(spark):
     assert apply_quality(spark.createDataFrame([], "doc_id long, text string"), "text").collect() == []
 
 
+def test_prices_are_of_the_rules_themselves(spark):
+    """A rule that works hard on every text costs several times one that reads a signal, and comes after it if both reject alike."""
+    rows = [(i, f"some {i} words " * 60) for i in range(400)]
+    df = with_signals(spark.createDataFrame(rows, "doc_id long, text string"), "text").cache()
+    hard = F.regexp_count(F.regexp_replace("text", r"(\\w)(\\w)", "$2$1"), F.lit(r"[aeiou]\\w*s")) < 0
+    rules = [Rule("hard", hard), Rule("easy", F.col("n_words") < 0)]
+    (dear, share), (cheap, same) = priced(df, rules, times=40)
+    assert share == same == 1.0 and dear >= 2 * cheap
+    assert [r.name for r in ordered(rules, [(dear, share), (cheap, same)])] == ["easy", "hard"]
+
+
+def test_quality_columns_with_added_names(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x", "y")], "doc_id long, kept string, N_words int, _words string, _lines string")
+    found = apply_quality(df, "kept", order=["word length", "symbols", "repeated lines", "letters"])
+    row = found.first()
+    assert (row["kept_in"], row["N_words_in"], row["_words"], row["_lines"], row["n_words"], row["kept"]) == ("a b", 5, "x", "y", 2, False)
+
+
 def test_rules_run_by_rejections_per_cost():
     rules = [Rule(n, None) for n in "abc"]
     assert [r.name for r in ordered(rules, [(1.0, 0.1), (0.5, 0.4), (0.1, 0.01)])] == ["b", "a", "c"]
