@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import Scratch
+from chalkline.llm.scratch import Scratch, set_apart
 
 #: A document is taken so many times at most, and a target is at most so many times its source's size.
 MOST = 3
@@ -41,27 +41,48 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("~null"))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def _running(df: DataFrame, order: list[str], sums: dict[str, Column], scratch: Scratch) -> DataFrame:
+    """Adds, for each of ``sums``, the sum over all rows up to this one in the order.
+
+    Rows are dealt by ranges of the order and summed inside a range; what the
+    ranges before hold is a sum over as many rows as there are ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.keep(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    earlier = W.partitionBy().orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*[F.sum(x).alias(k) for k, x in sums.items()])
+    before = totals.select("_part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_before_{k}") for k in sums])
+    found = placed.withColumns({k: F.sum(x).over(inside) for k, x in sums.items()}).join(before, "_part")
+    return found.withColumns({k: F.col(k) + F.col(f"_before_{k}") for k in sums}).drop("_part", *[f"_before_{k}" for k in sums])
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, scratch: Scratch | None = None) -> DataFrame:
     """Targets in tokens of (_source, source_size): the whole shared by weight, none above MOST times its source.
 
     A source is capped if its cap for a unit of weight is under the level that
-    the others would reach; caps in rising order show where that stops.
+    the others would reach; caps in rising order show where that stops. Sources
+    may be as many as hosts: no step has all of them in one task.
     """
-    weight = F.get(F.lit(list(weights)), F.pmod(F.row_number().over(W.orderBy("_source")) - 1, F.lit(len(weights))))
-    rising = W.orderBy("_by_weight", "_source").rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.partitionBy()
+    scratch = scratch or Scratch(sizes.sparkSession, "targets")
+    numbered = _running(sizes, ["_source"], {"_rank": F.lit(1).cast("long")}, scratch)
+    weighed = numbered.withColumn("_weight", F.get(F.lit(list(weights)), F.pmod(F.col("_rank") - 1, F.lit(len(weights))).cast("int")))
+    weighed = weighed.withColumn("_by_weight", MOST * F.col("source_size") / F.col("_weight"))
+    rising = _running(weighed, ["_by_weight", "_source"], {"_caps": MOST * F.col("source_size"), "_upto": F.col("_weight").cast("long")}, scratch)
+    rising = scratch.keep(rising, "rising")
+    everything = rising.agg(F.sum("source_size").alias("_all"), F.sum("_weight").alias("_every"))
     ranked = (
-        sizes.withColumn("_weight", weight)
-        .withColumn("_by_weight", MOST * F.col("source_size") / F.col("_weight"))
-        .withColumn("_left", F.sum("source_size").over(everything) - F.sum(MOST * F.col("source_size")).over(rising) + MOST * F.col("source_size"))
-        .withColumn("_weights", F.sum("_weight").over(everything) - F.sum("_weight").over(rising) + F.col("_weight"))
+        rising.crossJoin(F.broadcast(everything))  # one row
+        .withColumn("_left", F.col("_all") - F.col("_caps") + MOST * F.col("source_size"))
+        .withColumn("_weights", F.col("_every") - F.col("_upto") + F.col("_weight"))
         .withColumn("_level", F.col("_left") / F.col("_weights"))
     )
     # The first source that stays under its cap sets the level of all after it.
-    level = F.min(F.when(F.col("_by_weight") > F.col("_level"), F.struct("_by_weight", "_source", "_level"))).over(everything)
-    capped = level.isNull() | (F.struct("_by_weight", "_source") < F.struct(level["_by_weight"], level["_source"]))
-    target = F.when(capped, MOST * F.col("source_size")).otherwise(level["_level"] * F.col("_weight"))
-    return ranked.withColumn("target", target.cast("double")).select("_source", "source_size", "target", "_mean", "_least")
+    free = ranked.where(F.col("_by_weight") > F.col("_level")).agg(F.min(F.struct("_by_weight", "_source", "_level")).alias("_free"))
+    told = ranked.crossJoin(F.broadcast(free))  # one row
+    capped = F.col("_free").isNull() | (F.struct("_by_weight", "_source") < F.struct("_free._by_weight", "_free._source"))
+    target = F.when(capped, MOST * F.col("source_size")).otherwise(F.col("_free._level") * F.col("_weight"))
+    return told.withColumn("target", target.cast("double")).select("_source", "source_size", "target", "_mean", "_least")
 
 
 def _tilted(lam: Column, x: Column) -> Column:
@@ -117,7 +138,8 @@ def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights:
     """Copies of each row of ``df`` in the mix.
 
     Returns id_col, source, ``size``, ``source_size``, ``target`` (its source's,
-    in tokens) and ``copies`` (0 to MOST). A source's copies come to its target
+    in tokens) and ``copies`` (0 to MOST), and no other column of df; an id or
+    source of an added name comes out with ``_in`` at its end. A source's copies come to its target
     within a fraction of its largest document, and at the cap exactly. Null
     sources form one source, the last; rows of size 0 take no part in the sums
     and are copied once; rows that repeat are rated one by one; an empty table
@@ -125,6 +147,7 @@ def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights:
     column ``by`` (the id where it isn't given) and then the id.
     """
     scratch = Scratch(df.sparkSession, "mixing")
+    apart = set_apart([id_col, source], ["size", "source_size", "target", "copies"])
     draw = F.xxhash64(F.col(by or id_col), F.lit(11))
     rows = scratch.keep(
         df.select(
@@ -140,7 +163,7 @@ def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights:
         F.coalesce(F.sum(F.col("_size") * F.col("_n")) / F.sum(F.when(F.col("_size") > 0, F.col("_n"))), F.lit(1.0)).alias("_mean"),
         F.coalesce(F.min(F.when(F.col("_size") > 0, F.col("_size"))), F.lit(1)).cast("double").alias("_least"),
     )
-    targets = scratch.keep(source_targets(weighed, weights), "targets")
+    targets = scratch.keep(source_targets(weighed, weights, scratch), "targets")
     state = _balanced(cells.where("_size > 0"), targets, scratch)
 
     # Rates as integers; along the sizes of a source their running sum says how many copies were due before a cell.
@@ -183,8 +206,8 @@ def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights:
     place = F.col("_due") + (F.col("_skip") + F.col("_rank")) * F.col("_rate")
     copies = upto(place, F.col("_start")) - upto(place - F.col("_rate"), F.col("_start"))
     return ranked.join(parts, ["_source", "_size", "_salt"]).select(
-        F.col("_id").alias(id_col),
-        F.col("_given").alias(source),
+        F.col("_id").alias(apart[0]),
+        F.col("_given").alias(apart[1]),
         F.col("_size").alias("size"),
         "source_size",
         "target",
