@@ -21,6 +21,8 @@ from chalkline.llm.scratch import bounded_batches, memory_returned, set_apart
 
 #: Labelled documents that the fit expects to read for each language.
 SAMPLE = 1500
+#: Labels that are learned, those of most documents; the model has a column for each.
+LANGUAGES = 256
 #: Count added to every piece, and likelihood of a character that no piece has.
 SMOOTH, UNKNOWN = 0.1, 1e-10
 #: Words kept with their scores in a worker.
@@ -182,17 +184,19 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, text: str, lang: str, id_col: str, vocabulary: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, text: str, lang: str, id_col: str, vocabulary: str, sample: int = SAMPLE, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities) from about ``sample`` whole documents of each language, chosen by a hash of the id.
 
     The result has a row for each piece and a column for each language,
-    whatever the size of the corpus. Rows without a text or a label are left out.
+    whatever the size of the corpus: the ``most`` labels with most documents are
+    learned, equal ones by code point. Rows without a text or a label are left
+    out; an empty table gives no language.
     """
     import sentencepiece
 
     bounded_batches(labelled.sparkSession)
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(most).collect()
     langs = sorted(r[0] for r in counts)
     if not langs:
         return [], np.empty((0, 0))
