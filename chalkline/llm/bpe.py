@@ -1,35 +1,43 @@
 """BPE encoding and decoding of whole texts, with tree concatenation for long unsplit stretches.
 
-A text is normalised and cut into stretches that merges can't cross. A stretch
-is encoded once and then looked up. A long one is a tree: its halves are
+A text is normalised and cut into stretches that merges can't cross. A short
+stretch is encoded once and then looked up. A long one is a tree: its halves are
 encoded apart, and around each join a growing window is encoded again until a
 token on either side of the join is the same, with the same place, in the
 window and in the half. Between equal tokens the window's encoding stands: BPE
 encodings are fixed by which neighbours may stand together, and every pair of
 neighbours then comes from a correct encoding of its own.
+
+A stretch over PIECE symbols is dealt out: its pieces are rows, which tasks
+encode in parallel, and neighbours are joined in pairs, round after round.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import bounded_batches, set_apart
+from chalkline.llm.scratch import Scratch, bounded_batches, set_apart
 
 #: Symbols of a stretch that are encoded at once; longer ones are halved.
 LEAF = 4096
 #: Symbols on either side of a join that are encoded again at first.
 WINDOW = 32
-#: Stretches kept in a worker.
-CACHE = 300_000
+#: Symbols of a stretch that one task encodes; longer ones are dealt out.
+PIECE = 1 << 16
+#: Stretches kept in a worker, and symbols of the longest that is kept.
+CACHE, SHORT = 200_000, 64
 #: Bytes of ids and decoded text in an output batch.
 BATCH = 16 << 20
 
@@ -48,6 +56,12 @@ def _plain_classes() -> tuple[str, str, str]:
 class Codec:
     """A tokenizer of the tokenizers library, whose merges stay inside stretches that its pre-tokenizer cuts."""
 
+    @staticmethod
+    @cache
+    def of(path: str, leaf: int, window: int) -> Codec:
+        """One for all calls in a worker."""
+        return Codec(path, leaf, window)
+
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
         from tokenizers import Tokenizer
 
@@ -120,6 +134,8 @@ class Codec:
             reach *= 2
 
     def _ids(self, stretch: str) -> list[int]:
+        if len(stretch) > SHORT:
+            return self.stretch(stretch)
         found = self.known.get(stretch)
         if found is None:
             if len(self.known) > CACHE:
@@ -127,24 +143,46 @@ class Codec:
             found = self.known[stretch] = self.stretch(stretch)
         return found
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def parts(self, text: str, most: int | None = None) -> Iterator[list[int] | str]:
+        """Ids of what comes next in the text or, where a stretch is over ``most``, the stretch itself."""
+        known, long = self.by_word, most or sys.maxsize
         for part in self.cuts.split(text) if self.cuts else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                yield [self.special[part]]
             elif self.words and self.is_plain.fullmatch(part):
-                known = self.by_word
                 for word in self.plain.findall(part.lower()):
                     found = known.get(word)
                     if found is None:
+                        stretches = self._cut(word)
+                        if len(word) > SHORT:
+                            yield from (p if len(p) > long else self.stretch(p) for p in stretches)
+                            continue
                         if len(known) > CACHE:
                             known.clear()
-                        found = known[word] = [i for p in self._cut(word) for i in self.stretch(p)]
-                    ids += found
+                        found = known[word] = [i for p in stretches for i in self.stretch(p)]
+                    yield found
             elif part:
                 for stretch in self._library(part):
-                    ids += self._ids(stretch)
-        return ids
+                    yield stretch if len(stretch) > long else self._ids(stretch)
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.parts(text)))
+
+    def piece(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a piece of a stretch, and where each token ends."""
+        found = self._tree(text, 0, len(text))
+        return [i for i, _, _ in found], [end for _, _, end in found]
+
+    def joined(self, left: tuple[str, list[int], list[int]], right: tuple[str, list[int], list[int]]) -> tuple[str, list[int], list[int]]:
+        """Two neighbouring pieces (text, ids, ends) as one."""
+        text, middle = left[0] + right[0], len(left[0])
+
+        def tokens(ids: list[int], ends: list[int], at: int) -> list[tuple[int, int, int]]:
+            ends = [e + at for e in ends]
+            return list(zip(ids, [at, *ends[:-1]], ends, strict=True))
+
+        found = self._joined(text, 0, len(text), tokens(left[1], left[2], 0), tokens(right[1], right[2], middle))
+        return text, [i for i, _, _ in found], [end for _, _, end in found]
 
     def decoded(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids as the library's decode has them; special tokens are kept."""
@@ -168,15 +206,18 @@ def _sent(df: DataFrame, keep: list[str], names: list[str], column: str) -> Data
     return df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if column in keep else [F.col(column).alias("_sent")]))
 
 
-def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
+def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf: int = LEAF, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """Columns ``keep`` of df with ``ids``, the token ids of the whole text (null: of an empty one).
 
     A kept column named ``ids`` comes out as ``ids_in``. Special tokens in a
     text become their ids; none are added. Rows that repeat are encoded each; an
-    empty table gives none.
+    empty table gives none. Texts over ``piece`` symbols are asked for long
+    stretches, which are dealt out; if there are none, nothing is.
     """
-    bounded_batches(df.sparkSession)
+    spark = df.sparkSession
+    bounded_batches(spark)
     apart, place = set_apart(keep, ["ids"]), keep.index(text) if text in keep else len(keep)
+    sent, schema = _sent(df, keep, apart, text), _schema(df, keep, apart)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer, leaf, window)
@@ -194,7 +235,72 @@ def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf
                     yield pa.RecordBatch.from_arrays([*own, lists], names=[*apart, "ids"])
                     held, start, room = [], at + 1, 0
 
-    return _sent(df, keep, apart, text).mapInArrow(run, _schema(df, keep, apart) + "ids array<int>")
+    name = sent.columns[place]
+    # A stretch is no longer than its text, but for what lower case and compatibility forms add.
+    long = F.coalesce(F.char_length(name) > piece // 4, F.lit(False)) & F.col(name).rlike(rf"\S{{{min(1000, max(1, piece // 4))}}}")
+    if sent.where(long).isEmpty():
+        return sent.mapInArrow(run, schema + "ids array<int>")
+    return sent.where(~long).mapInArrow(run, schema + "ids array<int>").unionByName(_dealt(sent.where(long), name, apart, tokenizer, leaf, window, piece))
+
+
+def _dealt(sent: DataFrame, text: str, names: list[str], tokenizer: str, leaf: int, window: int, piece: int) -> DataFrame:
+    """Columns ``names`` with ``ids`` of texts whose stretches over ``piece`` symbols go through several tasks."""
+    scratch = Scratch(sent.sparkSession, "stretches")
+    rows = scratch.keep(sent.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(tokenizer, leaf, window)
+        for batch in batches:
+            for row, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids: list[int] = []
+                item = 0
+                for part in chain(codec.parts(value or "", piece), [None]):
+                    if isinstance(part, list):
+                        ids += part
+                        continue
+                    if ids:  # what stands between long stretches
+                        yield _pieces([(row, item, 0, None, ids, [])])
+                        ids, item = [], item + 1
+                    if part is not None:
+                        for k, at in enumerate(range(0, len(part), piece)):
+                            yield _pieces([(row, item, k, part[at : at + piece], [], [])])
+                        item += 1
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(tokenizer, leaf, window)
+        for batch in batches:
+            for x in batch.to_pylist():
+                ids, ends = codec.piece(x["text"])
+                yield _pieces([(x["row"], x["item"], x["part"], x["text"], ids, ends)])
+
+    def join(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("part")
+        if len(pair) == 1:
+            return pair.assign(part=pair["part"] // 2)
+        left, right = ((x["text"], list(x["ids"]), list(x["ends"])) for _, x in pair.iterrows())
+        whole, ids, ends = Codec.of(tokenizer, leaf, window).joined(left, right)
+        one = pair.iloc[0]
+        return pd.DataFrame([(one["row"], one["item"], one["part"] // 2, whole, ids, ends)], columns=pair.columns)
+
+    cuts = scratch.keep(rows.select("_row", text).mapInArrow(cut, PIECES), "cuts")
+    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    state = scratch.keep(cuts.where("text IS NOT NULL").repartition(n, "row", "item", "part").mapInArrow(encode, PIECES), "encoded")
+    while not state.where("part > 0").isEmpty():
+        joined = scratch.keep(state.groupBy("row", "item", F.floor(F.col("part") / 2).alias("pair")).applyInPandas(join, PIECES), "joined")
+        scratch.drop(state)
+        state = joined
+    whole = cuts.where("text IS NULL").select("row", "item", "ids").unionByName(state.select("row", "item", "ids"))
+    lists = whole.groupBy(F.col("row").alias("_row")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("item", "ids"))), lambda x: x["ids"])).alias("ids"))
+    out = rows.join(lists, "_row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+    return out.select(*names, "ids")
+
+
+PIECES = "row long, item int, part int, text string, ids array<int>, ends array<int>"
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["row", "item", "part", "text", "ids", "ends"])
 
 
 def decode_ids(df: DataFrame, ids: str, tokenizer: str, keep: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chalkline.llm import jaccard, langid
+from chalkline.llm import bpe, jaccard, langid
 from chalkline.llm.bpe import Codec, decode_ids, encode_texts
 from chalkline.llm.entries import TOKENIZERS
 from chalkline.llm.jaccard import bands_and_rows, near_classes
@@ -54,6 +54,27 @@ def test_codec_on_frames(spark):
     assert encode_texts(df.limit(0), "text", WORD_BPE, ["doc_id"]).collect() == []
 
 
+@needs_tokenizers
+def test_long_stretches_go_through_several_tasks(spark, monkeypatch):
+    """Letters without a break, over many pieces, alone and beside other text; and a text that is long without being one stretch."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_BPE)
+    library.no_truncation()
+    library.no_padding()
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choices("etaoinshrdlu", k=n))
+    texts = ["x", None, letters(9000), "Some words, " + letters(5000) + "! and " + letters(3100) + "<|endoftext|>" + "a" * 4000, "Ab" * 2500, letters(1500) + " İ" + "é" * 3000, "many words here " * 800]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
+    dealt = []
+    monkeypatch.setattr(bpe, "_dealt", lambda *a, whole=bpe._dealt: (dealt.append(a[0].count()), whole(*a))[1])
+    encoded = encode_texts(df, "text", WORD_BPE, ["doc_id", "ids"], 64, 8, 1000)
+    assert dealt == [4]
+    assert encoded.columns == ["doc_id", "ids_in", "ids"]
+    found = {x["doc_id"]: list(x["ids"]) for x in encoded.collect()}
+    assert found == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_forward_sums_all_segmentations():
     pieces, r = ["▁a", "b", "ab", "▁ab", "▁", "a", "bab"], np.random.default_rng(2)
     probs = r.random((len(pieces), 2))
