@@ -11,10 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.llm import warc
+from chalkline.llm import topk, warc
 from chalkline.llm.quotes import parse, reply_ordered, units
 from chalkline.llm.scratch import Scratch
-from chalkline.llm.topk import SortedLists, exact_top_k, quantised
+from chalkline.llm.topk import SortedLists, basis_of, exact_top_k, quantised
 
 
 def round_trip(spark, rows, parts=3):
@@ -103,6 +103,36 @@ def test_threshold_search(high):
         assert [(-int(s), int(i)) for i, s in zip(got_ids, got)] == best
 
 
+@pytest.mark.parametrize("decay,most", [(0.6, 0.25), (1.0, 1.0)])
+def test_the_bound_stops_where_variance_is_uneven(decay, most):
+    """Vectors that live in a few directions, turned away from the axes: a small part is met, and the result is exact."""
+    r = np.random.default_rng(4)
+    n, dims = 4000, 24
+    turn = np.linalg.qr(r.normal(size=(dims, dims)))[0]
+    vectors = np.floor(1024 * (r.normal(size=(n, dims)) * decay ** np.arange(dims)) @ turn).astype(np.int64)
+    lists = SortedLists(np.arange(n), vectors, basis_of(vectors.astype(np.float64)))
+    for q in range(0, n, 100):
+        ids, got = lists.top(q, vectors[q], 10)
+        scores = vectors @ vectors[q]
+        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:10]
+        assert [(-int(s), int(i)) for i, s in zip(ids, got)] == want
+        floor = lists.top(q, vectors[q], 10, float(-want[4][0]))[0].tolist()
+        assert floor[:5] == [i for _, i in want[:5]]
+    assert lists.met <= most * 80 * n
+
+
+def test_top_k_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = np.floor(1024 * np.array([v for _, v in rows], np.float32).astype(np.float64)).astype(np.int64)
+    found = exact_top_k(df, "vec_id", quantised(F.col("embedding")), F.col("vec_id") % 100 == 0, 10).collect()
+    want = {(q, n + 1, i, -s) for q in range(0, 900, 100) for n, (s, i) in enumerate(sorted((-int(x), i) for i, x in enumerate(whole @ whole[q]) if i != q)[:10])}
+    assert {tuple(x) for x in found} == want
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [0.5, -1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (None, [1.0, 1.0]), (100, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
