@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import Scratch, bounded_batches, set_apart
+from chalkline.llm.scratch import Scratch, bounded_batches, memory_returned, set_apart
 
 #: Symbols of a stretch that are encoded at once; longer ones are halved.
 LEAF = 4096
@@ -37,7 +37,7 @@ WINDOW = 32
 #: Symbols of a stretch that one task encodes; longer ones are dealt out.
 PIECE = 1 << 16
 #: Stretches kept in a worker, and symbols of the longest that is kept.
-CACHE, SHORT = 200_000, 64
+CACHE, SHORT = 100_000, 64
 #: Bytes of ids and decoded text in an output batch.
 BATCH = 16 << 20
 
@@ -206,18 +206,21 @@ def _sent(df: DataFrame, keep: list[str], names: list[str], column: str) -> Data
     return df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], *([] if column in keep else [F.col(column).alias("_sent")]))
 
 
-def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf: int = LEAF, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf: int = LEAF, window: int = WINDOW, piece: int = PIECE, decode: bool = False) -> DataFrame:
     """Columns ``keep`` of df with ``ids``, the token ids of the whole text (null: of an empty one).
 
-    A kept column named ``ids`` comes out as ``ids_in``. Special tokens in a
+    With ``decode`` also ``decoded``, the text of those ids as decode_ids has
+    it, made by the worker that has the tokenizer already. A kept column of an
+    added name comes out with ``_in`` at its end. Special tokens in a
     text become their ids; none are added. Rows that repeat are encoded each; an
     empty table gives none. Texts over ``piece`` symbols are asked for long
     stretches, which are dealt out; if there are none, nothing is.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    apart, place = set_apart(keep, ["ids"]), keep.index(text) if text in keep else len(keep)
-    sent, schema = _sent(df, keep, apart, text), _schema(df, keep, apart)
+    added = ["ids", "decoded"] if decode else ["ids"]
+    apart, place = set_apart(keep, added), keep.index(text) if text in keep else len(keep)
+    sent, schema = _sent(df, keep, apart, text), _schema(df, keep, apart) + ("ids array<int>, decoded string" if decode else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer, leaf, window)
@@ -232,15 +235,21 @@ def encode_texts(df: DataFrame, text: str, tokenizer: str, keep: list[str], leaf
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held)))
                     own = [batch.column(i).slice(start, len(held)) for i in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*own, lists], names=[*apart, "ids"])
+                    told = [codec.decoded(lists)] if decode else []
+                    yield pa.RecordBatch.from_arrays([*own, lists, *told], names=[*apart, *added])
                     held, start, room = [], at + 1, 0
+        del codec
+        memory_returned()
 
     name = sent.columns[place]
     # A stretch is no longer than its text, but for what lower case and compatibility forms add.
     long = F.coalesce(F.char_length(name) > piece // 4, F.lit(False)) & F.col(name).rlike(rf"\S{{{min(1000, max(1, piece // 4))}}}")
     if sent.where(long).isEmpty():
-        return sent.mapInArrow(run, schema + "ids array<int>")
-    return sent.where(~long).mapInArrow(run, schema + "ids array<int>").unionByName(_dealt(sent.where(long), name, apart, tokenizer, leaf, window, piece))
+        return sent.mapInArrow(run, schema)
+    dealt = _dealt(sent.where(long), name, apart, tokenizer, leaf, window, piece)
+    if decode:
+        dealt = decode_ids(dealt, "ids", tokenizer, [*apart, "ids"])
+    return sent.where(~long).mapInArrow(run, schema).unionByName(dealt)
 
 
 def _dealt(sent: DataFrame, text: str, names: list[str], tokenizer: str, leaf: int, window: int, piece: int) -> DataFrame:
@@ -315,5 +324,7 @@ def decode_ids(df: DataFrame, ids: str, tokenizer: str, keep: list[str]) -> Data
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.int32())) if not lists.null_count else pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32()))
             own = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, codec.decoded(lists)], names=[*apart, "decoded"])
+        del codec
+        memory_returned()
 
     return _sent(df, keep, apart, ids).mapInArrow(run, _schema(df, keep, apart) + "decoded string")

@@ -18,8 +18,13 @@ from chalkline.llm.scratch import Scratch
 from chalkline.llm.sharding import shard_by_splitters
 from chalkline.llm.topk import exact_top_k, quantised
 
-#: Public vocabularies; the folder can be named otherwise.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+def tokenizer_path(name: str) -> str:
+    """File of a public vocabulary: in the folder TOKENIZER_DIR if it is set, else where the installed package has it."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -134,22 +139,19 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again; the digests of both."""
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    encoded = bpe.encode_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", path, ["doc_id"])
-    told = encoded.withColumns(
-        {
-            "n_tokens": F.size("ids").cast("long"),
-            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256),
-        }
-    )
-    return bpe.decode_ids(told, "ids", path, ["doc_id", "n_tokens", "ids_sha256"]).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    path = tokenizer_path("word_bpe_49k.json")
+    told = bpe.encode_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), "text", path, ["doc_id"], decode=True)
+    return told.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of all documents."""
-    vocabulary = f"{TOKENIZERS}/piece_bpe_32k.model"
+    vocabulary = tokenizer_path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), "text", "lang", "doc_id", vocabulary)
     found = langid.identify(docs, "text", model, vocabulary, ["doc_id"])

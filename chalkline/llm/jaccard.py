@@ -134,6 +134,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 like[i] = common / max(1, len(a) + len(b) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(like)], names=["x", "y", "like"])
+        memory_returned()
 
     return both.mapInArrow(run, "x long, y long, like double")
 
@@ -240,6 +241,7 @@ def _forest(open_: DataFrame, signs: DataFrame, texts: DataFrame, threshold: flo
                 if common >= threshold * (len(s) + len(t) - common):
                     root[max(a, b)] = min(a, b)
                     found.append((rep[i], rep[j]))
+        memory_returned()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("_band", "_i", "_j").applyInPandas(run, "a long, b long")

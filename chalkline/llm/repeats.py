@@ -114,6 +114,7 @@ def _cut(df: DataFrame, length: int, gram: int) -> DataFrame:
                     if high == int(own[-1]):
                         break
                 at = end
+        memory_returned()
 
     return df.select("_row", "_text").mapInArrow(run, "_row long, first long, more int, anchor long, key long, content long")
 
@@ -156,6 +157,7 @@ def _halved(pieces: DataFrame, length: int) -> DataFrame:
                         own = raw[begin - offset : end - offset + length]
                         out.append((row, first + begin - offset, int.from_bytes(digest[:8], "little", signed=True), begin, end - begin + 1, own, a, b))
             yield pd.DataFrame(out, columns=PIECE)
+        memory_returned()
 
     return pieces.select(*PIECE).mapInPandas(run, "_row long, first long, key long, offset long, span long, bytes binary, low long, high long")
 
@@ -287,6 +289,7 @@ def remove_repeats(df: DataFrame, text: str, keep: list[str], length: int = LENG
                 [*columns[: len(names)], pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
                 names=[*names, "n_bytes", "spans", "kept"],
             )
+        memory_returned()
 
     out = joined.mapInArrow(run, f"{schema}n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
     apart = set_apart(keep, ["n_bytes", "spans", "kept"])

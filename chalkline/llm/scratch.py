@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from chalkline.operators import lineage
@@ -42,7 +43,8 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def memory_returned() -> None:
-    """Gives memory that numpy has freed back to the system, so that idle workers don't hold it."""
+    """Gives memory that numpy and Arrow have freed back to the system, so that idle workers don't hold it."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # another C library
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chalkline.llm import bpe, jaccard, langid
 from chalkline.llm.bpe import Codec, decode_ids, encode_texts
-from chalkline.llm.entries import TOKENIZERS
+from chalkline.llm.entries import tokenizer_path
 from chalkline.llm.jaccard import bands_and_rows, near_classes
 from chalkline.llm.repeats import remove_repeats
 from chalkline.llm.scratch import Scratch
 from chalkline.llm.shingles import Words, arrow_bytes, shingle_set
 from chalkline.llm import repeats, suffixsort
 
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+WORD_BPE = tokenizer_path("word_bpe_49k.json")
 needs_tokenizers = pytest.mark.skipif(not os.path.exists(WORD_BPE), reason="no tokenizer files")
 
 
@@ -72,7 +72,10 @@ def test_long_stretches_go_through_several_tasks(spark, monkeypatch):
     assert dealt == [4]
     assert encoded.columns == ["doc_id", "ids_in", "ids"]
     found = {x["doc_id"]: list(x["ids"]) for x in encoded.collect()}
-    assert found == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert found == want
+    told = encode_texts(df, "text", WORD_BPE, ["doc_id"], 64, 8, 1000, decode=True).collect()
+    assert {x["doc_id"]: x["decoded"] for x in told} == {i: library.decode(x, skip_special_tokens=False) for i, x in want.items()}
 
 
 def test_forward_sums_all_segmentations():
@@ -105,7 +108,7 @@ def test_langid_scores_a_long_run_to_its_end():
 @needs_tokenizers
 def test_language_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    vocabulary = f"{TOKENIZERS}/piece_bpe_32k.model"
+    vocabulary = tokenizer_path("piece_bpe_32k.model")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), "text", "lang", "doc_id", vocabulary)
     extra = spark.createDataFrame([(-1, None, "x"), (-2, "12 ... 3", "x")], "doc_id long, text string, lang string")
     rows = docs.select("doc_id", "text", "lang").unionByName(extra)
