@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import bpe, langid
-from chalkline.llm.entries import TOKENIZERS
+from chalkline.llm.entries import tokenizer_path
 from chalkline.llm.jaccard import near_classes
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.repeats import remove_repeats
@@ -37,7 +37,7 @@ def _stage(body: Stage) -> Stage:
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned from the labels; those without a letter go."""
-    vocabulary = f"{TOKENIZERS}/piece_bpe_32k.model"
+    vocabulary = tokenizer_path("piece_bpe_32k.model")
     docs = docs.select(COLUMNS)
     model = langid.fit(docs, "text", "lang", "doc_id", vocabulary)
     if not model[0]:  # no label to learn from: only texts without a letter are rejected
@@ -74,9 +74,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and the text that the ids stand for."""
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    encoded = bpe.encode_texts(docs, "text", path, COLUMNS).withColumn("n_tokens", F.size("ids").cast("long"))
-    return bpe.decode_ids(encoded, "ids", path, [*COLUMNS, "n_tokens", "ids"])
+    encoded = bpe.encode_texts(docs, "text", tokenizer_path("word_bpe_49k.json"), COLUMNS, decode=True)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Stage]] = [
