@@ -304,7 +304,12 @@ def validate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(books(spark, sf_dir)).curriculum.topics.select("book", "id", "chapter_id", F.col("boundary_violation").alias("violated"))
 
 
-@register("validate_light_chapters")
+@register(
+    "validate_light_chapters",
+    f"""WITH {VALID_SQL}, g AS (SELECT *, CASE WHEN n IS NULL THEN 0.2 WHEN n = 1 AND page_end - page_start + 1 > 8 THEN 0.7 ELSE 1.0 END::DOUBLE AS light FROM filled)
+        SELECT book, id, CAST(row_number() OVER (PARTITION BY book ORDER BY page_start) AS INT) AS number, page_start, page_end, light AS confidence,
+        CASE WHEN light >= 0.8 THEN 'verified' WHEN light >= 0.4 THEN 'partial' ELSE 'unverified' END AS status FROM g""",
+)
 def validate_light_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters in the validator's light mode, where nothing is set apart."""
     return validate(books(spark, sf_dir), "light").curriculum.chapters.select("book", "id", "number", "page_start", "page_end", "confidence", "status")

@@ -292,7 +292,15 @@ def exercise_dedup_prefix80(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by(keyed, ["source", "key"], [F.col("doc_id")]).select("doc_id")
 
 
-@register("topic_dedup_semantic")
+@register(
+    "topic_dedup_semantic",
+    f"""WITH RECURSIVE {TOPICS_SQL}, r AS (SELECT book, chapter, topic_id, lower(topic_id % 4 || '. ' || name || ' (' || left(book, 1) || ')') AS exact, page_start || '|' || lower(name) AS meaning,
+          row_number() OVER (PARTITION BY book, chapter ORDER BY topic_id) AS n FROM topics),
+        f AS (SELECT book, chapter, n, [exact] AS a, [meaning] AS b, [topic_id] AS ids FROM r WHERE n = 1 UNION ALL
+          SELECT f.book, f.chapter, r.n, CASE WHEN list_contains(a, exact) OR list_contains(b, meaning) THEN a ELSE list_append(a, exact) END, CASE WHEN list_contains(a, exact) OR list_contains(b, meaning) THEN b ELSE list_append(b, meaning) END,
+          CASE WHEN list_contains(a, exact) OR list_contains(b, meaning) THEN ids ELSE list_append(ids, topic_id) END FROM f JOIN r ON r.book = f.book AND r.chapter = f.chapter AND r.n = f.n + 1)
+        SELECT unnest(arg_max(ids, n)) AS topic_id FROM f GROUP BY book, chapter""",
+)
 def topic_dedup_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact and semantic duplicates of a chapter in one pass; a row that goes registers neither key."""
     rows = topics(spark, sf_dir).withColumn("title", F.concat((F.col("topic_id") % 4).cast("string"), F.lit(". "), "name", F.lit(" ("), F.substring("book", 1, 1), F.lit(")")))

@@ -203,14 +203,17 @@ def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_topics(spark, sf_dir).where(~is_garbage(F.col("name"), F.col("summary"))).select("topic_id", "name")
 
 
-@register("debug_sentence_strip")
+@register("debug_sentence_strip", f"WITH {DESCRIBED_SQL} SELECT topic_id, summary || CASE WHEN topic_id % 3 = 0 THEN '. Then more.' ELSE '.' END AS summary FROM described")
 def debug_sentence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions between sentences about the extraction, without those."""
     meta = F.when(F.col("topic_id") % 3 == 0, ". This page belongs to another chapter. Then more.").when(F.col("topic_id") % 3 == 1, ". NOTE: taken from page 3").otherwise(".")
     return described(spark, sf_dir).select("topic_id", without_meta(F.concat("summary", meta)).alias("summary"))
 
 
-@register("json_repair")
+@register(
+    "json_repair",
+    """SELECT event_id, CASE event_id % 4 WHEN 2 THEN '{"a": [1, 2]}' WHEN 3 THEN '{"k": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || ', "t": "open"}' ELSE props END AS json FROM events""",
+)
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as models return them: fenced, cut short or with text around; what they hold afterwards."""
     k = F.col("event_id") % 4
@@ -226,7 +229,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 XML = "topic struct<_id:string,name:string,page_start:int,prerequisites:struct<ref:array<string>>>"
 
 
-@register("xml_flatten")
+@register("xml_flatten", "SELECT p_partkey AS topic_id, 'T_1_' || p_partkey AS id, p_name || ' & co' AS name, p_size AS page_start, 'T_1_2' AS prerequisites FROM part")
 def xml_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics from XML of which a third lacks its end; prerequisites count only as T_n_m."""
     whole = F.concat(
