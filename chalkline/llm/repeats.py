@@ -38,8 +38,8 @@ GRAM = 40
 MOST_SEGMENTS = 256
 #: Bytes of text that are cut at once.
 CHUNK = 1 << 20
-#: Bytes of segments in a shard of the suffix sorter, whose arrays go to disk beyond the sorter's budget.
-SHARD = 16 << 20
+#: Bytes of segments in a shard of the suffix sorter, whose tuples go to disk beyond the sorter's budget (they take 18 times as much).
+SHARD = 2 << 20
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:

@@ -33,7 +33,7 @@ import numpy as np
 END, CUT, FIRST = 0, 1, 2
 SIGMA = FIRST + 256
 #: Bytes of queues, and of each array, that a sorter holds in memory before it goes to disk.
-BUDGET = 64 << 20
+BUDGET = 12 << 20
 #: Slots in a page of a queue, as a power of two.
 PAGE_BITS = 18
 #: Symbols that are looked at together where a whole string is read.
@@ -55,7 +55,7 @@ class Store:
     def array(self, n: int, kind: type) -> np.ndarray:
         if n * np.dtype(kind).itemsize * 4 <= self.budget or not n:
             return np.empty(n, kind)
-        return np.memmap(self.path(), kind, "w+", shape=(n,))
+        return np.memmap(self.path(), kind, "w+", shape=(n,)).view(np.ndarray)
 
     def close(self) -> None:
         if self.folder is not None:
@@ -184,8 +184,8 @@ def substring_names(text: np.ndarray, stars: np.ndarray, sigma: int) -> np.ndarr
 
 
 def four_at_once(text: np.ndarray, store: Store) -> np.ndarray | None:
-    """The four symbols from each place on as one number, the first one lowest; None if that is over the budget."""
-    if len(text) * 8 > store.budget or text.dtype != np.uint16:
+    """The four symbols from each place on as one number, the first one lowest; None if that is far over the budget."""
+    if len(text) * 8 > 4 * store.budget or text.dtype != np.uint16:
         return None
     padded = np.append(text, np.zeros(3, text.dtype)).astype(np.uint64)
     n = len(text)
