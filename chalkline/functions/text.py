@@ -69,10 +69,11 @@ def all_keywords(text: Column, rules: list[tuple[list[str], str]], default: str)
 
 
 def canonical_ids(x: Column, old: Column, new: Column) -> Column:
-    """Ids of one chapter number moved to another: T_3_1 becomes T_7_1."""
+    """Ids of one chapter number moved to another: T_3_1 becomes T_7_1, C_3 becomes C_7; what is no id stays."""
     parts = F.split(x, "_")
-    moved = F.concat_ws("_", F.get(parts, F.lit(0)), new.cast("string"), F.array_join(F.slice(parts, 3, 1000), "_"))
-    return F.when(F.get(parts, F.lit(1)) == old.cast("string"), moved).otherwise(x)
+    rest = F.slice(parts, 3, 1000)
+    moved = F.concat_ws("_", F.get(parts, F.lit(0)), new.cast("string"), F.when(F.size(rest) > 0, F.array_join(rest, "_")))
+    return F.when(F.coalesce(F.get(parts, F.lit(1)) == old.cast("string"), F.lit(False)), moved).otherwise(x)
 
 
 def strip_fences(x: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkline.functions.numeric import round_half_up
-from chalkline.functions.text import semantic_name
+from chalkline.functions.text import canonical_ids, semantic_name
 from chalkline.operators.curriculum import status_of
 from chalkline.operators.folds import first_by
 from chalkline.operators.keyed import keyed_union
@@ -262,6 +262,50 @@ def page_gaps_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.withColumn("topic_id", F.concat(F.lit("T_"), "chapter", F.lit("_placeholder_"), F.col("page").cast("string")))
 
 
+@register(
+    "page_placeholders_whole",
+    f"""WITH {TOPICS_SQL}, covered AS (SELECT DISTINCT book, chapter, unnest(range(page_start, page_end + 1)) AS page FROM topics),
+        expected AS (SELECT book, chapter, unnest(range(page_start, page_start + 30)) AS page FROM chapters), gaps AS (SELECT book, chapter, CAST(page AS BIGINT) AS page FROM expected ANTI JOIN covered USING (book, chapter, page))
+        SELECT book, 'exercise' AS kind, 'E_' || chapter || '_placeholder_' || page || '_1' AS id, 'T_' || chapter || '_placeholder_' || page AS other FROM gaps
+        UNION ALL SELECT book, 'contains', chapter, 'T_' || chapter || '_placeholder_' || page FROM gaps UNION ALL SELECT book, 'tests', 'E_' || chapter || '_placeholder_' || page || '_1', 'T_' || chapter || '_placeholder_' || page FROM gaps""",
+)
+def page_placeholders_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What comes with each placeholder topic: an exercise, the edge from its chapter and the edge from the exercise."""
+    gaps = page_gaps_placeholders(spark, sf_dir)
+    exercise = F.concat(F.regexp_replace("topic_id", "^T", "E"), F.lit("_1"))
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), one.alias("id"), F.col("topic_id").alias("other")) for kind, one in (("exercise", exercise), ("contains", F.col("chapter")), ("tests", exercise))])
+    return gaps.select("book", F.explode(rows).alias("x")).select("book", "x.*")
+
+
+@register(
+    "image_page_topics",
+    f"""WITH {TOPICS_SQL}, t AS (SELECT book, topic_id, CASE WHEN topic_id % 7 = 0 THEN 0 ELSE page_start END AS a, CASE WHEN topic_id % 5 = 0 THEN 999 ELSE page_end END AS b FROM topics)
+        SELECT book, page, min(topic_id) AS topic_id FROM t JOIN (SELECT unnest(range(0, 80)) AS page) p ON page BETWEEN a AND b GROUP BY book, page""",
+)
+def image_page_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first topic that holds an image's page; a missing first page is 0, a missing last one 999.
+
+    Ranges meet only the pages that have images: bounds are cut to those first.
+    """
+    rows = topics(spark, sf_dir).select("book", "topic_id", F.when(F.col("topic_id") % 7 != 0, F.col("page_start")).alias("a"), F.when(F.col("topic_id") % 5 != 0, F.col("page_end")).alias("b"))
+    bounded = rows.select("book", "topic_id", F.greatest(F.coalesce("a", F.lit(0)), F.lit(0)).alias("a"), F.least(F.coalesce("b", F.lit(999)), F.lit(79)).alias("b"))
+    return pages_of(bounded, "a", "b").groupBy("book", F.col("page").cast("long").alias("page")).agg(F.min("topic_id").alias("topic_id"))
+
+
+@register(
+    "ids_of_another_chapter",
+    r"""WITH i AS (SELECT p_partkey AS topic, p_partkey % 4 AS old, p_partkey % 9 AS new, unnest(['C_' || p_partkey % 4, 'T_' || p_partkey % 4 || '_' || p_partkey, 'ST_' || p_partkey % 4 || '_1_2', 'E_7_' || p_partkey % 4, 'S_' || p_partkey % 4 || '_9', 'note']) AS id FROM part)
+        SELECT topic, id, regexp_replace(id, '^([A-Z]+_)' || old || '(_|$)', '\1' || new || '\2') AS moved FROM i""",
+)
+def ids_of_another_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of a chunk whose chapter has another number than it should: the first number of all kinds of ids moves."""
+    old, new, key = ((F.col("p_partkey") % 4), (F.col("p_partkey") % 9), F.col("p_partkey").cast("string"))
+    o = old.cast("string")
+    ids = F.array(F.concat_ws("_", F.lit("C"), o), F.concat_ws("_", F.lit("T"), o, key), F.concat_ws("_", F.lit("ST"), o, F.lit("1_2")), F.concat_ws("_", F.lit("E_7"), o), F.concat_ws("_", F.lit("S"), o, F.lit("9")), F.lit("note"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic"), old.alias("old"), new.alias("new"), F.explode(ids).alias("id"))
+    return rows.select("topic", "id", canonical_ids(F.col("id"), F.col("old"), F.col("new")).alias("moved"))
+
+
 @register(
     "page_coverage",
     f"""WITH {TOPICS_SQL} SELECT book, chapter, count(DISTINCT page) AS pages FROM (SELECT book, chapter, unnest(range(page_start, page_end + 1)) AS page FROM topics

@@ -190,17 +190,18 @@ matrix AS (SELECT s.student_id, t.topic, coalesce(b.mastery, 0.0::DOUBLE) AS mas
 """
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every student and topic, mastery 0 where none is known. Topics are the small side: a curriculum's list."""
-    known = submissions(spark, sf_dir)
-    students = known.select("student_id").union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
-    topics = known.groupBy().agg(F.array_sort(F.collect_set("topic")).alias("topics"))
-    return (
-        students.crossJoin(F.broadcast(topics))  # one row
-        .select("student_id", F.explode("topics").alias("topic"))
-        .join(blended(spark, sf_dir).select("student_id", "topic", "mastery"), ["student_id", "topic"], "left")
-        .fillna(0.0, ["mastery"])
-    )
+def zero_filled(known: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """(by, topic, avg_mastery, struggling) where every student counts for every topic, with 0 where nothing is known.
+
+    ``known`` has (by, topic, mastery), ``groups`` (by, students). No pair of
+    student and topic is made: unknown ones add nothing to a sum, and are
+    struggling like all who haven't reached 0.7.
+    """
+    sums = known.groupBy(*by, "topic").agg(F.sum(F.col("mastery").cast("decimal(20,6)")).alias("_sum"), F.count_if(F.col("mastery") >= 0.7).alias("_fine"))
+    every = groups.crossJoin(known.select("topic").distinct()) if by else known.select("topic").distinct().crossJoin(F.broadcast(groups))  # groups x topics; one group is one row
+    found = every.join(sums, [*by, "topic"], "left")
+    mean = F.coalesce(F.col("_sum"), F.lit(0)).cast("double") / F.col("students")
+    return found.select(*by, "topic", round_half_up(mean).alias("avg_mastery"), (F.col("students") - F.coalesce("_fine", F.lit(0))).alias("struggling"))
 
 
 @register(
@@ -209,8 +210,9 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(*) FILTER (mastery < 0.7) AS struggling FROM matrix GROUP BY topic""",
 )
 def class_matrix_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = matrix(spark, sf_dir).groupBy("topic")
-    return stats.agg(round_half_up(exact_mean("mastery")).alias("avg_mastery"), F.count_if(F.col("mastery") < 0.7).alias("struggling"))
+    """Mean mastery and struggling students of each topic over all students, known or not."""
+    users = submissions(spark, sf_dir).select("student_id").union(table(spark, sf_dir, "customer").select("c_custkey")).distinct()
+    return zero_filled(blended(spark, sf_dir), users.agg(F.count(F.lit(1)).alias("students")), [])
 
 
 AT_RISK_SQL = f"""{BLENDED_SQL}, {FRUSTRATION_SQL},
@@ -454,6 +456,7 @@ def reteach_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_pulse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First four weak topics of each class."""
     classes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("class_id"))
-    means = matrix(spark, sf_dir).join(classes, "student_id").groupBy("class_id", "topic").agg(round_half_up(exact_mean("mastery")).alias("avg_mastery"))
+    groups = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("students"))
+    means = zero_filled(blended(spark, sf_dir).join(classes, "student_id"), groups, ["class_id"])
     weak = newest(means.where("avg_mastery < 0.7D"), ["class_id"], [F.col("avg_mastery"), F.col("topic")], 4)
     return weak.select("class_id", "rank", "topic", "avg_mastery")

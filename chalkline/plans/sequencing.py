@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chalkline.operators.folds import first_by
 from chalkline.operators.graph import break_cycles, layers, sequence_week
 from chalkline.plans.registry import register
+from chalkline.sources.documents import parse_legacy
 from chalkline.sources.tables import table
 
 EDGES_SQL = "edges AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey >= 1 AND p_partkey // 2 <> p_partkey)"
@@ -49,6 +50,21 @@ def graph_edges_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("child_name").alias("child"), F.col("parent_name").alias("parent")).distinct()
 
 
+@register(
+    "graph_by_names",
+    """SELECT DISTINCT p_name AS child, CASE WHEN p_partkey % 5 = 0 THEN 'Unknown ' || p_partkey % 3 ELSE p_type END AS parent FROM part WHERE p_partkey % 2 = 0""",
+)
+def graph_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the nested form: prerequisites are names, and may name what no topic is called."""
+    parent = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("Unknown "), (F.col("p_partkey") % 3).cast("string"))).otherwise(F.col("p_type"))
+    needs = F.when(F.col("p_partkey") % 2 == 0, F.array(parent)).otherwise(F.array().cast("array<string>"))
+    topic = F.struct(F.col("p_name").alias("topic_name"), needs.alias("prerequisites"))
+    books = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("book")).agg(F.collect_list(topic).alias("topics"))
+    chapter = F.array(F.struct(F.lit("One").alias("chapter_name"), "topics"))
+    raw = books.select("book", F.to_json(F.struct(chapter.alias("chapters"))).alias("document"))
+    return parse_legacy(raw).edges.select("child", "parent").distinct()
+
+
 @register(
     "resolve_prerequisites",
     """WITH refs AS (SELECT p_partkey AS topic, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey // 2 AS VARCHAR) WHEN p_partkey % 3 = 1 THEN p_name ELSE 'nothing' END AS ref FROM part),
@@ -203,32 +219,75 @@ def break_cycles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return break_cycles(both.select("group", F.col("child").alias("pos"), F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")))
 
 
+_DAYS_SQL = """days AS (SELECT o_custkey AS plan, CAST(o_orderkey % 5 AS INT) AS dow, min(o_orderkey) AS day_id FROM orders GROUP BY ALL),
+d AS (SELECT *, CASE WHEN day_id % 4 = 0 THEN 'taught' ELSE 'pending' END AS status FROM days)"""
+
+
+def week_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("plan"), (F.col("o_orderkey") % 5).cast("int").alias("dow")).agg(F.min("o_orderkey").alias("day_id"))
+    return days.withColumn("status", F.when(F.col("day_id") % 4 == 0, "taught").otherwise("pending"))
+
+
+def carried_forward(days: DataFrame, carried: DataFrame) -> DataFrame:
+    """Days (plan, dow, day_id, status) with a concept of each plan of ``carried`` (plan, from_day) put on the day after from_day.
+
+    Pending days from there on move by one, off the week's end; others stay,
+    and ``conflict`` marks days that two rows of a plan then share. Nothing
+    comes after day 4, so a plan carried from there stays as it is.
+    """
+    moves = carried.where("from_day < 4").select("plan", (F.col("from_day") + 1).alias("slot"))
+    known = days.join(moves, "plan", "left")
+    shifted = F.coalesce((F.col("status") == "pending") & (F.col("dow") >= F.col("slot")), F.lit(False))
+    stayed = known.withColumn("dow", F.when(shifted, F.col("dow") + 1).otherwise(F.col("dow"))).where("dow <= 4").drop("slot")
+    new = days.select("plan").distinct().join(moves, "plan").select("plan", F.col("slot").cast("int").alias("dow"), F.lit(None).cast("long").alias("day_id"), F.lit("carried_forward").alias("status"))
+    return stayed.select(*new.columns).unionByName(new).withColumn("conflict", F.count(F.lit(1)).over(W.partitionBy("plan", "dow")) > 1)
+
+
 @register(
     "carry_forward_shift",
-    """WITH days AS (SELECT o_custkey AS plan, CAST(o_orderkey % 5 AS INT) AS dow, min(o_orderkey) AS day_id FROM orders GROUP BY ALL),
-       d AS (SELECT *, CASE WHEN day_id % 4 = 0 THEN 'taught' ELSE 'pending' END AS status FROM days),
-       s AS (SELECT plan, CASE WHEN status = 'pending' AND dow >= 2 THEN dow + 1 ELSE dow END AS dow, day_id, status FROM d)
-       SELECT plan, dow, day_id, status FROM s WHERE dow <= 4 UNION ALL SELECT DISTINCT plan, 2, NULL, 'pending' FROM d""",
+    f"""WITH {_DAYS_SQL}, m AS (SELECT plan, dow, day_id, status, CAST(plan % 5 + 1 AS INT) AS slot, plan % 5 < 4 AS moves FROM d),
+       s AS (SELECT plan, CASE WHEN moves AND status = 'pending' AND dow >= slot THEN dow + 1 ELSE dow END AS dow, day_id, status FROM m),
+       u AS (SELECT plan, dow, day_id, status FROM s WHERE dow <= 4 UNION ALL SELECT DISTINCT plan, slot, NULL, 'carried_forward' FROM m WHERE moves)
+       SELECT *, count(*) OVER (PARTITION BY plan, dow) > 1 AS conflict FROM u""",
 )
 def carry_forward_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A concept carried over from day 1 takes day 2: pending days from there move on, and off the week."""
-    days = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("plan"), (F.col("o_orderkey") % 5).cast("int").alias("dow")).agg(F.min("o_orderkey").alias("day_id"))
-    days = days.withColumn("status", F.when(F.col("day_id") % 4 == 0, "taught").otherwise("pending"))
-    moved = days.withColumn("dow", F.when((F.col("status") == "pending") & (F.col("dow") >= 2), F.col("dow") + 1).otherwise(F.col("dow"))).where("dow <= 4")
-    carried = days.select("plan").distinct().select("plan", F.lit(2).alias("dow"), F.lit(None).cast("long").alias("day_id"), F.lit("pending").alias("status"))
-    return moved.select("plan", "dow", "day_id", "status").unionByName(carried)
+    """Weeks with a concept carried over from a day that differs by plan."""
+    days = week_rows(spark, sf_dir)
+    return carried_forward(days, days.select("plan").distinct().withColumn("from_day", F.col("plan") % 5))
+
+
+# Fixed value: how a day's notes open that begins with a recap.
+RECAP = "[RECAP] Start with a 5-minute recap of '{}' before today's concept."
 
 
 @register(
     "recap_note",
     """WITH days AS (SELECT o_custkey AS plan, CAST(o_orderkey % 5 AS INT) AS dow, min(o_orderkey) AS day_id FROM orders GROUP BY ALL)
-       SELECT plan, dow, 'Recap: fractions' || chr(10) || 'day ' || day_id AS notes FROM days WHERE dow > 1 AND day_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY plan ORDER BY dow) = 1""",
+       SELECT plan, dow, '[RECAP] Start with a 5-minute recap of ''fractions'' before today''s concept.' || CASE WHEN day_id % 3 = 0 THEN '' ELSE chr(10) || 'day ' || day_id END AS notes
+       FROM days WHERE dow > 1 AND day_id % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY plan ORDER BY dow) = 1""",
 )
 def recap_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first pending day after day 1 opens with a recap."""
-    days = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("plan"), (F.col("o_orderkey") % 5).cast("int").alias("dow")).agg(F.min("o_orderkey").alias("day_id"))
-    first = first_by(days.where("dow > 1 AND day_id % 4 <> 0"), ["plan"], [F.col("dow")])
-    return first.select("plan", "dow", F.concat_ws("\n", F.lit("Recap: fractions"), F.concat(F.lit("day "), F.col("day_id").cast("string"))).alias("notes"))
+    """The first pending day after day 1 opens with a recap; notes that it had follow on a line of their own."""
+    first = first_by(week_rows(spark, sf_dir).where("dow > 1 AND status = 'pending'"), ["plan"], [F.col("dow")])
+    own = F.when(F.col("day_id") % 3 != 0, F.concat(F.lit("day "), F.col("day_id").cast("string")))
+    return first.select("plan", "dow", F.concat_ws("\n", F.lit(RECAP.format("fractions")), own).alias("notes"))
+
+
+@register(
+    "week_serialised",
+    """WITH days AS (SELECT o_custkey AS plan, CAST(o_orderkey % 5 AS INT) AS dow, min(o_orderkey) AS day_id FROM orders GROUP BY ALL),
+       f AS (SELECT l_orderkey AS day_id, arg_min(l_comment, (l_linenumber, l_comment)) AS response FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_partkey AS l_comment FROM lineitem) GROUP BY l_orderkey)
+       SELECT plan, string_agg(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'][dow + 1] || ':' || d.day_id || ':' || coalesce(response, 'none'), ' ' ORDER BY dow) AS days FROM days d LEFT JOIN f ON f.day_id = d.day_id GROUP BY plan""",
+)
+def week_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans with their days as structs: the weekday's name, and the first feedback or none."""
+    told = F.struct("l_linenumber", F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("response"))
+    feedback = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("day_id")).agg(F.array_sort(F.collect_list(told)).alias("feedback"))
+    names = F.array(*map(F.lit, ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")))
+    day = F.struct("dow", F.element_at(names, F.col("dow") + 1).alias("day"), "day_id", F.try_element_at("feedback", F.lit(1)).alias("feedback"))
+    plans = week_rows(spark, sf_dir).join(feedback, "day_id", "left").groupBy("plan").agg(F.array_sort(F.collect_list(day)).alias("days"))
+    text = F.transform("days", lambda d: F.concat_ws(":", d["day"], d["day_id"].cast("string"), F.coalesce(d["feedback"]["response"], F.lit("none"))))
+    return plans.select("plan", F.array_join(text, " ").alias("days"))
 
 
 @register(
@@ -236,7 +295,8 @@ def recap_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH d AS (SELECT o_custkey AS plan, o_orderkey AS concept, ['taught','partial','skipped','carried_forward','pending'][o_orderkey % 5 + 1] AS status, o_orderkey % 3 = 0 AS struggled FROM orders)
        SELECT plan, array_to_string(list(concept ORDER BY concept) FILTER (status = 'taught'), ',') AS covered,
        array_to_string(list(concept ORDER BY concept) FILTER (status IN ('partial','skipped','carried_forward')), ',') AS missed,
-       array_to_string(list(concept ORDER BY concept) FILTER (struggled), ',') AS struggles FROM d GROUP BY plan""",
+       array_to_string(list(concept ORDER BY concept) FILTER (struggled), ',') AS struggles,
+       concat_ws(',', array_to_string(list(concept ORDER BY concept) FILTER (status IN ('partial','skipped','carried_forward')), ','), array_to_string(list(concept ORDER BY concept) FILTER (struggled), ',')) AS next_week FROM d GROUP BY plan""",
 )
 def week_summary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a week covered, missed and struggled with; next week takes up missed and struggles."""
@@ -247,4 +307,4 @@ def week_summary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("status") == "taught").alias("covered"),
         listed(F.col("status").isin("partial", "skipped", "carried_forward")).alias("missed"),
         listed(F.col("concept") % 3 == 0).alias("struggles"),
-    )
+    ).withColumn("next_week", F.concat_ws(",", "missed", "struggles"))
