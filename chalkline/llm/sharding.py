@@ -3,8 +3,8 @@
 Records are put in the order of a key (36 bits of the text's digest, then 24 of
 the id's), so that equal texts stand together and a hot text still has millions
 of places to be cut at. A size-weighted sample of the keys gives quantile
-boundaries of many fine ranges; a range that is overfull once all records are
-counted is subdivided. Ranges are the unit of work: no window is wider than one.
+boundaries of many fine ranges; ranges that are overfull once all records are
+counted are subdivided, and again while any is. Ranges are the unit of work: no window is wider than one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chalkline.llm.scratch import Scratch
+from chalkline.llm.scratch import Scratch, set_apart
 
 #: Bits of the key that come from the id; the rest comes from the text.
 ID_BITS = 24
@@ -58,12 +58,14 @@ def shard_by_splitters(df: DataFrame, text: str, id_col: str, shards: int = 8) -
 
     A record's size is the UTF-8 bytes of its text (null: none) plus 1. Returns
     the id, ``size``, ``text_crc32`` (null for a null text), ``shard`` and
-    ``slot`` (gapless from 0 in each shard). Other columns are not carried.
+    ``slot`` (gapless from 0 in each shard). Other columns are not carried; an id
+    column of an added name comes out with ``_in`` at its end.
 
     Groups of equal texts stay whole up to WHOLE_SHARE of a mean shard; larger
     ones are cut wherever the sizes ask for it. Null and empty texts form one
     group, null ids come first among equals, rows that repeat are dealt one by
-    one, and an empty table gives no rows. Reruns deal alike: the sample is
+    one, and an empty table gives no rows. Rows equal in id and text have one
+    key: they are dealt by size like all others, from one range. Reruns deal alike: the sample is
     drawn by hash and changes only how the work is cut up.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "sharding")
@@ -104,17 +106,21 @@ def shard_by_splitters(df: DataFrame, text: str, id_col: str, shards: int = 8) -
     start = lambda b: b if b >> ID_BITS in hot_set else b >> ID_BITS << ID_BITS
     bounds = sorted({start(b) for b in bounds})
 
-    # Exact counts; overfull ranges are subdivided by quantiles of their own.
-    filled = _with_range(slim, bounds).groupBy("_range").agg(F.sum("_size").alias("_b"), F.count(F.lit(1)).alias("_n"))
-    over = [r[0] for r in filled.where(f"_b > {2 * mean} AND _n > 1").select("_range").collect()]
-    if over:
+    # Exact counts; overfull ranges are subdivided by quantiles of their own until none is left that can be.
+    while True:
+        ranged = _with_range(slim, bounds)
+        filled = ranged.groupBy("_range").agg(F.sum("_size").alias("_b"), F.min("_key").alias("_low"), F.max("_key").alias("_high"))
+        over = [r[0] for r in filled.where(f"_b > {2 * mean} AND _low < _high").select("_range").collect()]  # fewer than half of all ranges
+        if not over:
+            break
         wide = spark.range(1).select(F.explode(F.lit(over)).alias("_range"))
-        parts = _with_range(slim, bounds).join(F.broadcast(wide), "_range").groupBy("_range")
-        cuts = parts.agg(F.percentile_approx("_key", F.lit([i / 8 for i in range(1, 8)]), 1000).alias("_cuts"))
-        bounds = sorted({*bounds, *(start(b) for r in cuts.collect() for b in r["_cuts"])})
+        cuts = ranged.join(F.broadcast(wide), "_range").groupBy("_range").agg(F.percentile_approx("_key", F.lit([i / 8 for i in range(1, 8)]), 1000).alias("_cuts"))
+        finer = sorted({*bounds, *(start(b) for r in cuts.collect() for b in r["_cuts"])})
+        if finer == bounds:  # groups that stay whole
+            break
+        bounds = finer
 
     heads_hot = F.shiftright("_key", ID_BITS).isin(hot) if hot else F.lit(False)
-    ranged = _with_range(slim, bounds)
     sums = ranged.groupBy("_range").agg(F.sum("_size").alias("_b"))
     offsets = sums.select("_range", (F.sum("_b").over(W.orderBy("_range")) - F.col("_b")).alias("_before"))
     order = ["_key", "_id", "_size", "_crc"]
@@ -138,7 +144,7 @@ def shard_by_splitters(df: DataFrame, text: str, id_col: str, shards: int = 8) -
         "_range", "shard", "_first", (F.sum("_n").over(W.partitionBy("shard").orderBy("_range")) - F.col("_n")).alias("_base")
     )
     return placed.join(F.broadcast(firsts), ["_range", "shard"]).select(  # ranges + shards rows at most
-        F.col("_id").alias(id_col),
+        F.col("_id").alias(set_apart([id_col], ["size", "text_crc32", "shard", "slot"])[0]),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         "shard",
