@@ -398,6 +398,19 @@ def teaching_notes_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "low_topics_first_three",
+    f"""WITH RECURSIVE {BLENDED_SQL}, stats AS (SELECT c_nationkey AS class_id, topic, floor({mean_sql('mastery')} * 100 + 0.5) / 100.0::DOUBLE AS avg_mastery FROM blended JOIN customer ON c_custkey = student_id GROUP BY ALL)
+        SELECT class_id, array_to_string(list(topic ORDER BY topic)[1:3], ',') AS low_topics FROM stats WHERE avg_mastery < 0.6 GROUP BY class_id""",
+)
+def low_topics_first_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three topics of each class under 0.6, in the order in which topics are listed."""
+    classes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student_id"), F.col("c_nationkey").alias("class_id"))
+    stats = blended(spark, sf_dir).join(classes, "student_id").groupBy("class_id", "topic").agg(round_half_up(exact_mean("mastery")).alias("avg_mastery"))
+    low = newest(stats.where("avg_mastery < 0.6D"), ["class_id"], [F.col("topic")], 3)
+    return low.groupBy("class_id").agg(F.array_join(F.array_sort(F.collect_list("topic")), ",").alias("low_topics"))
+
+
 @register(
     "at_risk_labels",
     f"""WITH RECURSIVE {AT_RISK_SQL} SELECT student_id, name || ' (mastery: ' || CAST(CAST(floor(raw * 100 + 0.5) AS INT) AS VARCHAR) || '%)'

@@ -132,6 +132,39 @@ def recommend_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_.groupBy("student", "book").agg(F.min("topic").alias("next_topic"))
 
 
+@register(
+    "mastery_with_names",
+    f"""WITH {KNOWN_SQL} SELECT student, p_name AS topic, max(mastery) AS mastery FROM known JOIN part ON p_partkey = topic AND topic % 9 <> 0 GROUP BY student, p_name""",
+)
+def mastery_with_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mastery by the name of the topic; rows whose topic has none go, and of topics of one name the best counts."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_name")).alias("name"))
+    named = known(spark, sf_dir).join(names, "topic", "left").where("name IS NOT NULL")
+    return named.groupBy("student", F.col("name").alias("topic")).agg(F.max("mastery").alias("mastery"))
+
+
+def recommended(strict: DataFrame, legacy: DataFrame, students: DataFrame) -> DataFrame:
+    """(student, next_topic, form): the strict form's topic, else that of the nested list, else none."""
+    both = students.join(strict.select("student", F.col("next_topic").alias("s")), "student", "left").join(legacy.select("student", F.col("next_topic").alias("l")), "student", "left")
+    form = F.when(F.col("s").isNotNull(), "strict").when(F.col("l").isNotNull(), "legacy")
+    return both.select("student", F.coalesce("s", "l").alias("next_topic"), form.alias("form"))
+
+
+@register(
+    "recommend_either_form",
+    f"""WITH {KNOWN_SQL}, done AS (SELECT student, topic FROM known WHERE mastery >= 0.8), strict AS (SELECT c_custkey AS student, min(p_partkey) AS t FROM customer, part ANTI JOIN done ON done.student = c_custkey AND done.topic = p_partkey WHERE p_partkey < 2 AND c_custkey % 3 = 0 GROUP BY c_custkey),
+        nested AS (SELECT c_custkey AS student, min(p_partkey) AS t FROM customer, part ANTI JOIN done ON done.student = c_custkey AND done.topic = p_partkey WHERE p_partkey BETWEEN 2 AND 3 AND c_custkey % 2 = 0 GROUP BY c_custkey)
+        SELECT c_custkey AS student, coalesce(s.t, n.t) AS next_topic, CASE WHEN s.t IS NOT NULL THEN 'strict' WHEN n.t IS NOT NULL THEN 'legacy' END AS form FROM customer LEFT JOIN strict s ON s.student = c_custkey LEFT JOIN nested n ON n.student = c_custkey""",
+)
+def recommend_either_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations where a third of the students has a strict curriculum of two topics and half of them a nested one of two."""
+    students = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"))
+    done = known(spark, sf_dir).where("mastery >= 0.8").select("student", "topic")
+    topics = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic"))
+    first = lambda who, few: who.crossJoin(few).join(done, ["student", "topic"], "left_anti").groupBy("student").agg(F.min("topic").alias("next_topic"))  # noqa: E731  two topics each
+    return recommended(first(students.where("student % 3 = 0"), topics.where("topic < 2")), first(students.where("student % 2 = 0"), topics.where("topic BETWEEN 2 AND 3")), students)
+
+
 @register(
     "topo_layers",
     f"""WITH RECURSIVE {EDGES_SQL}, way AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_partkey NOT IN (SELECT child FROM edges)
