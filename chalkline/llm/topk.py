@@ -120,6 +120,7 @@ def exact_top_k(df: DataFrame, id_col: str, vector: Column, is_query: Column, k:
     fewer exist. Rows without an id or a vector take no part, and vectors of
     another length are no candidates. A query row that repeats is asked once; a
     candidate row that repeats is ranked as often. An empty table gives none.
+    Only the id, the vector and what tells queries are read, whatever else there is.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
     scratch = Scratch(df.sparkSession, "topk")
