@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: each stage calls one operator and is written before the next reads it."""
+"""A training-data pipeline over ``documents``: each stage calls one operator and is written before the next reads it.
+
+Every stage reads the columns of COLUMNS alone, whatever else there is, works on
+all rows that it gets and gives none for an empty table. Rows that repeat and
+rows without an id are rows of their own. A stage's working tables go when the
+next one begins.
+"""
 
 from __future__ import annotations
 
@@ -36,7 +42,13 @@ def _stage(body: Stage) -> Stage:
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from the labels; those without a letter go."""
+    """Documents in a language that was learned from the labels.
+
+    A null or empty text, and one without a letter, goes; so does one whose best
+    language has a posterior under LEAST_SCORE. Where no label says anything all
+    texts with a letter stay. Labels may be null; they and the source decide
+    nothing. Very long texts are scored as a whole.
+    """
     vocabulary = tokenizer_path("piece_bpe_32k.model")
     docs = docs.select(COLUMNS)
     model = langid.fit(docs, "text", "lang", "doc_id", vocabulary)
@@ -48,13 +60,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest id."""
+    """One document of each near-duplicate class, the one with the smallest id; of rows that share it, one.
+
+    Null and empty texts are equal to each other, so one of them stays; a class
+    that has null ids only keeps one row.
+    """
     return near_classes(docs, "text", "doc_id", COLUMNS, count_links=False).where("is_first").select(COLUMNS)
 
 
 @_stage
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 200-byte strings that repeat; a character that an edge cuts through goes as a whole."""
+    """Texts without the 200-byte strings that repeat; a character that an edge cuts through goes as a whole.
+
+    All documents stay, those that lose everything with an empty text; a null
+    text stays null. n_chars follows the text.
+    """
     found = remove_repeats(docs, "text", COLUMNS)
     left = F.col("kept").cast("string")
     valid = F.when(F.is_valid_utf8(left), left).otherwise(F.regexp_replace(F.make_valid_utf8(left), "�", ""))
@@ -64,7 +84,12 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 @_stage
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, up to three times.
+
+    Null sources are one source, the last; texts without a word (null, empty)
+    are taken once. Which of equal documents is repeated is drawn by a hash of
+    id and text, so reruns agree.
+    """
     numbered = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_by"), F.monotonically_increasing_id().alias("_row"))
     numbered = Scratch(spark, "mix").keep(numbered, "numbered")
     mixed = mix_sources(numbered, word_count(F.col("text")), "source", "_row", by="_by").where("copies > 0")
@@ -73,7 +98,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and the text that the ids stand for."""
+    """Documents with their token ids, and the text that the ids stand for; a null or empty text has no ids."""
     encoded = bpe.encode_texts(docs, "text", tokenizer_path("word_bpe_49k.json"), COLUMNS, decode=True)
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
