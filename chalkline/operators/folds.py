@@ -8,18 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chalkline.operators.lineage import Scratch
+
+
+#: Bytes of events under which no key can be too long for one array, and events of a key that one array holds beyond that.
+SMALL, EVENTS = 64 << 20, 100_000
+
 
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str], values: list[str], start: Column, step: Callable[[Column, Column], Column], name: str
 ) -> DataFrame:
-    """One row for each key: ``step`` applied to the key's events in order, from ``start``.
+    """One row for each key: ``step`` applied to the key's events in order, from ``start``, with ``n_events``.
 
-    Steps that round are not associative, so there is no partial aggregation;
-    a key's events are one sorted array, and the fold runs on it in the JVM.
+    Steps that round are not associative, so there is no partial aggregation; a
+    key's events are a sorted array, and the fold runs on it in the JVM. Where
+    the events may be more than a task should hold, a key's events are cut into
+    arrays of EVENTS, and a round for each goes on from the state before.
     """
-    events = F.array_sort(F.collect_list(F.struct(*order, *values)))
-    folded = F.aggregate(F.col("_events"), start, step)
-    return df.groupBy(*keys).agg(events.alias("_events")).select(*keys, F.size("_events").alias("n_events"), folded.alias(name))
+    slim = df.select(*keys, *order, *[v for v in values if v not in order])
+    event = F.struct(*order, *values)
+    sorted_ = F.array_sort(F.collect_list(event)).alias("_events")
+    if _size_of(slim) <= SMALL:
+        return slim.groupBy(*keys).agg(sorted_).select(*keys, F.size("_events").alias("n_events"), F.aggregate("_events", start, step).alias(name))
+    scratch = Scratch(df.sparkSession, "fold")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    cut = scratch.keep(slim.withColumn("_part", F.floor(place / EVENTS).cast("int")), "cut")
+    parts = lambda p: cut.where(F.col("_part") == p).groupBy(*keys).agg(sorted_)
+    state = parts(0).select(*keys, F.size("_events").alias("n_events"), F.aggregate("_events", start, step).alias(name))
+    for p in range(1, (cut.agg(F.max("_part")).first()[0] or 0) + 1):
+        state = scratch.keep(state, "state")
+        more = state.join(parts(p), keys, "left")
+        onward = F.when(F.col("_events").isNull(), F.col(name)).otherwise(F.aggregate("_events", F.col(name), step))
+        state = more.select(*keys, (F.col("n_events") + F.coalesce(F.size("_events"), F.lit(0))).alias("n_events"), onward.alias(name))
+    return state
+
+
+def _size_of(df: DataFrame) -> int:
+    """Bytes that the optimizer expects; no job runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.numeric import mastery_score
 from chalkline.functions.text import robust_json, repair_xml, semantic_name, seq_ratio
+from chalkline.operators import folds
 from chalkline.operators.graph import acyclic, break_cycles, layers, sequence_week, week_order
 from chalkline.operators.keyed import cascade_delete, keyed_union, patched, set_null, upsert
 from chalkline.operators.structure import fold_dedup, pages_of
@@ -50,6 +51,18 @@ def test_fold_dedup_against_plain(spark):
     assert got == {g: plain_dedup([(i, k, m) for h, i, k, m in rows if h == g]) for g in range(10)}
 
 
+def test_folds_of_long_keys_go_on_in_rounds(spark, monkeypatch):
+    """Keys of one event to far more than an array holds end where a single array ends."""
+    r = random.Random(9)
+    rows = [(g, i, r.random()) for g in range(6) for i in r.sample(range(1000), [1, 3, 4, 7, 20, 50][g])]
+    df = spark.createDataFrame(rows, "g int, at int, x double")
+    fold = lambda: sorted(map(tuple, folds.ordered_fold(df, ["g"], ["at"], ["x"], F.lit(0.0), lambda acc, e: F.round(acc * 0.3 + e["x"] * 0.7, 2), "y").collect()))
+    whole = fold()
+    monkeypatch.setattr(folds, "SMALL", -1)
+    monkeypatch.setattr(folds, "EVENTS", 4)
+    assert fold() == whole and [n for _, n, _ in whole] == [1, 3, 4, 7, 20, 50]
+
+
 def test_deep_layers(spark):
     """A chain of 110 nodes, one without edges and a cycle, which gets none."""
     nodes = [(0, i) for i in range(110)] + [(0, 500), (0, 600), (0, 601)]
