@@ -12,9 +12,12 @@ UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 SCRIPTS = {
     "Telugu": (0x0C00, 0x0C7F),
     "Hindi": (0x0900, 0x097F),
-    "Tamil": (0x0B80, 0x0BFF),
     "Kannada": (0x0C80, 0x0CFF),
+    "Tamil": (0x0B80, 0x0BFF),
+    "Marathi": (0x0900, 0x097F),
 }
+# What daily stories teach, in turn.
+STORY_VALUES = ["Perseverance", "Empathy", "Courage", "Kindness", "Honesty", "Teamwork", "Creativity", "Resilience", "Patience", "Leadership"]
 # Subjects by the words that name them, in the order in which they are tried.
 BOOK_SUBJECTS = [(["math"], "Mathematics"), (["science"], "Science"), (["english", "language", "literacy"], "English Language Arts"), (["social", "history"], "Social Studies")]
 SUBJECT_LABELS = [(["math"], "Mathematics"), (["science"], "Science"), (["english", "language"], "English Language Arts")]

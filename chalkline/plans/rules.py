@@ -12,6 +12,8 @@ from chalkline.functions.labels import (
     BOOK_SUBJECTS,
     GRADES,
     PLAN_SUBJECTS,
+    SCRIPTS,
+    STORY_VALUES,
     SUBJECT_LABELS,
     UUID,
     book_name,
@@ -274,14 +276,14 @@ def grade_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = ["కథ", "Katha", "hindi कहानी", "", "தமிழ்", "ಕನ್ನಡ x", "café"]
-_LANGS = ["Telugu", "Hindi", "Tamil", "Kannada", "English"]
+_LANGS = [*SCRIPTS, "English"]
+_IN_SCRIPT = " ".join(f"WHEN '{name}' THEN regexp_matches(name, '[\\x{{{low:04X}}}-\\x{{{high:04X}}}]')" for name, (low, high) in SCRIPTS.items())
 
 
 @register(
     "script_detection",
     f"""WITH r AS (SELECT p_partkey AS id, {_pick_sql('p_partkey', _NAMES)} AS name, {_pick_sql('p_partkey', _LANGS, 7)} AS lang FROM part)
-        SELECT id, CASE lang WHEN 'Telugu' THEN regexp_matches(name, '[\\x{{0C00}}-\\x{{0C7F}}]') WHEN 'Hindi' THEN regexp_matches(name, '[\\x{{0900}}-\\x{{097F}}]')
-          WHEN 'Tamil' THEN regexp_matches(name, '[\\x{{0B80}}-\\x{{0BFF}}]') WHEN 'Kannada' THEN regexp_matches(name, '[\\x{{0C80}}-\\x{{0CFF}}]') ELSE true END AS in_script,
+        SELECT id, CASE lang {_IN_SCRIPT} ELSE true END AS in_script,
           lang <> 'English' AND NOT regexp_matches(name, '[^\\x00-\\x7F]') AS transliterated FROM r""",
 )
 def script_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,18 +314,15 @@ def highlighted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), highlighted(name, "c++").alias("html"), escaped(name).alias("plain"))
 
 
-_VALUES = ["courage", "kindness", "honesty", "patience", "respect", "sharing", "focus", "care", "trust", "joy"]
-
-
 @register(
     "rotated_values",
-    f"SELECT o_orderkey AS day, {_pick_sql('o_orderkey', _VALUES)} AS value, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS file_stamp, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM orders",
+    f"SELECT o_orderkey AS day, {_pick_sql('o_orderkey', STORY_VALUES)} AS value, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS file_stamp, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM orders",
 )
 def rotated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of ten values by a day's number, and the day as a stamp for file names and as UTC text."""
     day = F.col("o_orderdate")
     iso = F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("day"), rotated(F.col("o_orderkey"), _VALUES).alias("value"), F.date_format(day, "yyyyMMdd_HHmmss").alias("file_stamp"), iso.alias("iso"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("day"), rotated(F.col("o_orderkey"), STORY_VALUES).alias("value"), F.date_format(day, "yyyyMMdd_HHmmss").alias("file_stamp"), iso.alias("iso"))
 
 
 # --- constraints and picks ---------------------------------------------------------------------------------------------
