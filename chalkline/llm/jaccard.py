@@ -189,13 +189,17 @@ def _links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return dealt.groupBy("comp", "_i", "_j").applyInPandas(run, "_rep long, links long").groupBy("_rep").agg(F.sum("links").alias("links"))
 
 
-def _open(large: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component, with their own (comp) and their leader's (_lead)."""
+def _open(large: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of the buckets that hold more than one component, with their own (comp) and their leader's (_lead).
+
+    What is told of a bucket is a table of its own, so that joining it to the
+    members of a large bucket can be split.
+    """
     placed = large.join(comp.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
     kinds = placed.groupBy("_band").agg(
         F.min("comp").alias("_c"), F.max("comp").alias("_d"), F.max(F.when(F.col("_rep") == F.col("_leader"), F.col("comp"))).alias("_lead")
     )
-    return placed.join(kinds.where("_c <> _d").select("_band", "_lead"), "_band")
+    return placed.join(scratch.keep(kinds.where("_c <> _d").select("_band", "_lead"), "kinds"), "_band")
 
 
 def _forest(open_: DataFrame, signs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -288,7 +292,7 @@ def near_classes(
         .select("_rep", "_n", F.explode("_bands").alias("_band"))
     )
     buckets = banded.groupBy("_band").agg(F.min(F.struct("_rep", "_n")).alias("_first"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    buckets = buckets.select("_band", "_size", F.col("_first._rep").alias("_leader"), F.col("_first._n").alias("_most"))
+    buckets = scratch.keep(buckets.select("_band", "_size", F.col("_first._rep").alias("_leader"), F.col("_first._n").alias("_most")), "leaders")
     bucketed = scratch.keep(banded.join(buckets, "_band"), "buckets")
     # Sets of unlike sizes can't be linked.
     alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
@@ -298,11 +302,11 @@ def near_classes(
     comp = components(linked, scratch)
 
     # Buckets of three and more whose members are still in different components.
-    large = scratch.keep(_open(bucketed.where("_size > 2").select("_band", "_rep", "_n", "_leader"), comp).drop("comp", "_lead"), "large")
-    scratch.drop(bucketed)
+    large = scratch.keep(_open(bucketed.where("_size > 2").select("_band", "_rep", "_n", "_leader"), comp, scratch).drop("comp", "_lead"), "large")
+    scratch.drop(bucketed, buckets)
     # Who isn't with the leader meets another member of the leader's component, a different one in each bucket.
     for turn in range(PIVOT_ROUNDS):
-        open_ = scratch.keep(_open(large, comp), "open")
+        open_ = scratch.keep(_open(large, comp, scratch), "open")
         pivots = open_.where("comp = _lead AND _rep <> _leader").groupBy("_band")
         pivots = pivots.agg(F.min_by(F.struct("_rep", "_n"), F.xxhash64("_rep", "_band", F.lit(turn))).alias("y"))
         met = open_.where("comp <> _lead").select("_band", F.col("_rep").alias("x"), "_n").join(pivots, "_band")
@@ -310,7 +314,7 @@ def near_classes(
         more = scratch.keep(edges(_verified(met, texts)), "pivots")
         linked, comp = _grown(linked, comp, more, scratch)
         scratch.drop(open_)
-    open_ = scratch.keep(_open(large, comp).select("_band", "_rep", "_n", "comp"), "open")
+    open_ = scratch.keep(_open(large, comp, scratch).select("_band", "_rep", "_n", "comp"), "open")
     linked, comp = _grown(linked, comp, scratch.keep(_forest(open_, signs.select("_rep", "_bands"), texts, threshold), "forest"), scratch)
     scratch.free(given, signed, member, comp)
 
