@@ -53,7 +53,7 @@ class Store:
         return os.path.join(self.folder, str(self.files))
 
     def array(self, n: int, kind: type) -> np.ndarray:
-        if n * np.dtype(kind).itemsize * 4 <= self.budget or not n:
+        if n * np.dtype(kind).itemsize <= self.budget or not n:
             return np.empty(n, kind)
         return np.memmap(self.path(), kind, "w+", shape=(n,)).view(np.ndarray)
 
@@ -71,59 +71,63 @@ class SlotQueue:
 
     def __init__(self, store: Store, slots: int, bits: int = PAGE_BITS):
         self.store, self.slots, self.bits = store, slots, bits
-        self.waiting: dict[int, list[np.ndarray]] = {}
+        self.waiting: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]] = {}
         self.files: dict[int, str] = {}
-        self.held, self.at = 0, -1
+        self.held, self.first, self.end = 0, 0, 0
         self.suffixes, self.shared = np.empty(0, np.int64), np.empty(0, np.uint16)
 
     def push(self, slots: np.ndarray, suffixes: np.ndarray, shared: np.ndarray | None) -> None:
-        page = slots >> self.bits
-        now = page == self.at
-        if now.any():
-            own = slots[now] - (self.at << self.bits)
-            self.suffixes[own] = suffixes[now]
-            if shared is not None:
-                self.shared[own] = shared[now]
-        later = np.flatnonzero(~now)
-        if not len(later):
+        """Tuples whose slots ascend."""
+        if not len(slots):
             return
-        tuples = np.zeros(len(later), TUPLE)
-        tuples["slot"], tuples["suffix"] = slots[later], suffixes[later]
-        if shared is not None:
-            tuples["shared"] = shared[later]
-        page = page[later]
-        order = np.argsort(page, kind="stable")
-        tuples, page = tuples[order], page[order]
-        for part in np.split(tuples, np.flatnonzero(np.diff(page)) + 1):
-            self.waiting.setdefault(int(part["slot"][0] >> self.bits), []).append(part)
-        self.held += tuples.nbytes
+        now = 0
+        if slots[0] < self.end:
+            now = len(slots) if slots[-1] < self.end else int(np.searchsorted(slots, self.end))
+            own = slots[:now] - self.first
+            self.suffixes[own] = suffixes[:now]
+            if shared is not None:
+                self.shared[own] = shared[:now]
+        while now < len(slots):
+            page = int(slots[now]) >> self.bits
+            after = len(slots) if slots[-1] >> self.bits == page else int(np.searchsorted(slots, (page + 1) << self.bits))
+            self.waiting.setdefault(page, []).append((slots[now:after], suffixes[now:after], None if shared is None else shared[now:after]))
+            self.held += (after - now) * TUPLE.itemsize
+            now = after
         if self.held > self.store.budget:
             self._spill()
 
     def _spill(self) -> None:
         for page, parts in self.waiting.items():
-            path = self.files.setdefault(page, "") or self.store.path()
+            path = self.files.get(page) or self.store.path()
             self.files[page] = path
             with open(path, "ab") as f:
-                for part in parts:
-                    f.write(part.tobytes())
+                for slots, suffixes, shared in parts:
+                    tuples = np.zeros(len(slots), TUPLE)
+                    tuples["slot"], tuples["suffix"] = slots, suffixes
+                    if shared is not None:
+                        tuples["shared"] = shared
+                    f.write(tuples.tobytes())
         self.waiting, self.held = {}, 0
 
     def pages(self) -> Iterator[tuple[int, int]]:
         """(first slot, number of slots) of each page, whose arrays are ``suffixes``, -1 where nothing is yet, and ``shared``."""
-        for self.at in range(-(-self.slots >> self.bits)):
-            first = self.at << self.bits
-            size = min(1 << self.bits, self.slots - first)
+        for page in range(-(-self.slots >> self.bits)):
+            self.first = page << self.bits
+            size = min(1 << self.bits, self.slots - self.first)
+            self.end = self.first + size
             self.suffixes, self.shared = np.full(size, -1, np.int64), np.zeros(size, np.uint16)
-            parts = self.waiting.pop(self.at, [])
-            self.held -= sum(x.nbytes for x in parts)
-            if path := self.files.pop(self.at, None):
-                parts = [np.fromfile(path, TUPLE), *parts]
+            if path := self.files.pop(page, None):
+                tuples = np.fromfile(path, TUPLE)
                 os.remove(path)
-            for part in parts:
-                own = part["slot"] - first
-                self.suffixes[own], self.shared[own] = part["suffix"], part["shared"]
-            yield first, size
+                own = tuples["slot"] - self.first
+                self.suffixes[own], self.shared[own] = tuples["suffix"], tuples["shared"]
+            for slots, suffixes, shared in self.waiting.pop(page, []):
+                own = slots - self.first
+                self.suffixes[own] = suffixes
+                if shared is not None:
+                    self.shared[own] = shared
+                self.held -= len(slots) * TUPLE.itemsize
+            yield self.first, size
 
 
 def smaller_than_next(text: np.ndarray, store: Store) -> np.ndarray:
@@ -162,9 +166,9 @@ def substring_names(text: np.ndarray, stars: np.ndarray, sigma: int) -> np.ndarr
         key = np.zeros(len(open_), np.uint64)
         for j in range(word * pack, word * pack + pack):
             at = np.minimum(stars[open_] + j, len(text) - 1)
-            symbol = np.where(j < length[open_], text[at], (1 << bits) - 1).astype(np.uint64)
+            symbol = np.where(j < length[open_], text[at].astype(np.uint64), np.uint64((1 << bits) - 1))
             key = (key << np.uint64(bits)) | symbol
-        order = np.lexsort((key, names[open_]))
+        order = np.lexsort((key, names[open_])) if word else np.argsort(key, kind="stable")
         a, b = names[open_][order], key[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -247,152 +251,184 @@ def _sweep(
     queue: SlotQueue,
     text: np.ndarray,
     small: np.ndarray,
-    want_small: bool,
-    head: np.ndarray,
+    mirrored: bool,
+    begin: np.ndarray,
+    meets: np.ndarray,
     limit: int | None,
-    values: Callable[[int, np.ndarray, np.ndarray], np.ndarray],
+    fours: np.ndarray | None,
     visit: Callable[[int, np.ndarray, np.ndarray | None], None],
 ) -> None:
     """Runs of filled slots in order; each suffix of a run induces the one before it, if that is of the wanted type, into the next slot of its symbol.
 
-    ``values`` gives, for a run (first slot, suffixes, what came with them), the
-    prefix that each suffix shares with the one before it in this order.
+    Forward L suffixes are wanted, mirrored S suffixes. ``begin`` has the first
+    slot of each symbol, ``meets`` the slots where a symbol's second type
+    begins after its first. ``visit`` gets each page: the number of slots
+    before it, its suffixes, and the prefix that each shares with the one
+    before it in this order.
     """
-    since = np.full(len(head), NONE, np.uint16) if limit is not None else None  # least prefix since the last push of each symbol
+    sigma, head, opens = len(begin), begin.copy(), np.unique(begin)
+    since = np.full(sigma, NONE, np.uint16) if limit is not None else None  # least prefix since the last push of each symbol
+    last, came, meet = 0, 0, 0  # the suffix before the run, what came with it, and the next slot where types meet
     for first, size in queue.pages():
+        told = np.zeros(size, np.uint16) if limit is not None else None
         at, window = 0, 1024
         while at < size:
             seen = queue.suffixes[at : at + window]
-            empty = np.flatnonzero(seen < 0)
-            end = at + (int(empty[0]) if len(empty) else len(seen))
+            empty = seen < 0
+            stop = int(empty.argmax())
+            end = at + (stop if empty[stop] else len(seen))
             if end == at:
                 raise AssertionError("a slot that its sweep has come to is empty")
-            own = queue.suffixes[at:end].copy()
-            shared = values(first + at, own, queue.shared[at:end].copy()) if limit is not None else None
+            own = queue.suffixes[at:end]
+            if limit is not None:
+                shared = queue.shared[at:end]
+                if mirrored:
+                    # An L suffix came with what it shares with the smaller one, which this order wants one slot later.
+                    later = shared[-1]
+                    shared = np.where(small[own], shared, np.append(np.uint16(came), shared[:-1]))
+                    came = int(later)
+                while meet < len(meets) and meets[meet] < first + end:
+                    k = int(meets[meet]) - first - at
+                    before = own[k - 1] if k else last
+                    shared[k] = shared_prefix(text, np.array([before]), own[k : k + 1], limit, fours)[0]
+                    meet += 1
+                if mirrored:  # a symbol that has L suffixes only opens with one
+                    low, high = np.searchsorted(opens, (first + at, first + end))
+                    shared[opens[low:high] - first - at] = 0
+                told[at:end] = shared
+            last = int(own[-1])
             place = np.flatnonzero(own > 0)
             before = own[place] - 1
-            wanted = small[before] == want_small
+            wanted = small[before] if mirrored else ~small[before]
             before, place = before[wanted], place[wanted]
-            symbols = np.asarray(text[before]).astype(np.int64)
-            order = np.argsort(symbols, kind="stable")
-            before, place, symbols = before[order], place[order], symbols[order]
-            fresh = np.ones(len(symbols), bool)
-            fresh[1:] = symbols[1:] != symbols[:-1]
-            starts = np.flatnonzero(fresh)
-            counts = np.diff(np.append(starts, len(symbols)))
-            slots = head[symbols] + np.arange(len(symbols)) - np.repeat(starts, counts)
-            carried = None
-            if limit is not None:
-                carried = np.zeros(len(symbols), np.uint16)
-                minima = _Minima(shared)
-                follow = np.flatnonzero(~fresh)
-                carried[follow] = minima.of(place[follow - 1] + 1, place[follow])
+            if len(before):
+                symbols = text[before]
+                order = np.argsort(symbols.dtype.type(sigma) - symbols if mirrored else symbols, kind="stable")  # so that slots ascend
+                before, place, symbols = before[order], place[order], symbols[order]
+                fresh = np.ones(len(symbols), bool)
+                np.not_equal(symbols[1:], symbols[:-1], out=fresh[1:])
+                starts = np.flatnonzero(fresh)
+                counts = np.diff(np.append(starts, len(symbols)))
                 opening = symbols[starts]
-                carried[starts] = np.minimum(since[opening], np.minimum.accumulate(shared)[place[starts]])
-                carried = np.minimum(carried.astype(np.int64) + 1, limit).astype(np.uint16)
-                after = np.append(np.minimum.accumulate(shared[::-1])[::-1], NONE)
+                slots = np.repeat(head[opening] - starts, counts) + np.arange(len(symbols))
+                carried = None
+                if limit is not None:
+                    carried = np.empty(len(symbols), np.uint16)
+                    if len(starts) < len(symbols):
+                        follow = np.flatnonzero(~fresh)
+                        carried[follow] = _Minima(shared).of(place[follow - 1] + 1, place[follow])
+                    carried[starts] = np.minimum(since[opening], np.minimum.accumulate(shared)[place[starts]])
+                    np.minimum(carried, limit - 1, out=carried)
+                    carried += 1
+                    carried[starts[head[opening] == begin[opening]]] = 0  # nothing stands before the first of a symbol
+                    after = np.append(np.minimum.accumulate(shared[::-1])[::-1], np.uint16(NONE))
+                    np.minimum(since, after[0], out=since)
+                    since[opening] = after[place[starts + counts - 1] + 1]
+                head[opening] += counts
+                queue.push(slots, before, carried)
+            elif limit is not None:
                 np.minimum(since, shared.min(), out=since)
-                since[opening] = after[place[starts + counts - 1] + 1]
-            head[symbols[starts]] += counts
-            queue.push(slots, before, carried)
-            visit(first + at, own, shared)
             window = min(max(1024, 4 * (end - at)), 1 << queue.bits)
             at = end
+        visit(first, queue.suffixes, told)
 
 
 def induced(
-    text: np.ndarray, small: np.ndarray, stars: np.ndarray, sigma: int, store: Store, limit: int | None, visit: Callable[[int, np.ndarray, np.ndarray | None], None], bits: int = PAGE_BITS
+    text: np.ndarray,
+    small: np.ndarray,
+    stars: tuple[np.ndarray, np.ndarray | None],
+    sigma: int,
+    store: Store,
+    limit: int | None,
+    visit: Callable[[int, np.ndarray, np.ndarray | None], None],
+    bits: int = PAGE_BITS,
 ) -> None:
-    """All suffixes from the S* suffixes in order, given to ``visit`` from the greatest to the smallest.
+    """All suffixes from the S* suffixes in order and what neighbours of those share, given to ``visit`` from the greatest to the smallest.
 
     A call has (how many came before, suffixes, the prefix that each shares
     with the one before it, the greater one); prefixes only if ``limit`` is given.
     """
     n = len(text)
-    every, smalls, starred = _counts(text, sigma), _counts(text, sigma, small), np.bincount(np.asarray(text[stars]), minlength=sigma).astype(np.int64)
+    own, star_shared = stars
+    every, smalls, starred = _counts(text, sigma), _counts(text, sigma, small), _counts(text[own], sigma)
     larges = every - smalls
     fours = four_at_once(text, store) if limit is not None else None
     up = lambda sizes: np.cumsum(sizes) - sizes
-    # Forward: under each symbol its L suffixes, then its S* suffixes. Backward, mirrored: its S suffixes, then its L suffixes.
+    # Forward: under each symbol its L suffixes, then its S* suffixes. Mirrored: its S suffixes, then its L suffixes.
     begin, full, star_begin = up(larges + starred), up(every), up(starred)
     mirrored = n - full - every
     forward, backward = SlotQueue(store, int((larges + starred).sum()), bits), SlotQueue(store, n, bits)
-    for low in range(0, len(stars), BLOCK):
-        part = stars[low : low + BLOCK]
-        symbols = np.asarray(text[part]).astype(np.int64)
-        shared = None
-        if limit is not None:
-            previous = stars[max(0, low - 1) : low + len(part) - 1]
-            shared = np.zeros(len(part), np.uint16)
-            shared[len(part) - len(previous) :] = shared_prefix(text, previous, part[len(part) - len(previous) :], limit, fours)
-        forward.push(begin[symbols] + larges[symbols] + np.arange(low, low + len(part)) - star_begin[symbols], part, shared)
+    for low in range(0, len(own), BLOCK):
+        part = own[low : low + BLOCK]
+        symbols = text[part].astype(np.int64)
+        shared = None if limit is None else star_shared[low : low + BLOCK]
+        forward.push((begin + larges - star_begin)[symbols] + np.arange(low, low + len(part)), part, shared)
     backward.push(np.array([n - 1]), np.array([n - 1]), np.zeros(1, np.uint16))  # the end itself
 
-    def meeting(first: int, own: np.ndarray, shared: np.ndarray, opens: np.ndarray, meets: np.ndarray, last: int) -> np.ndarray:
-        """0 where a symbol begins; compared where its two types meet."""
-        inside = lambda x: x[np.searchsorted(x, first) : np.searchsorted(x, first + len(own))] - first
-        both = inside(meets)
-        if len(both):
-            line = np.append(last, own)
-            shared[both] = shared_prefix(text, line[both], line[both + 1], limit, fours)
-        shared[inside(opens)] = 0
-        return shared
-
-    some = every > 0
-    opens_up, meets_up = begin[(larges + starred) > 0], (begin + larges)[(larges > 0) & (starred > 0)]
-    opens_down, meets_down = np.sort(mirrored[some]), np.sort((mirrored + smalls)[(larges > 0) & (smalls > 0)])
-    last = [0, 0]  # the suffix before the run, and what came with it
-
-    def upward(first: int, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        return meeting(first, own, shared, opens_up, meets_up, last[0])
-
-    def hand_over(first: int, own: np.ndarray, shared: np.ndarray | None) -> None:
-        last[0] = int(own[-1])
-        large = np.flatnonzero(~small[own])
-        symbols = np.asarray(text[own[large]]).astype(np.int64)
-        slots = n - 1 - (full[symbols] + first + large - begin[symbols])
-        backward.push(slots, own[large], None if shared is None else shared[large])
-
-    def downward(first: int, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
-        # An L suffix came with what it shares with the smaller one, which the mirrored order wants one slot later.
-        came, large = np.append(last[1], shared[:-1]).astype(np.uint16), ~small[own]
-        last[1] = int(shared[-1])
-        return meeting(first, own, np.where(large, came, shared), opens_down, meets_down, last[0])
-
-    def tell(first: int, own: np.ndarray, shared: np.ndarray | None) -> None:
-        visit(first, own, shared)
-        last[0] = int(own[-1])
-
-    _sweep(forward, text, small, False, begin.copy(), limit, upward, hand_over)
-    last[:] = [0, 0]
-    _sweep(backward, text, small, True, mirrored.copy(), limit, downward, tell)
-
-
-def sorted_stars(text: np.ndarray, small: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS) -> np.ndarray:
-    """The S* suffixes in order, by recursion on the string of their names."""
+    def hand_over(first: int, page: np.ndarray, shared: np.ndarray | None) -> None:
+        large = np.flatnonzero(~small[page])[::-1]
+        suffixes = page[large]
+        slots = n - 1 - ((full - begin)[text[suffixes]] + first + large)
+        backward.push(slots, suffixes, None if shared is None else shared[large])
+
+    both = (larges > 0) & (starred > 0)
+    _sweep(forward, text, small, False, begin, (begin + larges)[both], limit, fours, hand_over)
+    both = (larges > 0) & (smalls > 0)
+    _sweep(backward, text, small, True, mirrored, np.sort((mirrored + smalls)[both]), limit, fours, visit)
+
+
+def sorted_stars(text: np.ndarray, small: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS, limit: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """The S* suffixes in order, by recursion on the string of their names, and what each shares with the one before it.
+
+    Names in common are so many symbols, from one S* to another; behind them
+    two different substrings begin, which are compared in the text.
+    """
     edges = [(max(1, low), min(low + BLOCK, len(small))) for low in range(0, len(small), BLOCK)]
     stars = np.concatenate([np.flatnonzero(small[a:b] & ~small[a - 1 : b - 1]) + a for a, b in edges])
     names = substring_names(text, stars, sigma)
-    _, dense = np.unique(names, return_inverse=True)
+    used = np.zeros(len(stars), bool)
+    used[names] = True
+    dense = (np.cumsum(used) - 1)[names]
     kinds = int(dense.max()) + 1
     if kinds == len(stars):
-        return stars[np.argsort(dense, kind="stable")]
-    return stars[suffix_order(dense.astype(np.int64), kinds, store, bits)]
-
-
-def suffix_order(text: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS) -> np.ndarray:
-    """Suffixes of ``text``, whose last symbol is its only smallest one, in order."""
+        order, common = np.argsort(dense, kind="stable"), None
+    else:
+        kind = np.uint16 if kinds < NONE else np.int64  # 16 bits are sorted by counting
+        order, common = suffix_order(dense.astype(kind), kinds, store, bits, limit)
+    if limit is None:
+        return stars[order], None
+    shared = np.zeros(len(stars), np.uint16)
+    for low in range(1, len(stars), BLOCK):
+        b = order[low : low + BLOCK]
+        a = order[low - 1 : low - 1 + len(b)]
+        equal = np.zeros(len(b), np.int64) if common is None else common[low : low + BLOCK].astype(np.int64)
+        done = stars[np.minimum(b + equal, len(stars) - 1)] - stars[b]
+        open_ = np.flatnonzero(done < limit)
+        more = shared_prefix(text, stars[a[open_]] + done[open_], stars[b[open_]] + done[open_], limit)
+        done[open_] += more
+        shared[low : low + BLOCK] = np.minimum(done, limit)
+    return stars[order], shared
+
+
+def suffix_order(text: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS, limit: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Suffixes of ``text``, whose last symbol is its only smallest one, in order, and what each shares with the one before it, up to ``limit``."""
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), None if limit is None else np.zeros(1, np.uint16)
     small = smaller_than_next(text, store)
     out = store.array(n, np.int64)
+    common = None if limit is None else store.array(n + 1, np.uint16)
 
-    def place(first: int, own: np.ndarray, _: np.ndarray | None) -> None:
-        out[n - first - len(own) : n - first] = own[::-1]
+    def place(first: int, page: np.ndarray, shared: np.ndarray | None) -> None:
+        out[n - first - len(page) : n - first] = page[::-1]
+        if common is not None:  # with the greater one: it stands a place further
+            common[n - first - len(page) + 1 : n - first + 1] = shared[::-1]
 
-    induced(text, small, sorted_stars(text, small, sigma, store, bits), sigma, store, None, place, bits)
-    return out
+    induced(text, small, sorted_stars(text, small, sigma, store, bits, limit), sigma, store, limit, place, bits)
+    if common is not None:
+        common[0] = 0
+        common = common[:n]
+    return out, common
 
 
 def repeated_starts(stretches: list[bytes], length: int, budget: int = BUDGET, bits: int = PAGE_BITS) -> np.ndarray:
@@ -421,7 +457,7 @@ def repeated_starts(stretches: list[bytes], length: int, budget: int = BUDGET, b
 
         if n > 1:
             small = smaller_than_next(text, store)
-            induced(text, small, sorted_stars(text, small, SIGMA, store, bits), SIGMA, store, length, mark, bits)
+            induced(text, small, sorted_stars(text, small, SIGMA, store, bits, length), SIGMA, store, length, mark, bits)
         keep = np.ones(n, bool)
         keep[ends], keep[n - 1] = False, False
         return np.asarray(found)[keep]
