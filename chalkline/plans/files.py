@@ -172,7 +172,7 @@ def checkpointed_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "reading_order_text",
     r"""WITH b AS (SELECT l_orderkey AS page, l_quantity AS y, l_partkey % 100 AS x, l_linenumber AS n, CASE WHEN l_linenumber % 5 = 0 THEN 1 ELSE 0 END AS kind, CASE WHEN l_linenumber % 4 = 0 THEN ' ' ELSE ' block ' || l_partkey || chr(10) END AS text FROM lineitem)
-        SELECT page, chr(10) || '--- Page ' || (page + 1) || ' ---' || chr(10) || coalesce(string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10), '' ORDER BY y, x, n) FILTER (kind = 0 AND trim(text) <> ''), '') AS text FROM b GROUP BY page""",
+        SELECT page, chr(10) || '--- Page ' || (page + 1) || ' ---' || chr(10) || coalesce(string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10) || chr(10), '' ORDER BY y, x, n, regexp_replace(text, '^\s+|\s+$', '', 'g')) FILTER (kind = 0 AND trim(text) <> ''), '') AS text FROM b GROUP BY page""",
 )
 def reading_order_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of pages from top to bottom, then left to right, under a mark of the page; images and blank blocks go."""
