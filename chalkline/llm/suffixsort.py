@@ -183,7 +183,7 @@ def substring_names(text: np.ndarray, stars: np.ndarray, sigma: int) -> np.ndarr
         tied = np.repeat(counts > 1, counts)
         word += 1
         left = open_[order][tied]
-        open_ = np.sort(left[length[left] > word * pack])
+        open_ = np.sort(left[length[left] >= word * pack])  # one that ends with the word still has its end to be told from a longer one
     return names
 
 

@@ -244,6 +244,17 @@ def test_suffix_order_and_prefixes(budget, bits):
             assert shared == next(k for k in range(13) if k == 12 or text[a + k] != text[b + k])
 
 
+@pytest.mark.parametrize("sigma", [8, 258, 1 << 15, 1 << 20])
+def test_substrings_that_end_with_a_word(sigma):
+    """Few symbols under a large alphabet, so that words hold few of them and substrings often end with one."""
+    r = random.Random(6)
+    for _ in range(400):
+        body = [r.randint(1, r.choice([2, 3, 6])) for _ in range(r.randint(20, 120))]
+        text = np.array([*body, 0], np.int64)
+        store = suffixsort.Store()
+        assert suffixsort.suffix_order(text, sigma, store)[0].tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
 def test_queue_goes_to_disk_and_recursion_goes_deep(monkeypatch):
     """A shard far over its budget spills its tuples; a string whose substrings repeat recurses level by level."""
     r, spilled, levels = random.Random(8), [], []
