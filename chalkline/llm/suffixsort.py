@@ -378,11 +378,7 @@ def induced(
 
 
 def sorted_stars(text: np.ndarray, small: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS, limit: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """The S* suffixes in order, by recursion on the string of their names, and what each shares with the one before it.
-
-    Names in common are so many symbols, from one S* to another; behind them
-    two different substrings begin, which are compared in the text.
-    """
+    """The S* suffixes in order, by recursion on the string of their names, and what each shares with the one before it, if a limit is given."""
     edges = [(max(1, low), min(low + BLOCK, len(small))) for low in range(0, len(small), BLOCK)]
     stars = np.concatenate([np.flatnonzero(small[a:b] & ~small[a - 1 : b - 1]) + a for a, b in edges])
     names = substring_names(text, stars, sigma)
@@ -391,44 +387,33 @@ def sorted_stars(text: np.ndarray, small: np.ndarray, sigma: int, store: Store,
     dense = (np.cumsum(used) - 1)[names]
     kinds = int(dense.max()) + 1
     if kinds == len(stars):
-        order, common = np.argsort(dense, kind="stable"), None
+        order = np.argsort(dense, kind="stable")
     else:
         kind = np.uint16 if kinds < NONE else np.int64  # 16 bits are sorted by counting
-        order, common = suffix_order(dense.astype(kind), kinds, store, bits, limit)
+        order = suffix_order(dense.astype(kind), kinds, store, bits)
+    stars = stars[order]
     if limit is None:
-        return stars[order], None
-    shared = np.zeros(len(stars), np.uint16)
+        return stars, None
+    fours, shared = four_at_once(text, store), np.zeros(len(stars), np.uint16)
     for low in range(1, len(stars), BLOCK):
-        b = order[low : low + BLOCK]
-        a = order[low - 1 : low - 1 + len(b)]
-        equal = np.zeros(len(b), np.int64) if common is None else common[low : low + BLOCK].astype(np.int64)
-        done = stars[np.minimum(b + equal, len(stars) - 1)] - stars[b]
-        open_ = np.flatnonzero(done < limit)
-        more = shared_prefix(text, stars[a[open_]] + done[open_], stars[b[open_]] + done[open_], limit)
-        done[open_] += more
-        shared[low : low + BLOCK] = np.minimum(done, limit)
-    return stars[order], shared
-
-
-def suffix_order(text: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS, limit: int | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Suffixes of ``text``, whose last symbol is its only smallest one, in order, and what each shares with the one before it, up to ``limit``."""
+        own = stars[low : low + BLOCK]
+        shared[low : low + BLOCK] = shared_prefix(text, stars[low - 1 : low - 1 + len(own)], own, limit, fours)
+    return stars, shared
+
+
+def suffix_order(text: np.ndarray, sigma: int, store: Store, bits: int = PAGE_BITS) -> np.ndarray:
+    """Suffixes of ``text``, whose last symbol is its only smallest one, in order."""
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64), None if limit is None else np.zeros(1, np.uint16)
+        return np.zeros(1, np.int64)
     small = smaller_than_next(text, store)
     out = store.array(n, np.int64)
-    common = None if limit is None else store.array(n + 1, np.uint16)
 
-    def place(first: int, page: np.ndarray, shared: np.ndarray | None) -> None:
+    def place(first: int, page: np.ndarray, _: np.ndarray | None) -> None:
         out[n - first - len(page) : n - first] = page[::-1]
-        if common is not None:  # with the greater one: it stands a place further
-            common[n - first - len(page) + 1 : n - first + 1] = shared[::-1]
-
-    induced(text, small, sorted_stars(text, small, sigma, store, bits, limit), sigma, store, limit, place, bits)
-    if common is not None:
-        common[0] = 0
-        common = common[:n]
-    return out, common
+
+    induced(text, small, sorted_stars(text, small, sigma, store, bits), sigma, store, None, place, bits)
+    return out
 
 
 def repeated_starts(stretches: list[bytes], length: int, budget: int = BUDGET, bits: int = PAGE_BITS) -> np.ndarray:
