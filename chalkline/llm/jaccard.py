@@ -251,13 +251,19 @@ def _forest(open_: DataFrame, signs: DataFrame, texts: DataFrame, threshold: flo
     return dealt.groupBy("_band", "_i", "_j").applyInPandas(run, "a long, b long")
 
 
-def _grown(linked: DataFrame, comp: DataFrame, more: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Edges and components with the links ``more``."""
+def _grown(comp: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (node, comp) with the links ``more`` (a, b): only what the links tie together is labelled anew, a component being one node."""
     if more.isEmpty():
-        return linked, comp
-    linked = linked.unionByName(more)
-    scratch.drop(comp)
-    return linked, components(linked, scratch)
+        return comp
+    told = lambda df, end: df.join(comp.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("comp", end)).drop("comp")
+    tied = scratch.keep(told(told(more, "a"), "b").where("a <> b").distinct(), "tied")
+    fresh = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct().join(comp, "node", "left_anti")
+    every = comp.select("node", "comp").unionByName(fresh.withColumn("comp", F.col("node")))
+    moved = components(tied, scratch)
+    grown = every.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    grown = scratch.keep(grown, "components")
+    scratch.drop(comp, moved, tied)
+    return grown
 
 
 def near_classes(
@@ -311,11 +317,10 @@ def near_classes(
         pivots = pivots.agg(F.min_by(F.struct("_rep", "_n"), F.xxhash64("_rep", "_band", F.lit(turn))).alias("y"))
         met = open_.where("comp <> _lead").select("_band", F.col("_rep").alias("x"), "_n").join(pivots, "_band")
         met = met.where(alike(F.col("_n"), F.col("y._n"))).select("x", F.col("y._rep").alias("y")).distinct()
-        more = scratch.keep(edges(_verified(met, texts)), "pivots")
-        linked, comp = _grown(linked, comp, more, scratch)
+        comp = _grown(comp, scratch.keep(edges(_verified(met, texts)), "pivots"), scratch)
         scratch.drop(open_)
     open_ = scratch.keep(_open(large, comp, scratch).select("_band", "_rep", "_n", "comp"), "open")
-    linked, comp = _grown(linked, comp, scratch.keep(_forest(open_, signs.select("_rep", "_bands"), texts, threshold), "forest"), scratch)
+    comp = _grown(comp, scratch.keep(_forest(open_, signs.select("_rep", "_bands"), texts, threshold), "forest"), scratch)
     scratch.free(given, signed, member, comp)
 
     classed = reps.join(comp.withColumnRenamed("node", "_rep"), "_rep", "left").withColumn("comp", F.coalesce("comp", "_rep"))
