@@ -16,6 +16,7 @@ from chalkline.llm.quotes import reply_ordered
 from chalkline.llm.repeats import remove_repeats
 from chalkline.llm.scratch import Scratch
 from chalkline.llm.sharding import shard_by_splitters
+from chalkline.llm.tokencount import count_tokens
 from chalkline.llm.topk import exact_top_k, quantised
 
 def tokenizer_path(name: str) -> str:
@@ -158,6 +159,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, and which have over 4096."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    counted = count_tokens(docs, "text", tokenizer_path("piece_bpe_32k.model"), ["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over all documents."""
     import corpus_pipeline
@@ -177,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_langid": op10_langid,
+        "op13_tokens": op13_tokens,
         "pipeline": pipeline,
     }
 

@@ -30,6 +30,7 @@ CONTRACT = {
     "op8_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op10_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op13_tokens": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
 
 
@@ -151,6 +152,14 @@ def test_encoding(spark, docs):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found(spark, "op9_bpe").collect()} == want
 
 
+def test_token_counts(spark, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=entries.tokenizer_path("piece_bpe_32k.model"))
+    want = {i: (len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for i, t, *_ in docs}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in found(spark, "op13_tokens").collect()} == want
+
+
 def test_languages(spark, docs):
     rows = {r["doc_id"]: r for r in found(spark, "op10_langid").collect()}
     assert len(rows) == len(docs)
