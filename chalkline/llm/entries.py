@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import bpe, langid, warc
+from chalkline.llm.collocations import collocations
 from chalkline.llm.jaccard import near_classes
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.quality import apply_quality
@@ -159,6 +160,40 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language that stand out most, from all documents."""
+    return collocations(_table(spark, sf_dir, "documents", "text", "lang"), "text", "lang")
+
+
+OP12_SQL = r"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, k AS words, array_to_string(w[i:i + k - 1], ' ') AS gram FROM starts, range(1, 6) AS t(k) WHERE i + k - 1 <= len(w)),
+counts AS (SELECT lang, words, gram, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+phrases AS (SELECT *, string_split(gram, ' ') AS w FROM counts WHERE words > 1),
+inner_ AS (
+  SELECT p.lang, array_to_string(p.w[i:i + k - 1], ' ') AS gram, p.f
+  FROM phrases p, range(2, 5) AS t(k), range(1, 5) AS s(i) WHERE k < p.words AND i + k - 1 <= p.words),
+covered AS (SELECT lang, gram, max(f) AS over FROM inner_ GROUP BY lang, gram),
+kept AS (
+  SELECT p.* FROM phrases p LEFT JOIN covered c ON p.lang = c.lang AND p.gram = c.gram WHERE c.over IS NULL OR 100 * c.over < 100 * p.f),
+cuts AS (
+  SELECT c.lang, c.gram AS phrase, c.f AS a, l.f AS l, r.f AS r, s.n, k,
+         CAST((CAST(1000 AS HUGEINT) * c.f * s.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM kept c JOIN sizes s ON s.lang = c.lang, range(1, 5) AS t(k), counts l, counts r
+  WHERE k < c.words AND l.lang = c.lang AND r.lang = c.lang
+    AND l.gram = array_to_string(c.w[1:k], ' ') AND r.gram = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM cuts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE first = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of all documents, and which have over 4096."""
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
@@ -186,10 +221,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_langid": op10_langid,
+        "op12_phrases": op12_phrases,
         "op13_tokens": op13_tokens,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_topk": OP8_SQL}
+    return {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_topk": OP8_SQL, "op12_phrases": OP12_SQL}
