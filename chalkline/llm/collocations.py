@@ -116,23 +116,23 @@ class _Words:
             yield batch
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size > GATHERED:
+        if size > most:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _counts(pieces: DataFrame, what) -> DataFrame:
+def _counts(pieces: DataFrame, what, gathered: int) -> DataFrame:
     """GRAMS as tasks counted them, by ``what`` of _Words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _gathered(batches):
+        for table in _gathered(batches, gathered):
             langs, texts, m = (table.column(c).combine_chunks() for c in range(3))
             words = _Words(langs, texts, m.to_numpy())
             for batch in what(words):
@@ -202,7 +202,7 @@ def _words(at: int | Column, n: int | Column) -> Column:
     return F.array_join(F.slice("_w", at, n), " ")
 
 
-def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest: int = 5, top: int = 2000, covered: int = 100) -> DataFrame:
+def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest: int = 5, top: int = 2000, covered: int = 100, gathered: int = GATHERED) -> DataFrame:
     """The ``top`` phrases of two to ``longest`` words of each language: (lang, rank, phrase, a, l, r, n, score).
 
     Texts, lower-cased from A to Z, are cut by ENDS into pieces and those by
@@ -214,7 +214,8 @@ def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest:
     smallest k. Phrases with a under ``least`` are none, and one goes if a longer
     one that has its words side by side stands ``covered`` percent as often or
     more. Ranks go by score and a, both falling, and the phrase's bytes. An empty
-    table gives no phrase; other columns of df are not read. Sums are 64-bit,
+    table gives no phrase; other columns of df are not read. Tasks count
+    ``gathered`` bytes of pieces at once. Sums are 64-bit,
     products 37 digits.
     """
     if not 0 < covered <= 100 or least < 1 or longest < 2:
@@ -226,13 +227,13 @@ def collocations(df: DataFrame, text: str, lang: str, least: int = 100, longest:
     spaces = F.char_length("piece") - F.char_length(F.replace("piece", F.lit(" "), F.lit("")))
     n = scratch.keep(pieces.groupBy("lang").agg(F.sum(F.col("m") * (spaces + 1)).cast("long").alias("n")), "n")
 
-    short = scratch.keep(_added_up(_counts(pieces, _Words.short), least), "short")
+    short = scratch.keep(_added_up(_counts(pieces, _Words.short, gathered), least), "short")
     found = short
     if longest > 2:
         pairs = short.where("words = 2")
         sent = spark.sparkContext.broadcast(_filter_of(pairs, max(pairs.count(), 1)))
         long = lambda words: words.long(np.frombuffer(sent.value, np.uint8), longest)
-        found = short.unionByName(scratch.keep(_added_up(_counts(pieces, long), least), "long"))
+        found = short.unionByName(scratch.keep(_added_up(_counts(pieces, long, gathered), least), "long"))
     phrases = found.where("words > 1").withColumn("_w", F.split("gram", " "))
 
     # One word less on either side: if any longer phrase covers this one, one that is a word longer does.

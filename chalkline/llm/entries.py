@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chalkline.llm import bpe, langid, warc
 from chalkline.llm.collocations import collocations
+from chalkline.llm.conversations import damaged, repair_conversations
 from chalkline.llm.jaccard import near_classes
 from chalkline.llm.mixing import mix_sources, word_count
 from chalkline.llm.quality import apply_quality
@@ -160,6 +161,93 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a rule, then repaired: their faults, the cheapest edits and the digest of what they hold then."""
+    talk = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = repair_conversations(damaged(talk, "conv_id", "turn", "role", "text"), "conv_id", "turn", "role", "text").conversations
+    ids = talk.select(F.col("conv_id").alias("_id")).distinct()
+    whole = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return whole.select(F.col("_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+def _edit(state: str, cost: str, edit: str) -> str:
+    """A state of the SQL, its cost in nine digits before its audit, after one more edit."""
+    return f"lpad(CAST(CAST({state}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {state}[10:] || '{edit}'"
+
+
+def _taken(state: str, initial: str) -> str:
+    rerole = "NULL" if initial == "s" else _edit(state, "more + 1", "R")
+    return f"CASE WHEN gone THEN NULL WHEN initial = '{initial}' THEN {_edit(state, 'more', 'K')} ELSE {rerole} END"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+drawn AS (
+  SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(key) + 1),
+              lambda i: list_prepend(CAST(ascii(key[i]) AS BIGINT), CAST([-1, -1, -1, -1, -1, -1, -1, -1] AS BIGINT[]))))),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS fault
+  FROM spaced),
+rows_ AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE fault <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+         lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before
+  FROM rows_),
+judged AS (
+  SELECT *, role[1:1] AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+         NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS short
+  FROM placed),
+weighed AS (SELECT *, blank OR seen AS gone, CASE WHEN short THEN 5 ELSE 0 END AS more FROM judged),
+counted AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate,
+         count(*) FILTER (short AND NOT gone) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM weighed GROUP BY conv_id),
+chart AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, '000000005I' AS v2, '000000010II' AS v3 FROM weighed
+  UNION ALL
+  SELECT conv_id, place, v0, v1, w2, least(w3, {_edit("w2", "5", "I")}) FROM (
+    SELECT conv_id, place, w0 AS v0, w1 AS v1, w3, least(w2, {_edit("w0", "5", "I")}, {_edit("w1", "5", "I")}, {_edit("w3", "5", "I")}) AS w2 FROM (
+      SELECT c.conv_id, r.place, {_edit("v0", "2", "D")} AS w0,
+             least({_edit("v1", "2", "D")}, {_taken("v0", "s")}) AS w1,
+             least({_edit("v2", "2", "D")}, {_taken("v0", "u")}, {_taken("v1", "u")}, {_taken("v3", "u")}) AS w2,
+             least({_edit("v3", "2", "D")}, {_taken("v2", "a")}) AS w3
+      FROM chart c JOIN weighed r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.place = c.place + 1))),
+best AS (
+  SELECT c.conv_id, least(v0, v3) AS v FROM chart c JOIN (SELECT conv_id, max(place) AS place FROM weighed GROUP BY conv_id) l
+    ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.place = c.place),
+parsed AS (SELECT conv_id, CAST(v[1:9] AS BIGINT) AS cost, v[10:] AS audit FROM best),
+edits AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM parsed),
+lettered AS (
+  SELECT conv_id, i, audit[i] AS edit, length(replace(audit[1:i], 'I', '')) AS place, length(replace(audit[1:i], 'D', '')) AS k,
+         length(replace(audit, 'D', '')) % 2 AS odd
+  FROM edits),
+said AS (
+  SELECT l.conv_id, i, CASE WHEN edit = 'K' THEN r.role WHEN (k - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+         || CASE WHEN edit = 'I' THEN '' ELSE r.text END AS line
+  FROM lettered l LEFT JOIN weighed r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.place = l.place WHERE edit <> 'D'),
+digests AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY i)) AS h FROM said GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id
+  LEFT JOIN parsed p ON p.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN digests d ON d.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 phrases of each language that stand out most, from all documents."""
     return collocations(_table(spark, sf_dir, "documents", "text", "lang"), "text", "lang")
@@ -221,6 +309,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_langid": op10_langid,
+        "op11_repair": op11_repair,
         "op12_phrases": op12_phrases,
         "op13_tokens": op13_tokens,
         "pipeline": pipeline,
@@ -228,4 +317,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_topk": OP8_SQL, "op12_phrases": OP12_SQL}
+    return {"op2_warc": OP2_SQL, "op4_quality": OP4_SQL, "op8_topk": OP8_SQL, "op11_repair": OP11_SQL, "op12_phrases": OP12_SQL}

@@ -72,11 +72,10 @@ def test_against_plain(spark, rows, least, longest, top, covered):
 
 def test_small_batches_and_a_full_filter(spark, rows, monkeypatch):
     """Many batches a task, and a filter of so few bits that it lets nearly all through."""
-    monkeypatch.setattr(C, "GATHERED", 200)
     monkeypatch.setattr(C, "MOST_BITS", 1 << 16)
     monkeypatch.setattr(C, "RANKED_APART", 3)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(7)
-    assert told(df, least=2) == plain(rows, 2, 5, 2000)
+    assert told(df, least=2, gathered=200) == plain(rows, 2, 5, 2000)
 
 
 def test_empty_table_and_no_phrase(spark):

@@ -30,6 +30,7 @@ CONTRACT = {
     "op8_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
     "op9_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op10_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
     "op12_phrases": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
     "op13_tokens": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
