@@ -53,44 +53,20 @@ def _with_range(df: DataFrame, bounds: list[int]) -> DataFrame:
     )
 
 
-def shard_by_splitters(df: DataFrame, text: str, id_col: str, shards: int = 8) -> DataFrame:
-    """Deals the records of ``df`` into shards whose bytes are near equal.
-
-    A record's size is the UTF-8 bytes of its text (null: none) plus 1. Returns
-    the id, ``size``, ``text_crc32`` (null for a null text), ``shard`` and
-    ``slot`` (gapless from 0 in each shard). Other columns are not carried; an id
-    column of an added name comes out with ``_in`` at its end.
-
-    Groups of equal texts stay whole up to WHOLE_SHARE of a mean shard; larger
-    ones are cut wherever the sizes ask for it. Null and empty texts form one
-    group, null ids come first among equals, rows that repeat are dealt one by
-    one, and an empty table gives no rows. Rows equal in id and text have one
-    key: they are dealt by size like all others, from one range. Reruns deal alike: the sample is
-    drawn by hash and changes only how the work is cut up.
-    """
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "sharding")
-    slim = scratch.keep(
-        df.select(
-            F.col(id_col).alias("_id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("_size"),
-            F.crc32(F.col(text).cast("binary")).alias("_crc"),
-            order_key(F.col(text), F.col(id_col)).alias("_key"),
-        ),
-        "keys",
-    )
-    total = slim.agg(F.sum("_size")).first()[0] or 0
+def _ranged(slim: DataFrame, total: int, shards: int) -> tuple[DataFrame, list[int], list[int]]:
+    """``slim`` with its ranges; the texts whose groups may be cut; keys of so many rows that a range of them alone is overfull."""
+    spark = slim.sparkSession
     ranges = max(RANGES, min(MOST_RANGES, total // RANGE_BYTES))
     mean = max(1, total // ranges)
 
     # Size-weighted sample, then its quantiles.
-    draw = F.pmod(F.xxhash64("_key", "_id", "_size"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("_key", "_row"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = slim.where(draw < F.col("_size") * (ranges * SAMPLE_PER_RANGE / max(1, total)))
     steps = [i / ranges for i in range(1, ranges)]
     found = sample.agg(F.percentile_approx("_key", F.lit(steps), 16 * ranges)).first()[0] or []
-    bounds = sorted(set(found))
 
     # Groups that hold two boundaries may be hot; their exact sizes decide. Other boundaries move to the start of their group.
-    heads = [b >> ID_BITS for b in bounds]
+    heads = sorted(b >> ID_BITS for b in found)
     doubtful = sorted({a for a, b in zip(heads, heads[1:]) if a == b})
     hot: list[int] = []
     if doubtful:
@@ -104,22 +80,78 @@ def shard_by_splitters(df: DataFrame, text: str, id_col: str, shards: int = 8) -
         hot = [r[0] for r in sums.where(F.col("_bytes") * shards > WHOLE_SHARE * total).select("_head").collect()]
     hot_set = set(hot)
     start = lambda b: b if b >> ID_BITS in hot_set else b >> ID_BITS << ID_BITS
-    bounds = sorted({start(b) for b in bounds})
+    bounds = sorted({start(b) for b in found})
 
     # Exact counts; overfull ranges are subdivided by quantiles of their own until none is left that can be.
     while True:
         ranged = _with_range(slim, bounds)
-        filled = ranged.groupBy("_range").agg(F.sum("_size").alias("_b"), F.min("_key").alias("_low"), F.max("_key").alias("_high"))
-        over = [r[0] for r in filled.where(f"_b > {2 * mean} AND _low < _high").select("_range").collect()]  # fewer than half of all ranges
-        if not over:
-            break
+        filled = ranged.groupBy("_range").agg(F.sum("_size").alias("_b"), F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.count(F.lit(1)).alias("_n"))
+        full = filled.where(f"_b > {2 * mean}").drop("_b").collect()  # fewer than half of all ranges
+        stuck = [r["_low"] for r in full if r["_low"] == r["_high"] and r["_n"] > 1 and r["_low"] >> ID_BITS in hot_set]
+        over = [r["_range"] for r in full if r["_low"] < r["_high"]]
+        if stuck or not over:
+            return ranged, hot, stuck
         wide = spark.range(1).select(F.explode(F.lit(over)).alias("_range"))
         cuts = ranged.join(F.broadcast(wide), "_range").groupBy("_range").agg(F.percentile_approx("_key", F.lit([i / 8 for i in range(1, 8)]), 1000).alias("_cuts"))
-        finer = sorted({*bounds, *(start(b) for r in cuts.collect() for b in r["_cuts"])})
+        cuts = [b for r in cuts.collect() for b in r["_cuts"]]
+        # A key that fills two eighths of its range gets borders of its own, so that what it leaves can be told.
+        alone = {x for a, b in zip(cuts, cuts[1:]) if a == b for x in (a, a + 1) if a >> ID_BITS in hot_set}
+        finer = sorted({*bounds, *map(start, cuts), *alone})
         if finer == bounds:  # groups that stay whole
-            break
+            return ranged, hot, []
         bounds = finer
 
+
+def _scattered(slim: DataFrame, keys: list[int]) -> DataFrame:
+    """Rows of these keys get new ones all over the places of their text, by a number that no two of them share.
+
+    They are equal, so which of them has which number says nothing. Numbers come
+    from counts by place in the table, not from a window over a key.
+    """
+    wanted = F.broadcast(slim.sparkSession.range(1).select(F.explode(F.lit(keys)).alias("_key"), F.lit(True).alias("_hot")))  # one for every two ranges at most
+    marked = slim.join(wanted, "_key", "left").withColumn("_part", F.shiftright("_row", 20))
+    hot = marked.where("_hot")
+    counts = hot.groupBy("_key", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_key", "_part", (F.sum("_n").over(W.partitionBy("_key").orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.row_number().over(W.partitionBy("_key", "_part").orderBy("_row"))
+    tail = F.pmod(F.xxhash64("_key", number), F.lit(1 << ID_BITS))
+    moved = hot.join(before, ["_key", "_part"]).withColumn("_tail", tail).withColumn("_key", F.shiftleft(F.shiftright("_key", ID_BITS), ID_BITS) + F.col("_tail"))
+    return marked.where("_hot IS NULL").select(slim.columns).unionByName(moved.select(slim.columns))
+
+
+def shard_by_splitters(df: DataFrame, text: str, id_col: str, shards: int = 8) -> DataFrame:
+    """Deals the records of ``df`` into shards whose bytes are near equal.
+
+    A record's size is the UTF-8 bytes of its text (null: none) plus 1. Returns
+    the id, ``size``, ``text_crc32`` (null for a null text), ``shard`` and
+    ``slot`` (gapless from 0 in each shard). Other columns are not carried; an id
+    column of an added name comes out with ``_in`` at its end.
+
+    Groups of equal texts stay whole up to WHOLE_SHARE of a mean shard; larger
+    ones are cut wherever the sizes ask for it. Null and empty texts form one
+    group, null ids come first among equals, rows that repeat are dealt one by
+    one, and an empty table gives no rows. Rows equal in id and text have one
+    key; where they are too many for a range each gets a key of its own. Reruns
+    deal alike: the sample is drawn by hash and changes only how the work is cut up.
+    """
+    scratch = Scratch(df.sparkSession, "sharding")
+    slim = scratch.keep(
+        df.select(
+            F.col(id_col).alias("_id"),
+            (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("_size"),
+            F.crc32(F.col(text).cast("binary")).alias("_crc"),
+            order_key(F.col(text), F.col(id_col)).alias("_key"),
+            F.monotonically_increasing_id().alias("_row"),
+        ),
+        "keys",
+    )
+    total = slim.agg(F.sum("_size")).first()[0] or 0
+    while True:
+        ranged, hot, stuck = _ranged(slim, total, shards)
+        if not stuck:
+            break
+        slim = scratch.keep(_scattered(slim, stuck), "scattered")
+
     heads_hot = F.shiftright("_key", ID_BITS).isin(hot) if hot else F.lit(False)
     sums = ranged.groupBy("_range").agg(F.sum("_size").alias("_b"))
     offsets = sums.select("_range", (F.sum("_b").over(W.orderBy("_range")) - F.col("_b")).alias("_before"))

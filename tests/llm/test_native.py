@@ -52,6 +52,20 @@ def test_hot_group_is_cut(spark):
     assert len(sizes) == 8 and max(sizes) < 1.03 * min(sizes)
 
 
+@pytest.mark.parametrize("ids", ["none", "equal", "some"])
+def test_rows_equal_in_id_and_text(spark, ids):
+    """One key holds many rows: all of the table, or half of it beside ordinary rows; reruns over another layout deal alike."""
+    number = {"none": lambda i: None, "equal": lambda i: 7, "some": lambda i: i if i % 3 == 0 else None}[ids]
+    rows = [(number(i), "the very same text", "s") for i in range(4000)]
+    if ids != "equal":
+        rows += [(5000 + i, f"other {i} " * (1 + i % 9), "s") for i in range(3000)]
+    by = shards(spark, rows)
+    sizes = [sum(r["size"] for r in own) for own in by.values()]
+    assert len(sizes) == 8 and max(sizes) < 1.05 * min(sizes)
+    again = shard_by_splitters(frame(spark, rows).repartition(3), "text", "doc_id", 8).collect()
+    assert sorted(map(str, again)) == sorted(str(r) for own in by.values() for r in own)
+
+
 def test_shard_edges(spark):
     found = [r for own in shards(spark, ODD).values() for r in own]
     assert {(r["doc_id"], r["size"]) for r in found} == {(i, len((t or "").encode()) + 1) for i, t, _ in ODD}
