@@ -12,6 +12,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,8 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 ROW_GROUP = str(16 << 20)
 
 _own: dict[str, str] = {}
-#: Where scratches made from now on are noted, if anywhere.
-noted: list[Scratch] | None = None
+#: Where scratches are noted that are made in this context, if anywhere.
+noted: ContextVar[list[Scratch] | None] = ContextVar("noted", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,8 +77,8 @@ class Scratch:
         self._made = 0
         self._kept: list[tuple[DataFrame, str]] = []
         atexit.register(_remove, spark, self.path)
-        if noted is not None:
-            noted.append(self)
+        if (notes := noted.get()) is not None:
+            notes.append(self)
 
     def where(self, name: str) -> str:
         self._made += 1
