@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,23 +15,32 @@ from chalkline.operators.lineage import Scratch, settings, shared_dir
 
 __all__ = ["Scratch", "bounded_batches", "memory_returned", "pipeline_stage", "set_apart", "settings", "shared_dir"]
 
-_of_stages: list[Scratch] = []
+#: Column metadata by which a stage's result, written and read again, tells whose tables it came from.
+STAGE = "chalkline.stage"
+_of_stages: dict[str, list[Scratch]] = {}
 
 
-@contextlib.contextmanager
-def pipeline_stage(docs: DataFrame) -> Iterator[None]:
-    """A stage of a pipeline whose input is ``docs``: working tables of the stages before go, unless docs still reads them."""
-    read = docs.inputFiles() if _of_stages else []
-    for old in list(_of_stages):
-        folder = f"/{old.path.rsplit('/', 1)[-1]}/"
-        if not any(folder in f for f in read):
-            old.close()
-            _of_stages.remove(old)
-    before, lineage.noted = lineage.noted, _of_stages
+def pipeline_stage(docs: DataFrame, column: str, body: Callable[[], DataFrame]) -> DataFrame:
+    """A stage of a pipeline, ``body``, whose input is ``docs``; its result is marked on ``column``.
+
+    The working tables of the stage that docs came from go, once docs is read
+    from elsewhere: it has been written then. Other runs' tables stay, and so do
+    those of a last stage, which its result reads, until the session ends.
+    """
+    before = docs.schema[column].metadata.get(STAGE)
+    tables = _of_stages.get(before, [])
+    read = docs.inputFiles() if tables else []
+    if tables and not any(f"/{t.path.rsplit('/', 1)[-1]}/" in f for t in tables for f in read):
+        for t in _of_stages.pop(before):
+            t.close()
+    own, mark = [], uuid.uuid4().hex
+    held = lineage.noted.set(own)
     try:
-        yield
+        out = body()
     finally:
-        lineage.noted = before
+        lineage.noted.reset(held)
+    _of_stages[mark] = own
+    return out.withMetadata(column, {**out.schema[column].metadata, STAGE: mark})
 
 
 def bounded_batches(spark: SparkSession) -> None:

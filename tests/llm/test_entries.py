@@ -207,3 +207,12 @@ def test_very_long_texts(spark):
     assert sizes[1] + 1 == sizes[2] and sizes[4] < 1_000_000 and os.path.exists(entries.tokenizer_path("piece_bpe_32k.model"))
     empty = langid.fit(df.selectExpr("doc_id", "text", "cast(null as string) AS lang").limit(0), "text", "lang", "doc_id", entries.tokenizer_path("piece_bpe_32k.model"))
     assert empty[0] == []
+
+
+def test_two_pipelines_in_a_session(spark, tmp_path):
+    """Two runs that are both read at the end, over a text with a stretch that several tasks encode."""
+    rows = [(i, f"The house of number {i} stands by the river and the old mill. " * 3 if i else "a" * 200_000, "en", "s", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    first, second = (corpus_pipeline.run(spark, str(tmp_path)) for _ in range(2))
+    told = [sorted((r["doc_id"], r["n_tokens"]) for r in x.collect()) for x in (first, second)]
+    assert told[0] == told[1] and told[0]
