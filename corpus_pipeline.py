@@ -34,8 +34,7 @@ def _stage(body: Stage) -> Stage:
 
     @wraps(body)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with pipeline_stage(docs):
-            return body(spark, docs, sf_dir)
+        return pipeline_stage(docs, "doc_id", lambda: body(spark, docs, sf_dir))
 
     return run_stage
 
