@@ -35,10 +35,10 @@ BANDS = [(2, "1-2"), (4, "3-4"), (6, "5-6"), (9, "7-9"), (None, "10-12")]
 
 
 def falsy_default(x: Column, default: Column) -> Column:
-    """x, or the default where x is null, empty, zero or an empty list."""
-    kind = default
-    empty = x.isNull() | (x.cast("string") == "") | (x.cast("string") == "0") | (x.cast("string") == "0.0")
-    return F.when(F.coalesce(empty, F.lit(True)), kind).otherwise(x)
+    """x, or the default where x is null, an empty text, a number that is zero, false, or an empty list or map; a text "0" is itself."""
+    said = x.cast("string")
+    nothing = (said == "") | ((F.typeof(x) != "string") & said.rlike(r"^(-?0(\.0+)?(E-?\d+)?|false|\[\]|\{\})$"))
+    return F.when(x.isNull() | nothing, default).otherwise(x)
 
 
 def by_words(text: Column, rules: list[tuple[list[str], str]], default: Column) -> Column:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import difflib
-import json
 import re
-import sys
 import unicodedata
 
 import pandas as pd
@@ -13,12 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chalkline.functions.json_text import repaired
+
 #: White space as Python's strip sees it.
 EDGE = r"(?U)^\s+|\s+$"
 #: The same as a class, which Java's and RE2's patterns read alike.
 SPACES = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Digits that Python's parser takes in an integer.
-LONGEST_INT = sys.get_int_max_str_digits() or sys.maxsize
 
 
 def stripped(x: Column) -> Column:
@@ -105,85 +103,9 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
-_BLANK = re.compile(r"[ \t\n\r]*+")
-#: A string as far as it is valid, without its closing quote.
-_STRING = re.compile(r'"(?:[^"\\]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+')
-#: A whole number or word, as Python's parser reads them.
-_SCALAR = re.compile(r"(?:-?(?:0|[1-9][0-9]*+)(\.[0-9]++)?([eE][+-]?[0-9]++)?|true|false|null|NaN|-?Infinity)(?![\w.+-])")
-
-
-def _longest_prefix(body: str) -> str:
-    """The longest prefix of JSON, which starts with a bracket, that is valid once closed, with what closes it.
-
-    One pass: open brackets are a linked list, so that each valid place is kept
-    with its own at no cost. A string may be cut anywhere, a number or word not.
-    """
-    stack, at, want = None, 0, "value"
-    good, quote, open_ = 0, "", None
-    while True:
-        at = _BLANK.match(body, at).end()
-        c = body[at : at + 1]
-        if c and c in "}]":
-            if stack is None or stack[0] != c or want not in ("end", "first"):
-                break
-            stack, at, want = stack[1], at + 1, "end"
-            good, quote, open_ = at, "", stack
-            if stack is None:
-                break
-        elif want == "end":
-            if c != ",":
-                break
-            at, want = at + 1, "key" if stack[0] == "}" else "value"
-        elif want == "colon":
-            if c != ":":
-                break
-            at, want = at + 1, "value"
-        elif want == "key" or (want == "first" and stack[0] == "}"):
-            m = _STRING.match(body, at)
-            if m is None or body[m.end() : m.end() + 1] != '"':
-                break
-            at, want = m.end() + 1, "colon"
-        elif c and c in "{[":
-            stack, at, want = ("}" if c == "{" else "]", stack), at + 1, "first"
-            good, quote, open_ = at, "", stack
-        elif c == '"':
-            m = _STRING.match(body, at)
-            at, want = m.end(), "end"
-            good, quote, open_ = at, '"', stack
-            if body[at : at + 1] != '"':
-                break
-            at += 1
-        else:
-            m = _SCALAR.match(body, at)
-            if m is None or (m[1] is None and m[2] is None and len(m[0]) > LONGEST_INT):
-                break
-            at, want = m.end(), "end"
-            good, quote, open_ = at, "", stack
-    closing = []
-    while open_ is not None:
-        closing.append(open_[0])
-        open_ = open_[1]
-    return body[:good] + quote + "".join(closing)
-
-
-def _mended(text: str | None) -> str | None:
-    """The longest prefix of broken JSON that parses once its open strings and brackets are closed."""
-    if text is None:
-        return None
-    body = re.sub(r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", "", text)
-    start = min((i for i in (body.find("{"), body.find("[")) if i >= 0), default=-1)
-    if start < 0:
-        return None
-    body = re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", body[start:])
-    try:
-        return json.dumps(json.JSONDecoder(strict=False).raw_decode(body)[0], ensure_ascii=False)
-    except ValueError:
-        return json.dumps(json.loads(_longest_prefix(body), strict=False), ensure_ascii=False)
-
-
 @F.pandas_udf(T.StringType())
 def repair_json(x: pd.Series) -> pd.Series:
-    return x.map(_mended)
+    return x.map(repaired)
 
 
 def robust_json(x: Column) -> Column:

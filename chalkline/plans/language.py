@@ -206,7 +206,9 @@ def garbage_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("debug_sentence_strip", f"WITH {DESCRIBED_SQL} SELECT topic_id, summary || CASE WHEN topic_id % 3 = 0 THEN '. Then more.' ELSE '.' END AS summary FROM described")
 def debug_sentence_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions between sentences about the extraction, without those."""
-    meta = F.when(F.col("topic_id") % 3 == 0, ". This page belongs to another chapter. Then more.").when(F.col("topic_id") % 3 == 1, ". NOTE: taken from page 3").otherwise(".")
+    meta = F.when(F.col("topic_id") % 3 == 0, ". This page belongs to another chapter. Then more.").when(F.col("topic_id") % 3 == 1, ". NOTE: taken from page 3")
+    # Sentences that begin with a late letter of the script, or with one of its digits.
+    meta = meta.when(F.col("topic_id") % 6 == 2, ". ౘ NOTE: extracted").when(F.col("topic_id") % 12 == 5, ". ౧౨ as per the prompt").otherwise(".")
     return described(spark, sf_dir).select("topic_id", without_meta(F.concat("summary", meta)).alias("summary"))
 
 
@@ -226,6 +228,41 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", robust_json(raw).alias("json"))
 
 
+#: Faults that models make in JSON, by number; {k} and {t} stand for an event's values.
+DAMAGED_JSON = [
+    "{'k': {k}, 't': '{t}', 'l': [1, {k}]}",
+    '{k: {k}, t: {t}, l: [1, {k}]}',
+    '{"k": {k} "t": "{t}" "l": [1 {k}]}',
+    '{"k": {k},, "t": "{t}", "l": [1, {k},],}',
+    '{“k”: {k}, “t”: “{t}”, "l": [1, {k}]}',
+    '{"k" {k}, "t": "{t}", "l": [1, {k}] // as asked\n}',
+    '{"k": {k}, "t": "{t}\n "l": [1, {k}]}',
+    'Here: {"k": {k}, "t": "{t}", "l": [1, {k}]}, as asked.',
+    '{"k": {k}, "t": "{t}", "l": [1, {k}}',
+    '{"k": {k}, "t: "{t}", "l": [1, {k}]',
+]
+#: The same whose text holds quotes of its own.
+QUOTED_JSON = '{"k": {k}, "t": "so "{t}", he said", "l": [1, {k}]}'
+
+
+def _filled(pattern: str) -> Column:
+    return F.replace(F.replace(F.lit(pattern), F.lit("{k}"), F.get_json_object("props", "$.k")), F.lit("{t}"), F.col("event_type"))
+
+
+@register(
+    "json_repair_in_place",
+    f"""SELECT event_id, '{{"k": ' || (props->>'$.k') || ', "t": "' || CASE WHEN event_id % {len(DAMAGED_JSON) + 1} = {len(DAMAGED_JSON)} THEN 'so \\"' || event_type || '\\", he said' ELSE event_type END
+        || '", "l": [1, ' || (props->>'$.k') || ']}}' AS json FROM events""",
+)
+def json_repair_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's values in JSON with one of eleven faults, after which all of them are there."""
+    kinds = [*DAMAGED_JSON, QUOTED_JSON]
+    raw = F.lit(None).cast("string")
+    for i, pattern in enumerate(kinds):
+        raw = F.when(F.col("event_id") % len(kinds) == i, _filled(pattern)).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", robust_json(raw).alias("json"))
+
+
 XML = "topic struct<_id:string,name:string,page_start:int,prerequisites:struct<ref:array<string>>>"
 
 

@@ -120,17 +120,18 @@ def test_text_cards_of_any_text(spark, tmp_path):
     assert sorted(run(spark, "text_cards", sf)) == list(zip(range(len(texts)), cards, plain, strict=True))
 
 
-def test_json_repair_keeps_what_precedes_an_early_fault(spark):
+def test_json_repair_keeps_what_stands_around_an_early_fault(spark):
     """Far over 200 commas, brackets and strings after the fault; and cuts inside strings, words and numbers."""
     late = ", ".join(f'{{"k": {i}, "t": "x, y"}}' for i in range(500))
+    after = [{"k": i, "t": "x, y"} for i in range(500)]
     known = [
-        ('{"a": [{"k": 1}, {"k": 2 "t": 3}, ' + late + "]}", {"a": [{"k": 1}, {"k": 2}]}),
+        ('{"a": [{"k": 1}, {"k": 2 "t": 3}, ' + late + "]}", {"a": [{"k": 1}, {"k": 2, "t": 3}, *after]}),
         ("[" + late + " oops", [{"k": i, "t": "x, y"} for i in range(500)]),
         ('{"a": "b\\u12', {"a": "b"}),
         ('{"a": [tru', {"a": []}),
         ('{"a": [1, 2.', {"a": [1]}),
         ('{"a": 1, "b', {"a": 1}),
-        ("[[1, 2}, 3]", [[1, 2]]),
+        ("[[1, 2}, 3]", [[1, 2], 3]),
     ]
     df = spark.createDataFrame([(raw,) for raw, _ in known], "s string")
     assert [json.loads(r[0]) for r in df.select(robust_json(F.col("s"))).collect()] == [value for _, value in known]
