@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.functions.json_text import repaired
+from chalkline.functions.xml_text import elements, first_element
 
 #: White space as Python's strip sees it.
 EDGE = r"(?U)^\s+|\s+$"
@@ -115,26 +116,16 @@ def robust_json(x: Column) -> Column:
     return F.coalesce(fine, repair_json(F.when(fine.isNull(), x)))
 
 
-def _mended_xml(text: str | None) -> str | None:
-    """The first element of a text, with bare ampersands escaped and open tags closed."""
-    if text is None or (start := re.search(r"<[A-Za-z]", text)) is None:
-        return None
-    body = re.sub(r"&(?!#?\w+;)", "&amp;", text[start.start() :])
-    open_, end = [], len(body)
-    for m in re.finditer(r"<(/?)([A-Za-z][\w.-]*)[^<>]*?(/?)>", body):
-        if m[1]:
-            if m[2] in open_:
-                while open_.pop() != m[2]:
-                    pass
-            if not open_:
-                return body[: m.end()]
-        elif not m[3]:
-            open_.append(m[2])
-        end = m.end()
-    tail = body[end:]
-    return body[:end] + tail[: tail.find("<") if "<" in tail else len(tail)] + "".join(f"</{t}>" for t in reversed(open_))
-
-
 @F.pandas_udf(T.StringType())
 def repair_xml(x: pd.Series) -> pd.Series:
-    return x.map(_mended_xml)
+    return x.map(first_element)
+
+
+def xml_elements(x: Column, tag: str) -> Column:
+    """The elements ``tag`` of a text as an array of (xml, whole), each block well-formed."""
+
+    @F.pandas_udf("array<struct<xml: string, whole: boolean>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"xml": block, "whole": whole} for block, whole in elements(t, tag)])
+
+    return found(x)
