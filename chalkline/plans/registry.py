@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from chalkline.plans import books, curriculum, files, language, mastery, payloads, people, rules, sequencing, worksheets  # noqa: F401
+    from chalkline.plans import books, curriculum, files, language, mastery, payloads, people, rules, sequencing, stores, worksheets  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
