@@ -17,6 +17,7 @@ from chalkline.functions.numeric import round_half_up
 from chalkline.functions.text import first_keyword, norm_name, normalised, semantic_name, stripped
 from chalkline.operators.folds import first_by
 from chalkline.operators.graph import break_cycles
+from chalkline.operators.arrays import resolve_arrays
 from chalkline.operators.lineage import Scratch
 from chalkline.operators.structure import clamp_range, fold_dedup, islands, numbered, pages_of
 from chalkline.sources.documents import Curriculum
@@ -407,3 +408,26 @@ def nested(c: Curriculum) -> DataFrame:
     chapters = c.chapters.join(by_chapter.withColumnRenamed("chapter_id", "id"), ["book", "id"], "left")
     chapter = F.struct("number", F.col("title").alias("chapter_name"), "topics")
     return chapters.groupBy("book").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
+
+
+def nested_whole(c: Curriculum) -> DataFrame:
+    """(book, chapters): the nested form with all that topics hold.
+
+    Chapters go by number, those without one last, topics in document order;
+    exercises and side boxes as the topic's arrays of ids have them, subtopics in
+    document order. Topics of unknown chapters go.
+    """
+    topics = resolve_arrays(c.topics, ["book", "id"], {"exercise_ids": c.exercises, "sidebar_ids": c.sidebars}, ["text", "page"], ["book"])
+    below = F.struct("doc_pos", F.col("name").alias("subtopic_name"), "summary", "page_start", "page_end")
+    subtopics = c.subtopics.groupBy("book", F.col("topic_id").alias("id")).agg(F.array_sort(F.collect_list(below)).alias("subtopics"))
+    topic = F.struct(
+        "doc_pos", F.col("name").alias("topic_name"), F.col("summary").alias("concept_summary"), "page_start", "page_end",
+        F.transform("subtopics", lambda x: x.dropFields("doc_pos")).alias("subtopics"), F.coalesce("prerequisites", F.array().cast("array<string>")).alias("prerequisites"),
+        F.col("exercise_ids").alias("original_exercises"), F.col("sidebar_ids").alias("details_and_sidebars"), F.lit("untaught").alias("status"),
+    )
+    grouped = topics.join(subtopics, ["book", "id"], "left").groupBy("book", F.col("chapter_id").alias("id")).agg(F.array_sort(F.collect_list(topic)).alias("topics"))
+    held = F.transform(F.coalesce("topics", F.array()), lambda t: t.dropFields("doc_pos"))
+    rank = F.coalesce(F.nullif("number", F.lit(0)), F.lit(999))
+    chapter = F.struct(rank.alias("rank"), "doc_pos", F.col("number").alias("chapter_number"), F.col("title").alias("chapter_title"), "page_start", "page_end", held.alias("topics"))
+    whole = c.chapters.join(grouped, ["book", "id"], "left").groupBy("book").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
+    return whole.select("book", F.transform("chapters", lambda x: x.dropFields("rank", "doc_pos")).alias("chapters"))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.classify import GARBAGE_NAMES, GARBAGE_SUMMARIES
-from chalkline.operators.curriculum import concatenated, enrich, fix, merge_chunks, nested, validate, with_new_edges
+from chalkline.operators.curriculum import concatenated, enrich, fix, merge_chunks, nested, nested_whole, validate, with_new_edges
+from chalkline.operators.arrays import resolve_arrays
+from chalkline.operators.lineage import Scratch
 from chalkline.operators.structure import numbered
 from chalkline.plans.language import ACTIVITY_RANK_SQL, RAW_NAME, RAW_SUMMARY, activity_sql, raw_topics
 from chalkline.plans.registry import register
-from chalkline.sources.documents import Curriculum, imported, parse_legacy, parse_strict
+from chalkline.sources.documents import Curriculum, imported, parse_legacy, parse_nested, parse_strict
 from chalkline.sources.tables import table
 
 NOTE = ". This page belongs to another chapter. Then more."
@@ -324,3 +326,58 @@ def nest_and_reimport(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written in the nested form and read from it; ids follow the places there."""
     legacy = nested(books(spark, sf_dir)).select("book", F.to_json(F.struct("chapters")).alias("document"))
     return parse_legacy(legacy).topics.select("book", "id", "name")
+
+
+#: Topics with arrays of ids in an order of their own: one id names nothing, the first stands there again.
+_ARRAYS_SQL = f"""{BOOKS_SQL},
+named AS (SELECT book, topic_id, k, text, page, row_number() OVER (PARTITION BY book, topic_id ORDER BY k * 7919 % 1009, k) AS place FROM (SELECT DISTINCT book, topic_id, k, text, page FROM exercises)),
+listed AS (SELECT book, topic_id, place, text, page FROM named UNION ALL SELECT book, topic_id, 1000000, text, page FROM named WHERE place = 1),
+told AS (SELECT book, topic_id, string_agg(text || '/' || page, ',' ORDER BY place) AS exercises FROM listed GROUP BY ALL)"""
+
+
+def with_arrays(c: Curriculum) -> Curriculum:
+    """Books whose topics name their exercises and side boxes."""
+    key = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    own = c.exercises.select("book", "topic_id", key.alias("k"), "id").distinct().groupBy("book", F.col("topic_id").alias("id")).agg(_listed((F.col("k") * 7919 % 1009).alias("by"), "k", "id").alias("e"))
+    ids = F.transform("e", lambda x: x["id"])
+    arrays = own.select("book", "id", F.concat(ids, F.array(F.lit("E_gone")), F.slice(ids, 1, 1)).alias("exercise_ids"))
+    boxes = F.array(F.lit("S_gone"), F.concat(F.lit("S_"), F.col("doc_pos_key")))
+    topics = c.topics.drop("exercise_ids", "sidebar_ids").withColumn("doc_pos_key", F.regexp_extract("id", r"(\d+)$", 1))
+    return c.but(topics=topics.withColumn("sidebar_ids", boxes).drop("doc_pos_key").join(arrays, ["book", "id"], "left"))
+
+
+@register(
+    "array_references",
+    f"""WITH {_ARRAYS_SQL} SELECT t.book, t.id, coalesce(exercises, '') AS exercises, CASE WHEN doc_pos % 10 = 0 THEN 'box ' || doc_pos ELSE '' END AS sidebars
+       FROM topics t LEFT JOIN told ON told.book = t.book AND told.topic_id = t.id""",
+)
+def array_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with the exercises and side boxes that their arrays name, in the arrays' order."""
+    raw = Scratch(spark, "books").keep(raw_books(spark, sf_dir), "raw")
+    c = with_arrays(parse_strict(raw))
+    found = resolve_arrays(c.topics, ["book", "id"], {"exercise_ids": c.exercises, "sidebar_ids": c.sidebars}, ["text", "page"], ["book"])
+    exercises = F.array_join(F.transform("exercise_ids", lambda x: F.concat_ws("/", x["text"], x["page"].cast("string"))), ",")
+    return found.select("book", "id", exercises.alias("exercises"), F.array_join(F.transform("sidebar_ids", lambda x: x["text"]), ",").alias("sidebars"))
+
+
+@register(
+    "nested_whole_form",
+    f"""WITH {_ARRAYS_SQL}, c AS (SELECT book, id, number, title, row_number() OVER (PARTITION BY book ORDER BY number) AS n FROM (SELECT *, doc_pos AS number FROM chapters)),
+       p AS (SELECT t.*, c.n, c.number, c.title, row_number() OVER (PARTITION BY t.book, c.n ORDER BY t.doc_pos) AS p FROM topics t JOIN c ON c.book = t.book AND c.id = t.chapter_id)
+       SELECT p.book, 'T_' || n || '_' || p AS id, number, title, p.name, coalesce(exercises, '') AS exercises, CASE WHEN doc_pos % 10 = 0 THEN 'box ' || doc_pos ELSE '' END AS sidebars,
+              CASE WHEN doc_pos % 3 = 0 THEN p.name ELSE '' END AS subtopics
+       FROM p LEFT JOIN told ON told.book = p.book AND told.topic_id = p.id""",
+)
+def nested_whole_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written in the nested form, as JSON, and read from it again with exercises, side boxes and subtopics."""
+    scratch = Scratch(spark, "books")
+    raw = scratch.keep(raw_books(spark, sf_dir), "raw")
+    document = nested_whole(with_arrays(parse_strict(raw))).select("book", F.to_json(F.struct("chapters")).alias("document"))
+    again = parse_nested(scratch.keep(document, "nested"))
+    found = resolve_arrays(again.topics, ["book", "id"], {"exercise_ids": again.exercises, "sidebar_ids": again.sidebars}, ["text", "page"], ["book"])
+    below = again.subtopics.groupBy("book", F.col("topic_id").alias("id")).agg(_listed("doc_pos", "name").alias("s"))
+    chapters = again.chapters.select("book", F.col("id").alias("chapter_id"), "number", "title")
+    exercises = F.array_join(F.transform("exercise_ids", lambda x: F.concat_ws("/", x["text"], x["page"].cast("string"))), ",")
+    sidebars = F.array_join(F.transform("sidebar_ids", lambda x: x["text"]), ",")
+    whole = found.join(chapters, ["book", "chapter_id"]).join(below, ["book", "id"], "left")
+    return whole.select("book", "id", "number", "title", "name", exercises.alias("exercises"), sidebars.alias("sidebars"), F.coalesce(F.array_join(F.transform("s", lambda x: x["name"]), ","), F.lit("")).alias("subtopics"))

@@ -25,6 +25,11 @@ graphs:struct<
   exercise_mapping:array<struct<from:string,to:string,type:string>>,
   concept_dependencies:array<struct<from:string,to:string,type:string>>>>"""
 LEGACY = "struct<chapters:array<struct<chapter_name:string,topics:array<struct<topic_name:string,summary:string,prerequisites:array<string>,exercises:array<string>>>>>>"
+_BOX = "array<struct<text:string,page:int>>"
+NESTED = f"""struct<chapters:array<struct<chapter_number:int,chapter_title:string,page_start:int,page_end:int,
+topics:array<struct<topic_name:string,concept_summary:string,page_start:int,page_end:int,
+subtopics:array<struct<subtopic_name:string,summary:string,page_start:int,page_end:int>>,
+prerequisites:array<string>,original_exercises:{_BOX},details_and_sidebars:{_BOX}>>>>>"""
 GRAPHS = ("chapter_structure", "exercise_mapping", "concept_dependencies")
 
 
@@ -119,6 +124,26 @@ def parse_legacy(raw: DataFrame) -> Curriculum:
     return Curriculum(named, topics.drop("texts"), none.withColumnRenamed("text", "name"), exercises, none, edges)
 
 
+def parse_nested(raw: DataFrame) -> Curriculum:
+    """The nested form with all that topics hold; ids are made of places: C_n, T_n_p, ST_, E_ and S_n_p_q, and arrays name them."""
+    read = raw.select("book", F.from_json("document", NESTED.replace("\n", "")).alias("d"))
+    chapters = read.select("book", F.posexplode("d.chapters").alias("doc_pos", "c")).withColumn("n", F.col("doc_pos") + 1)
+    id_ = lambda prefix, *places: F.concat_ws("_", F.lit(prefix), *[F.col(p).cast("string") for p in places])
+    flat = chapters.select("book", "n", F.posexplode("c.topics").alias("_p", "t")).withColumn("p", F.col("_p") + 1)
+    ids = lambda prefix, column: F.transform(column, lambda x, i: F.concat_ws("_", F.lit(prefix), F.col("n").cast("string"), F.col("p").cast("string"), (i + 1).cast("string")))
+    topics = flat.select(
+        "book", (F.col("n") * (1 << 32) + F.col("p")).alias("doc_pos"), id_("T", "n", "p").alias("id"), F.col("t.topic_name").alias("name"), F.col("t.concept_summary").alias("summary"),
+        id_("C", "n").alias("chapter_id"), "t.page_start", "t.page_end", "t.prerequisites", ids("E", "t.original_exercises").alias("exercise_ids"), ids("S", "t.details_and_sidebars").alias("sidebar_ids"),
+    )
+    below = lambda column: flat.select("book", "n", "p", id_("T", "n", "p").alias("topic_id"), F.posexplode(column).alias("doc_pos", "x")).withColumn("q", F.col("doc_pos") + 1)
+    texts = lambda prefix, column: below(column).select("book", "doc_pos", id_(prefix, "n", "p", "q").alias("id"), "x.text", "topic_id", "x.page")
+    subtopics = below("t.subtopics").select("book", "doc_pos", id_("ST", "n", "p", "q").alias("id"), F.col("x.subtopic_name").alias("name"), "x.summary", "topic_id", "x.page_start", "x.page_end")
+    edges = topics.select("book", F.col("id").alias("child"), F.posexplode("prerequisites").alias("doc_pos", "parent")).withColumns({"kind": F.lit("prerequisite"), "graph": F.lit("concept_dependencies")})
+    named = chapters.select("book", "doc_pos", id_("C", "n").alias("id"), F.col("c.chapter_number").alias("number"), F.col("c.chapter_title").alias("title"), "c.page_start", "c.page_end")
+    sidebars = texts("S", "t.details_and_sidebars").withColumn("chapter_id", F.lit(None).cast("string"))
+    return Curriculum(named, topics, subtopics, texts("E", "t.original_exercises"), sidebars, edges)
+
+
 def imported(c: Curriculum) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, children, prerequisites) as an import takes them.
 
