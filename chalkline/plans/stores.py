@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkline.operators.keyed_table import KeyedTable
 from chalkline.operators.lineage import Scratch
 from chalkline.operators.references import CASCADE, SET_NULL, Reference, delete_with_references
+from chalkline.operators.writes import write_documents
 from chalkline.plans.mastery import BLENDED_SQL, scored
 from chalkline.plans.registry import register
+from chalkline.sources.cached import CachedBooks
 from chalkline.sources.tables import table
 from chalkline.streaming.mastery_store import MasteryStore
 
@@ -111,3 +114,32 @@ def mastery_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch, rows in ((1, batches[1]), (1, batches[1]), (2, batches[2].unionByName(batches[0].where("event_id % 5 = 0"))), (2, batches[2])):
         store.absorb(rows, batch)
     return store.state.read().drop("last_at", "last_event")
+
+
+@register(
+    "cached_books",
+    """WITH b AS (SELECT p_type AS book, dense_rank() OVER (ORDER BY p_type) AS k, count(*) AS n FROM part GROUP BY p_type)
+       SELECT book, CASE WHEN k % 7 = 3 THEN '{"from": "store"}' WHEN k % 5 = 1 THEN '{"topics": ' || n || ', "edition": 2}' ELSE '{"topics": ' || n || '}' END AS document,
+              CASE WHEN k % 7 = 3 THEN 0 ELSE 1 END AS priority, CASE WHEN k % 5 = 1 AND k % 11 <> 2 THEN 2 ELSE 1 END AS times_read
+       FROM b WHERE k % 11 <> 2 OR k % 7 = 3""",
+)
+def cached_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books by a cache of files, read, then changed and read again: what the store has comes from there, and each file was read as often as it was new."""
+    scratch = Scratch(spark, "cached")
+    folder = scratch.where("files")
+    rank = F.dense_rank().over(W.orderBy("book"))  # books are few
+    parts = table(spark, sf_dir, "part").groupBy(K("p_type").alias("book")).agg(F.count("*").alias("n")).withColumn("k", rank)
+    parts = scratch.keep(parts, "books")
+    topics = F.concat(F.lit('{"topics": '), K("n").cast("string"))
+    cache = CachedBooks(spark, folder, scratch.where("cache"))
+    write_documents(parts.select("book", F.concat(topics, F.lit("}")).alias("document")), folder, "book")
+    cache.refresh()
+    before = scratch.keep(cache.table.read().select("book", K("modified").alias("_old")), "before")
+    for gone in parts.where("k % 11 = 2").select("book").collect():  # files that another program removes
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{gone['book']}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    write_documents(parts.where("k % 5 = 1 AND k % 11 <> 2").select("book", F.concat(topics, F.lit(', "edition": 2}')).alias("document")), folder, "book")
+    found = cache.lookup(parts.where("k % 7 = 3").select("book", F.lit('{"from": "store"}').alias("document")))
+    after = cache.table.read().select("book", K("modified").alias("_new"))
+    again = F.when(K("_old") < K("_new"), 2).otherwise(1).alias("times_read")
+    return found.join(before, "book").join(after, "book", "left").select("book", "document", "priority", again)

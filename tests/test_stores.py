@@ -96,3 +96,31 @@ def test_stream_that_is_stopped_and_late(spark, tmp_path):
     assert store.state.done("mastery") == 1
     columns = ["student_id", "topic", "mastery", "n_events", "attempts", "time_spent", "hints"]
     assert rows(store.state.read().select(columns)) == rows(mastery_blend_fold(spark, SF).where("student_id < 6").select(columns))
+
+
+def test_cache_opens_changed_files_only(spark, tmp_path):
+    """A file whose time and size are as they were isn't opened, even if it says something else."""
+    import os
+
+    from chalkline.sources.cached import CachedBooks
+
+    def put(book, text, when=None):
+        path = tmp_path / "in" / book / "ontology.json"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+        os.utime(path, when and (when, when))
+
+    cache = CachedBooks(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/cache", buckets=4)
+    assert cache.read().collect() == []
+    for i, book in enumerate(["one", "two", "drei é", "four"]):
+        put(book, f"first {i}", 1_700_000_000)
+    assert cache.refresh() == (4, 0, 0) and cache.refresh() == (0, 4, 0)
+    put("one", "FIRST 0", 1_700_000_000)  # behind the cache's back
+    put("two", "later", 1_700_000_001)
+    (tmp_path / "in" / "four" / "ontology.json").unlink()
+    put("five", "new")
+    before = cache.table.latest().version
+    assert cache.refresh() == (2, 2, 1) and cache.table.latest().version == before + 1
+    assert rows(cache.read()) == [("drei é", "first 2"), ("five", "new"), ("one", "first 0"), ("two", "later")]
+    stored = spark.createDataFrame([("two", "stored"), ("six", "stored")], "book string, document string")
+    assert rows(cache.lookup(stored).select("book", "document")) == [("drei é", "first 2"), ("five", "new"), ("one", "first 0"), ("six", "stored"), ("two", "stored")]
