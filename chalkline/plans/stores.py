@@ -142,4 +142,4 @@ def cached_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cache.lookup(parts.where("k % 7 = 3").select("book", F.lit('{"from": "store"}').alias("document")))
     after = cache.table.read().select("book", K("modified").alias("_new"))
     again = F.when(K("_old") < K("_new"), 2).otherwise(1).alias("times_read")
-    return found.join(before, "book").join(after, "book", "left").select("book", "document", "priority", again)
+    return found.join(before, "book").join(after, "book", "left").select("book", F.regexp_replace("document", "\n$", "").alias("document"), "priority", again)
