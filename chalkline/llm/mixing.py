@@ -20,7 +20,7 @@ from chalkline.llm.scratch import Scratch, set_apart
 MOST = 3
 #: Weights of the sources by code point, repeated.
 WEIGHTS = (1, 2, 3)
-#: Newton's steps stop at this relative gap, or after so many.
+#: Newton's steps stop at this relative gap; to need so many is an error.
 GAP, STEPS = 1e-7, 80
 #: Starts of the systematic rounding that are tried for each source.
 STARTS = 64
@@ -130,8 +130,8 @@ def _balanced(cells: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFra
         before, state = state, scratch.keep(moved, "state")
         scratch.drop(before)
         if state.where("NOT _done").isEmpty():
-            break
-    return state
+            return state
+    raise ArithmeticError(f"rates miss their targets by more than {GAP} after {STEPS} steps")
 
 
 def mix_sources(df: DataFrame, size: Column, source: str, id_col: str, weights: tuple[int, ...] = WEIGHTS, by: str | None = None) -> DataFrame:

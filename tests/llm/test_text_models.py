@@ -289,3 +289,20 @@ def test_pipeline_stages(spark):
         if name == "bpe":
             assert rows == before and out.where("n_tokens <> size(ids)").isEmpty()
         before, docs = rows, out
+
+
+def test_more_labels_than_a_worker_scores(spark):
+    """Three hundred labels are learned, each by a word of its own, and blocks of them say what all at once say."""
+    vocabulary = tokenizer_path("piece_bpe_32k.model")
+    words = [f"{a}{b}{c}" * 3 for a in "bdfgklmnpr" for b in "aeiou" for c in "stvwxz"]
+    rows = [(i, f"{w} {w} {w}", f"l{i % 300:03d}", "in") for i, w in enumerate(words)] + [(900, None, None, "in"), (901, "12 ?", "l001", "in"), (902, words[7] * 30, None, "in")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score string")
+    model = langid.fit(docs, "text", "lang", "doc_id", vocabulary)
+    assert len(model.langs) == 300
+    whole = {r["doc_id"]: r for r in langid.identify(docs, "text", model, vocabulary, ["doc_id", "Score"], at_once=300).collect()}
+    apart = langid.identify(docs, "text", model, vocabulary, ["doc_id", "Score"], at_once=64)
+    assert apart.columns == ["doc_id", "Score_in", "lang_pred", "score"]
+    found = {r["doc_id"]: r for r in apart.collect()}
+    assert len(found) == len(rows) and all(found[i]["lang_pred"] == r["lang_pred"] and abs(found[i]["score"] - r["score"]) < 1e-9 for i, r in whole.items())
+    assert [found[i]["lang_pred"] for i in (900, 901)] == ["und", "und"] and found[900]["score"] == 0
+    assert sum(found[i]["lang_pred"] == lang for i, _, lang, _ in rows[:300]) >= 290
