@@ -50,12 +50,13 @@ def semantic_name(x: Column) -> Column:
 
 
 def first_keyword(text: Column, rules: list[tuple[list[str], str]], default: str | None) -> Column:
-    """Label of the first rule one of whose words the text holds."""
+    """Label of the first rule one of whose words the text holds.
+
+    A rule's words are one literal array: a test for each of them makes methods that the JVM refuses to compile.
+    """
     out = None
     for words, label in rules:
-        hit = text.contains(words[0])
-        for w in words[1:]:
-            hit = hit | text.contains(w)
+        hit = F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(F.lit(default))
 
@@ -109,6 +110,15 @@ def repair_json(x: pd.Series) -> pd.Series:
     return x.map(repaired)
 
 
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """False where the similarity of a and b is surely under ``least``.
+
+    What the ratio matches is a common subsequence, so all letters but twice its length can be deleted and inserted to
+    make one text of the other; that is no less than their edit distance.
+    """
+    return F.levenshtein(a, b) <= (1 - least) * (F.char_length(a) + F.char_length(b)) + 1e-9
+
+
 def robust_json(x: Column) -> Column:
     """Valid JSON as it is; the repair gets only what Spark can't parse, and null for the rest."""
     bare = strip_fences(x)

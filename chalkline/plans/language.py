@@ -26,6 +26,7 @@ from chalkline.functions.text import (
     canonical_ids,
     digits_only,
     first_keyword,
+    may_reach,
     norm_name,
     repair_xml,
     robust_json,
@@ -159,7 +160,7 @@ def alike_pairs(rows: DataFrame, group: list[str], order: str, name: str, least:
     left = names.select(*group, F.col(name).alias("a"), F.col("ids").alias("ids_a"), F.explode(lengths).alias("m"))
     right = names.select(*group, F.col(name).alias("b"), F.col("ids").alias("ids_b"), F.col("n").alias("m"))
     met = left.join(right, [*group, "m"]).where((F.char_length("b") < F.char_length("a")) | (F.col("a") <= F.col("b")))
-    met = met.where(2 * F.char_length("b") >= least * (F.char_length("a") + F.char_length("b")))
+    met = met.where(2 * F.char_length("b") >= least * (F.char_length("a") + F.char_length("b"))).where(may_reach(F.col("a"), F.col("b"), least))
     # The ratio isn't symmetric: each order of two names that occurs is measured.
     both = met.withColumn("there", seq_ratio("a", "b")).withColumn("back", seq_ratio("b", "a")).where((F.col("there") >= least) | (F.col("back") >= least))
     pairs = both.select("a", "b", "there", "back", F.explode("ids_a").alias("x"), "ids_b").select("a", "b", "there", "back", "x", F.explode("ids_b").alias("y"))
