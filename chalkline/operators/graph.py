@@ -6,34 +6,68 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chalkline.operators.lineage import Scratch
 
 
+#: Prerequisites up to which a node is looked through.
+FAN = 4
+#: No path is as long; keeps the weights on cycles, which double each round, inside of a long.
+FAR = 1 << 40
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(group, node, layer): longest way down from a node without prerequisites, inside each group.
 
-    ``nodes`` is (group, node), ``edges`` (group, child, parent). A round finds
-    the nodes of one layer by anti-join, however deep the graph; nodes on or
-    behind a cycle never get one. Rounds end with the deepest layer.
+    ``nodes`` is (group, node), ``edges`` (group, child, parent); edges that
+    are given twice, or name no node, count as one and as none. Nodes on or
+    behind a cycle never get a layer.
+
+    An open node's layer is the largest of max(base, layer of a parent + w)
+    over its edges. A round puts the layers found in the last one in place,
+    then replaces each parent that has up to FAN prerequisites by those: ways
+    double in length, and parallel ones become one by their maxima. So chains,
+    trees and what joins again take rounds by the logarithm of their depth;
+    where more prerequisites than FAN stay apart a round finds one layer at
+    least. A round without a new layer leaves cycles and what is behind them.
     """
     scratch = Scratch(nodes.sparkSession, "layers")
+    key = ["group", "node"]
     own = lambda c: nodes.select("group", F.col("node").alias(c))
-    live = scratch.keep(edges.join(own("child"), ["group", "child"], "left_semi").join(own("parent"), ["group", "parent"], "left_semi"), "live")
-    left, done, layer = scratch.keep(nodes.select("group", "node"), "left"), None, 0
+    inside = edges.select("group", "child", "parent").join(own("child"), ["group", "child"], "left_semi").join(own("parent"), ["group", "parent"], "left_semi")
+    first = inside.select("group", F.col("child").alias("node"), "parent", F.lit(0).cast("long").alias("base"), F.lit(1).cast("long").alias("w"))
+
+    def merged(ways: DataFrame) -> DataFrame:
+        """One row a node and parent, ``n`` parents of the node; ways without a parent are ended."""
+        one = ways.groupBy(*key, "parent").agg(F.max("base").alias("base"), F.max("w").alias("w"))
+        return one.withColumn("n", F.count("parent").over(W.partitionBy(*key)))
+
+    ways = scratch.keep(merged(first), "ways")
+    found = scratch.keep(nodes.select(*key).distinct().join(ways.select(*key), key, "left_anti").withColumn("layer", F.lit(0).cast("long")), "found")
+    done = found
     while True:
-        waiting = live.select("group", F.col("child").alias("node"))
-        ready = scratch.keep(left.join(waiting, ["group", "node"], "left_anti").withColumn("layer", F.lit(layer)), "ready")
-        if done is not None and ready.isEmpty():
-            scratch.drop(left, live, ready)
-            return done
-        done = ready if done is None else done.unionByName(ready)
-        before = left, live
-        left = scratch.keep(left.join(ready, ["group", "node"], "left_anti"), "left")
-        live = scratch.keep(live.join(ready.select("group", F.col("node").alias("parent")), ["group", "parent"], "left_anti"), "live")
-        scratch.drop(*before)
-        layer += 1
+        ended = F.col("layer").isNotNull()
+        placed = ways.where("n > 0").join(found.withColumnRenamed("node", "parent"), ["group", "parent"], "left").select(
+            *key, F.when(~ended, F.col("parent")).alias("parent"), F.when(ended, F.greatest("base", F.col("layer") + F.col("w"))).otherwise(F.col("base")).alias("base"), "w", "n"
+        )
+        through = placed.where(F.col("n") <= FAN).select("group", F.col("node").alias("parent"), F.col("parent").alias("_parent"), F.col("base").alias("_base"), F.col("w").alias("_w"))
+        met = F.col("_base").isNotNull()
+        further = placed.join(through, ["group", "parent"], "left").select(
+            *key,
+            F.when(met, F.col("_parent")).otherwise(F.col("parent")).alias("parent"),
+            F.when(met, F.least(F.lit(FAR), F.greatest("base", F.col("_base") + F.col("w")))).otherwise(F.col("base")).alias("base"),
+            F.when(met, F.least(F.lit(FAR), F.col("w") + F.col("_w"))).otherwise(F.col("w")).alias("w"),
+        )
+        before, ways = ways, scratch.keep(merged(further), "ways")
+        scratch.drop(before)
+        found = ways.where("n = 0").select(*key, F.col("base").alias("layer"))
+        if found.isEmpty():
+            scratch.drop(ways)
+            return done.withColumn("layer", F.col("layer").cast("int"))
+        found = scratch.keep(found, "found")
+        done = done.unionByName(found)
 
 
 def week_order(requested: list[str], edges: list[tuple[str, str]], known: set[str], days: int) -> list[str]:

@@ -80,6 +80,11 @@ def books(spark: SparkSession, sf_dir: str, keep: str = "true") -> Curriculum:
     return parse_strict(raw_books(spark, sf_dir, keep))
 
 
+def parsed_books(spark: SparkSession, sf_dir: str) -> Curriculum:
+    """The books parsed once, for pipelines that read all of their frames."""
+    return parse_strict(raw_books(spark, sf_dir), Scratch(spark, "books"))
+
+
 @register(
     "import_strict",
     f"""WITH {BOOKS_SQL}, e AS (SELECT book, topic_id, count(*) AS m FROM exercises GROUP BY ALL)
@@ -173,12 +178,12 @@ fixed AS (SELECT * FROM ranked WHERE nth = 1)"""
 @register("fix_curriculum", f"WITH {FIX_SQL} SELECT book, new_id AS id, 'C_' || n AS chapter_id, name, page_start, page_end FROM fixed")
 def fix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics of all books after the fixer."""
-    return fix(books(spark, sf_dir))[0].topics.select("book", "id", "chapter_id", "name", "page_start", "page_end")
+    return fix(parsed_books(spark, sf_dir))[0].topics.select("book", "id", "chapter_id", "name", "page_start", "page_end")
 
 
 @register("fix_chapters", f"WITH {FIX_SQL} SELECT book, 'C_' || n AS id, CAST(n AS INT) AS number, title, page_start, page_end FROM numbered")
 def fix_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fix(books(spark, sf_dir))[0].chapters.select("book", "id", "number", "title", "page_start", "page_end")
+    return fix(parsed_books(spark, sf_dir))[0].chapters.select("book", "id", "number", "title", "page_start", "page_end")
 
 
 @register(
@@ -187,7 +192,7 @@ def fix_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT book, replace(new_id, 'T_', 'ST_') || '_1' AS id, new_id AS topic_id, greatest(a, lo) AS page_start, greatest(greatest(a, lo), least(b, hi)) AS page_end FROM s""",
 )
 def fix_subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fix(books(spark, sf_dir))[0].subtopics.select("book", "id", "topic_id", "page_start", "page_end")
+    return fix(parsed_books(spark, sf_dir))[0].subtopics.select("book", "id", "topic_id", "page_start", "page_end")
 
 
 @register(
@@ -196,7 +201,7 @@ def fix_subtopics(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM exercises e JOIN fixed f ON f.book = e.book AND f.id = e.topic_id""",
 )
 def fix_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fix(books(spark, sf_dir))[0].exercises.select("book", "id", "topic_id", "text")
+    return fix(parsed_books(spark, sf_dir))[0].exercises.select("book", "id", "topic_id", "text")
 
 
 @register(
@@ -205,7 +210,7 @@ def fix_exercises(spark: SparkSession, sf_dir: str) -> DataFrame:
         LEFT JOIN ranked c ON c.book = e.book AND c.id = child LEFT JOIN ranked p ON p.book = e.book AND p.id = parent) SELECT DISTINCT book, child, parent FROM e WHERE child <> parent""",
 )
 def fix_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fix(books(spark, sf_dir))[0].edges.select("book", "child", "parent")
+    return fix(parsed_books(spark, sf_dir))[0].edges.select("book", "child", "parent")
 
 
 @register(
@@ -214,7 +219,7 @@ def fix_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fix_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What fixed topics still need: live topics only."""
-    topics = fix(books(spark, sf_dir))[0].topics
+    topics = fix(parsed_books(spark, sf_dir))[0].topics
     return topics.select("book", "id", F.explode("prerequisites").alias("prerequisite"))
 
 
@@ -240,12 +245,12 @@ def fix_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fix_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the fixer changed, counted by kind."""
-    return fix(books(spark, sf_dir))[1]
+    return fix(parsed_books(spark, sf_dir))[1]
 
 
 @register("enrich_topics", f"WITH {BOOKS_SQL}, {activity_sql('topics')} SELECT book, id, activity AS canonical_type FROM typed")
 def enrich_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(books(spark, sf_dir))[0].topics.select("book", "id", "canonical_type")
+    return enrich(parsed_books(spark, sf_dir))[0].topics.select("book", "id", "canonical_type")
 
 
 _ADJACENT = f"""{BOOKS_SQL}, {activity_sql('topics')}, l AS (SELECT book, id AS child, activity, lag(id) OVER w AS parent, lag(activity) OVER w AS before FROM typed
@@ -254,7 +259,7 @@ WINDOW w AS (PARTITION BY book, chapter_id ORDER BY {ACTIVITY_RANK_SQL}, coalesc
 
 @register("enrich_edges", f"WITH {_ADJACENT} SELECT book, child, parent, 'prerequisite' AS kind FROM edges UNION ALL SELECT book, child, parent, 'depends_on' FROM new")
 def enrich_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(books(spark, sf_dir))[0].edges.select("book", "child", "parent", "kind")
+    return enrich(parsed_books(spark, sf_dir))[0].edges.select("book", "child", "parent", "kind")
 
 
 @register(
@@ -265,7 +270,7 @@ def enrich_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT book, 'missing_warnings', count(*) FROM s WHERE len(list_filter(['LISTEN_SPEAK', 'READ', 'WRITE', 'CREATIVE'], lambda x: NOT coalesce(list_contains(a, x), false))) > 0 GROUP BY book""",
 )
 def enrich_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(books(spark, sf_dir))[1]
+    return enrich(parsed_books(spark, sf_dir))[1]
 
 
 #: The validator's chapters over BOOKS_SQL, where every chapter has a first page.
@@ -289,12 +294,12 @@ graded AS (SELECT *, CASE WHEN n IS NULL THEN 0.3 WHEN n = 1 AND page_end - page
 )
 def validate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters after the validator, without those set apart."""
-    return validate(books(spark, sf_dir)).curriculum.chapters.select("book", "id", "number", "title", "page_start", "page_end", "confidence", "status")
+    return validate(parsed_books(spark, sf_dir)).curriculum.chapters.select("book", "id", "number", "title", "page_start", "page_end", "confidence", "status")
 
 
 @register("validate_quarantine", f"WITH {VALID_SQL} SELECT book, id, confidence FROM graded WHERE confidence < 0.6")
 def validate_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(books(spark, sf_dir)).quarantined.select("book", "id", "confidence")
+    return validate(parsed_books(spark, sf_dir)).quarantined.select("book", "id", "confidence")
 
 
 @register(
@@ -303,7 +308,7 @@ def validate_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def validate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics after the validator, and whether they began after their chapter's end."""
-    return validate(books(spark, sf_dir)).curriculum.topics.select("book", "id", "chapter_id", F.col("boundary_violation").alias("violated"))
+    return validate(parsed_books(spark, sf_dir)).curriculum.topics.select("book", "id", "chapter_id", F.col("boundary_violation").alias("violated"))
 
 
 @register(
@@ -314,7 +319,7 @@ def validate_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def validate_light_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters in the validator's light mode, where nothing is set apart."""
-    return validate(books(spark, sf_dir), "light").curriculum.chapters.select("book", "id", "number", "page_start", "page_end", "confidence", "status")
+    return validate(parsed_books(spark, sf_dir), "light").curriculum.chapters.select("book", "id", "number", "page_start", "page_end", "confidence", "status")
 
 
 @register(

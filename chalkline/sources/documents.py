@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chalkline.operators.lineage import Scratch
+
 STRICT = """struct<
 entities:struct<
   chapters:array<struct<id:string,number:int,title:string,page_start:int,page_end:int>>,
@@ -90,9 +92,16 @@ def first_source(sources: list[DataFrame], key: str) -> DataFrame:
     return whole.join(best, [key, "priority"])
 
 
-def parse_strict(raw: DataFrame) -> Curriculum:
-    """Entities and the edges of the three graphs; missing lists are empty."""
+def parse_strict(raw: DataFrame, scratch: Scratch | None = None) -> Curriculum:
+    """Entities and the edges of the three graphs; missing lists are empty.
+
+    Each frame parses the documents for itself, which suits readers of one or
+    two. With ``scratch`` they are parsed once, into a working table with the
+    lists nested, of which a frame reads the columns of its own list.
+    """
     read = raw.select("book", F.from_json("document", STRICT.replace("\n", "")).alias("d"))
+    if scratch is not None:
+        read = scratch.keep(read, "documents")
     rows = lambda path: read.select("book", F.posexplode(F.col(path)).alias("doc_pos", "e")).select("book", "doc_pos", "e.*")
     edges = None
     for graph in GRAPHS:

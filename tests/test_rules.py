@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.functions.numeric import mastery_score
-from chalkline.functions.text import robust_json, repair_xml, semantic_name, seq_ratio
+from chalkline.functions.text import may_reach, robust_json, repair_xml, semantic_name, seq_ratio
 from chalkline.operators import folds
 from chalkline.operators.graph import acyclic, break_cycles, layers, sequence_week, week_order
 from chalkline.operators.keyed import cascade_delete, keyed_union, patched, set_null, upsert
+from chalkline.operators.lineage import Scratch
 from chalkline.operators.structure import fold_dedup, pages_of
 from chalkline.plans.language import without_meta
 from chalkline.plans.people import personality, top_two
@@ -71,6 +72,51 @@ def test_deep_layers(spark):
     assert sorted((r["node"], r["layer"]) for r in found.collect()) == [(i, i) for i in range(110)] + [(500, 0)]
 
 
+def test_edit_distance_rules_out_no_alike_pair(spark):
+    """No pair that reaches the ratio goes, letters beyond 16 bits included; of unlike ones few stay."""
+    r = random.Random(11)
+    texts = ["".join(r.choices("aab😀cde గ", k=r.randrange(0, 14))) for _ in range(60)]
+    pairs = [(a, b) for a in texts for b in texts]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", may_reach(F.col("a"), F.col("b"), 0.7).alias("may"), F.lit(0.7) <= seq_ratio("a", "b")).collect()
+    assert not [x for x in rows if x[3] and not x["may"]]
+    assert sum(x["may"] for x in rows) < 0.2 * len(rows) and any(x[3] for x in rows)
+
+
+def plain_layers(nodes, edges):
+    needs = {n: {p for g, c, p in edges if (g, c) == n and (g, p) in nodes} for n in nodes}
+    found, layer = {}, 0
+    while ready := [n for n in nodes if n not in found and all((n[0], p) in found for p in needs[n])]:
+        found.update(dict.fromkeys(ready, layer))
+        layer += 1
+    return found
+
+
+def test_layers_against_peeling(spark):
+    """Groups with edges given twice, self loops, cycles, unknown ends, a ladder, and nodes of many prerequisites."""
+    r = random.Random(7)
+    nodes = {(0, i) for i in range(40)} | {(1, i) for i in range(40)} | {(2, i) for i in range(30)} | {(3, i) for i in range(25)}
+    edges = [(0, c, p) for c in range(40) for p in r.sample(range(c), min(c, r.choice((0, 1, 1, 2, 7))))] * 2 + [(0, 3, 999), (0, 999, 3)]
+    edges += [(1, r.randrange(40), r.randrange(40)) for _ in range(38)] + [(1, 5, 5)]
+    edges += [(2, i, p) for i in range(2, 30) for p in (i - i % 2 - 1, i - i % 2 - 2)]
+    edges += [(3, c, p) for c in range(25) for p in range(c)]
+    found = layers(spark.createDataFrame(sorted(nodes), "group int, node int"), spark.createDataFrame(edges, "group int, child int, parent int"))
+    assert {(x["group"], x["node"]): x["layer"] for x in found.collect()} == plain_layers(nodes, edges)
+
+
+def test_rounds_of_layers_follow_the_logarithm(spark, monkeypatch):
+    made = []
+    keep = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: made.append(name) or keep(self, df, name))
+    # A ladder: each node of a layer needs both of the layer before.
+    nodes = spark.range(1000).select(F.lit(0).alias("group"), F.col("id").alias("node"))
+    below = F.expr("node - node % 2 - 2")
+    edges = nodes.select("group", F.col("node").alias("child"), F.explode(F.array(below, below + 1)).alias("parent")).where("parent >= 0")
+    assert layers(nodes, edges).where("layer <> floor(node / 2)").isEmpty()
+    assert made.count("ways") <= 12
+    none = nodes.where("node < 0")
+    assert layers(none, edges).isEmpty() and layers(nodes, edges.where("child < 0")).where("layer = 0").count() == 1000
+
+
 def test_week_of_topics_without_edges(spark):
     plans = spark.createDataFrame([(1, 0, "unknown"), (1, 1, "b"), (1, 2, "alone"), (1, 3, "a")], "plan long, pos int, concept string")
     edges = spark.createDataFrame([(0, "b", "a")], "pos int, child string, parent string")
