@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from chalkline.operators.lineage import Scratch
 
-
-#: Bytes of events under which no key can be too long for one array, and events of a key that one array holds beyond that.
-SMALL, EVENTS = 64 << 20, 100_000
+#: Events of a key that one array holds.
+EVENTS = 100_000
 
 
 def ordered_fold(
@@ -21,19 +20,20 @@ def ordered_fold(
     """One row for each key: ``step`` applied to the key's events in order, from ``start``, with ``n_events``.
 
     Steps that round are not associative, so there is no partial aggregation; a
-    key's events are a sorted array, and the fold runs on it in the JVM. Where
-    the events may be more than a task should hold, a key's events are cut into
-    arrays of EVENTS, and a round for each goes on from the state before.
+    key's events are sorted arrays of at most EVENTS, and the fold runs on them
+    in the JVM. The longest key is counted first, from the keys alone; where
+    one array doesn't hold it, all keys are cut behind one shuffle, and a round
+    for each further array goes on from the state before.
     """
     slim = df.select(*keys, *order, *[v for v in values if v not in order])
     event = F.struct(*order, *values)
     sorted_ = F.array_sort(F.collect_list(event)).alias("_events")
-    if _size_of(slim) <= SMALL:
+    if (slim.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= EVENTS:
         return slim.groupBy(*keys).agg(sorted_).select(*keys, F.size("_events").alias("n_events"), F.aggregate("_events", start, step).alias(name))
     scratch = Scratch(df.sparkSession, "fold")
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    cut = scratch.keep(slim.withColumn("_part", F.floor(place / EVENTS).cast("int")), "cut")
-    parts = lambda p: cut.where(F.col("_part") == p).groupBy(*keys).agg(sorted_)
+    cut = scratch.keep(slim.withColumn("_part", F.floor(place / EVENTS).cast("int")).groupBy(*keys, "_part").agg(sorted_), "cut")
+    parts = lambda p: cut.where(F.col("_part") == p).drop("_part")
     state = parts(0).select(*keys, F.size("_events").alias("n_events"), F.aggregate("_events", start, step).alias(name))
     for p in range(1, (cut.agg(F.max("_part")).first()[0] or 0) + 1):
         state = scratch.keep(state, "state")
@@ -43,11 +43,6 @@ def ordered_fold(
     return state
 
 
-def _size_of(df: DataFrame) -> int:
-    """Bytes that the optimizer expects; no job runs for it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key in the given order, numbered from 1 in ``rank``."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)

@@ -50,15 +50,17 @@ def write_documents(rows: DataFrame, path: str, key: str, name: str | None = "on
 
 
 def write_plans(plans: DataFrame, path: str) -> None:
-    """Plans (book, topic, document) under folders of the book and the topic, whose names are made safe."""
+    """Plans (book, topic, document) under folders of the book and the topic, whose names are made safe; a topic that is written again is replaced."""
     named = plans.withColumns({"book": safe_dirname(F.col("book")), "topic": safe_dirname(F.col("topic"))})
-    named.repartition("book", "topic").write.mode("append").partitionBy("book", "topic").text(path)
+    with settings(plans.sparkSession, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+        named.repartition("book", "topic").write.mode("overwrite").partitionBy("book", "topic").text(path)
 
 
 def write_raw(responses: DataFrame, path: str) -> None:
-    """Raw responses (label, raw) as they came, a folder for each label; a label written again is replaced."""
+    """Raw responses (label, raw) as they came, a folder for each label; a label written again is replaced. No label is "none", no response an empty one."""
+    told = responses.select(F.coalesce("label", F.lit("none")).alias("label"), F.coalesce("raw", F.lit("")).alias("raw"))
     with settings(responses.sparkSession, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
-        responses.select("label", "raw").repartition("label").write.mode("overwrite").partitionBy("label").option("lineSep", "\x1e").text(path)
+        told.repartition("label").write.mode("overwrite").partitionBy("label").option("lineSep", "\x1e").text(path)
 
 
 class Checkpoint:

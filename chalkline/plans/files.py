@@ -130,19 +130,21 @@ def books_or_files(database: DataFrame, filed: DataFrame) -> DataFrame:
     """SELECT lower(replace(p_type, ' ', '_')) AS book, lower(replace(p_name, ' ', '_')) || '_a' AS topic, count(*) AS n, sum(p_partkey) AS keys FROM part GROUP BY ALL""",
 )
 def plan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lesson plans in folders of their book and topic, read again."""
+    """Lesson plans in folders of their book and topic, written twice and read again."""
     path = _folder(spark, "plans")
     document = F.to_json(F.struct(K("p_partkey").alias("id")))
-    write_plans(table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("?")).alias("book"), F.concat("p_name", F.lit(": A")).alias("topic"), document.alias("value")), path)
+    plans = table(spark, sf_dir, "part").select(F.concat("p_type", F.lit("?")).alias("book"), F.concat("p_name", F.lit(": A")).alias("topic"), document.alias("value"))
+    for _ in range(2):  # the second time changes nothing
+        write_plans(plans, path)
     found = spark.read.schema("value string, book string, topic string").text(path)
     return found.groupBy("book", "topic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("value", "$.id").cast("long")).alias("keys"))
 
 
-@register("raw_responses", "SELECT lang AS label, count(*) AS n, sum(length(text)) AS chars FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang")
+@register("raw_responses", "SELECT coalesce(lang, 'none') AS label, count(*) AS n, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY ALL")
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw texts by label, with their line breaks; a label that is written again is replaced."""
+    """Raw texts by label, with their line breaks; a label that is written again is replaced, a text that is null comes back empty."""
     path = _folder(spark, "raw")
-    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL").select(K("lang").alias("label"), K("text").alias("raw"))
+    rows = table(spark, sf_dir, "documents").select(K("lang").alias("label"), K("text").alias("raw"))
     write_raw(rows.where("label = 'en'").limit(3), path)
     write_raw(rows, path)
     found = spark.read.option("lineSep", "\x1e").schema("value string, label string").text(path)
@@ -240,7 +242,7 @@ def curriculum_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "image_enrichment",
     """WITH t AS (SELECT p_type AS book, p_partkey AS topic, p_size AS ps, p_size + p_partkey % 3 AS pe FROM part),
-       i AS (SELECT DISTINCT b.book, l_orderkey % 60 AS pdf FROM lineitem, (SELECT DISTINCT book FROM t) b WHERE l_linenumber = 1 AND l_orderkey % 60 < 55),
+       i AS (SELECT DISTINCT b.book, l_orderkey % 60 AS pdf FROM lineitem, (SELECT DISTINCT book FROM t) b),
        p AS (SELECT *, greatest(pdf - 3 + 1, 1) AS page, CASE WHEN pdf % 4 = 0 THEN '' ELSE 'picture ' || pdf END AS description, CASE WHEN pdf % 3 = 0 THEN 'draw ' || pdf ELSE '' END AS exercise FROM i),
        m AS (SELECT p.*, coalesce((SELECT max(topic) FROM t WHERE t.book = p.book AND p.page BETWEEN ps AND pe AND p.page > 0), (SELECT arg_min(topic, (abs(ps - p.page), topic)) FROM t WHERE t.book = p.book)) AS topic FROM p)
        SELECT book, 'S_' || topic || '_' || (row_number() OVER (PARTITION BY book ORDER BY pdf) + 2) AS id, '[IMAGE] ' || description AS text, page, topic FROM m WHERE description <> ''
@@ -250,7 +252,7 @@ def image_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions and exercises that pictures gave, filed under the topic of their printed page with ids that go on from those that are there."""
     parts = table(spark, sf_dir, "part")
     topics = parts.select(K("p_type").alias("book"), K("p_partkey").alias("topic"), K("p_size").alias("ps"), (K("p_size") + K("p_partkey") % 3).alias("pe"))
-    pdf = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((K("l_orderkey") % 60).alias("pdf")).where("pdf < 55").distinct()
+    pdf = table(spark, sf_dir, "lineitem").select((K("l_orderkey") % 60).alias("pdf")).distinct()
     pages = topics.select("book").distinct().crossJoin(pdf)  # every book has a picture on each of these pages
     pages = pages.withColumn("page", F.greatest(K("pdf") - 3 + 1, F.lit(1)))
     pages = pages.withColumns({"description": F.when(K("pdf") % 4 == 0, "").otherwise(F.concat(F.lit("picture "), K("pdf").cast("string"))), "exercise": F.when(K("pdf") % 3 == 0, F.concat(F.lit("draw "), K("pdf").cast("string"))).otherwise("")})

@@ -294,13 +294,12 @@ def script_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "normalised_text",
-    r"""SELECT doc_id, trim(regexp_replace(replace(replace('  ' || chr(65279) || left(text, 60) || chr(8203) || chr(9) || chr(160) || 'é' || chr(10), chr(8203), ''), chr(65279), ''), '[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS text
-        FROM documents WHERE text IS NOT NULL""",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize('  ' || chr(65279) || coalesce(text, '') || chr(8203) || chr(9) || chr(160) || 'é' || chr(10)), '[\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS text FROM documents""",
 )
 def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text openings with marks, odd spaces and a decomposed letter around, in normal form."""
-    odd = F.concat(F.lit("  ﻿"), F.substring("text", 1, 60), F.lit("​\t é\n"))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", normalised(odd).alias("text"))
+    """Whole texts with marks, odd spaces and a decomposed letter around, in normal form; a null text is an empty one."""
+    odd = F.concat(F.lit("  ﻿"), F.coalesce("text", F.lit("")), F.lit("​\t é\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", normalised(odd).alias("text"))
 
 
 @register(

@@ -152,17 +152,31 @@ def recommended(strict: DataFrame, legacy: DataFrame, students: DataFrame) -> Da
 
 @register(
     "recommend_either_form",
-    f"""WITH {KNOWN_SQL}, done AS (SELECT student, topic FROM known WHERE mastery >= 0.8), strict AS (SELECT c_custkey AS student, min(p_partkey) AS t FROM customer, part ANTI JOIN done ON done.student = c_custkey AND done.topic = p_partkey WHERE p_partkey < 2 AND c_custkey % 3 = 0 GROUP BY c_custkey),
-        nested AS (SELECT c_custkey AS student, min(p_partkey) AS t FROM customer, part ANTI JOIN done ON done.student = c_custkey AND done.topic = p_partkey WHERE p_partkey BETWEEN 2 AND 3 AND c_custkey % 2 = 0 GROUP BY c_custkey)
+    f"""WITH {KNOWN_SQL}, done AS (SELECT student, topic FROM known WHERE mastery >= 0.8),
+        first AS (SELECT form, student, min(p_partkey) AS t FROM (SELECT 'strict' AS form, c_custkey AS student, c_custkey % 50 + 1 AS book FROM customer WHERE c_custkey % 3 = 0
+            UNION ALL SELECT 'legacy', c_custkey, c_custkey // 50 % 50 + 1 FROM customer WHERE c_custkey % 2 = 0) f JOIN part ON p_size = book ANTI JOIN done ON done.student = f.student AND done.topic = p_partkey GROUP BY ALL),
+        strict AS (SELECT * FROM first WHERE form = 'strict'), nested AS (SELECT * FROM first WHERE form = 'legacy')
         SELECT c_custkey AS student, coalesce(s.t, n.t) AS next_topic, CASE WHEN s.t IS NOT NULL THEN 'strict' WHEN n.t IS NOT NULL THEN 'legacy' END AS form FROM customer LEFT JOIN strict s ON s.student = c_custkey LEFT JOIN nested n ON n.student = c_custkey""",
 )
 def recommend_either_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations where a third of the students has a strict curriculum of two topics and half of them a nested one of two."""
-    students = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("student"))
+    """Recommendations where a third of the students follows a book in the strict form, and half of them one in the nested form.
+
+    The first topic of a book that a student hasn't mastered is the book's first one or follows one that they have.
+    """
+    student = F.col("c_custkey")
+    students = table(spark, sf_dir, "customer").select(student.alias("student"), (student % 50 + 1).alias("strict"), (F.floor(student / 50) % 50 + 1).alias("nested"))
     done = known(spark, sf_dir).where("mastery >= 0.8").select("student", "topic")
-    topics = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("topic"))
-    first = lambda who, few: who.crossJoin(few).join(done, ["student", "topic"], "left_anti").groupBy("student").agg(F.min("topic").alias("next_topic"))  # noqa: E731  two topics each
-    return recommended(first(students.where("student % 3 = 0"), topics.where("topic < 2")), first(students.where("student % 2 = 0"), topics.where("topic BETWEEN 2 AND 3")), students)
+    topics = table(spark, sf_dir, "part").select(F.col("p_size").alias("book"), F.col("p_partkey").alias("topic"))
+    opening = topics.groupBy("book").agg(F.min("topic").alias("topic"))
+    following = topics.select("book", "topic", F.lead("topic").over(W.partitionBy("book").orderBy("topic")).alias("next")).where("next IS NOT NULL")
+    onward = done.join(following, "topic").select("student", "book", F.col("next").alias("topic"))
+
+    def first(who: DataFrame) -> DataFrame:
+        asked = who.join(opening, "book").unionByName(who.join(onward, ["student", "book"]))
+        return asked.join(done, ["student", "topic"], "left_anti").groupBy("student").agg(F.min("topic").alias("next_topic"))
+
+    strict, nested = (students.where(f"student % {n} = 0").select("student", F.col(form).alias("book")) for form, n in (("strict", 3), ("nested", 2)))
+    return recommended(first(strict), first(nested), students.select("student"))
 
 
 @register(

@@ -59,7 +59,6 @@ def test_folds_of_long_keys_go_on_in_rounds(spark, monkeypatch):
     df = spark.createDataFrame(rows, "g int, at int, x double")
     fold = lambda: sorted(map(tuple, folds.ordered_fold(df, ["g"], ["at"], ["x"], F.lit(0.0), lambda acc, e: F.round(acc * 0.3 + e["x"] * 0.7, 2), "y").collect()))
     whole = fold()
-    monkeypatch.setattr(folds, "SMALL", -1)
     monkeypatch.setattr(folds, "EVENTS", 4)
     assert fold() == whole and [n for _, n, _ in whole] == [1, 3, 4, 7, 20, 50]
 
