@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.text import safe_dirname
 from chalkline.operators.lineage import settings
 
+#: Files that get their names at one time.
+RENAMES = 16
+
 
 def insert(rows: DataFrame, path: str, stamp: Column | None = None) -> None:
     """Appends rows with an ``id`` and ``created_at`` of their own."""
@@ -28,24 +33,30 @@ def _files(spark: SparkSession, path: str) -> tuple:
 def write_documents(rows: DataFrame, path: str, key: str, name: str | None = "ontology.json") -> None:
     """Writes (key, document) as ``path/{key}/{name}``, without a name as ``path/{key}.json``; UTF-8 as it is, one file for each key.
 
-    Tasks write the files; what is left to the driver is giving each its name.
+    Tasks write the files; what is left to the driver is giving each its name, RENAMES at a time. The old file goes only
+    when the new one is whole, and a repeated call ends alike.
     """
     spark = rows.sparkSession
     fs, root = _files(spark, path)
     partial = f"{path}/_written"
     rows.select(key, "document").repartition(key).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(partial)
     of = lambda *x: spark._jvm.org.apache.hadoop.fs.Path(*x)
-    for folder in fs.listStatus(of(partial)):
+
+    def named(folder) -> None:
         title = folder.getPath().getName()
         if "=" not in title:
-            continue
+            return
         own = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(title.split("=", 1)[1])
         target = of(of(root, own), name) if name else of(root, f"{own}.json")
         fs.mkdirs(target.getParent())
         for part in fs.listStatus(folder.getPath()):
             if part.getPath().getName().startswith("part-"):
                 fs.delete(target, False)
-                fs.rename(part.getPath(), target)
+                if not fs.rename(part.getPath(), target):
+                    raise OSError(f"{part.getPath()} could not be renamed to {target}")
+
+    with ThreadPoolExecutor(RENAMES) as pool:
+        list(pool.map(named, fs.listStatus(of(partial))))
     fs.delete(of(partial), True)
 
 
