@@ -131,10 +131,14 @@ def quiz_defaults(questions: Column) -> tuple[Column, Column, Column]:
         F.coalesce(questions, F.array().cast(questions_type())),
         lambda q, i: q.withField("number", F.coalesce(q["number"], i + 1)).withField("points", F.coalesce(q["points"], F.lit(1))).withField("type", F.coalesce(q["type"], F.lit("multiple_choice"))),
     )
-    entries = F.transform(told, lambda q: F.struct(q["number"].cast("string").alias("key"), F.coalesce(q["correct_answer"], F.lit("")).alias("value")))
-    # Of questions with one number the last one has the key.
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return told, F.map_from_entries(last), F.size(told)
+    entries = F.array_sort(
+        F.transform(told, lambda q, i: F.struct(q["number"].cast("string").alias("key"), i.alias("i"), F.coalesce(q["correct_answer"], F.lit("")).alias("value")))
+    )
+    # Of questions with one number the last one has the key: the one whose neighbour in order of numbers has another.
+    following = F.slice(entries, F.lit(2), F.size(entries))
+    last = F.zip_with(entries, following, lambda e, f: F.when(f.isNull() | (e["key"] != f["key"]), F.struct(e["i"], e["key"], e["value"])))
+    kept = F.array_sort(F.filter(last, lambda x: x.isNotNull()))
+    return told, F.map_from_entries(F.transform(kept, lambda x: F.struct(x["key"], x["value"]))), F.size(told)
 
 
 def questions_type() -> str:

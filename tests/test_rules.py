@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.functions.numeric import mastery_score
+from chalkline.functions.payload import questions_type, quiz_defaults
 from chalkline.functions.text import may_reach, robust_json, repair_xml, semantic_name, seq_ratio
 from chalkline.operators import folds
 from chalkline.operators.graph import acyclic, break_cycles, layers, sequence_week, week_order
@@ -116,6 +117,15 @@ def test_rounds_of_layers_follow_the_logarithm(spark, monkeypatch):
     assert layers(none, edges).isEmpty() and layers(nodes, edges.where("child < 0")).where("layer = 0").count() == 1000
 
 
+def test_answer_key_of_questions_with_one_number(spark):
+    """A question without a number has its place; of one number the last answer counts, in order of the last ones."""
+    q = lambda n, a: (n, None, None, "q", a)
+    rows = [(1, [q(2, "a"), q(None, "b"), q(2, "c"), q(10, "d"), q(1, None), q(4, "z")]), (2, []), (3, None), (4, [q(1, "x"), q(1, "y")])]
+    _, answers, points = quiz_defaults(F.col("questions"))
+    found = spark.createDataFrame(rows, f"id int, questions {questions_type()}").select("id", F.to_json(answers).alias("a"), points.alias("n")).collect()
+    assert {x["id"]: (x["a"], x["n"]) for x in found} == {1: ('{"2":"c","10":"d","1":"","4":"z"}', 6), 2: ("{}", 0), 3: ("{}", 0), 4: ('{"1":"y"}', 2)}
+
+
 def test_week_of_topics_without_edges(spark):
     plans = spark.createDataFrame([(1, 0, "unknown"), (1, 1, "b"), (1, 2, "alone"), (1, 3, "a")], "plan long, pos int, concept string")
     edges = spark.createDataFrame([(0, "b", "a")], "pos int, child string, parent string")
