@@ -114,9 +114,14 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
     """False where the similarity of a and b is surely under ``least``.
 
     What the ratio matches is a common subsequence, so all letters but twice its length can be deleted and inserted to
-    make one text of the other; that is no less than their edit distance.
+    make one text of the other; that is no less than their edit distance. Nor can it be longer than the letters that
+    both have, each as often as in the one that has fewer.
     """
-    return F.levenshtein(a, b) <= (1 - least) * (F.char_length(a) + F.char_length(b)) + 1e-9
+    both = F.char_length(a) + F.char_length(b)
+    times = lambda x, c: F.char_length(x) - F.char_length(F.replace(x, c, F.lit("")))
+    letters = F.array_distinct(F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)))
+    shared = F.aggregate(letters, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+    return (F.levenshtein(a, b) <= (1 - least) * both + 1e-9) & (2 * shared >= least * both - 1e-9)
 
 
 def robust_json(x: Column) -> Column:

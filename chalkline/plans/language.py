@@ -153,7 +153,8 @@ def alike_pairs(rows: DataFrame, group: list[str], order: str, name: str, least:
 
     Equal names are one name with a list of ids. Two names reach the ratio only
     if the shorter one has enough letters, so names meet by length: a name
-    looks up the lengths that its own allows, and what is left goes to Python.
+    looks up the lengths that its own allows. Pairs whose edit distance or
+    common letters rule the ratio out go in the JVM, and the rest to Python.
     """
     names = rows.groupBy(*group, name).agg(F.array_sort(F.collect_list(order)).alias("ids")).withColumn("n", F.char_length(name))
     lengths = F.sequence(F.greatest(F.lit(0), F.floor(F.col("n") * (least / (2 - least))).cast("int")), F.col("n"))
