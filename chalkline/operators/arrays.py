@@ -31,7 +31,7 @@ def resolve_arrays(parents: DataFrame, keys: list[str], arrays: dict[str, DataFr
     last = union(named).groupBy(*within, "_kind", "_id").agg(F.max_by("_what", "doc_pos").alias("_what"))
     found = union(refs).join(last, [*within, "_kind", "_id"])
     item = F.struct("_pos", "_what")
-    lists = found.groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, item))).alias(f"_{kind}") for kind in arrays])
+    lists = found.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, item))).alias(f"_{kind}") for kind in arrays])
     nothing = F.array().cast(last.select(F.array("_what")).schema[0].dataType)
     out = parents.join(lists, keys, "left")
     out = out.withColumns({kind: F.coalesce(F.transform(f"_{kind}", lambda x: x["_what"]), nothing) for kind in arrays})

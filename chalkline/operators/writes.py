@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,30 +34,50 @@ def _files(spark: SparkSession, path: str) -> tuple:
 def write_documents(rows: DataFrame, path: str, key: str, name: str | None = "ontology.json") -> None:
     """Writes (key, document) as ``path/{key}/{name}``, without a name as ``path/{key}.json``; UTF-8 as it is, one file for each key.
 
+    With a column ``part`` and a name a key has a file for each of its parts, of which all but 0 have their number before
+    the ending; parts of an earlier write that this one doesn't have go.
+
     Tasks write the files; what is left to the driver is giving each its name, RENAMES at a time. The old file goes only
     when the new one is whole, and a repeated call ends alike.
     """
     spark = rows.sparkSession
     fs, root = _files(spark, path)
     partial = f"{path}/_written"
-    rows.select(key, "document").repartition(key).write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(partial)
+    part = F.coalesce(F.col("part").cast("long"), F.lit(0)) if name and "part" in rows.columns else F.lit(0).cast("long")
+    told = rows.select(key, part.alias("_part"), "document")
+    told.repartition(key, "_part").write.mode("overwrite").partitionBy(key, "_part").option("lineSep", "\n").text(partial)
     of = lambda *x: spark._jvm.org.apache.hadoop.fs.Path(*x)
+    value = lambda title: spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(title.split("=", 1)[1])
+    stem, _, ending = (name or "").rpartition(".")
 
-    def named(folder) -> None:
-        title = folder.getPath().getName()
-        if "=" not in title:
-            return
-        own = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(title.split("=", 1)[1])
-        target = of(of(root, own), name) if name else of(root, f"{own}.json")
+    def named(job: tuple) -> None:
+        source, target = job
         fs.mkdirs(target.getParent())
-        for part in fs.listStatus(folder.getPath()):
-            if part.getPath().getName().startswith("part-"):
+        for one in fs.listStatus(source):
+            if one.getPath().getName().startswith("part-"):
                 fs.delete(target, False)
-                if not fs.rename(part.getPath(), target):
-                    raise OSError(f"{part.getPath()} could not be renamed to {target}")
+                if not fs.rename(one.getPath(), target):
+                    raise OSError(f"{one.getPath()} could not be renamed to {target}")
 
+    jobs, homes = [], []
+    for folder in fs.listStatus(of(partial)):
+        title = folder.getPath().getName()
+        if "=" not in title:
+            continue
+        own = {value(x.getPath().getName()): x.getPath() for x in fs.listStatus(folder.getPath())}
+        if name:
+            home, files = of(root, value(title)), {k: name if k == "0" else f"{stem}.{k}.{ending}" for k in own}
+            homes.append((home, set(files.values())))
+            jobs += [(own[k], of(home, files[k])) for k in own]
+        else:
+            jobs += [(x, of(root, f"{value(title)}.json")) for x in own.values()]
     with ThreadPoolExecutor(RENAMES) as pool:
-        list(pool.map(named, fs.listStatus(of(partial))))
+        list(pool.map(named, jobs))
+    former = re.compile(rf"{re.escape(stem)}(\.-?\d+)?\.{re.escape(ending)}")
+    for home, files in homes:
+        for old in fs.listStatus(home):
+            if former.fullmatch(old.getPath().getName()) and old.getPath().getName() not in files:
+                fs.delete(old.getPath(), False)
     fs.delete(of(partial), True)
 
 

@@ -80,11 +80,11 @@ def documents_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books written as JSON files, half of them a level deeper, found and read again; a deeper file beside one of its own folder doesn't count."""
     path = _folder(spark, "output")
     raw = raw_books(spark, sf_dir)
-    raw = Scratch(spark, "books").keep(raw.select("book", F.regexp_replace("document", '("name":"[^"]*)', "$1 గేయం").alias("document")), "raw")
+    raw = Scratch(spark, "books").keep(raw.select("book", "part", F.regexp_replace("document", '("name":"[^"]*)', "$1 గేయం").alias("document")), "raw")
     deep = F.length("book") % 2 == 0
     write_documents(raw.where(~deep), path, "book")
     write_documents(raw.where(deep), f"{path}/strict", "book")
-    write_documents(raw.where(~deep).withColumn("document", F.lit("{}")).withColumn("book", F.concat("book", F.lit("/old"))), path, "book")
+    write_documents(raw.where(~deep).select(F.concat("book", F.lit("/old")).alias("book"), F.lit("{}").alias("document")).distinct(), path, "book")
     c = parse_strict(discover(spark, path))
     return c.topics.groupBy("book").agg(F.count(F.lit(1)).alias("topics"), F.count_if(K("name").contains("గేయం")).alias("marked"))
 
