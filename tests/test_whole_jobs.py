@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from chalkline.functions.text import robust_json
-from chalkline.plans import registry
+from chalkline.plans import people, registry
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -39,6 +39,26 @@ def test_assigned_worksheets_of_every_student(spark, tmp_path):
     assert run(spark, "assigned_worksheets", sf) == sorted(pairs, key=lambda r: (r[0], -(r[2] - DAY).days, r[1]))
 
 
+def test_assigned_worksheets_are_sorted_in_pieces(spark, tmp_path, monkeypatch):
+    """Classes of many pieces, times that several worksheets share, a class without a name; pairs are laid out behind the last shuffle."""
+    monkeypatch.setattr(people, "PIECE", 4)
+    monkeypatch.setattr(people, "DEALS", 3)
+    customer = [(k, k % 4) for k in range(30)]
+    orders = [(k, k % 3, DAY + dt.timedelta(days=k % 5)) for k in range(80)] + [(100, 3, DAY), (101, None, DAY), (102, 3, None)]
+    sf = kept(
+        spark,
+        tmp_path,
+        customer=([*customer, (30, None), (31, 9)], "c_custkey long, c_nationkey int"),
+        nation=([(0, "a"), (1, "b"), (2, "c")], "n_nationkey int, n_name string"),
+        orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+    )
+    pairs = [(c, o, day, ["a", "b", "c", None][n]) for c, n in customer for o, k, day in orders if k is not None and k % 25 == n]
+    found = registry.queries()["assigned_worksheets"](spark, sf)
+    assert [tuple(r) for r in found.collect()] == sorted(pairs, key=lambda r: (r[0], r[2] is None, -((r[2] or DAY) - DAY).days, r[1]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Sort [c_custkey")
+
+
 def test_unread_notifications_of_a_hot_student(spark, tmp_path):
     """Over 50 unread ones, some of the same time."""
     orders = [(k, k % 10 // 9, "OF"[k % 5 == 0], DAY + dt.timedelta(days=k * 7 % 40)) for k in range(120)]
