@@ -8,7 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.operators.curriculum import nested, nested_whole
+from chalkline.operators.curriculum import enrich, fix, nested, nested_whole, validate
+from chalkline.operators.lineage import Scratch
 from chalkline.operators.writes import write_documents
 from chalkline.plans import books, registry
 from chalkline.sources.documents import discover, parse_legacy, parse_nested, parse_strict
@@ -59,6 +60,23 @@ def test_stretches_give_the_same_book(spark):
             assert seen[0] == seen[1] and seen[0]
 
 
+@pytest.mark.parametrize("step", [fix, enrich, validate])
+def test_exercises_are_written_by_no_step(spark, step, monkeypatch):
+    """The largest list is read where a result asks for it; each step wrote it once more before."""
+    names, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (names.append(name), keep(self, df, name))[1])
+    entities = {
+        "chapters": [{"id": "C_1", "title": "c", "page_start": 1, "page_end": 9}],
+        "topics": [{"id": "T_1", "name": "water", "chapter_id": "C_1", "page_start": 2, "page_end": 3}],
+        "exercises": [{"id": "E_9", "text": "x", "topic_id": "T_1"}],
+    }
+    c = parse_strict(spark.createDataFrame([("b", json.dumps({"entities": entities}))], "book string, document string"), Scratch(spark, "books"))
+    done = step(c)
+    done = done.curriculum if step is validate else done[0]
+    assert "topics" in names and "documents" in names and "exercises" not in names
+    assert [r["text"] for r in done.exercises.collect()] == ["x"]
+
+
 def test_files_of_parts(spark, tmp_path):
     """A later write with fewer parts leaves none of the earlier ones."""
     rows = spark.createDataFrame([("a", 0, "0"), ("a", 2, "2"), ("a", 11, "11"), ("b", 4, "4")], "book string, part long, document string")
