@@ -8,8 +8,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from chalkline.operators import curriculum
 from chalkline.operators.curriculum import enrich, fix, nested, nested_whole, validate
-from chalkline.operators.lineage import Scratch
+from chalkline.operators.lineage import Scratch, settings
 from chalkline.operators.writes import write_documents
 from chalkline.plans import books, registry
 from chalkline.sources.documents import discover, parse_legacy, parse_nested, parse_strict
@@ -60,6 +61,23 @@ def test_stretches_give_the_same_book(spark):
             assert seen[0] == seen[1] and seen[0]
 
 
+def test_few_partitions_hold_bounded_lists(spark, monkeypatch):
+    """Lists are made in tasks of SHARE exercises, however few partitions shuffles have; each of these held a part of all before, and failed at 1 GB."""
+    topics = [{"id": f"T_{i}", "name": f"t{i}", "chapter_id": f"C_{i % 2}"} for i in range(12)]
+    exercises = [{"id": f"E_{i}", "text": f"x{i}", "topic_id": f"T_{i % 12}"} for i in range(60)]
+    entities = {"chapters": [{"id": f"C_{k}", "number": k, "title": f"c{k}"} for k in range(2)], "topics": topics, "exercises": exercises}
+    c = parse_strict(spark.createDataFrame([("b", json.dumps({"entities": entities}))], "book string, document string"))
+    seen = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    monkeypatch.setattr(curriculum, "SHARE", 1 << 17)
+    with settings(spark, {"spark.sql.shuffle.partitions": "2"}):
+        want = seen(nested(c, 3))
+        plans, repartition = [], type(c.topics).repartition
+        monkeypatch.setattr(type(c.topics), "repartition", lambda self, n, *keys: (plans.append((n, keys)), repartition(self, n, *keys))[1])
+        monkeypatch.setattr(curriculum, "SHARE", 7)
+        assert seen(nested(c, 3)) == want and len(want) == 4
+    assert plans == [(9, ("book", "topic_id")), (9, ("book", "chapter_id", "_piece"))]
+
+
 @pytest.mark.parametrize("step", [fix, enrich, validate])
 def test_exercises_are_written_by_no_step(spark, step, monkeypatch):
     """The largest list is read where a result asks for it; each step wrote it once more before."""
