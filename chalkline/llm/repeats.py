@@ -9,6 +9,10 @@ each is suffix-sorted by external induction (:mod:`suffixsort`), where windows
 that repeat are neighbours with a common prefix of LENGTH, as the prefixes tell
 that the sort carries along.
 
+Many segments share little besides their anchor. Before a shard is sorted,
+windows go of which a stretch of bytes that neighbours have in common stands
+once in a chunk of whole keys; what is left is sorted, and the sort decides.
+
 An anchor under which too many different segments meet is split by content:
 windows in half of the offsets share more bytes than the anchor, and those
 bytes make the new key. It ends, at the latest, with windows of one offset,
@@ -23,11 +27,12 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm.scratch import Scratch, bounded_batches, memory_returned, set_apart
-from chalkline.llm.shingles import arrow_bytes, content_hashes, prefix_sums, stretch_hashes
+from chalkline.llm.shingles import arrow_bytes, content_hashes, prefix_sums, stretch_hashes, window_hashes
 from chalkline.llm.suffixsort import repeated_starts
 
 #: A string that repeats has so many bytes.
@@ -37,9 +42,13 @@ GRAM = 40
 #: Different segments under one key; with more the key is split.
 MOST_SEGMENTS = 256
 #: Bytes of text that are cut at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of segments that are given out at once.
+OUT = 4 << 20
 #: Bytes of segments in a shard of the suffix sorter, whose tuples go to disk beyond the sorter's budget (they take 18 times as much).
 SHARD = 2 << 20
+#: Strips that ``length`` neighbouring windows are dealt into before they are sorted.
+STRIPS = 10
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,7 +70,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     bytes of the segment's windows.
     """
     sums = prefix_sums(data)
-    grams = stretch_hashes(sums, np.arange(0, max(0, len(data) - gram + 1)), np.arange(gram, max(gram, len(data) + 1)))
+    grams = window_hashes(sums, gram)
     width = length - gram + 1
     none = tuple(np.empty(0, np.int64) for _ in range(6))
     if len(grams) < width:
@@ -126,13 +135,17 @@ def _pieces(wanted: DataFrame, texts: DataFrame, length: int, gram: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, own, text in zip(batch["_row"].to_pylist(), batch["own"].to_pylist(), batch["_text"].to_pylist(), strict=True):
-                raw = text.encode()
-                found = [
-                    (row, x["first"], x["key"], x["first"] - x["anchor"], x["more"] + 1, raw[x["first"] : x["first"] + x["more"] + length])
-                    for x in own
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+            data, starts = arrow_bytes(batch["_text"])
+            whole, counts = data.tobytes(), pc.list_value_length(batch["own"]).to_numpy()
+            first, more, anchor, key = (x.to_numpy() for x in batch["own"].flatten().flatten())
+            rows, low, sizes = np.repeat(batch["_row"].to_numpy(), counts), np.repeat(starts[:-1], counts) + first, more.astype(np.int64) + length
+            high = low + sizes
+            found = [rows, first, key, first - anchor, more.astype(np.int64) + 1]
+            # Segments overlap, so that a batch of texts is several of them.
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes) // OUT)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+                raw = [whole[i:j] for i, j in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b]) for x in found), pa.array(raw, pa.binary())], schema=schema)
 
     joined = lists.join(texts.select("_row", "_text"), "_row").select("_row", "own", "_text")
     found = joined.mapInArrow(run, "_row long, first long, key long, offset long, span long, bytes binary")
@@ -162,6 +175,34 @@ def _halved(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.select(*PIECE).mapInPandas(run, "_row long, first long, key long, offset long, span long, bytes binary, low long, high long")
 
 
+def may_repeat(offsets: np.ndarray, spans: np.ndarray, raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, span): runs of the pieces' windows, from the piece's start, without those that surely stand once.
+
+    Windows are dealt by their offset into strips of neighbours. All windows of
+    a strip share ``length`` less a strip's width, plus one, of bytes at one
+    distance from the anchor, so what repeats repeats those bytes too: where
+    their hash is single among the pieces, the strip has nothing to sort.
+    """
+    width = max(1, length // STRIPS)
+    own, last = offsets // width, (offsets + spans - 1) // width
+    counts = last - own + 1
+    piece = np.repeat(np.arange(len(raw)), counts)
+    strip = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts) + own[piece]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    base = (np.cumsum(sizes) - sizes - offsets)[piece]  # the anchors' places
+    shared = stretch_hashes(prefix_sums(np.frombuffer(b"".join(raw), np.uint8)), base + (strip + 1) * width - 1, base + strip * width + length)
+    _, kind, often = np.unique(shared, return_inverse=True, return_counts=True)
+    met = often[kind] > 1
+    low = np.maximum(strip * width - offsets[piece], 0)[met]
+    high = np.minimum((strip + 1) * width - offsets[piece], spans[piece])[met]
+    piece = piece[met]
+    fresh = np.ones(len(piece), bool)
+    fresh[1:] = (piece[1:] != piece[:-1]) | (low[1:] != high[:-1])
+    ends = np.ones(len(piece), bool)
+    ends[:-1] = fresh[1:]
+    return piece[fresh], low[fresh], high[ends] - low[fresh]
+
+
 def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
     """(_row, low, high): runs of window starts of each piece that repeat in another place of its shard."""
 
@@ -177,23 +218,42 @@ def _sorted_repeats(pieces: DataFrame, length: int) -> DataFrame:
             at += len(raw)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, lows, highs)], names=["_row", "low", "high"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, room, before = [], 0, None
+    def sieved(taken: list[tuple]) -> list[tuple]:
+        rows, firsts, offsets, spans, raw = zip(*taken, strict=True)
+        found = may_repeat(np.array(offsets), np.array(spans), list(raw), length)
+        return [(rows[i], firsts[i] + low, span, raw[i][low : low + span - 1 + length]) for i, low, span in zip(*(x.tolist() for x in found), strict=True)]
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Pieces of whole keys."""
+        taken, room, before = [], 0, None
         for batch in batches:
-            for key, *x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for key, *x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if room >= SHARD and key != before:
-                    yield shard(held)
-                    held, room = [], 0
-                held.append(tuple(x))
-                room += len(x[3])
+                    yield taken
+                    taken, room = [], 0
+                taken.append(tuple(x))
+                room += len(x[4])
                 before = key
+        if taken:
+            yield taken
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, room = [], 0
+        for taken in chunks(batches):
+            own = sieved(taken)
+            more = sum(len(x[3]) for x in own)
+            if held and room + more > SHARD:
+                yield shard(held)
+                held, room = [], 0
+            held += own
+            room += more
         if held:
             yield shard(held)
         held.clear()
         memory_returned()
 
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.select("key", "_row", "first", "span", "bytes").repartition(n, "key").sortWithinPartitions("key")
+    dealt = pieces.select("key", "_row", "first", "offset", "span", "bytes").repartition(n, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "_row long, low long, high long")
 
 

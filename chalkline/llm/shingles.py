@@ -52,6 +52,13 @@ def stretch_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
         return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """stretch_hashes() of data[i : i + width] for every i."""
+    _, down = POWERS.upto(len(sums))
+    with np.errstate(over="ignore"):
+        return mixed((sums[width:] - sums[:-width]) * down[: max(0, len(sums) - width)])
+
+
 #: A prime modulus beside 2^64, which has strings that collide whatever the base.
 PRIME, ROOT = (1 << 31) - 1, 48271
 

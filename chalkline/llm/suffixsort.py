@@ -198,21 +198,23 @@ def four_at_once(text: np.ndarray, store: Store) -> np.ndarray | None:
 
 def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int, fours: np.ndarray | None = None) -> np.ndarray:
     """Symbols that the different suffixes a and b have in common, up to ``limit``; the last symbol of the text is single, so none runs past it."""
-    n, out = len(text), np.zeros(len(a), np.uint16)
-    step, done, open_ = 1 if fours is None else 4, 0, np.arange(len(a))
-    source = text if fours is None else fours
-    while len(open_) and done < limit:
-        x, y = source[np.minimum(a[open_] + done, n - 1)], source[np.minimum(b[open_] + done, n - 1)]
-        same = x == y
-        if step == 1:
-            more = same.astype(np.int64)
-        else:
-            apart = x ^ y
-            low = (apart & (~apart + np.uint64(1))).astype(np.float64)  # the lowest bit that differs
-            more = np.where(same, 4, (np.frexp(low)[1] - 1) // 16)
-        out[open_] = np.minimum(done + more, limit)
-        open_ = open_[same]
-        done += step
+    out = np.full(len(a), limit, np.uint16)
+    source, step = (text, 1) if fours is None else (fours, 4)
+    x, y, open_ = a, b, np.arange(len(a))
+    for done in range(0, limit, step):
+        p, q = source.take(x, mode="clip"), source.take(y, mode="clip")
+        same = p == q
+        if not same.all():
+            apart, more = np.flatnonzero(~same), 0
+            if step > 1:
+                differ = p[apart] ^ q[apart]
+                low = (differ & (~differ + np.uint64(1))).astype(np.float64)  # the lowest bit that differs
+                more = (np.frexp(low)[1] - 1) // 16
+            out[open_[apart]] = np.minimum(done + more, limit)
+            x, y, open_ = x[same], y[same], open_[same]
+        if not len(open_):
+            break
+        x, y = x + step, y + step
     return out
 
 

@@ -220,6 +220,30 @@ def test_repeats(spark, monkeypatch, most):
         assert (x["n_bytes"], sum(s["end"] - s["start"] for s in x["spans"]), len(x["spans"]), bytes(x["kept"])) == (size, gone, spans, kept)
 
 
+@pytest.mark.parametrize("length", [20, 200])
+def test_what_stands_once_is_not_sorted(length):
+    """Of pieces around equal anchors, every window that repeats is left for the sorter, and those that share little besides the anchor are not."""
+    r, gram = random.Random(9), length // 5
+    reach = length - gram
+    noise = lambda n: bytes(r.choices(b"abcdefgh ", k=n))
+    pieces = []
+    for _ in range(60):
+        anchor, around = noise(gram), (noise(reach), noise(reach))
+        for _ in range(r.randint(1, 4)):
+            left, right = r.choice([0, reach // 4, reach]), r.choice([0, reach // 4, reach])
+            whole = noise(reach - left) + around[0][reach - left :] + anchor + around[1][:right] + noise(reach - right)
+            low = r.randint(-reach, 0)
+            high = r.randint(low, 0)
+            pieces.append((low, high - low + 1, whole[low + reach : high + reach + length]))
+    offsets, spans, raw = zip(*pieces, strict=True)
+    found = repeats.may_repeat(np.array(offsets), np.array(spans), list(raw), length)
+    kept = {(i, low + k) for i, low, span in zip(*(x.tolist() for x in found), strict=True) for k in range(span)}
+    counts = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
+    windows = [(i, k) for i, x in enumerate(raw) for k in range(len(x) - length + 1)]
+    again = {(i, k) for i, k in windows if counts[raw[i][k : k + length]] > 1}
+    assert again and again <= kept <= set(windows) and len(kept) == sum(found[2]) < len(again) + len(windows) // 4
+
+
 def test_repeats_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string"), "text", ["doc_id"]).collect() == []
 
