@@ -59,6 +59,31 @@ def test_assigned_worksheets_are_sorted_in_pieces(spark, tmp_path, monkeypatch):
     assert plan.index("Generate inline") < plan.index("Sort [c_custkey")
 
 
+def test_assigned_worksheets_shuffle_no_pairs(spark, tmp_path, monkeypatch):
+    """What is shuffled are worksheets, pieces and students, in no part their pairs; more pieces than a join holds as plain rows."""
+    monkeypatch.setattr(people, "PIECE", 1)
+    customer = [(k, k % 3) for k in range(12)]
+    orders = [(k, k % 3, DAY + dt.timedelta(days=k * 7 % 40)) for k in range(4500)]
+    sf = kept(
+        spark,
+        tmp_path,
+        customer=(customer, "c_custkey long, c_nationkey int"),
+        nation=([(0, "a"), (1, "b"), (2, "c")], "n_nationkey int, n_name string"),
+        orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp"),
+    )
+    spark.sparkContext.setJobGroup(str(tmp_path), "counted")
+    try:
+        found = run(spark, "assigned_worksheets", sf)
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert found == sorted(((c, o, day, "abc"[n]) for c, n in customer for o, k, day in orders if k == n), key=lambda r: (r[0], -(r[2] - DAY).days, r[1]))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {k for job in tracker.getJobIdsForGroup(str(tmp_path)) for k in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages) <= 2 * len(orders) + len(customer)
+
+
 def test_unread_notifications_of_a_hot_student(spark, tmp_path):
     """Over 50 unread ones, some of the same time."""
     orders = [(k, k % 10 // 9, "OF"[k % 5 == 0], DAY + dt.timedelta(days=k * 7 % 40)) for k in range(120)]
